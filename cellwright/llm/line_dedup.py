@@ -34,11 +34,12 @@ def site_lines(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> Da
 def boilerplate(lines: DataFrame, min_sites: int, margin: float = MARGIN, lg_k: int = LG_K) -> tuple[DataFrame, DataFrame]:
     """Occurrences of the lines that are frequent enough, and the boilerplate lines with their first occurrence."""
     frequent = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h1", "h2")
-    seen = lines.join(frequent, ["h1", "h2"]).checkpoint()
+    seen = tk.stored(lines.join(frequent, ["h1", "h2"]), "lines")
     spread = seen.groupBy("h1", "h2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"),
         F.min(F.when(F.col("id").isNotNull(), F.struct("id", "place"))).alias("first"),
-    ).checkpoint()
+    )
+    spread = tk.stored(spread, "spread")
     near = F.col("sites").between(min_sites * (1 - margin), min_sites * (1 + margin))
     exact = seen.join(spread.where(near), ["h1", "h2"]).select("h1", "h2", "first", "site").distinct().groupBy("h1", "h2").agg(F.count("*").alias("sites"), F.first("first").alias("first"))
     sure = spread.where(~near).select("h1", "h2", "sites", "first")
@@ -54,7 +55,6 @@ def line_dedup(
     text_col: str = "text",
 ) -> DataFrame:
     """``row`` (all columns), kept (the text without boilerplate lines), n_lines, n_removed (lines)."""
-    tk.ensure_checkpoint_dir(docs.sparkSession)
     seen, found = boilerplate(site_lines(docs, id_col, site_col, text_col), min_sites)
     gone = seen.where("id IS NOT NULL").join(found, ["h1", "h2"])
     if keep_first:

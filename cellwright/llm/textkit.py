@@ -6,6 +6,7 @@ no state between slices.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named)
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: the rows as a table in the shared checkpoint folder, under a name of its own."""
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, null as empty, and the n + 1 offsets of its rows."""
     col = batch.column(batch.schema.get_field_index(name))
