@@ -1,0 +1,21 @@
+"""Schemas of the records as DDL: flat tables keyed by item, so that columns prune and joins stay equi-joins."""
+
+from __future__ import annotations
+
+CELLS = """item_id string, table_id string, id string, seq int, row int, col int, row_label string, column_label string, text string,
+ raw decimal(24,4), kind string, scale int, currency string, metric string, entity string, period string"""
+PASSAGES = "item_id string, id string, text string, page int"
+QUESTIONS = "id string, issuer string, country string, split string, text string, question_type string, period string, source string"
+ANSWERS = "id string, question_id string, generator string, text string, settings map<string,string>"
+CONTEXT = "struct<metric:string,entity:string,period:string,base_period:string>"
+CLAIMS = """item_id string, id string, start int, `end` int, text string, kind string, value decimal(38,6), decimals int, scale int,
+ currency string, direction string, direction_span struct<s:int,e:int>"""
+CHECKS = f"""item_id string, claim_id string, verdict string, slots array<string>, cells array<string>, intended {CONTEXT},
+ relation string, expected decimal(38,6), fix string, note string"""
+PROGRAMS = "item_id string, edits array<struct<op:string,claim:string,cell:string,expr:string,reason:string,note:string>>"
+GOLD_LABELS = """item_id string, target string, status string, spans array<struct<start:int,`end`:int,slot:string>>, useful boolean,
+ annotator string, adjudicated boolean, note string"""
+REPLAY = """item_id string, question_id string, issuer string, split string, error string, expected_action string,
+ features map<string,double>, risk double, decision string, outcomes map<string,string>, repair_status string, repair_text string"""
+FACTS = """concept string, value decimal(38,4), unit string, period_start string, period_end string, decimals int, entity string,
+ dimensions array<struct<axis:string,member:string>>, context_id string"""
