@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
@@ -46,7 +47,7 @@ def clopper_pearson_upper(errors: int, n: int, delta: float = 0.05) -> float:
     return hi
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hb_pvalue(loss: pd.Series, n: pd.Series, alpha: pd.Series) -> pd.Series:
     return pd.Series([hoeffding_bentkus(float(a), int(b), float(c)) for a, b, c in zip(loss, n, alpha, strict=True)])
 

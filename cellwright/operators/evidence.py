@@ -20,6 +20,10 @@ def _relation(name: str) -> list[Column]:
     return [F.lit(name).alias("relation"), F.lit(RANK[name]).alias("rank")]
 
 
+def _derived(name: str, result: Column, slot: str | None = None) -> Column:
+    return F.struct(*_relation(name), result.alias("result"), F.lit(slot).cast("string").alias("slot"))
+
+
 def first_per_period(cells: DataFrame) -> DataFrame:
     """The first cell of each series and period counts."""
     w = Window.partitionBy("item_id", "table_id", "row", "entity", "period").orderBy("seq")
@@ -39,10 +43,11 @@ def period_pairs(cells: DataFrame) -> DataFrame:
 def changes(cells: DataFrame) -> DataFrame:
     """diff, growth, and growth on the wrong base (slot ``basis``), one row a value."""
     pairs = period_pairs(cells)
+    wrong = F.try_divide((F.col("value") - F.col("base")).cast("double") * 100, F.abs("value").cast("double"))
     values = F.array(
-        F.struct(F.lit("diff").alias("relation"), F.lit(RANK["diff"]).alias("rank"), (F.col("value") - F.col("base")).cast("double").alias("result"), F.lit(None).cast("string").alias("slot")),
-        F.struct(F.lit("growth"), F.lit(RANK["growth"]), A.growth(F.col("value"), F.col("base")), F.lit(None).cast("string")),
-        F.struct(F.lit("growth"), F.lit(RANK["growth"]), F.try_divide((F.col("value") - F.col("base")).cast("double") * 100, F.abs("value").cast("double")), F.lit("basis")),
+        _derived("diff", (F.col("value") - F.col("base")).cast("double")),
+        _derived("growth", A.growth(F.col("value"), F.col("base"))),
+        _derived("growth", wrong, "basis"),
     )
     return pairs.select("item_id", "table_id", "row", "metric", "entity", "period", "base_period", F.explode(values).alias("v")).select(
         "item_id", "table_id", "row", "metric", "entity", "period", "base_period", "v.*"
@@ -63,8 +68,8 @@ def column_pairs(cells: DataFrame) -> DataFrame:
     b = a.select("item_id", "table_id", "col", F.col("row").alias("of_row"), F.col("metric").alias("of_metric"), F.col("value").alias("whole"))
     pairs = a.join(b, ["item_id", "table_id", "col"]).where("row <> of_row AND whole <> 0")
     both = F.array(
-        F.struct(F.lit("share").alias("relation"), F.lit(RANK["share"]).alias("rank"), F.when(F.abs("value") <= F.abs("whole"), A.share(F.col("value"), F.col("whole"))).alias("result")),
-        F.struct(F.lit("ratio"), F.lit(RANK["ratio"]), A.ratio(F.col("value"), F.col("whole"))),
+        _derived("share", F.when(F.abs("value") <= F.abs("whole"), A.share(F.col("value"), F.col("whole")))),
+        _derived("ratio", A.ratio(F.col("value"), F.col("whole"))),
     )
     return pairs.select("item_id", "metric", "of_metric", "entity", "period", F.explode(both).alias("v")).select("item_id", "metric", "of_metric", "entity", "period", "v.*").where("result IS NOT NULL")
 

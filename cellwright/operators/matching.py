@@ -21,17 +21,15 @@ def match_claims(claims: DataFrame, candidates: DataFrame, unit_powers: list[int
     ``candidates``: item_id, cand_seq, value, relation, rank, metric, entity, period.
     """
     v = F.col("value").cast("double")
-    reads = F.array(
-        F.struct(F.lit(0).alias("way"), v.alias("x"), F.lit(None).cast("string").alias("slot"), F.lit(0).alias("shift")),
-        F.struct(F.lit(1), -v, F.lit("sign"), F.lit(0)),
-        *[F.struct(F.lit(2 + i), v * float(10.0**s), F.lit("scale_currency"), F.lit(s)) for i, s in enumerate(SHIFTS)],
-    )
+    read = lambda way, x, slot, shift: F.struct(F.lit(way).alias("way"), x.alias("x"), F.lit(slot).cast("string").alias("slot"), F.lit(shift).alias("shift"))
+    reads = F.array(read(0, v, None, 0), read(1, -v, "sign", 0), *[read(2 + i, v * float(10.0**s), "scale_currency", s) for i, s in enumerate(SHIFTS)])
     asked = claims.select("*", F.explode(reads).alias("r")).withColumn("size", F.pow(F.lit(10.0), (F.col("unit") + F.col("r.shift")).cast("double")))
     asked = asked.withColumn("power", F.col("unit") + F.col("r.shift"))
     near = F.floor(F.col("r.x") / F.col("size"))
     asked = asked.select("*", F.explode(F.array(near - 1, near, near + 1)).alias("band"))
     powers = sorted({u + s for u in unit_powers for s in (0, *SHIFTS)})
-    bands = F.explode(F.array(*[F.struct(F.lit(p).alias("power"), F.floor(F.col("c_value").cast("double") / float(10.0**p)).alias("band")) for p in powers])).alias("b")
+    band = lambda p: F.struct(F.lit(p).alias("power"), F.floor(F.col("c_value").cast("double") / float(10.0**p)).alias("band"))
+    bands = F.explode(F.array(*[band(p) for p in powers])).alias("b")
     offered = candidates.select("item_id", *[F.col(c).alias(f"c_{c}") for c in ("value", "cand_seq", "relation", "rank", "metric", "entity", "period")])
     offered = offered.select("*", bands).select("*", "b.power", "b.band").drop("b")
     found = asked.join(offered, ["item_id", "power", "band"]).where(F.abs(F.col("r.x") - F.col("c_value").cast("double")) <= F.col("size") / 2 + SLACK * F.greatest(F.lit(1.0), F.col("size")))
