@@ -164,34 +164,40 @@ class BlockIndex:
         self.most = np.zeros((len(idf), self.blocks))
         np.maximum.at(self.most, (term, self.owner // BLOCK), self.value)
         flat = term * self.blocks + self.owner // BLOCK
-        self.cut = np.searchsorted(flat, np.arange(len(idf) * self.blocks + 1)).astype(np.int32)
+        self.cut = np.searchsorted(flat, np.arange(len(idf) * self.blocks + 1)).astype(np.int64)
 
     def weights(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         w = (1 + np.log(count)) * self.idf[term]
         return w / math.sqrt(float((w * w).sum()))
 
+    def _visit(self, term: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines with every example of some blocks, from their posting ranges at once; 0 elsewhere."""
+        flat = (term[:, None] * self.blocks + blocks[None]).ravel()
+        i = self.cut[flat]
+        n = self.cut[flat + 1] - i
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(i, n)
+        return np.bincount(self.owner[at], np.repeat(np.repeat(w, len(blocks)), n) * self.value[at], len(self.pos))
+
     def nearest(self, term: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries and cosines, nearest first: at least NEIGHBOURS examples and all ties with the last of them."""
+        """Entries and cosines, nearest first: NEIGHBOURS of them and all ties with the last one.
+
+        The best blocks come first; then all those whose bound still reaches the NEIGHBOURS-th best cosine found.
+        """
         bound = w @ self.most[term]
         order = np.argsort(-bound, kind="stable")
-        entries, scores, least = np.zeros(0, np.int64), np.zeros(0), -1.0
-        for b in order.tolist():
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
-                break
-            s = np.zeros(BLOCK)
-            for t, x in zip(term.tolist(), w.tolist(), strict=True):
-                i, j = self.cut[t * self.blocks + b], self.cut[t * self.blocks + b + 1]
-                s[self.owner[i:j] - b * BLOCK] += x * self.value[i:j]
-            hit = np.flatnonzero(s > max(0.0, least - 1e-9))
-            entries, scores = np.concatenate([entries, hit + b * BLOCK]), np.concatenate([scores, s[hit]])
-            o = np.lexsort((entries, -scores))
-            entries, scores = entries[o], scores[o]
-            enough = np.searchsorted(np.cumsum(self.all[entries] > 0), NEIGHBOURS)
-            if enough < len(entries):
-                least = scores[enough]
-                keep = scores >= least - 1e-9
-                entries, scores = entries[keep], scores[keep]
-        return entries, scores
+        order = order[bound[order] > 0]
+        first = max(1, 2 * NEIGHBOURS // BLOCK + 1)
+        score = self._visit(term, w, order[:first])
+        k = min(NEIGHBOURS, len(score))
+        least = np.partition(score, -k)[-k]
+        rest = order[first:][bound[order[first:]] >= least - 1e-9]
+        if len(rest):
+            score += self._visit(term, w, rest)
+            least = np.partition(score, -k)[-k]
+        score = np.round(score, 10)
+        entries = np.flatnonzero((score >= least - 1e-9) & (score > 0))
+        entries = entries[np.lexsort((entries, -score[entries]))]
+        return entries, score[entries]
 
     def score(self, term: np.ndarray, count: np.ndarray) -> tuple[float, list[int], str]:
         if not len(term) or not len(self.pos):
@@ -201,7 +207,7 @@ class BlockIndex:
         near = 1 / (1 - np.minimum(cosine, 1.0) + SOFT)
         value = (float((near * self.pos[entries]).sum()) + PRIOR * self.base) / (float((near * self.all[entries]).sum()) + PRIOR)
         top = ", ".join(self.names[t] for t in term[np.argsort(-w, kind="stable")[:3]].tolist())
-        return min(max(value, 0.0), 1.0), [d for e in entries[:3].tolist() for d in self.docs[e]][:3], top
+        return min(max(round(value, 12), 0.0), 1.0), [d for e in entries[:3].tolist() for d in self.docs[e]][:3], top
 
 
 def _map_scores(lexicon_shared, index_shared):
