@@ -4,13 +4,16 @@
 2. Each document has the runs of ``SHINGLE`` words, labelled by how often the run came before. For each of ``SKETCHES``
    hash functions the ``KEPT`` labelled runs of least hash are taken and kept in text order; their digest is a bucket.
    Documents share a bucket where the same runs come in the same order, so the sketch follows edits, not word sets alone.
-3. In each bucket every document is aligned with the least one; in further rounds, with the next one, but only where
-   classes found so far still differ, until every two documents of a bucket are in one class or were aligned.
+3. In each bucket every document is aligned with the least one, and again with the next one where classes differ: this
+   settles large groups of copies. Buckets of at most ``GROUP`` documents whose classes still differ are then settled by
+   one task each. Larger ones are parted by their rarest labelled runs: two texts of the wanted similarity share one of
+   the first ``n - similarity * n + 1`` of them, so no pair is lost. What is larger even then takes further rounds with
+   next ones, until every two documents of a bucket are in one class or were aligned.
 4. An alignment keeps the order of runs and looks within the band that the similarity allows: matched runs over all runs
    of either text (an ordered Jaccard similarity) must reach ``SIMILARITY``. Links are joined to classes.
 
 A hot bucket is never gathered: its least document comes from a partial aggregate, and its pairs, one a document, are
-rows of a join whose skewed partitions Spark splits. No candidate is dropped.
+rows of a join whose skewed partitions Spark splits. No candidate is dropped, and no bucket's pairs are all emitted.
 
 Defined results: words are runs of bytes other than white space, ASCII letters lower-cased; texts of fewer words than a
 run are one run; null text is empty; empty texts are one class; rows with one id are one document (its least text); rows
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellwright.llm import textkit as tk
@@ -29,6 +32,8 @@ from cellwright.llm.decontaminate import LOWER
 from cellwright.llm.passages import SPACE
 
 SHINGLE, SKETCHES, KEPT, SIMILARITY = 5, 24, 6, 0.8
+#: Documents of a bucket that one task may settle, rounds before that, and documents that lead in a round after it.
+GROUP, ROUNDS, LEADS = 1024, 2, 16
 _RNG = np.random.default_rng(77)
 SEEDS = _RNG.integers(1, 2**63, (SKETCHES, 1), dtype=np.uint64)
 ODDS = _RNG.integers(1, 2**63, (SKETCHES, 1), dtype=np.uint64) | np.uint64(1)
@@ -45,19 +50,25 @@ def shingles(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> list[np.nda
     return out
 
 
+def labelled_runs(runs: np.ndarray) -> np.ndarray:
+    """Runs told apart by how often each one came before."""
+    n = len(runs)
+    order = np.argsort(runs, kind="stable")
+    same = np.concatenate([[False], runs[order[1:]] == runs[order[:-1]]])
+    if not same.any():
+        return runs
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
+    nth = np.empty(n, np.uint64)
+    nth[order] = np.arange(n) - head
+    return tk.mix(runs.astype(np.uint64) + nth * np.uint64(0x9E3779B97F4A7C15))
+
+
 def order_sketch(runs: np.ndarray) -> np.ndarray:
     """The buckets of one document."""
     n = len(runs)
     if not n:
         return np.zeros(0, np.uint64)
-    order = np.argsort(runs, kind="stable")
-    same = np.concatenate([[False], runs[order[1:]] == runs[order[:-1]]])
-    labelled = runs
-    if same.any():
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
-        nth = np.empty(n, np.uint64)
-        nth[order] = np.arange(n) - head
-        labelled = tk.mix(runs + nth * np.uint64(0x9E3779B97F4A7C15))
+    labelled = labelled_runs(runs)
     h = (labelled[None] ^ SEEDS) * ODDS
     h ^= h >> np.uint64(31)
     m = min(KEPT, n)
@@ -159,6 +170,87 @@ def classes_of(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _overlaps(runs: list[np.ndarray]) -> np.ndarray:
+    """How many labelled runs every two of a bounded group of documents have in common, in any order."""
+    m = len(runs)
+    label = np.concatenate([labelled_runs(r.astype(np.uint64)) for r in runs])
+    doc = np.repeat(np.arange(m), [len(r) for r in runs])
+    _, col, often = np.unique(label, return_inverse=True, return_counts=True)
+    common = often > 1
+    keep = common[col]
+    col, doc = (np.cumsum(common) - 1)[col[keep]], doc[keep]
+    order = np.argsort(col, kind="stable")
+    col, doc = col[order], doc[order]
+    out, width = np.zeros((m, m), np.float32), 4096
+    for first in range(0, int(common.sum()), width):
+        i, j = np.searchsorted(col, [first, first + width])
+        has = np.zeros((m, width), np.float32)
+        has[doc[i:j], col[i:j] - first] = 1
+        out += has @ has.T
+    return out
+
+
+def _settle_group(similarity: float):
+    """Links of one bounded group: every two of its documents are in one class or were aligned."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+        ids, start = (table.column(x).to_numpy()[order] for x in ("doc_id", "cls"))
+        runs = [np.frombuffer(x, "<u4") for x in table.column("runs").to_pylist()]
+        runs = [runs[i] for i in order.tolist()]
+        cls = np.unique(start, return_inverse=True)[1]
+        size = np.array([len(x) for x in runs])
+        need = np.ceil(similarity / (1 + similarity) * (size[:, None] + size[None]) - 1e-9)
+        near = (_overlaps(runs) >= need) & (cls[:, None] != cls[None])
+        links = []
+        for i, j in np.argwhere(np.triu(near, 1)).tolist():
+            if cls[i] != cls[j] and aligned(runs[i], runs[j], similarity):
+                links.append((ids[i], ids[j]))
+                cls[cls == cls[j]] = cls[i]
+        a, b = (pa.array([x[k] for x in links], pa.int64()) for k in (0, 1))
+        return pa.table({"a": a, "b": b})
+
+    return run
+
+
+def _map_labels(batches):
+    """Labelled runs of each document of a bucket, as they are told apart."""
+    for batch in batches:
+        values = [labelled_runs(np.frombuffer(x, "<u4").astype(np.uint64)).view(np.int64) for x in batch.column("runs").to_pylist()]
+        bounds = np.cumsum([0, *map(len, values)]).astype(np.int32)
+        flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int64))
+        names = ["bucket", "doc_id", "cls"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.ListArray.from_arrays(pa.array(bounds), flat)], names=[*names, "labels"])
+
+
+def _parted(large: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
+    """Large buckets, parted by the rarest runs of each document: bucket, doc_id, cls."""
+    labels = large.join(runs, "doc_id").select("bucket", "doc_id", "cls", "runs").mapInArrow(_map_labels, "bucket long, doc_id long, cls long, labels array<long>")
+    rows = tk.stored(labels.select("bucket", "doc_id", "cls", F.size("labels").alias("n"), F.explode("labels").alias("label")), "labels")
+    common = rows.groupBy("bucket", "label").agg(F.count("*").alias("often"))
+    rare = Window.partitionBy("bucket", "doc_id").orderBy("often", "label")
+    first = rows.join(common, ["bucket", "label"]).withColumn("nth", F.row_number().over(rare)).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
+    return first.select(F.xxhash64("bucket", "label").alias("bucket"), "doc_id", "cls").distinct()
+
+
+def _open(state: DataFrame) -> DataFrame:
+    """Buckets that still span several classes, with their documents."""
+    sizes = state.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("bucket", "members")
+    return state.join(sizes, "bucket")
+
+
+def _settled(small: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
+    """Links of bounded buckets; buckets with the same documents are one."""
+    sets = small.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("doc_id", "cls"))).alias("docs")).groupBy("docs").agg(F.min("bucket").alias("bucket"))
+    rows = sets.select("bucket", F.explode("docs").alias("doc")).select("bucket", "doc.doc_id", "doc.cls").join(runs, "doc_id")
+    return rows.select("bucket", "doc_id", "cls", "runs").groupBy("bucket").applyInArrow(_settle_group(similarity), "a long, b long")
+
+
+def _with_classes(rows: DataFrame, links: DataFrame) -> DataFrame:
+    cls = tk.stored(classes_of(links), "classes")
+    return rows.join(cls.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("cls", F.coalesce("cls", "doc_id"))
+
+
 def near_links(texts: DataFrame, similarity: float) -> DataFrame:
     """id, cls of every document of ``texts`` (doc_id, text; distinct texts) that has a near duplicate."""
     keys = texts.mapInArrow(_map_sketches, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("bucket"))
@@ -167,24 +259,68 @@ def near_links(texts: DataFrame, similarity: float) -> DataFrame:
     members = tk.stored(rows.join(shared, "bucket"), "members")
     some = members.select("doc_id").distinct()
     runs = tk.stored(texts.join(some, "doc_id", "left_semi").mapInArrow(_map_runs, "doc_id long, runs binary"), "runs")
-    left, right = (runs.select(F.col("doc_id").alias(x), F.col("runs").alias(f"runs_{x}")) for x in "ab")
     state = members.select("bucket", "doc_id", F.col("doc_id").alias("cls"), F.lit(False).alias("led"))
+    state, links = _lead_rounds(state, runs, similarity, ROUNDS)
+    if state is None:
+        return classes_of(links)
+    wide = tk.stored(_open(state), "open")
+    links = links.unionByName(tk.stored(_settled(wide.where(F.col("members") <= GROUP), runs, similarity), "found"))
+    large = wide.where(F.col("members") > GROUP).select("bucket", "doc_id", "cls")
+    if not large.isEmpty():
+        parts = tk.stored(_open(_parted(large, runs, similarity)), "open")
+        links = links.unionByName(tk.stored(_settled(parts.where(F.col("members") <= GROUP), runs, similarity), "found"))
+        rest = parts.where(F.col("members") > GROUP).select("bucket", "doc_id", "cls", F.lit(False).alias("led"))
+        links = _outsider_rounds(rest, runs, similarity, links)
+    return classes_of(links)
+
+
+def _pairs_found(pairs: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
+    left, right = (runs.select(F.col("doc_id").alias(x), F.col("runs").alias(f"runs_{x}")) for x in "ab")
+    both = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "runs_a", "runs_b")
+    return tk.stored(both.mapInArrow(_map_aligned(similarity), "a long, b long"), "found")
+
+
+def _lead_rounds(state: DataFrame, runs: DataFrame, similarity: float, rounds: int) -> tuple[DataFrame | None, DataFrame]:
+    """In each round the least document that has not led its bucket is aligned with those of other classes.
+
+    The state after ``rounds`` rounds (None: nothing is open any more), and all links.
+    """
     links = None
-    while True:
-        # the least document that has not led its bucket, where the bucket still spans several classes
+    for _ in range(rounds):
         lead = state.groupBy("bucket").agg(
             F.min(F.when(~F.col("led"), F.struct("doc_id", "cls"))).alias("lead"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.when(~F.col("led"), 1)).alias("open")
-        ).where("lo < hi AND open > 1").select("bucket", "lead")
+        )
+        lead = lead.where("lo < hi AND open > 1").select("bucket", "lead")
         led = state.join(lead, "bucket").withColumn("led", F.col("led") | (F.col("doc_id") == F.col("lead.doc_id")))
         led = tk.stored(led, "round")
-        pairs = led.where(~F.col("led") & (F.col("cls") != F.col("lead.cls"))).select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-        found = tk.stored(pairs.join(left, "a").join(right, "b").select("a", "b", "runs_a", "runs_b").mapInArrow(_map_aligned(similarity), "a long, b long"), "found")
-        if led.isEmpty():
-            break
+        if links is not None and led.isEmpty():
+            return None, links
+        pairs = led.where(~F.col("led") & (F.col("cls") != F.col("lead.cls"))).select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"))
+        found = _pairs_found(pairs, runs, similarity)
         links = found if links is None else links.unionByName(found)
-        cls = tk.stored(classes_of(links), "classes")
-        state = led.select("bucket", "doc_id", "led").join(cls.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("cls", F.coalesce("cls", "doc_id"))
-    return classes_of(links) if links is not None else texts.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("cls")).limit(0)
+        state = _with_classes(led.select("bucket", "doc_id", "led"), links)
+    return state, links
+
+
+def _outsider_rounds(state: DataFrame, runs: DataFrame, similarity: float, links: DataFrame) -> DataFrame:
+    """In each round up to LEADS documents outside a bucket's largest class are aligned with all other classes.
+
+    A bucket is settled when every document outside its largest class has led; pairs are LEADS a document and round.
+    """
+    while True:
+        sizes = state.groupBy("bucket", "cls").agg(F.count("*").alias("n"))
+        most = sizes.groupBy("bucket").agg(F.max(F.struct("n", "cls")).alias("most"), F.count("*").alias("classes")).where("classes > 1")
+        state = tk.stored(state.join(most.select("bucket", F.col("most.cls").alias("main")), "bucket"), "round")
+        nth = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
+        leads = state.where(~F.col("led") & (F.col("cls") != F.col("main"))).withColumn("nth", nth).where(F.col("nth") <= LEADS)
+        leads = tk.stored(leads.select("bucket", F.col("doc_id").alias("a"), F.col("cls").alias("a_cls")), "leads")
+        if leads.isEmpty():
+            return links
+        pairs = state.join(leads, "bucket").where("cls <> a_cls AND doc_id <> a AND (NOT led OR cls = main)").select("a", F.col("doc_id").alias("b"))
+        links = links.unionByName(_pairs_found(pairs, runs, similarity))
+        gone = leads.select("bucket", F.col("a").alias("doc_id"), F.lit(True).alias("now"))
+        state = state.join(gone, ["bucket", "doc_id"], "left").select("bucket", "doc_id", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
+        state = _with_classes(state, links)
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
