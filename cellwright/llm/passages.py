@@ -27,8 +27,12 @@ PLACES = "doc_id long, th long, places binary"
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and the text's hash: rows with one id and different texts stay apart."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    """doc_id, text, and a key that is never null: id and 32 bits of the text's hash, so that rows with one id and different texts stay apart.
+
+    As no key is null, inner and outer joins ask for the same exchange of the texts, and Spark makes it once.
+    """
+    ident = F.col(id_col).cast("long")
+    return docs.select(ident.alias("doc_id"), F.coalesce(ident, F.lit(0)).alias("key"), F.shiftright(F.xxhash64(F.col(text_col), ident.isNull()), 32).alias("th"), F.col(text_col).alias("text"))
 
 
 def shard_count(docs: DataFrame, text_col: str, shard_bytes: int = SHARD_BYTES) -> int:
@@ -102,11 +106,11 @@ def _map_anchors(unit: str, length: int, k: int, shards: int):
             shard, entry = shard[order], entry[order]
             cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
             data, tables = [], []
-            for a, b in zip(cut, np.append(cut[1:], len(shard)), strict=True):
+            for a, b in zip(cut, np.append(cut, len(shard))[1:], strict=True):
                 e = entry[a:b]
                 used, e["d"] = np.unique(e["d"], return_inverse=True)
-                data.append(e.tobytes())
-                tables.append(keys[used].tobytes())
+                data.append(tk.packed(e))
+                tables.append(tk.packed(keys[used]))
             m, q = len(cut), len(settled[1])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -129,7 +133,7 @@ def _reduce_anchors(table: pa.Table) -> pa.Table:
     asked = table.filter(keys_col.is_valid())
     entries, keys, base = [], [], 0
     for data, tab in zip(asked.column("data").to_pylist(), asked.column("keys").to_pylist(), strict=True):
-        e, own = np.frombuffer(data, ENTRY).copy(), np.frombuffer(tab, KEY)
+        e, own = tk.unpacked(data, ENTRY), tk.unpacked(tab, KEY)
         e["d"] += base
         base += len(own)
         entries.append(e)
@@ -155,12 +159,12 @@ def shared_anchors(texts: DataFrame, unit: str, length: int, k: int, shards: int
 
 
 def by_document(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id", "th").agg(F.collect_list("places").alias("places"))
+    return rows.groupBy(F.col("doc_id").alias("key"), "th").agg(F.collect_list("places").alias("places"))
 
 
 def joined(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """Each text with its places; the exchange of the texts by id serves every such join of a query."""
-    return texts.join(by_document(places), ["doc_id", "th"], how)
+    """Each text with its places; the exchange of the texts by key serves every such join of a query."""
+    return texts.join(by_document(places), ["key", "th"], how)
 
 
 def places_column(batch: pa.RecordBatch, dtype) -> list[np.ndarray]:

@@ -63,11 +63,11 @@ def _map_windows(window: int, first: int, shards: int):
             e, shard = e[order], shard[order]
             cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(e) else np.zeros(0, np.int64)
             data, tables = [], []
-            for x, y in zip(cut, np.append(cut[1:], len(e)), strict=True):
+            for x, y in zip(cut, np.append(cut, len(e))[1:], strict=True):
                 part = e[x:y]
                 used, part["d"] = np.unique(part["d"], return_inverse=True)
-                data.append(part.tobytes())
-                tables.append(keys[used].tobytes())
+                data.append(tk.packed(part))
+                tables.append(tk.packed(keys[used]))
             m, q = len(cut), len(done)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -91,7 +91,7 @@ def _later_windows(table: pa.Table) -> pa.Table:
     entries, keys, base = [], [], 0
     asked = table.filter(asks)
     for data, tab in zip(asked.column("data").to_pylist(), asked.column("keys").to_pylist(), strict=True):
-        e, own = np.frombuffer(data, ENTRY).copy(), np.frombuffer(tab, ps.KEY)
+        e, own = tk.unpacked(data, ENTRY), tk.unpacked(tab, ps.KEY)
         e["d"] += base
         base += len(own)
         entries.append(e)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from cellwright.llm import passages as ps
 from cellwright.llm import textkit as tk
 
 LENGTH, ANCHOR = 50, 24
+#: Bytes of documents a shard to sort: suffix arrays take many times the bytes of their text, so these shards are small.
+SORT_BYTES = 4 << 20
 _NONE = np.iinfo(np.int64).max
 
 
@@ -182,10 +185,33 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
 
 def _stretch(length: int, k: int):
     width = 2 * length - k
-    head = [("doc_id", "<i8"), ("th", "<i8"), ("p", "<u4"), ("lo", "<i2"), ("hi", "<i2")]
+    head = [("doc_id", "<i8"), ("th", "<i4"), ("p", "<u4"), ("lo", "<i2"), ("hi", "<i2")]
     return width, np.dtype([*head, ("b", "u1", (width,))])
 
 
+def _packed(e: np.ndarray, width: int) -> bytes:
+    """Heads byte column by byte column, then the stretches one after the other."""
+    raw = e.view(np.uint8).reshape(len(e), -1)
+    head = np.ascontiguousarray(raw[:, : e.dtype.itemsize - width].T).tobytes()
+    body = zstandard.compress(head + np.ascontiguousarray(e["b"]).tobytes(), 3)
+    return len(e).to_bytes(4, "little") + len(body).to_bytes(4, "little") + body
+
+
+def _unpacked(data: bytes, entry: np.dtype, width: int) -> list[np.ndarray]:
+    """The parts of a block, each as its rows."""
+    out, i = [], 0
+    while i < len(data):
+        n, size = int.from_bytes(data[i : i + 4], "little"), int.from_bytes(data[i + 4 : i + 8], "little")
+        part = np.frombuffer(zstandard.decompress(data[i + 8 : i + 8 + size]), np.uint8)
+        cut = (entry.itemsize - width) * n
+        raw = np.empty((n, entry.itemsize), np.uint8)
+        raw[:, : entry.itemsize - width] = part[:cut].reshape(-1, n).T
+        raw[:, entry.itemsize - width :] = part[cut:].reshape(n, width)
+        out.append(raw.view(entry).ravel())
+        i += 8 + size
+    return out
+
+
 def _map_stretches(length: int, k: int, shards: int):
     """Cuts the bytes around each shared anchor; of equal ones in a batch the least document's goes to the shard."""
     width, entry = _stretch(length, k)
@@ -232,8 +258,8 @@ def _map_stretches(length: int, k: int, shards: int):
                 o = np.argsort(shard, kind="stable")
                 e, shard = e[o], shard[o]
                 cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
-                for s, data in zip(shard[cut].tolist(), tk.ragged(e, np.append(cut, len(e))), strict=True):
-                    sent.setdefault(s, []).append(data)
+                for s, x, y in zip(shard[cut].tolist(), cut, np.append(cut, len(e))[1:], strict=True):
+                    sent.setdefault(s, []).append(_packed(e[x:y], width))
             m, q = len(sent), len(done)
             at = np.array(done_rows, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -257,6 +283,23 @@ def _all_windows(lo: np.ndarray, hi: np.ndarray, length: int, windows: int) -> n
     return (fits * (1 << j)).sum(1).astype("<u4")
 
 
+def _may_share(b: np.ndarray, least: np.ndarray, most: np.ndarray, length: int, k: int) -> np.ndarray:
+    """Stretches that agree with another document's on half of what a string adds to the anchor, to its left or right.
+
+    Two equal strings around an anchor do so on one side at least; all other stretches need no sorting.
+    """
+    back, half = length - k, -(-(length - k) // 2)
+    keep = np.zeros(len(b), bool)
+    for part in (b[:, back - half : back + k], b[:, back : back + k + half]):
+        h = tk.mix((tk.BYTE_WORD[part] * tk.powers(part.shape[1])[None]).sum(1, dtype=np.uint64))
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        differ = np.minimum.reduceat(least[order], head) != np.maximum.reduceat(most[order], head)
+        keep[order] |= np.repeat(differ, np.diff(np.append(head, len(h))))
+    return keep
+
+
 def _sort_shard(length: int, k: int):
     width, entry = _stretch(length, k)
     windows = length - k + 1
@@ -265,13 +308,21 @@ def _sort_shard(length: int, k: int):
         schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("places", pa.binary())])
         asks = table.column("asks")
         out = [table.filter(pa.compute.invert(asks)).select(["doc_id", "th", "places"]).cast(schema)]
-        data = [np.frombuffer(x, entry) for x in table.filter(asks).column("places").to_pylist()]
+        data = [e for x in table.filter(asks).column("places").to_pylist() for e in _unpacked(x, entry, width)]
         if data:
             e = np.concatenate(data)
             body = np.ascontiguousarray(np.concatenate([e["b"], e["lo"][:, None].astype(np.uint8), e["hi"][:, None].astype(np.uint8)], 1))
             _, first, of = np.unique(body.view(f"V{width + 2}").ravel(), return_index=True, return_inverse=True)
-            least = np.full(len(first), _NONE)
+            least, most = np.full(len(first), _NONE), np.full(len(first), -_NONE)
             np.minimum.at(least, of, e["doc_id"])
+            np.maximum.at(most, of, e["doc_id"])
+            keep = _may_share(e["b"][first], least, most, length, k)
+            stays = keep[of]
+            of, e = (np.cumsum(keep) - 1)[of[stays]], e[stays]
+            if not len(e):
+                return pa.concat_tables(out)
+            first = np.unique(of, return_index=True)[1]
+            least = least[keep]
             text = np.ascontiguousarray(e["b"][first]).ravel()
             sa = suffix_array(text)
             shares = permuted_prefixes(text, sa, length)[sa] >= length
@@ -292,7 +343,7 @@ def _sort_shard(length: int, k: int):
             if len(e):
                 cut = np.flatnonzero(np.concatenate([[True], (e["doc_id"][1:] != e["doc_id"][:-1]) | (e["th"][1:] != e["th"][:-1])]))
                 marks = tk.ragged(np.stack([e["p"].astype("<u4"), hit], 1), np.append(cut, len(e)))
-                out.append(pa.table([pa.array(e["doc_id"][cut].copy()), pa.array(e["th"][cut].copy()), pa.array(marks, pa.binary())], schema=schema))
+                out.append(pa.table([pa.array(e["doc_id"][cut].copy()), pa.array(e["th"][cut].astype(np.int64)), pa.array(marks, pa.binary())], schema=schema))
         return pa.concat_tables(out)
 
     return run
@@ -335,6 +386,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id
     texts = ps.keyed(docs, id_col, text_col)
     shards = ps.shard_count(docs, text_col)
     near = ps.joined(texts, ps.shared_anchors(texts, "byte", length, anchor, shards), "inner")
+    shards = shards * max(1, ps.SHARD_BYTES // SORT_BYTES)
     stretches = near.mapInArrow(_map_stretches(length, anchor, shards), f"shard int, {ps.PLACES}, asks boolean")
     marks = stretches.repartition(shards, "shard").groupBy("shard").applyInArrow(_sort_shard(length, anchor), ps.PLACES)
     out = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,6 +179,16 @@ def ragged(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def packed(rows: np.ndarray) -> bytes:
+    """Fixed-size rows, compressed byte column by byte column."""
+    return zstandard.compress(np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), -1).T).tobytes(), 1)
+
+
+def unpacked(data: bytes, dtype: np.dtype) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(dtype.itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(dtype).ravel()
+
+
 def carried(docs: DataFrame, text_col: str, columns: list[str] | None = None) -> DataFrame:
     """Rows (or some of their columns) as one struct beside the text, so that no name can clash with an operator's own."""
     row = F.struct(*[docs[c] for c in (docs.columns if columns is None else columns)])
