@@ -52,8 +52,9 @@ def _deal(buckets: list[list], chars: np.ndarray, rows: np.ndarray) -> None:
         order = np.argsort(chars, kind="stable")
         chars, rows = chars[order], rows[order]
         cut = np.flatnonzero(np.concatenate([[True], chars[1:] != chars[:-1]]))
-        for c, part in zip(chars[cut].tolist(), np.split(rows, cut[1:]), strict=True):
-            buckets[c].append(part)
+        ends = [*cut[1:].tolist(), len(rows)]
+        for c, i, j in zip(chars[cut].tolist(), cut.tolist(), ends, strict=True):
+            buckets[c].append(rows[i:j])
 
 
 def _flow(queue: list, c: int, t: np.ndarray, want: np.ndarray, buckets: list[list]) -> np.ndarray:
@@ -99,36 +100,43 @@ def induce(t: np.ndarray, small: np.ndarray, left: np.ndarray) -> np.ndarray:
 
 
 def _words_at(t: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place as one number; ``t`` has 8 bytes to spare."""
-    return np.lib.stride_tricks.as_strided(t.view("u1"), (len(t) - 8, 8), (1, 1))
+    """The 8 bytes from each place as one number, the first byte lowest; ``t`` has 8 bytes to spare."""
+    return np.ndarray((len(t) - 8,), "<u8", t, 0, (1,))
 
 
-def _same(pad: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _same(w: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Whether the strings of the given lengths at a and b are equal, eight bytes at a time."""
-    w, same, live, k = _words_at(pad), np.ones(len(a), bool), np.arange(len(a)), 0
+    same, live, k = np.ones(len(a), bool), np.arange(len(a)), 0
     while len(live):
-        x, y = w[a[live] + k], w[b[live] + k]
-        differ = (x != y) & (np.arange(8)[None] < (length[live] - k)[:, None])
-        same[live[differ.any(1)]] = False
+        beyond = (8 - np.minimum(length[live] - k, 8)).astype(np.uint64) * np.uint64(8)
+        differ = (w[a[live] + k] ^ w[b[live] + k]) << beyond != 0
+        same[live[differ]] = False
         k += 8
-        live = live[same[live] & (length[live] > k)]
+        live = live[~differ]
+        live = live[length[live] > k]
     return same
 
 
 def _order_names(names: np.ndarray) -> np.ndarray:
     """The order of the suffixes of the reduced text: names of neighbours are joined and named again until all differ."""
     n, step = len(names), 1
-    rank = names.astype(np.int64)
+    bits = np.uint64((n + 1).bit_length())
+    rank = names.astype(np.uint64)
     while True:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1 if step < n else after[:0]
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        after = np.zeros(n, np.uint64)
+        after[: n - step] = rank[step:] + np.uint64(1) if step < n else after[:0]
+        key = rank << bits | after
+        if 3 * int(bits) <= 64:  # key and place fit one number, which sorts faster than places by keys
+            key = np.sort(key << bits | np.arange(n, dtype=np.uint64))
+            order = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+            key >>= bits
+        else:
+            order = np.argsort(key)
+            key = key[order]
         new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
         if new[-1] == n - 1:
             return order
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.uint64)
         rank[order] = new
         step *= 2
 
@@ -153,7 +161,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         pad = np.concatenate([t, np.zeros(16, np.uint8)])
         a, b, la, lb = by[:-1], by[1:], length[i[:-1]], length[i[1:]]
         same = la == lb
-        same[same] = _same(pad, a[same], b[same], la[same])
+        same[same] = _same(_words_at(pad), a[same], b[same], la[same])
         name = np.empty(len(left), np.int64)
         name[i] = np.concatenate([[0], np.cumsum(~same)])
         left = left[_order_names(name)]
@@ -171,11 +179,13 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     w = _words_at(pad)
     k = 0
     while len(live) and k < most:
-        differ = w[live + k] != w[phi[live] + k]
-        first = np.where(differ.any(1), differ.argmax(1), 8)
-        out[live] = k + first
-        live = live[first == 8]
+        x = w[live + k] ^ w[phi[live] + k]
+        differ = x != 0
+        x = x[differ]
+        out[live[differ]] = k + (np.frexp((x & (~x + np.uint64(1))).astype(np.float64))[1] - 1) // 8  # the lowest bit that differs
+        live = live[~differ]
         k += 8
+        out[live] = k
     room = n - np.maximum(np.arange(n), phi)
     return np.minimum(np.minimum(out, most), room)
 
