@@ -4,16 +4,19 @@
 2. Each document has the runs of ``SHINGLE`` words, labelled by how often the run came before. For each of ``SKETCHES``
    hash functions the ``KEPT`` labelled runs of least hash are taken and kept in text order; their digest is a bucket.
    Documents share a bucket where the same runs come in the same order, so the sketch follows edits, not word sets alone.
+   Documents of at most ``FEW`` runs, for which sketches fail too often, and those long enough to be near one, have
+   buckets of their rarest labelled runs over all such documents: two texts of the wanted similarity share one of the
+   first ``n - similarity * n + 1``. This is exact: no pair of which one text has at most ``FEW`` runs is missed.
 3. In each bucket every document is aligned with the least one, and again with the next one where classes differ: this
    settles large groups of copies. Buckets of at most ``GROUP`` documents whose classes still differ are then settled by
-   one task each. Larger ones are parted by their rarest labelled runs: two texts of the wanted similarity share one of
-   the first ``n - similarity * n + 1`` of them, so no pair is lost. What is larger even then takes further rounds with
-   next ones, until every two documents of a bucket are in one class or were aligned.
+   one task each. Larger ones are parted by their rarest labelled runs, so no pair is lost. What is larger even then
+   takes further rounds with next ones, until every two documents of a bucket are in one class or were aligned.
 4. An alignment keeps the order of runs and looks within the band that the similarity allows: matched runs over all runs
    of either text (an ordered Jaccard similarity) must reach ``SIMILARITY``. Links are joined to classes.
 
 A hot bucket is never gathered: its least document comes from a partial aggregate, and its pairs, one a document, are
 rows of a join whose skewed partitions Spark splits. No candidate is dropped, and no bucket's pairs are all emitted.
+Sketches of longer texts are drawn by chance: a pair just at the similarity shares none of them about once in 1000 times.
 
 Defined results: words are runs of bytes other than white space, ASCII letters lower-cased; texts of fewer words than a
 run are one run; null text is empty; empty texts are one class; rows with one id are one document (its least text); rows
@@ -32,6 +35,8 @@ from cellwright.llm.decontaminate import LOWER
 from cellwright.llm.passages import SPACE
 
 SHINGLE, SKETCHES, KEPT, SIMILARITY = 5, 24, 6, 0.8
+#: Texts of at most so many runs have exact candidates.
+FEW = 64
 #: Documents of a bucket that one task may settle, rounds before that, and documents that lead in a round after it.
 GROUP, ROUNDS, LEADS = 1024, 2, 16
 _RNG = np.random.default_rng(77)
@@ -78,15 +83,27 @@ def order_sketch(runs: np.ndarray) -> np.ndarray:
     return tk.mix(key + np.arange(SKETCHES, dtype=np.uint64))
 
 
-def _map_sketches(batches):
-    for batch in batches:
-        buf, offs = tk.text_column(batch, "text")
-        keys = []
-        for i, j in tk.slices(offs):
-            keys += [order_sketch(r).view(np.int64) for r in shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]
-        bounds = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        values = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds), values)], names=["doc_id", "keys"])
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    bounds = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    flat = pa.array(np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64))
+    return pa.ListArray.from_arrays(pa.array(bounds), flat)
+
+
+def _map_sketches(similarity: float):
+    """Buckets of texts of more than FEW runs; labelled runs of texts that may be near one of at most FEW."""
+    most, none = int(FEW / similarity + 1e-9), np.zeros(0, np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            buf, offs = tk.text_column(batch, "text")
+            keys, labels = [], []
+            for i, j in tk.slices(offs):
+                for r in shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
+                    keys.append(order_sketch(r) if len(r) > FEW else none)
+                    labels.append(labelled_runs(r) if len(r) <= most else none)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(keys), _lists(labels)], names=["doc_id", "keys", "labels"])
+
+    return run
 
 
 def _map_runs(batches):
@@ -217,20 +234,23 @@ def _map_labels(batches):
     """Labelled runs of each document of a bucket, as they are told apart."""
     for batch in batches:
         values = [labelled_runs(np.frombuffer(x, "<u4").astype(np.uint64)).view(np.int64) for x in batch.column("runs").to_pylist()]
-        bounds = np.cumsum([0, *map(len, values)]).astype(np.int32)
-        flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int64))
         names = ["bucket", "doc_id", "cls"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.ListArray.from_arrays(pa.array(bounds), flat)], names=[*names, "labels"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), _lists(values)], names=[*names, "labels"])
+
+
+def _rarest(rows: DataFrame, group: list[str], similarity: float) -> DataFrame:
+    """Of each document's ``n`` labels, those first in the order of rarity within ``group``, of which near texts share one."""
+    common = rows.groupBy(*group, "label").agg(F.count("*").alias("often"))
+    rare = Window.partitionBy(*group, "doc_id").orderBy("often", "label")
+    ranked = rows.join(common, [*group, "label"]).withColumn("nth", F.row_number().over(rare))
+    return ranked.where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
 
 
 def _parted(large: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
     """Large buckets, parted by the rarest runs of each document: bucket, doc_id, cls."""
     labels = large.join(runs, "doc_id").select("bucket", "doc_id", "cls", "runs").mapInArrow(_map_labels, "bucket long, doc_id long, cls long, labels array<long>")
     rows = tk.stored(labels.select("bucket", "doc_id", "cls", F.size("labels").alias("n"), F.explode("labels").alias("label")), "labels")
-    common = rows.groupBy("bucket", "label").agg(F.count("*").alias("often"))
-    rare = Window.partitionBy("bucket", "doc_id").orderBy("often", "label")
-    first = rows.join(common, ["bucket", "label"]).withColumn("nth", F.row_number().over(rare)).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
-    return first.select(F.xxhash64("bucket", "label").alias("bucket"), "doc_id", "cls").distinct()
+    return _rarest(rows, ["bucket"], similarity).select(F.xxhash64("bucket", "label").alias("bucket"), "doc_id", "cls").distinct()
 
 
 def _open(state: DataFrame) -> DataFrame:
@@ -253,8 +273,11 @@ def _with_classes(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_links(texts: DataFrame, similarity: float) -> DataFrame:
     """id, cls of every document of ``texts`` (doc_id, text; distinct texts) that has a near duplicate."""
-    keys = texts.mapInArrow(_map_sketches, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("bucket"))
-    rows = keys.distinct()
+    mapped = tk.stored(texts.mapInArrow(_map_sketches(similarity), "doc_id long, keys array<long>, labels array<long>"), "sketches")
+    keys = mapped.select("doc_id", F.explode("keys").alias("bucket"))
+    labels = mapped.select("doc_id", F.size("labels").alias("n"), F.explode("labels").alias("label"))
+    rare = _rarest(labels, [], similarity).where("often > 1").select("doc_id", F.xxhash64("label").alias("bucket"))
+    rows = keys.unionByName(rare).distinct()
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = tk.stored(rows.join(shared, "bucket"), "members")
     some = members.select("doc_id").distinct()

@@ -178,6 +178,19 @@ def test_near_classes(spark, docs):
     assert near_classes(docs.limit(0)).count() == 0
 
 
+def test_near_texts_of_few_runs(spark):
+    # runs of either text: 4 and 5, 5 and 6, 8 and 10, 12 and 15, 52 and 65; then pairs that are just not near
+    near, far = [(4, 5), (5, 6), (8, 10), (12, 15), (52, 65)], [(3, 4), (7, 9)]
+    rows, pairs = [], []
+    for k, (a, b) in enumerate(near + far):
+        for c in range(40):
+            words = [f"p{k}c{c}w{i}" for i in range(b + 4)]
+            pairs.append((len(rows), (a, b) in near))
+            rows += [(len(rows), " ".join(words[: a + 4])), (len(rows) + 1, " ".join(words))]
+    cls = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((cls[i] == cls[i + 1]) == same for i, same in pairs)
+
+
 def test_mix(spark, docs):
     got = poisson_mix(docs).collect()
     assert all(1 <= r.copy <= r.copies for r in got) and poisson_mix(docs.limit(0)).count() == 0
