@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import re
 from collections import Counter
@@ -15,7 +16,7 @@ from cellwright.llm.decontaminate import decontaminate
 from cellwright.llm.line_dedup import line_dedup
 from cellwright.llm.mixture import poisson_mix
 from cellwright.llm.near_dedup import aligned, near_classes
-from cellwright.llm.secret_scan import secret_scan
+from cellwright.llm.secret_scan import KINDS, scan_text, secret_scan
 from cellwright.llm.substring_dedup import substring_dedup
 from cellwright.llm.suffix_dedup import suffix_array, suffix_dedup
 from cellwright.llm.toxicity import toxicity
@@ -57,6 +58,36 @@ def test_secrets(spark, docs):
     assert secret_scan(docs).count() == len(NASTY) and secret_scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_wrapped_glued_and_upper_hex():
+    rng = np.random.default_rng(5)
+    number = lambda n: b"\x02\x82" + n.to_bytes(2, "big") + bytes([1]) + rng.bytes(n - 1)
+    inner = b"\x02\x01\x00" + number(257) + b"\x02\x03\x01\x00\x01" + number(256) + number(129)
+    der = b"\x30\x82" + len(inner).to_bytes(2, "big") + inner
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    blob = field(b"ssh-rsa") + field(b"\1\0\1") + field(rng.bytes(257))
+    box = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(blob) + field(rng.bytes(200))
+    short = bytes.fromhex("302e020100300506032b657004220420") + rng.bytes(32)
+    wrap = lambda x, n, by: by.join(x[i : i + n] for i in range(0, len(x), n))
+    kinds = lambda t: {(KINDS[k], t[a:b]) for a, k, b in scan_text(t)[1]}
+    for data, kind in ((der, "der"), (blob, "sshkey"), (box, "sshkey"), (short, "der")):
+        b64 = base64.b64encode(data).decode()
+        for n in (64, 76):
+            for by in ("\n", "\r\n", "\n  ", "\\n", "\\r\\n", "\\\\n"):
+                own = wrap(b64, n, by)
+                for after in ("", "\n", "\nRegards", " end"):
+                    assert n > len(b64) or (kind, own) in kinds(f"é key: {own}{after}"), (kind, n, by, after)
+        for glue in ("example/k/", "my-key_", "ab+"):
+            assert (kind, b64) in kinds(f"é {glue}{b64} x")
+        high = data.hex().upper()
+        spans, sure = scan_text(f"é {high} x")
+        assert (2, KINDS.index(kind), 2 + len(high)) in sure
+        assert [x for x in spans if x[1] == 2] == [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{32,}", f"é {high} x")]
+    pem = "-----BEGIN PRIVATE KEY-----\\n" + wrap(base64.b64encode(der).decode(), 64, "\\n") + "\\n-----END PRIVATE KEY-----"
+    assert ("pem", pem) in kinds(f'{{"private_key": "{pem}\\n"}}')
+    for text in (base64.b64encode(rng.bytes(100_000)).decode(), rng.bytes(50_000).hex().upper(), "MIIE" * 20_000, "word " * 1000 + "\n"):
+        assert not scan_text(text)[1]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(1500, 16))
