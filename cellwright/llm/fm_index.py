@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from cellwright.llm.suffix_dedup import _order_names
+from cellwright.llm.suffix_dedup import suffix_array
 
 SAMPLE = 16
 
@@ -16,7 +16,7 @@ class FMIndex:
     def __init__(self, symbols: np.ndarray, alphabet: int):
         """``symbols``: numbers from 1 up to ``alphabet`` - 1; 0 is the end mark, added here."""
         t = np.append(symbols, 0).astype(np.int64)
-        sa = _order_names(t)
+        sa = suffix_array(t)
         self.n = len(t)
         bwt = t[sa - 1]
         self.before = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=alphabet))])
@@ -68,4 +68,5 @@ class FMIndex:
             c = self.bwt[rows[live]].astype(np.int64)
             rows[live] = self.before[c] + self.rank(c, rows[live])
             steps += 1
+            assert steps < SAMPLE or not len(live), "a step to the left must meet a kept place"
         return out

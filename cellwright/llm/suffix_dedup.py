@@ -4,8 +4,7 @@
    ``length`` bytes that hold the anchor, go to the shard of the anchor's hash.
 2. Each shard drops equal stretches, joins the rest to one text and sorts its suffixes by induction: suffixes are
    classed as smaller or larger than their right neighbours, leftmost-smaller substrings are induced, named and their
-   order found recursively (pairs of neighbouring names are named again until all differ), and one more linear
-   induction gives the array.
+   order found by sorting the text of names in the same way, recursively; one more linear induction gives the array.
 3. Permuted common prefixes say which neighbours of the array share ``length`` bytes. Each run of such neighbours gets
    its least document; strings in later documents are reported and removed by one join.
 
@@ -117,55 +116,103 @@ def _same(w: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np
     return same
 
 
-def _order_names(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of the reduced text: names of neighbours are joined and named again until all differ."""
-    n, step = len(names), 1
-    bits = np.uint64((n + 1).bit_length())
-    rank = names.astype(np.uint64)
-    while True:
-        after = np.zeros(n, np.uint64)
-        after[: n - step] = rank[step:] + np.uint64(1) if step < n else after[:0]
-        key = rank << bits | after
-        if 3 * int(bits) <= 64:  # key and place fit one number, which sorts faster than places by keys
-            key = np.sort(key << bits | np.arange(n, dtype=np.uint64))
-            order = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-            key >>= bits
-        else:
-            order = np.argsort(key)
-            key = key[order]
-        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        if new[-1] == n - 1:
-            return order
-        rank = np.empty(n, np.uint64)
-        rank[order] = new
-        step *= 2
+def _same_names(t: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the runs of names of the given lengths at a and b are equal."""
+    same, live, k = np.ones(len(a), bool), np.flatnonzero(length > 0), 0
+    while len(live):
+        differ = t[a[live] + k] != t[b[live] + k]
+        same[live[differ]] = False
+        live = live[~differ]
+        k += 1
+        live = live[length[live] > k]
+    return same
+
+
+def _after_run(t: np.ndarray) -> np.ndarray:
+    """For each place the first one after it with another name; the length at the end."""
+    n = len(t)
+    at = np.where(np.append(t[:-1] != t[1:], True), np.arange(1, n + 1), n)
+    return np.minimum.accumulate(at[::-1])[::-1]
+
+
+def _ordered_type(t: np.ndarray, own: np.ndarray, after: np.ndarray, base: np.ndarray, sign: int, blocks: int) -> np.ndarray:
+    """The suffixes ``own`` of one type in order, induced from what follows their runs of equal names.
+
+    Names are passed in blocks, upwards (sign 1, larger suffixes) or downwards (-1, smaller ones). What follows a run has
+    its place in ``base`` already, or lies in the same block; then the block is ordered again until nothing moves. Within
+    a name, a longer run comes later among larger suffixes and sooner among smaller ones.
+    """
+    n, order = len(t), []
+    own = own[np.argsort(sign * t[own], kind="stable")]
+    cut = np.unique(np.searchsorted(sign * t[own], (sign * t[own])[np.linspace(0, len(own) - 1, blocks + 1).astype(int)[1:-1]])) if len(own) else np.zeros(0, int)
+    done = 0
+    for rows in np.split(own, cut):
+        if not len(rows):
+            continue
+        nxt = after[rows]
+        run, name = nxt - rows, t[np.minimum(nxt, n - 1)]
+        before = np.full(len(rows), -1)
+        while True:
+            # what follows: its name, its type's side (others precede in scan order) and its place within that
+            key = np.where(nxt < n, base[np.minimum(nxt, n - 1)], -1)
+            perm = np.lexsort((key, sign * np.where(nxt < n, name, -1), run, sign * t[rows]))
+            if (perm == before).all():
+                break
+            before = perm
+            base[rows[perm]] = done + np.arange(len(rows))
+        done += len(rows)
+        order.append(rows[perm])
+    return np.concatenate(order) if order else own
+
+
+def induce_names(t: np.ndarray, small: np.ndarray, left: np.ndarray, blocks: int = 64) -> np.ndarray:
+    """``induce`` for texts of any numbers: the same two passes, a block of names at a time."""
+    n = len(t)
+    after = _after_run(t)
+    base = np.full(n, -1, np.int64)
+    base[left] = n + np.arange(len(left))  # within one name, smaller suffixes follow all larger ones
+    large = _ordered_type(t, np.flatnonzero(~small), after, base, 1, blocks)
+    base[large] = n + n - np.arange(len(large))  # downwards, larger suffixes come after all smaller ones of their name
+    down = _ordered_type(t, np.flatnonzero(small), after, base, -1, blocks)
+    rows = np.concatenate([large, down[::-1]])
+    return rows[np.argsort(t[rows], kind="stable")]
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """The suffixes of a byte text in order, by induced sorting."""
-    t = np.ascontiguousarray(t, np.uint8)
+    """The suffixes of a text of bytes or of other whole numbers in order, by induced sorting.
+
+    Leftmost-smaller substrings are induced from any order of their starts and named; unless all names differ, the text of
+    names is sorted by this function again. One more induction from their order gives the array.
+    """
+    bytewise = t.dtype == np.uint8
+    t = np.ascontiguousarray(t)
     n = len(t)
     if n < 2:
         return np.arange(n)
+    if not bytewise:
+        t = np.unique(t, return_inverse=True)[1].astype(np.int64)
     small = smaller_types(t)
     is_left = np.zeros(n, bool)
     is_left[1:] = small[1:] & ~small[:-1]
     left = np.flatnonzero(is_left)
+    by_type = induce if bytewise else induce_names
     if len(left) > 1:
-        rough = induce(t, small, left)
+        rough = by_type(t, small, left)
         by = rough[is_left[rough]]
         rank_of = np.empty(n, np.int64)
         rank_of[left] = np.arange(len(left))
         length = np.append(np.diff(left) + 1, n)  # the last one reaches the end and equals no other
         i = rank_of[by]
-        pad = np.concatenate([t, np.zeros(16, np.uint8)])
         a, b, la, lb = by[:-1], by[1:], length[i[:-1]], length[i[1:]]
         same = la == lb
-        same[same] = _same(_words_at(pad), a[same], b[same], la[same])
+        if bytewise:
+            same[same] = _same(_words_at(np.concatenate([t, np.zeros(16, np.uint8)])), a[same], b[same], la[same])
+        else:
+            same[same] = _same_names(t, a[same], b[same], la[same])
         name = np.empty(len(left), np.int64)
         name[i] = np.concatenate([[0], np.cumsum(~same)])
-        left = left[_order_names(name)]
-    return induce(t, small, left)
+        left = by if name.max() == len(left) - 1 else left[suffix_array(name)]
+    return by_type(t, small, left)
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
