@@ -1,33 +1,38 @@
 """Near-duplicate classes by Order MinHash and banded alignment.
 
-1. Equal texts are one: the least id of each text stands for it, by an aggregate of hashes.
+1. Equal texts are one: an aggregate of hashes gives each distinct text a number, its least id. The ids of one text stay
+   packed in parts, so that a text which a third of all rows share is dealt over all tasks.
 2. Each document has the runs of ``SHINGLE`` words, labelled by how often the run came before. For each of ``SKETCHES``
    hash functions the ``KEPT`` labelled runs of least hash are taken and kept in text order; their digest is a bucket.
    Documents share a bucket where the same runs come in the same order, so the sketch follows edits, not word sets alone.
    Documents of at most ``FEW`` runs, for which sketches fail too often, and those long enough to be near one, have
    buckets of their rarest labelled runs over all such documents: two texts of the wanted similarity share one of the
    first ``n - similarity * n + 1``. This is exact: no pair of which one text has at most ``FEW`` runs is missed.
-3. In each bucket every document is aligned with the least one, and again with the next one where classes differ: this
-   settles large groups of copies. Buckets of at most ``GROUP`` documents whose classes still differ are then settled by
-   one task each. Larger ones are parted by their rarest labelled runs, so no pair is lost. What is larger even then
-   takes further rounds with next ones, until every two documents of a bucket are in one class or were aligned.
+3. In each bucket every document is aligned with the one that has most company (the sum of its buckets' sizes), which
+   settles large groups of copies. Buckets that still span several known classes are settled by one task each where they
+   hold at most ``group`` documents and ``group_runs`` runs. Larger ones are parted by their rarest labelled runs, so no
+   pair is lost. What is larger even then takes rounds in which documents outside the largest class lead, until every two
+   documents of a bucket are in one class or were aligned. The group size moves work, never results.
 4. An alignment keeps the order of runs and looks within the band that the similarity allows: matched runs over all runs
-   of either text (an ordered Jaccard similarity) must reach ``SIMILARITY``. Links are joined to classes.
+   of either text (an ordered Jaccard similarity) must reach ``SIMILARITY``. It compares runs by 32 bits of their hashes.
+   Links are joined to classes once at the end.
 
-A hot bucket is never gathered: its least document comes from a partial aggregate, and its pairs, one a document, are
+A hot bucket is never gathered: its leader comes from a partial aggregate, and its pairs, one a document, are
 rows of a join whose skewed partitions Spark splits. No candidate is dropped, and no bucket's pairs are all emitted.
 Sketches of longer texts are drawn by chance: a pair just at the similarity shares none of them about once in 1000 times.
 
 Defined results: words are runs of bytes other than white space, ASCII letters lower-cased; texts of fewer words than a
-run are one run; null text is empty; empty texts are one class; rows with one id are one document (its least text); rows
-with a null id are left out; an empty table gives no rows; other columns are ignored.
+run are one run; null text is empty; empty texts are one class; rows with one id and several texts are a row for each
+text; repeated rows are one; rows with a null id are left out; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellwright.llm import textkit as tk
@@ -37,8 +42,10 @@ from cellwright.llm.passages import SPACE
 SHINGLE, SKETCHES, KEPT, SIMILARITY = 5, 24, 6, 0.8
 #: Texts of at most so many runs have exact candidates.
 FEW = 64
-#: Documents of a bucket that one task may settle, rounds before that, and documents that lead in a round after it.
-GROUP, ROUNDS, LEADS = 1024, 2, 16
+#: Documents and runs of a bucket that one task may settle, and documents that lead in a round where more remain.
+GROUP, GROUP_RUNS, LEADS = 1024, 8 << 20, 16
+#: Links a partition, and ids a task joins at once, while links become classes.
+LINKS, NODES = 1 << 19, 1 << 20
 _RNG = np.random.default_rng(77)
 SEEDS = _RNG.integers(1, 2**63, (SKETCHES, 1), dtype=np.uint64)
 ODDS = _RNG.integers(1, 2**63, (SKETCHES, 1), dtype=np.uint64) | np.uint64(1)
@@ -113,7 +120,8 @@ def _map_runs(batches):
         out = []
         for i, j in tk.slices(offs):
             out += [(r >> np.uint64(32)).astype("<u4").tobytes() for r in shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "runs"])
+        size = pa.array([len(x) // 4 for x in out], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(out, pa.binary())], names=["doc_id", "size", "runs"])
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -143,20 +151,38 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def _common_in_band(a: list[int], b: list[int], band: int) -> int:
-    """The longest common subsequence whose matches lie within ``band`` of the diagonal, a row of bits a step."""
-    where: dict[int, int] = {}
+    """The longest common subsequence whose matches lie within ``band`` of the diagonal.
+
+    Only the ``2 * band + 1`` columns of the band are kept as bits; they move one column a row. Columns that leave are
+    counted, as no later row can change them.
+    """
+    where: dict[int, list[int]] = {}
     for j, x in enumerate(b):
-        where[x] = where.get(x, 0) | (1 << j)
-    full = (1 << len(b)) - 1
-    strip = (1 << (2 * band + 1)) - 1
-    v = full
-    for i, x in enumerate(a):
-        match = where.get(x)
-        if match:
-            match &= strip << (i - band) if i >= band else strip >> (band - i)
-            u = v & match
-            v = ((v + u) | (v - u)) & full
-    return len(b) - v.bit_count()
+        where.setdefault(x, []).append(j)
+    bits = {x: sum(1 << j for j in at) if len(at) <= 64 else int.from_bytes(np.packbits(np.bincount(at).astype(bool), bitorder="little").tobytes(), "little") for x, at in where.items() if len(at) > 4}
+    width = 2 * band + 1
+    full, top = (1 << width) - 1, 1 << (width - 1)
+    v, lo, gone, m = full, -band, 0, len(b)
+    for x in a:
+        at = where.get(x)
+        if at:
+            if len(at) > 4:
+                match = (bits[x] >> lo if lo >= 0 else bits[x] << -lo) & full
+            else:
+                match = 0
+                for j in at:
+                    if 0 <= j - lo < width:
+                        match |= 1 << (j - lo)
+            if match:
+                u = v & match
+                v = ((v + u) | (v - u)) & full
+        if not v & 1:
+            gone += 1
+        v = v >> 1 | top
+        lo += 1
+        if lo > m:
+            break
+    return gone + width - v.bit_count()
 
 
 def _map_aligned(similarity: float):
@@ -170,21 +196,55 @@ def _map_aligned(similarity: float):
     return run
 
 
+def _forest(batches):
+    """Of the links of a partition, NODES ids at a time, only a spanning forest goes on: each id and its least one."""
+    top: dict[int, int] = {}
+
+    def root(x):
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    def pairs():
+        out = [(x, root(x)) for x in top]
+        out = [p for p in out if p[0] != p[1]]
+        top.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            top.setdefault(u, u)
+            top.setdefault(v, v)
+            x, y = root(u), root(v)
+            top[max(x, y)] = min(x, y)
+        if len(top) > NODES:
+            yield pairs()
+    if top:
+        yield pairs()
+
+
+def _links_stored(links: DataFrame) -> tuple[DataFrame, int, tuple]:
+    """A table of links, how many partitions of LINKS rows it needs (a single one needs no exchange), and what tells tables apart."""
+    table = tk.stored(links.mapInArrow(_forest, "u long, v long").distinct(), "links")
+    state = tuple(table.agg(F.count("*"), F.sum("v"), F.sum(F.col("u").cast("decimal(38,0)") * 31)).first())
+    return table, -(-state[0] // LINKS) or 1, state
+
+
 def classes_of(links: DataFrame) -> DataFrame:
     """id, cls: the least id of each connected component, by alternating large and small stars until nothing changes."""
-    cur = tk.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    state = None
+    table, parts, state = _links_stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
     while True:
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = table.unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(small, "u")
-        cur = tk.stored(star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
-        now = tuple(cur.agg(F.count("*"), F.sum("v"), F.sum(F.col("u").cast("decimal(38,0)") * 31)).first())
-        if now == state:
-            return cur.groupBy("u").agg(F.min("v").alias("cls")).withColumnRenamed("u", "id")
-        state = now
+        last, was = table, state
+        table, parts, state = _links_stored(star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").coalesce(parts))
+        tk.discard(last)
+        if was == state:
+            return table.coalesce(parts).groupBy("u").agg(F.min("v").alias("cls")).withColumnRenamed("u", "id")
 
 
 def _overlaps(runs: list[np.ndarray]) -> np.ndarray:
@@ -234,7 +294,7 @@ def _map_labels(batches):
     """Labelled runs of each document of a bucket, as they are told apart."""
     for batch in batches:
         values = [labelled_runs(np.frombuffer(x, "<u4").astype(np.uint64)).view(np.int64) for x in batch.column("runs").to_pylist()]
-        names = ["bucket", "doc_id", "cls"]
+        names = ["bucket", "doc_id", "cls", "size"]
         yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), _lists(values)], names=[*names, "labels"])
 
 
@@ -247,115 +307,133 @@ def _rarest(rows: DataFrame, group: list[str], similarity: float) -> DataFrame:
 
 
 def _parted(large: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
-    """Large buckets, parted by the rarest runs of each document: bucket, doc_id, cls."""
-    labels = large.join(runs, "doc_id").select("bucket", "doc_id", "cls", "runs").mapInArrow(_map_labels, "bucket long, doc_id long, cls long, labels array<long>")
-    rows = tk.stored(labels.select("bucket", "doc_id", "cls", F.size("labels").alias("n"), F.explode("labels").alias("label")), "labels")
-    return _rarest(rows, ["bucket"], similarity).select(F.xxhash64("bucket", "label").alias("bucket"), "doc_id", "cls").distinct()
+    """Large buckets, parted by the rarest runs of each document: bucket, doc_id, cls, size."""
+    columns = "bucket long, doc_id long, cls long, size int"
+    labels = large.join(runs.select("doc_id", "runs"), "doc_id").select("bucket", "doc_id", "cls", "size", "runs").mapInArrow(_map_labels, f"{columns}, labels array<long>")
+    rows = tk.stored(labels.select("bucket", "doc_id", "cls", "size", F.size("labels").alias("n"), F.explode("labels").alias("label")), "labels")
+    return _rarest(rows, ["bucket"], similarity).select(F.xxhash64("bucket", "label").alias("bucket"), "doc_id", "cls", "size").distinct()
 
 
-def _open(state: DataFrame) -> DataFrame:
-    """Buckets that still span several classes, with their documents."""
-    sizes = state.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("bucket", "members")
-    return state.join(sizes, "bucket")
+def _open(state: DataFrame, group: int, group_runs: int) -> tuple[DataFrame, DataFrame]:
+    """Buckets that still span several classes, with their documents: those one task may settle, and larger ones."""
+    sizes = state.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("members"), F.sum("size").alias("runs_in")).where("lo < hi")
+    sizes = sizes.select("bucket", ((F.col("members") <= group) & (F.col("runs_in") <= group_runs)).alias("fits"))
+    wide = tk.stored(state.join(sizes, "bucket").select("bucket", "doc_id", "cls", "size", "fits"), "open")
+    return wide.where("fits").drop("fits"), wide.where("NOT fits").drop("fits")
 
 
 def _settled(small: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
     """Links of bounded buckets; buckets with the same documents are one."""
     sets = small.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("doc_id", "cls"))).alias("docs")).groupBy("docs").agg(F.min("bucket").alias("bucket"))
     rows = sets.select("bucket", F.explode("docs").alias("doc")).select("bucket", "doc.doc_id", "doc.cls").join(runs, "doc_id")
-    return rows.select("bucket", "doc_id", "cls", "runs").groupBy("bucket").applyInArrow(_settle_group(similarity), "a long, b long")
+    return tk.stored(rows.select("bucket", "doc_id", "cls", "runs").groupBy("bucket").applyInArrow(_settle_group(similarity), "a long, b long"), "found")
+
+
+def _pairs_found(pairs: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
+    left, right = (runs.select(F.col("doc_id").alias(x), F.col("runs").alias(f"runs_{x}")) for x in "ab")
+    both = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "runs_a", "runs_b")
+    return tk.stored(both.mapInArrow(_map_aligned(similarity), "a long, b long"), "found")
 
 
-def _with_classes(rows: DataFrame, links: DataFrame) -> DataFrame:
-    cls = tk.stored(classes_of(links), "classes")
-    return rows.join(cls.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("cls", F.coalesce("cls", "doc_id"))
+def _followed(links: DataFrame) -> DataFrame:
+    """doc_id, cls: classes that are cheap to know, each document's last leader, and that one's own. They may be too fine, never too coarse."""
+    lead = links.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("cls"))
+    upper = lead.select(F.col("doc_id").alias("cls"), F.col("cls").alias("top"))
+    return lead.join(upper, "cls", "left").select("doc_id", F.coalesce("top", "cls").alias("cls"))
 
 
-def near_links(texts: DataFrame, similarity: float) -> DataFrame:
+def _classed(state: DataFrame, known: DataFrame) -> DataFrame:
+    return state.drop("cls").join(known, "doc_id", "left").withColumn("cls", F.coalesce("cls", "doc_id"))
+
+
+def near_links(texts: DataFrame, similarity: float, group: int = GROUP, group_runs: int = GROUP_RUNS, leads: int = LEADS) -> DataFrame:
     """id, cls of every document of ``texts`` (doc_id, text; distinct texts) that has a near duplicate."""
     mapped = tk.stored(texts.mapInArrow(_map_sketches(similarity), "doc_id long, keys array<long>, labels array<long>"), "sketches")
     keys = mapped.select("doc_id", F.explode("keys").alias("bucket"))
     labels = mapped.select("doc_id", F.size("labels").alias("n"), F.explode("labels").alias("label"))
     rare = _rarest(labels, [], similarity).where("often > 1").select("doc_id", F.xxhash64("label").alias("bucket"))
-    rows = keys.unionByName(rare).distinct()
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    rows = keys.unionByName(rare)
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = tk.stored(rows.join(shared, "bucket"), "members")
-    some = members.select("doc_id").distinct()
-    runs = tk.stored(texts.join(some, "doc_id", "left_semi").mapInArrow(_map_runs, "doc_id long, runs binary"), "runs")
-    state = members.select("bucket", "doc_id", F.col("doc_id").alias("cls"), F.lit(False).alias("led"))
-    state, links = _lead_rounds(state, runs, similarity, ROUNDS)
-    if state is None:
-        return classes_of(links)
-    wide = tk.stored(_open(state), "open")
-    links = links.unionByName(tk.stored(_settled(wide.where(F.col("members") <= GROUP), runs, similarity), "found"))
-    large = wide.where(F.col("members") > GROUP).select("bucket", "doc_id", "cls")
+    tk.discard(mapped)
+    # a document in many large buckets is central to its copies: it leads them, so one round links nearly all
+    weight = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    runs = tk.stored(texts.join(weight.select("doc_id"), "doc_id").mapInArrow(_map_runs, "doc_id long, size int, runs binary"), "runs")
+    weight = weight.join(runs.select("doc_id", "size"), "doc_id")
+    state = tk.stored(members.select("bucket", "doc_id").join(weight, "doc_id"), "round")
+    tk.discard(members)
+    lead = state.groupBy("bucket").agg(F.max(F.struct("weight", -F.col("doc_id"))).alias("lead")).select("bucket", (-F.col("lead")["col2"]).alias("a"))
+    found = _pairs_found(state.join(lead, "bucket").where("a <> doc_id").select("a", F.col("doc_id").alias("b")), runs, similarity)
+    state = state.select("bucket", "doc_id", "size", F.col("doc_id").alias("cls"))
+    small, large = _open(_classed(state, _followed(found)), group, group_runs)
+    links = [found, _settled(small, runs, similarity)]
     if not large.isEmpty():
-        parts = tk.stored(_open(_parted(large, runs, similarity)), "open")
-        links = links.unionByName(tk.stored(_settled(parts.where(F.col("members") <= GROUP), runs, similarity), "found"))
-        rest = parts.where(F.col("members") > GROUP).select("bucket", "doc_id", "cls", F.lit(False).alias("led"))
-        links = _outsider_rounds(rest, runs, similarity, links)
-    return classes_of(links)
+        small, large = _open(_parted(large, runs, similarity), group, group_runs)
+        links.append(_settled(small, runs, similarity))
+        links += _outsider_rounds(large.withColumn("led", F.lit(False)), runs, similarity, reduce(DataFrame.unionByName, links), leads)
+    return classes_of(reduce(DataFrame.unionByName, links))
 
 
-def _pairs_found(pairs: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
-    left, right = (runs.select(F.col("doc_id").alias(x), F.col("runs").alias(f"runs_{x}")) for x in "ab")
-    both = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "runs_a", "runs_b")
-    return tk.stored(both.mapInArrow(_map_aligned(similarity), "a long, b long"), "found")
+def _outsider_rounds(state: DataFrame, runs: DataFrame, similarity: float, links: DataFrame, leads: int) -> list[DataFrame]:
+    """In each round up to ``leads`` documents outside a bucket's largest class are aligned with all other classes.
 
-
-def _lead_rounds(state: DataFrame, runs: DataFrame, similarity: float, rounds: int) -> tuple[DataFrame | None, DataFrame]:
-    """In each round the least document that has not led its bucket is aligned with those of other classes.
-
-    The state after ``rounds`` rounds (None: nothing is open any more), and all links.
-    """
-    links = None
-    for _ in range(rounds):
-        lead = state.groupBy("bucket").agg(
-            F.min(F.when(~F.col("led"), F.struct("doc_id", "cls"))).alias("lead"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.when(~F.col("led"), 1)).alias("open")
-        )
-        lead = lead.where("lo < hi AND open > 1").select("bucket", "lead")
-        led = state.join(lead, "bucket").withColumn("led", F.col("led") | (F.col("doc_id") == F.col("lead.doc_id")))
-        led = tk.stored(led, "round")
-        if links is not None and led.isEmpty():
-            return None, links
-        pairs = led.where(~F.col("led") & (F.col("cls") != F.col("lead.cls"))).select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        found = _pairs_found(pairs, runs, similarity)
-        links = found if links is None else links.unionByName(found)
-        state = _with_classes(led.select("bucket", "doc_id", "led"), links)
-    return state, links
-
-
-def _outsider_rounds(state: DataFrame, runs: DataFrame, similarity: float, links: DataFrame) -> DataFrame:
-    """In each round up to LEADS documents outside a bucket's largest class are aligned with all other classes.
-
-    A bucket is settled when every document outside its largest class has led; pairs are LEADS a document and round.
+    A bucket is settled when every document outside its largest class has led; pairs are ``leads`` a document and round.
+    Classes of all links so far are found once; later rounds join only new links to them.
     """
+    out: list[DataFrame] = []
+    if state.isEmpty():
+        return out
+    state = _classed(state, tk.stored(classes_of(links).withColumnRenamed("id", "doc_id"), "classes"))
     while True:
         sizes = state.groupBy("bucket", "cls").agg(F.count("*").alias("n"))
         most = sizes.groupBy("bucket").agg(F.max(F.struct("n", "cls")).alias("most"), F.count("*").alias("classes")).where("classes > 1")
         state = tk.stored(state.join(most.select("bucket", F.col("most.cls").alias("main")), "bucket"), "round")
         nth = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
-        leads = state.where(~F.col("led") & (F.col("cls") != F.col("main"))).withColumn("nth", nth).where(F.col("nth") <= LEADS)
-        leads = tk.stored(leads.select("bucket", F.col("doc_id").alias("a"), F.col("cls").alias("a_cls")), "leads")
-        if leads.isEmpty():
-            return links
-        pairs = state.join(leads, "bucket").where("cls <> a_cls AND doc_id <> a AND (NOT led OR cls = main)").select("a", F.col("doc_id").alias("b"))
-        links = links.unionByName(_pairs_found(pairs, runs, similarity))
-        gone = leads.select("bucket", F.col("a").alias("doc_id"), F.lit(True).alias("now"))
-        state = state.join(gone, ["bucket", "doc_id"], "left").select("bucket", "doc_id", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
-        state = _with_classes(state, links)
-
-
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, same_text (the least id with this very text), class_id (the least id of the class), a row per id."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    hashed = texts.select("doc_id", F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("text"), "text").alias("h2")).alias("h")).groupBy("doc_id").agg(F.min("h").alias("h"))
-    first = hashed.groupBy("h").agg(F.min("doc_id").alias("same_text"))
-    ids = tk.stored(hashed.join(first, "h").select("doc_id", "same_text"), "texts")
-    apart = texts.join(ids.where("doc_id = same_text").select("doc_id"), "doc_id", "left_semi")
-    found = near_links(apart, similarity)
-    return ids.join(found.select(F.col("id").alias("same_text"), "cls"), "same_text", "left").select("doc_id", "same_text", F.coalesce("cls", "same_text").alias("class_id"))
+        first = state.where(~F.col("led") & (F.col("cls") != F.col("main"))).withColumn("nth", nth).where(F.col("nth") <= leads)
+        first = tk.stored(first.select("bucket", F.col("doc_id").alias("a"), F.col("cls").alias("a_cls")), "leads")
+        if first.isEmpty():
+            return out
+        pairs = state.join(first, "bucket").where("cls <> a_cls AND doc_id <> a AND (NOT led OR cls = main)")
+        found = _pairs_found(pairs.select("a", F.col("doc_id").alias("b")), runs, similarity)
+        out.append(found)
+        gone = first.select("bucket", F.col("a").alias("doc_id"), F.lit(True).alias("now"))
+        state = state.join(gone, ["bucket", "doc_id"], "left").select("bucket", "doc_id", "cls", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
+        if not found.isEmpty():
+            cls = state.select("doc_id", "cls").distinct()
+            between = found.join(cls.select(F.col("doc_id").alias("a"), F.col("cls").alias("x")), "a").join(cls.select(F.col("doc_id").alias("b"), F.col("cls").alias("y")), "b")
+            merged = tk.stored(classes_of(between.select(F.col("x").alias("a"), F.col("y").alias("b"))), "classes")
+            state = state.join(merged.select(F.col("id").alias("cls"), F.col("cls").alias("new")), "cls", "left").select("bucket", "doc_id", F.coalesce("new", "cls").alias("cls"), "led")
+
+
+def text_hash(text: Column) -> Column:
+    """128 bits of a text; null is empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("text"), text).alias("h2"))
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, leads: int = LEADS) -> DataFrame:
+    """A row per id and text: doc_id, h (``text_hash``), same_text (the least id with this very text), class_id (the least
+    id of the class), stays (whether this row is the one that stands for its class)."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    # the ids of one text come in as many parts as there are partitions: a text that a third of all rows share is no hot key
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = texts.groupBy("h", salt.alias("salt")).agg(F.min("doc_id").alias("lead"), F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    parts = tk.stored(parts, "texts")
+    # a number for each distinct text: its least id, but another one for all but the first of the texts that one id leads
+    nth = F.row_number().over(Window.partitionBy("lead").orderBy("h"))
+    first = parts.groupBy("h").agg(F.min("lead").alias("lead")).withColumn("nth", nth)
+    first = tk.stored(first.select("h", "lead", F.when(F.col("nth") == 1, F.col("lead")).otherwise(-F.shiftrightunsigned(F.xxhash64("lead", "h"), 1) - 1).alias("node")), "nodes")
+    apart = texts.join(first.select("h", F.col("lead").alias("doc_id"), "node"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select(F.col("node").alias("doc_id"), "text")
+    found = tk.stored(near_links(apart, similarity, group, leads=leads), "classes")
+    classed = first.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
+    best = classed.groupBy("cls").agg(F.min(F.struct("lead", "h")).alias("best"))
+    classed = classed.join(best, "cls").select("h", F.col("lead").alias("same_text"), F.col("best.lead").alias("class_id"), (F.col("best.h") == F.col("h")).alias("first"))
+    rows = parts.select("h", "ids").join(classed, "h").select(F.explode("ids").alias("doc_id"), "h", "same_text", "class_id", "first")
+    return rows.select("doc_id", "h", "same_text", "class_id", (F.col("first") & (F.col("doc_id") == F.col("same_text"))).alias("stays"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(tk.table_of(spark, sf_dir, "documents"))
+    """Every id once: of rows with one id and several texts, the class of its least text."""
+    found = near_classes(tk.table_of(spark, sf_dir, "documents"))
+    return found.groupBy("doc_id").agg(F.min(F.struct("h", "same_text", "class_id")).alias("own")).select("doc_id", "own.same_text", "own.class_id")

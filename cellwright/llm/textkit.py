@@ -6,6 +6,8 @@ no state between slices.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -28,24 +30,34 @@ def table_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's shared folder; sets a local one only where none is named (tests)."""
-    if spark.sparkContext.getCheckpointDir() is None:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; one of its own only where none is named and all executors are in this process (tests)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            import tempfile
-
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(named)
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: the rows as a table in the shared checkpoint folder, under a name of its own."""
     spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    out = spark.read.schema(rows.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``stored`` wrote, once nothing reads it any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
