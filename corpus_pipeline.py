@@ -1,8 +1,9 @@
 """A corpus pipeline of five stages: toxicity, line dedup, near-duplicate removal, benchmark decontamination, source mixing.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns the columns of
-``documents``; the last one adds ``copy`` and ``copies``. Rows with a null id pass the near-duplicate stage; an empty
-table passes all stages.
+``documents``; the last one adds ``copy`` and ``copies`` unless the documents have such columns. Nulls in any column are
+allowed: a null text is empty, a null id passes the near-duplicate stage. Repeated rows are near duplicates; an empty table passes all stages; further columns are carried whatever
+their names.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from cellwright.llm import textkit as tk
 from cellwright.llm.decontaminate import decontaminate
 from cellwright.llm.line_dedup import line_dedup
 from cellwright.llm.mixture import poisson_mix
-from cellwright.llm.near_dedup import near_classes
+from cellwright.llm.near_dedup import near_classes, text_hash
 from cellwright.llm.toxicity import toxicity
 
 #: Toxicity, near duplicates and mixing ask for a model, iterations and hashes that SQL doesn't express together.
@@ -39,11 +40,14 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near duplicates stays, once."""
-    stay = near_classes(docs).where("doc_id = class_id").select("doc_id")
-    chosen = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(F.lit("text"), "text"))
-    unique = docs.join(stay, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(chosen)).where("_nth = 1").drop("_nth")
-    return unique.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each class of near duplicates stays: of its least id, the least text, once. Rows without an id stay.
+
+    Rows with one id and different texts are different documents, so neither goes unless it is near another.
+    """
+    stay = near_classes(docs).where("stays").select("doc_id", "h")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("h"))
+    unique = rows.join(stay, ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.first("row").alias("row"))
+    return _columns(unique.select("row").unionByName(rows.where("doc_id IS NULL").select("row")), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +59,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target rate draws it, in shuffled order."""
     mixed = poisson_mix(docs)
-    return mixed.select(*[F.col("row")[c].alias(c) for c in docs.columns], "copy", "copies")
+    own = [F.col("row")[c].alias(c) for c in docs.columns]
+    return mixed.select(*own, *[F.col(c) for c in ("copy", "copies") if c not in docs.columns])
 
 
 STAGES = [
