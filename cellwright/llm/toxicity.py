@@ -2,15 +2,17 @@
 
 1. Labels are learnt from rows outside the held-out fold alone. A bounded sample of them, ``EXAMPLES`` rows a class in
    hash order, is the example set; every other step covers all rows.
-2. Terms are words and word beginnings of 4, 5 and 6 bytes. Those whose share differs between the classes of the example
-   set by ``MIN_Z`` standard errors, at least ``MIN_DOCS`` documents and ``MIN_SHARE`` of the toxic ones, and at most ``MAX_TERMS`` terms, are the vocabulary.
-   Their document frequencies are counted over all documents.
-3. Example vectors lie in an inverted index cut into blocks; each block knows its largest weight of each term. A document
-   visits blocks by their upper bounds and stops when none left can reach the ``NEIGHBOURS`` nearest, so cosines are exact
-   and none is missed; equal vectors share one entry and ties with the last neighbour all vote.
+2. Terms are words and word beginnings of ``STARTS`` bytes: every term of every example, none picked or cut. Their document
+   frequencies are counted over all documents. A term's weight is its inverse document frequency times its relevance,
+   ``z * z / (z * z + RELEVANT)``, where z tells how many standard errors apart the two classes of examples use it. By
+   plain frequencies rare words that say nothing outweigh those that do (README has both figures).
+3. Example vectors lie in an inverted index cut into blocks of examples that share their heaviest term; each block knows
+   its largest weight of each term. A document visits blocks by their upper bounds and stops when none left can reach the
+   ``NEIGHBOURS`` nearest, so cosines are exact and none is missed; equal vectors share one entry and ties with the last
+   neighbour all vote.
 4. Votes are weighted by 1 / (distance + ``SOFT``) and by each class's sampling rate, and smoothed by the base rate.
 
-Only the vocabulary, its counts and the example vectors reach the driver; all have the bounds above.
+The terms of the examples, their counts and the example vectors reach the driver; they are bounded by the example set.
 
 Defined results: null or empty text has the empty vector, like texts without a known term, and is scored by the examples
 without one; no label or a single class gives every document the base rate; an id labelled twice takes the larger label;
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 
 from cellwright.llm import textkit as tk
 
-EXAMPLES, MAX_TERMS, MIN_Z, MIN_DOCS, MIN_SHARE = 6000, 4096, 6.0, 10, 0.02
+EXAMPLES, RELEVANT = 2000, 64.0
 NEIGHBOURS, SOFT, PRIOR, BLOCK, THRESHOLD = 25, 0.05, 1.0, 64, 0.3
-STARTS = (4, 5, 6)
+STARTS = (6,)
 #: Letters and digits of lower-cased ASCII, and every other byte above it.
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
@@ -71,12 +73,12 @@ def _count_terms(batches):
 
 
 class Lexicon:
-    """Sorted hashes of the vocabulary and a bit table that turns most other words away."""
+    """Sorted hashes of the terms and a table of their low bits that turns most other words away."""
 
     def __init__(self, hashes: np.ndarray):
         self.h = np.sort(hashes.astype(np.uint64))
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.h & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[(self.h & np.uint64(0x3FFFFF)).astype(np.int64)] = True
 
     def counts(self, buf: np.ndarray, offs: np.ndarray):
         """Rows (document, term number, count) of a slice, in order, and the bytes of one place of each."""
@@ -84,130 +86,142 @@ class Lexicon:
         for h, doc, a, b in terms(buf, offs):
             if not len(h) or not len(self.h):
                 continue
-            maybe = np.flatnonzero(self.seen[(h & np.uint64(0xFFFFF)).astype(np.int64)])
+            maybe = np.flatnonzero(self.seen[(h & np.uint64(0x3FFFFF)).astype(np.int64)])
             at = np.minimum(np.searchsorted(self.h, h[maybe]), len(self.h) - 1)
             ok = self.h[at] == h[maybe]
             maybe = maybe[ok]
-            rows.append(np.stack([doc[maybe], at[ok], a[maybe], b[maybe]], 1))
-        x = np.concatenate(rows) if rows else np.zeros((0, 4), np.int64)
-        x = x[np.lexsort((x[:, 1], x[:, 0]))]
-        new = np.flatnonzero(np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(1)])) if len(x) else np.zeros(0, np.int64)
-        return x[new, 0], x[new, 1], np.diff(np.append(new, len(x))), x[new, 2:]
+            rows.append((doc[maybe] * len(self.h) + at[ok], a[maybe], b[maybe]))
+        if not rows:
+            none = np.zeros(0, np.int64)
+            return none, none, none, np.zeros((0, 2), np.int64)
+        key, a, b = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        doc, term = np.divmod(key[new], len(self.h))
+        return doc, term, np.diff(np.append(new, len(key))), np.stack([a[order[new]], b[order[new]]], 1)
 
 
 def _map_frequencies(shared):
+    """Of each partition: how many of its documents hold each term; the count of all documents stands one beyond the last."""
+
     def run(batches):
         lexicon = shared.value
+        df = np.zeros(len(lexicon.h) + 1, np.int64)
         for batch in batches:
             buf, offs = tk.text_column(batch, "text")
-            df = np.zeros(len(lexicon.h) + 1, np.int64)
-            df[-1] = len(batch)
+            df[-1] += len(batch)
             for i, j in tk.slices(offs):
                 df += np.bincount(lexicon.counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[1], minlength=len(df))
-            term = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), pa.array(df[term])], names=["term", "df"])
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), pa.array(df[term])], names=["term", "df"])
 
     return run
 
 
 def _map_vectors(shared):
-    """Of example rows: term numbers, counts and the terms themselves."""
+    """Of example rows: term numbers and counts, four bytes each."""
 
     def run(batches):
         lexicon = shared.value
         for batch in batches:
             buf, offs = tk.text_column(batch, "text")
-            ids, counts, names = [], [], []
+            ids, counts = [], []
             for i, j in tk.slices(offs):
-                part = buf[offs[i] : offs[j]]
-                doc, term, count, span = lexicon.counts(part, offs[i : j + 1] - offs[i])
+                doc, term, count, _ = lexicon.counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
-                for a, b in zip(cut[:-1], cut[1:], strict=True):
-                    ids.append(term[a:b].tolist())
-                    counts.append(count[a:b].tolist())
-                    names.append([part[x:y].tobytes().decode("utf-8", "replace") for x, y in span[a:b].tolist()])
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array(ids, longs), pa.array(counts, longs), pa.array(names, pa.list_(pa.string()))],
-                names=["doc_id", "toxic", "terms", "counts", "names"],
-            )
+                ids += tk.ragged(term.astype("<i4"), cut)
+                counts += tk.ragged(count.astype("<i4"), cut)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "toxic", "terms", "counts"])
 
     return run
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each of some ranges, one after the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+
+
 class BlockIndex:
-    """Example vectors by term, in blocks with their largest weights."""
+    """Example vectors by term and block: a row per term of a block, with its largest weight and its postings."""
 
-    def __init__(self, idf: np.ndarray, examples: list[tuple], class_weight: tuple[float, float], names: list[str]):
-        self.idf, self.names = idf, names
+    def __init__(self, weight: np.ndarray, examples: list[tuple], class_weight: tuple[float, float]):
+        self.weight = weight
         groups: dict[tuple, list] = {}
-        for doc_id, toxic, term, count in examples:
-            g = groups.setdefault((tuple(term), tuple(count)), [0.0, 0.0, []])
+        empty = [0.0, 0.0, []]
+        for doc_id, toxic, terms_, counts in examples:
+            w = self.weights(np.frombuffer(terms_, "<i4"), np.frombuffer(counts, "<i4"))
+            g = groups.setdefault((terms_, counts), [0.0, 0.0, [], w]) if w is not None else empty
             g[0] += class_weight[1] if toxic else 0.0
             g[1] += class_weight[1 if toxic else 0]
             g[2].append(doc_id)
-        empty = groups.pop(((), ()), [0.0, 0.0, []])
         all_weight = sum(g[1] for g in groups.values()) + empty[1]
         self.base = (sum(g[0] for g in groups.values()) + empty[0]) / all_weight if all_weight else 0.0
         self.unknown = (empty[0] + PRIOR * self.base) / (empty[1] + PRIOR)
-        keys = sorted(groups)
+        heaviest = lambda k: (int(np.frombuffer(k[0], "<i4")[np.argmax(groups[k][3])]), min(groups[k][2]))
+        keys = sorted(groups, key=heaviest)
         self.pos, self.all = np.array([groups[k][0] for k in keys]), np.array([groups[k][1] for k in keys])
         self.docs = [sorted(groups[k][2])[:3] for k in keys]
-        vectors = [(np.array(t), self.weights(np.array(t), np.array(c))) for t, c in keys]
         self.blocks = max(1, -(-len(keys) // BLOCK))
-        owner = np.repeat(np.arange(len(keys)), [len(t) for t, _ in vectors])
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        value = np.concatenate([v for _, v in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((owner, term))
-        self.owner, self.value = owner[order], value[order]
-        term = term[order]
-        self.most = np.zeros((len(idf), self.blocks))
-        np.maximum.at(self.most, (term, self.owner // BLOCK), self.value)
-        flat = term * self.blocks + self.owner // BLOCK
-        self.cut = np.searchsorted(flat, np.arange(len(idf) * self.blocks + 1)).astype(np.int64)
-
-    def weights(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(count)) * self.idf[term]
-        return w / math.sqrt(float((w * w).sum()))
-
-    def _visit(self, term: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosines with every example of some blocks, from their posting ranges at once; 0 elsewhere."""
-        flat = (term[:, None] * self.blocks + blocks[None]).ravel()
-        i = self.cut[flat]
-        n = self.cut[flat + 1] - i
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(i, n)
-        return np.bincount(self.owner[at], np.repeat(np.repeat(w, len(blocks)), n) * self.value[at], len(self.pos))
+        size = [len(k[0]) // 4 for k in keys]
+        owner = np.repeat(np.arange(len(keys)), size)
+        term = np.concatenate([np.frombuffer(k[0], "<i4") for k in keys]).astype(np.int64) if keys else np.zeros(0, np.int64)
+        value = np.concatenate([groups[k][3] for k in keys]) if keys else np.zeros(0)
+        flat = term * self.blocks + owner // BLOCK
+        order = np.argsort(flat, kind="stable")
+        self.owner, self.value, flat = owner[order].astype(np.int32), value[order], flat[order]
+        cut = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        self.most = np.maximum.reduceat(self.value, cut) if len(cut) else np.zeros(0)
+        self.block = (flat[cut] % self.blocks).astype(np.int32)
+        self.cut = np.append(cut, len(flat))
+        self.of_term = np.searchsorted(flat[cut] // self.blocks, np.arange(len(weight) + 1))
+
+    def weights(self, term: np.ndarray, count: np.ndarray) -> np.ndarray | None:
+        w = (1 + np.log(count)) * self.weight[term]
+        norm = math.sqrt(float((w * w).sum()))
+        return w / norm if norm else None
+
+    def _visit(self, rows: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What the postings of some rows add to the cosine with each example."""
+        n = self.cut[rows + 1] - self.cut[rows]
+        at = _ranges(self.cut[rows], n)
+        return np.bincount(self.owner[at], np.repeat(w, n) * self.value[at], len(self.pos))
 
     def nearest(self, term: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entries and cosines, nearest first: NEIGHBOURS of them and all ties with the last one.
 
         The best blocks come first; then all those whose bound still reaches the NEIGHBOURS-th best cosine found.
         """
-        bound = w @ self.most[term]
+        n = self.of_term[term + 1] - self.of_term[term]
+        rows, each = _ranges(self.of_term[term], n), np.repeat(w, n)
+        block = self.block[rows]
+        bound = np.bincount(block, each * self.most[rows], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        first = max(1, 2 * NEIGHBOURS // BLOCK + 1)
-        score = self._visit(term, w, order[:first])
+        seen = np.zeros(self.blocks, bool)
+        seen[order[: max(1, 2 * NEIGHBOURS // BLOCK + 1)]] = True
+        own = seen[block]
+        score = self._visit(rows[own], each[own])
         k = min(NEIGHBOURS, len(score))
         least = np.partition(score, -k)[-k]
-        rest = order[first:][bound[order[first:]] >= least - 1e-9]
-        if len(rest):
-            score += self._visit(term, w, rest)
+        rest = ~seen & (bound > 0) & (bound >= least - 1e-9)
+        if rest.any():
+            own = rest[block]
+            score += self._visit(rows[own], each[own])
             least = np.partition(score, -k)[-k]
-        score = np.round(score, 10)
         entries = np.flatnonzero((score >= least - 1e-9) & (score > 0))
-        entries = entries[np.lexsort((entries, -score[entries]))]
-        return entries, score[entries]
-
-    def score(self, term: np.ndarray, count: np.ndarray) -> tuple[float, list[int], str]:
-        if not len(term) or not len(self.pos):
-            return self.unknown, [], ""
-        w = self.weights(term, count)
+        score = np.round(score[entries], 10)
+        order = np.lexsort((entries, -score))
+        return entries[order], score[order]
+
+    def score(self, term: np.ndarray, count: np.ndarray) -> tuple[float, list[int], np.ndarray]:
+        """Score, nearest examples, and which of the terms are the heaviest."""
+        w = self.weights(term, count) if len(term) and len(self.pos) else None
+        if w is None:
+            return self.unknown, [], np.zeros(0, np.int64)
         entries, cosine = self.nearest(term, w)
         near = 1 / (1 - np.minimum(cosine, 1.0) + SOFT)
         value = (float((near * self.pos[entries]).sum()) + PRIOR * self.base) / (float((near * self.all[entries]).sum()) + PRIOR)
-        top = ", ".join(self.names[t] for t in term[np.argsort(-w, kind="stable")[:3]].tolist())
-        return min(max(round(value, 12), 0.0), 1.0), [d for e in entries[:3].tolist() for d in self.docs[e]][:3], top
+        return min(max(round(value, 12), 0.0), 1.0), [d for e in entries[:3].tolist() for d in self.docs[e]][:3], np.argsort(-w, kind="stable")[:3]
 
 
 def _map_scores(lexicon_shared, index_shared):
@@ -218,15 +232,18 @@ def _map_scores(lexicon_shared, index_shared):
             buf, offs = tk.text_column(batch, "text")
             scores = []
             for i, j in tk.slices(offs):
-                doc, term, count, _ = lexicon.counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                part = buf[offs[i] : offs[j]]
+                doc, term, count, span = lexicon.counts(part, offs[i : j + 1] - offs[i])
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
                 for a, b in zip(cut[:-1], cut[1:], strict=True):
                     key = term[a:b].tobytes() + count[a:b].tobytes()
                     if key not in known:
-                        if len(known) > 50_000:
+                        if len(known) > 10_000:
                             known.clear()
                         known[key] = index.score(term[a:b], count[a:b])
-                    scores.append(known[key])
+                    value, near, top = known[key]
+                    why = ", ".join(part[x:y].tobytes().decode("utf-8", "replace") for x, y in span[a + top].tolist())
+                    scores.append((value, near, why))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row"),
@@ -240,6 +257,13 @@ def _map_scores(lexicon_shared, index_shared):
     return run
 
 
+def term_weights(n: np.ndarray, pos: np.ndarray, n_all: int, n_pos: int, df: np.ndarray, docs: int) -> np.ndarray:
+    """Inverse document frequency times relevance, from the examples of either class and the documents that hold a term."""
+    share = (n + 1) / (n_all + 2)
+    z = (pos / n_pos - (n - pos) / (n_all - n_pos)) / np.sqrt(share * (1 - share) * (1 / n_pos + 1 / (n_all - n_pos)))
+    return (np.log((1 + docs) / (1 + df)) + 1) * z**2 / (z**2 + RELEVANT)
+
+
 def examples_of(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str) -> tuple[DataFrame, tuple[float, float]]:
     """Texts of at most ``per_class`` labelled rows of each class, and how many labelled rows one of them stands for."""
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
@@ -269,29 +293,19 @@ def toxicity(
     examples, class_weight = examples_of(docs, labels, per_class, id_col, text_col)
     examples = tk.stored(examples, "examples")
     n_pos, n_all = examples.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
-    n, pos = F.col("n"), F.col("pos")
-    hashes: list[int] = []
-    if 0 < n_pos < n_all:
-        gap = pos / n_pos - (n - pos) / (n_all - n_pos)
-        share = n / n_all
-        z = gap / F.sqrt(share * (1 - share) * (1 / n_pos + 1 / (n_all - n_pos)))
-        by_term = examples.select("text", "toxic").mapInArrow(_count_terms, "h long, n long, pos long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-        apart = by_term.where((n >= max(MIN_DOCS, MIN_SHARE * n_pos)) & (n < n_all)).withColumn("z", F.abs(z)).where(F.col("z") >= MIN_Z)
-        hashes = [r.h for r in apart.orderBy(F.desc("z"), "h").limit(MAX_TERMS).collect()]
-    lexicon = Lexicon(np.array(hashes, np.int64).view(np.uint64))
+    known = examples.where(F.lit(bool(0 < n_pos < n_all))).select("text", "toxic").mapInArrow(_count_terms, "h long, n long, pos long")
+    by_term = known.groupBy("h").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toArrow()
+    hashes, n, pos = (by_term.column(c).to_numpy() for c in ("h", "n", "pos"))
+    order = np.argsort(hashes.view(np.uint64))
+    lexicon = Lexicon(hashes.view(np.uint64))
     lex = sc.broadcast(lexicon)
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    counted = docs.select(low.alias("text")).mapInArrow(_map_frequencies(lex), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect() if hashes else []
+    counted = docs.select(low.alias("text")).mapInArrow(_map_frequencies(lex), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(lexicon.h) + 1)
-    for r in counted:
-        df[r.term] = r.df
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    vectors = examples.mapInArrow(_map_vectors(lex), "doc_id long, toxic int, terms array<long>, counts array<long>, names array<string>").orderBy("doc_id").collect()
-    names = [""] * len(lexicon.h)
-    for v in vectors:
-        for t, s in zip(v.terms, v.names, strict=True):
-            names[t] = s
-    index = sc.broadcast(BlockIndex(idf, [(v.doc_id, v.toxic, v.terms, v.counts) for v in vectors], class_weight, names))
+    df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
+    weight = term_weights(n[order], pos[order], n_all, n_pos, df[:-1], df[-1]) if len(order) else np.zeros(0)
+    vectors = examples.mapInArrow(_map_vectors(lex), "doc_id long, toxic int, terms binary, counts binary").orderBy("doc_id").toArrow()
+    index = sc.broadcast(BlockIndex(weight, list(zip(*(vectors.column(c).to_pylist() for c in ("doc_id", "toxic", "terms", "counts")), strict=True)), class_weight))
     rows = tk.carried(docs, text_col, carry).withColumn("text", F.lower(F.coalesce("text", F.lit(""))))
     scored = rows.mapInArrow(_map_scores(lex, index), tk.carried_schema(rows, "score double, neighbours array<long>, evidence string"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
