@@ -5,19 +5,24 @@
 2. A bounded sample (``SAMPLE`` entries in hash order, at most ``SAMPLE_BYTES``) is halved along two-means directions
    into cells of one size; their means are the centroids, and a neighbour graph of them is searched in memory.
 3. Every entry goes to its nearest list, and boundary entries to up to ``REPLICAS`` lists whose distance is within
-   ``BOUNDARY`` of the nearest. Lists are cut into parts of about ``PART_ROWS`` rows, so no task holds a whole hot list.
-4. A query visits the lists within ``RATIO`` of its nearest centroid's distance, and in any case the first that hold
-   ``ENOUGH`` rows; in each part its distances are exact. Partial results merge by ranking.
+   ``BOUNDARY`` of the nearest and that lie in another direction (no list taken before is nearer to it than the entry).
+   Lists are cut into parts of about ``PART_ROWS`` rows, so no task holds a whole hot list.
+4. A query visits all lists within ``RATIO`` of its nearest centroid's distance and at least ``LEAST_LISTS``; the walk
+   through the graph widens until the ratio ends the list, so nothing else cuts it off. In each part its distances are
+   exact. Partial results merge by ranking. ``compared`` tells how many entries a query met, copies in several lists included.
 
-Only the sample, the centroids and one count a list reach the driver; all are bounded by parameters.
+Vectors meet vectors of their own length. Each length that holds ``SHARE`` of the rows has an index; others have one list,
+in parts, searched whole. Only samples, centroids and one count a list reach the driver; all are bounded by parameters.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite numbers take no part, nor do rows with a
-null id or vectors of another length than the most common (of equally common lengths, the greater); rows with one id and
-one vector are one row; a table without candidates gives no rows; other columns are ignored.
+null id; rows with one id and one vector are one row; an id with several vectors asks with each, and its results are ranked
+for each; a table without candidates gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,19 +31,29 @@ from pyspark.sql import functions as F
 from cellwright.llm import textkit as tk
 from cellwright.llm.centroid_graph import CentroidGraph, balanced_centroids
 
-K, SAMPLE, SAMPLE_BYTES, LIST_ROWS, MAX_LISTS = 10, 16384, 64 << 20, 128, 4096
-REPLICAS, BOUNDARY, RATIO, BEAM, ENOUGH, PART_ROWS = 4, 0.1, 1.3, 96, 4000, 4096
+K, SAMPLE, SAMPLE_BYTES, LIST_ROWS, MAX_LISTS = 10, 1 << 17, 64 << 20, 64, 1 << 15
+REPLICAS, BOUNDARY, RATIO, LEAST_LISTS, PART_ROWS, SHARE = 4, 0.1, 1.18, 4, 4096, 1 / 16
 QUERY_BLOCK = 256
 
 
-def _rows_of(batch, name: str, dim: int) -> np.ndarray:
+def _rows_of(batch, name: str) -> np.ndarray:
     col = batch.column(name)
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+
 
+def _replicas(centroids: np.ndarray, ids: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which lists, nearest first, take a copy: those near enough that no list taken before is nearer to them than the entry is."""
+    take = np.isfinite(d) & (d <= d[:, :1] * (1 + BOUNDARY))
+    for j in range(1, d.shape[1]):
+        for i in range(j):
+            gap = np.sqrt(((centroids[ids[:, i]] - centroids[ids[:, j]]) ** 2).sum(1))
+            take[:, j] &= ~take[:, i] | (gap > d[:, j])
+    return take
 
-def _map_lists(shared, dim: int):
+
+def _map_lists(shared):
     """Each entry's own list and those its boundary reaches."""
 
     def run(batches):
@@ -46,82 +61,124 @@ def _map_lists(shared, dim: int):
         for batch in batches:
             if not len(batch):
                 continue
-            x = _rows_of(batch, "vec", dim)
+            x = _rows_of(batch, "vec")
             for i in range(0, len(x), 2048):
                 ids, d = graph.search(x[i : i + 2048], 16)
                 d = np.sqrt(d[:, :REPLICAS])
-                row, col = np.nonzero(np.isfinite(d) & (d <= d[:, :1] * (1 + BOUNDARY)))
+                row, col = np.nonzero(_replicas(graph.c, ids, d))
                 part = batch.slice(i, 2048).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), part.column("lead"), part.column("h"), part.column("ids"), part.column("vec")], names=["list", "lead", "h", "ids", "vec"])
 
     return run
 
 
-def _map_routes(shared, dim: int, ratio: float, beam: int):
+def _map_routes(shared, ratio: float):
     """Each query's lists, cut off by the ratio of distances, with all parts of each."""
 
+    def lists_of(graph, x):
+        beam = 64
+        while True:
+            ids, d = graph.search(x, beam)
+            d = np.sqrt(d)
+            if beam >= len(graph.c) or (d[:, -1] > d[:, 0] * ratio).all():
+                return ids, d
+            beam *= 2
+
     def run(batches):
         graph, counts, parts = shared.value
         for batch in batches:
             if not len(batch):
                 continue
-            x = _rows_of(batch, "vec", dim)
+            x = _rows_of(batch, "vec")
             for i in range(0, len(x), 1024):
-                ids, d = graph.search(x[i : i + 1024], beam)
-                d = np.sqrt(d)
-                found = np.where(np.isfinite(d), counts[ids], 0)
-                before = np.cumsum(found, 1) - found
-                keep = np.isfinite(d) & ((d <= d[:, :1] * ratio) | (before < ENOUGH)) & (found > 0)
+                ids, d = lists_of(graph, x[i : i + 1024])
+                keep = np.isfinite(d) & (counts[ids] > 0)
+                keep &= (d <= d[:, :1] * ratio) | (np.cumsum(keep, 1) <= LEAST_LISTS)
                 row, col = np.nonzero(keep)
                 own = ids[row, col]
+                met = np.bincount(row, counts[own], len(ids)).astype(np.int64)
                 n = parts[own]
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 row = np.repeat(row, n)
                 part = batch.slice(i, 1024).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(own, n).astype(np.int32)), pa.array(at.astype(np.int32)), part.column("lead"), part.column("h"), part.column("vec")], names=["list", "part", "q_lead", "q_h", "vec"]
+                    [pa.array(np.repeat(own, n).astype(np.int32)), pa.array(at.astype(np.int32)), part.column("lead"), part.column("h"), pa.array(met[row]), part.column("vec")],
+                    names=["list", "part", "q_lead", "q_h", "met", "vec"],
                 )
 
     return run
 
 
-def _search_part(dim: int, k: int):
+def _search_part(k: int):
     """Of one part of a list: the nearest k + 1 entries of every query that visits it, by exact distances."""
-    names = ["q_lead", "q_h", "lead", "h", "ids", "score"]
-    schema = pa.schema([("q_lead", pa.int64()), ("q_h", pa.int64()), ("lead", pa.int64()), ("h", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
+    names = ["q_lead", "q_h", "met", "lead", "h", "ids", "score"]
+    schema = pa.schema([("q_lead", pa.int64()), ("q_h", pa.int64()), ("met", pa.int64()), ("lead", pa.int64()), ("h", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
 
     def run(entries: pa.Table, asked: pa.Table) -> pa.Table:
         out = [schema.empty_table()]
         if len(entries) and len(asked):
-            x = _rows_of(entries, "vec", dim)
+            x = _rows_of(entries, "vec")
             norm = (x**2).sum(1)
             m = min(k + 1, len(x))
             for i in range(0, len(asked), QUERY_BLOCK):
                 block = asked.slice(i, QUERY_BLOCK)
-                q = _rows_of(block, "vec", dim)
+                q = _rows_of(block, "vec")
                 rough = norm[None] + (q**2).sum(1)[:, None] - 2 * q @ x.T
                 last = np.partition(rough, m - 1, 1)[:, m - 1 : m]
                 row, col = np.nonzero(rough <= last + 1e-9 * (1 + norm.max()))
                 score = np.sqrt(((q[row] - x[col]) ** 2).sum(1))
                 a, b = block.take(pa.array(row)), entries.take(pa.array(col))
-                out.append(pa.table([a.column("q_lead"), a.column("q_h"), b.column("lead"), b.column("h"), b.column("ids"), pa.array(score)], names=names).cast(schema))
+                out.append(pa.table([a.column("q_lead"), a.column("q_h"), a.column("met"), b.column("lead"), b.column("h"), b.column("ids"), pa.array(score)], names=names).cast(schema))
         return pa.concat_tables(out)
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, ratio: float = RATIO, beam: int = BEAM, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the nearest rows found for every row that ``is_query`` picks."""
+def _parted(listed: DataFrame, by_list: DataFrame) -> DataFrame:
+    """Entries of lists with the part each one is in; lists are few (a bounded number of rows), so Spark broadcasts them by size."""
+    dealt = listed.join(by_list.select("list", "parts"), "list").withColumn("part", F.pmod(F.xxhash64("lead", "h"), F.col("parts")).cast("int"))
+    return dealt.select("list", "part", "lead", "h", "ids", "vec")
+
+
+def _sizes(listed: DataFrame) -> DataFrame:
+    return listed.groupBy("list").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int"))
+
+
+def _indexed(entries: DataFrame, dim: int, n: int, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """Entries of one length by list and part, and the parts that each query visits."""
+    spark = entries.sparkSession
+    most = max(64, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    drawn = entries.orderBy(F.xxhash64("h"), "lead").limit(most).select("vec").toArrow()
+    sample = _rows_of(drawn, "vec")
+    graph = CentroidGraph(balanced_centroids(sample, min(MAX_LISTS, -(-n // LIST_ROWS), max(1, len(sample) // 4))))
+    shared = spark.sparkContext.broadcast(graph)
+    listed = tk.stored(entries.mapInArrow(_map_lists(shared), "list int, lead long, h long, ids array<long>, vec array<double>"), "lists")
+    by_list = _sizes(listed)
+    counts, parts = np.zeros(len(graph.c), np.int64), np.zeros(len(graph.c), np.int64)
+    for r in by_list.collect():  # a row a list, MAX_LISTS at most
+        counts[r.list], parts[r.list] = r.n, r.parts
+    routes = spark.sparkContext.broadcast((graph, counts, parts))
+    return _parted(listed, by_list), entries.where("asks").mapInArrow(_map_routes(routes, ratio), VISITS)
+
+
+VISITS = "list int, part int, q_lead long, q_h long, met long, vec array<double>"
+
+
+def _whole(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of rare lengths: a list a length, in parts, and every part of it for each query."""
+    listed = entries.withColumn("list", -F.size("vec"))
+    by_list = _sizes(listed)
+    asked = listed.where("asks").join(by_list, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return _parted(listed, by_list), asked.select("list", "part", F.col("lead").alias("q_lead"), F.col("h").alias("q_h"), F.col("n").alias("met"), "vec")
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = K, ratio: float = RATIO, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score, compared: the nearest rows found for every row that ``is_query`` picks."""
     spark = vectors.sparkSession
     vec = F.col("vec")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     good = F.col("id").isNotNull() & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(vec, lambda v: v != 0)
     rows = rows.where(good).withColumn("h", F.xxhash64("vec"))
-    sizes = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = sizes.dim
-    rows = rows.where(F.size("vec") == dim)
     # one row an id and vector; of each vector the least k + 1 ids
     once = rows.groupBy("h", "vec", "id").agg(F.max("asks").alias("asks"))
     least = once.withColumn("nth", F.row_number().over(Window.partitionBy("h", "vec").orderBy("id"))).where(F.col("nth") <= k + 1)
@@ -130,37 +187,29 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, ratio: float = RAT
     some = asked.select("h", "vec").distinct().withColumn("asks", F.lit(True))
     entries = entries.join(some, ["h", "vec"], "left").select(F.col("ids")[0].alias("lead"), "h", "ids", F.coalesce("asks", F.lit(False)).alias("asks"), "vec")
     entries = tk.stored(entries, "vectors")
-    n = entries.count()
-    most = max(64, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
-    drawn = entries.orderBy(F.xxhash64("h"), "lead").limit(most).select("vec").collect()
-    sample = np.array([r.vec for r in drawn], np.float64).reshape(-1, dim)
-    graph = CentroidGraph(balanced_centroids(sample, min(MAX_LISTS, -(-n // LIST_ROWS), max(1, len(sample) // 4))))
-    shared = spark.sparkContext.broadcast(graph)
-    listed = tk.stored(entries.mapInArrow(_map_lists(shared, dim), "list int, lead long, h long, ids array<long>, vec array<double>"), "lists")
-    by_list = listed.groupBy("list").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int"))
-    counts, parts = np.zeros(len(graph.c), np.int64), np.zeros(len(graph.c), np.int64)
-    for r in by_list.collect():  # a row a list, MAX_LISTS at most
-        counts[r.list], parts[r.list] = r.n, r.parts
-    routes = spark.sparkContext.broadcast((graph, counts, parts))
-    dealt = listed.join(F.broadcast(by_list.select("list", "parts")), "list").withColumn("part", F.pmod(F.xxhash64("lead", "h"), F.col("parts")).cast("int"))
-    visits = entries.where("asks").mapInArrow(_map_routes(routes, dim, ratio, beam), "list int, part int, q_lead long, q_h long, vec array<double>")
-    found = (
-        dealt.select("list", "part", "lead", "h", "ids", "vec")
-        .groupBy("list", "part")
-        .cogroup(visits.groupBy("list", "part"))
-        .applyInArrow(_search_part(dim, k), "q_lead long, q_h long, lead long, h long, ids array<long>, score double")
-    )
+    total = entries.count()
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, compared long")
+    # at most 1 / SHARE lengths
+    common = entries.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).where(F.col("n") >= SHARE * total).collect()
+    found = []
+    for r in common:
+        found.append(_indexed(entries.where(F.size("vec") == r.dim), r.dim, r.n, ratio))
+    if sum(r.n for r in common) < total:
+        found.append(_whole(entries.where(~F.size("vec").isin([r.dim for r in common]))))
+    schema = "q_lead long, q_h long, met long, lead long, h long, ids array<long>, score double"
+    found = reduce(DataFrame.unionByName, [dealt.groupBy("list", "part").cogroup(visits.groupBy("list", "part")).applyInArrow(_search_part(k), schema) for dealt, visits in found])
     by_query = Window.partitionBy("q_lead", "q_h")
     found = found.withColumn("nth", F.dense_rank().over(by_query.orderBy("score", "lead", "h"))).where(F.col("nth") <= k + 1)
-    found = found.groupBy("q_lead", "q_h", "lead", "h").agg(F.first("ids").alias("ids"), F.first("score").alias("score"))
-    found = found.select("q_lead", "q_h", "score", F.explode("ids").alias("vec_id"))
+    found = found.groupBy("q_lead", "q_h", "lead", "h").agg(F.first("ids").alias("ids"), F.first("score").alias("score"), F.first("met").alias("compared"))
+    found = found.select("q_lead", "q_h", "score", "compared", F.explode("ids").alias("vec_id"))
     found = found.withColumn("nth", F.row_number().over(by_query.orderBy("score", "vec_id"))).where(F.col("nth") <= k + 1)
     # the queries of a vector take its entry's results, without themselves
     leads = entries.where("asks").select(F.col("lead").alias("q_lead"), F.col("h").alias("q_h"), "h", "vec")
     who = asked.join(leads, ["h", "vec"]).select(F.col("id").alias("query_id"), "q_lead", "q_h")
     each = who.join(found, ["q_lead", "q_h"]).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id", "q_lead", "q_h").orderBy("score", "vec_id"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "compared")
 
 
 def op2_balanced_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

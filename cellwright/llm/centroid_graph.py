@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 DEGREE, PIVOTS = 24, 16
@@ -9,10 +11,9 @@ DEGREE, PIVOTS = 24, 16
 
 def balanced_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
     """Halves the sample along its two-means direction, at the median, until there are enough equal cells; their means."""
-    cells, rng = [np.arange(len(sample))], np.random.default_rng(5)
-    while len(cells) < lists and max(map(len, cells)) > 1:
-        cells.sort(key=len, reverse=True)
-        own = cells.pop(0)
+    cells, rng, made = [(-len(sample), 0, np.arange(len(sample)))], np.random.default_rng(5), 1
+    while len(cells) < lists and cells[0][0] < -1:
+        own = heapq.heappop(cells)[2]
         x = sample[own]
         a, b = x[rng.choice(len(own), 2, replace=False)]
         for _ in range(6):
@@ -21,8 +22,10 @@ def balanced_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
                 break
             a, b = x[near].mean(0), x[~near].mean(0)
         order = np.argsort(x @ (a - b), kind="stable")
-        cells += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
-    return np.stack([sample[c].mean(0) for c in cells]) if len(sample) else sample
+        for half in (own[order[: len(own) // 2]], own[order[len(own) // 2 :]]):
+            heapq.heappush(cells, (-len(half), made, half))
+            made += 1
+    return np.stack([sample[c].mean(0) for _, _, c in sorted(cells, key=lambda x: x[1])]) if len(sample) else sample
 
 
 class CentroidGraph:
@@ -37,7 +40,8 @@ class CentroidGraph:
             d = self.norm[i : i + 512, None] + self.norm[None] - 2 * centroids[i : i + 512] @ centroids.T
             d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
             m = min(DEGREE // 2, n - 1)
-            near.append(np.argsort(d, 1, kind="stable")[:, :m])
+            some = np.argpartition(d, m - 1, 1)[:, :m] if 0 < m < n else np.argsort(d, 1)[:, :m]
+            near.append(np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), 1, kind="stable"), 1))
         near = np.concatenate(near) if near else np.zeros((0, 0), np.int64)
         back: list[list[int]] = [row.tolist() for row in near]
         for i, row in enumerate(near.tolist()):
