@@ -20,7 +20,7 @@ from cellwright.llm import textkit as tk
 ENTRY = np.dtype([("h", "<u4"), ("d", "<u4"), ("p", "<u4")])
 KEY = np.dtype([("doc_id", "<i8"), ("th", "<i8")])
 SPACE = tk.byte_table(b"\x20\x09\x0a\x0b\x0c\x0d")
-_SEEN_TWICE = np.uint32(0xFFFFFFFF)
+SEEN_TWICE = np.uint32(0xFFFFFFFF)
 SHARD_BYTES = 32 << 20
 ANCHORS = "shard int, doc_id long, th long, data binary, keys binary"
 PLACES = "doc_id long, th long, places binary"
@@ -95,7 +95,7 @@ def _map_anchors(unit: str, length: int, k: int, shards: int):
             settled = _by_doc(d[own], p[own], keys, n)
             rep = np.zeros(int(many.sum()), ENTRY)
             rep_h = h[head[many]]
-            rep["p"] = _SEEN_TWICE
+            rep["p"] = SEEN_TWICE
             ask = np.zeros(int((~own).sum()), ENTRY)
             ask["d"], ask["p"] = d[~own], p[~own]
             allh = np.concatenate([rep_h, h[~own]])
@@ -145,8 +145,8 @@ def _reduce_anchors(table: pa.Table) -> pa.Table:
         head = np.flatnonzero(np.concatenate([[True], e["h"][1:] != e["h"][:-1]]))
         size = np.diff(np.append(head, len(e)))
         d = e["d"].astype(np.int64)
-        shared = (np.maximum.reduceat(d, head) != np.minimum.reduceat(d, head)) | (np.maximum.reduceat(e["p"], head) == _SEEN_TWICE)
-        e = e[np.repeat(shared, size) & (e["p"] != _SEEN_TWICE)]
+        shared = (np.maximum.reduceat(d, head) != np.minimum.reduceat(d, head)) | (np.maximum.reduceat(e["p"], head) == SEEN_TWICE)
+        e = e[np.repeat(shared, size) & (e["p"] != SEEN_TWICE)]
         own, places = _by_doc(e["d"].astype(np.int64), e["p"], key, len(key))
         out.append(pa.table([pa.array(own["doc_id"].copy()), pa.array(own["th"].copy()), pa.array(places, pa.binary())], names=["doc_id", "th", "places"]))
     return pa.concat_tables([passed.cast(pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("places", pa.binary())])), *out])

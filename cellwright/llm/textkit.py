@@ -126,7 +126,7 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE_WORD) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
@@ -135,7 +135,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     first = np.cumsum(length) - length
     place = np.arange(total) - np.repeat(first, length)
     at = place + np.repeat(starts, length)
-    x = BYTE_WORD[buf[at]] * powers(int(length.max()))[place]
+    x = table[buf[at]] * powers(int(length.max()))[place]
     return mix(np.add.reduceat(x, first) + length.astype(np.uint64) * _ODD)
 
 
@@ -198,7 +198,7 @@ def packed(rows: np.ndarray) -> bytes:
 
 def unpacked(data: bytes, dtype: np.dtype) -> np.ndarray:
     raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(dtype.itemsize, -1)
-    return np.ascontiguousarray(raw.T).view(dtype).ravel()
+    return raw.T.copy().view(dtype).ravel()
 
 
 def carried(docs: DataFrame, text_col: str, columns: list[str] | None = None) -> DataFrame:
