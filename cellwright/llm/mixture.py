@@ -5,16 +5,17 @@ distribution with that mean at a uniform number made from a hash of the seed and
 all copies are shuffled globally by a hash. The random numbers belong to rows, so a lost task gives the same copies again.
 
 Per-source figures are one small aggregate; it joins back by source, and Spark broadcasts it only under its own size
-threshold (else the join's skewed partitions are split). Distribution tables are as long as the rate asks.
+threshold (else the join's skewed partitions are split). Distribution tables are as long as the rate asks; a document finds
+its count in them by halving.
 
-Defined results: a null source is a source of its own; null ids hash as the empty string; null or empty texts weigh one
+Defined results: a null source is a source of its own; without an id a row draws by its text; null or empty texts weigh one
 token; without weights a source's share is its share of tokens to the power ``temperature``; sources without a weight
 get none (all weights given); repeated rows draw alike; an empty table gives no rows; other columns are carried.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellwright.llm import textkit as tk
@@ -28,17 +29,30 @@ def hash_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def poisson_table(rate: Column) -> Column:
-    """P(count <= k) for k = 0, 1, ... far beyond the mean, in logarithms so that large rates do not underflow."""
-    top = F.ceil(rate + F.lit(12) * F.sqrt(rate) + 24).cast("int")
-    zero = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("table"))
+def poisson_tables(rates: DataFrame) -> DataFrame:
+    """Adds ``_table``: P(count <= k) for k = 0, 1, ... far beyond the mean, in logarithms so that large rates do not underflow."""
+    top = F.ceil(F.col("rate") + F.lit(12) * F.sqrt("rate") + 24).cast("int")
+    k = F.col("k").cast("double")
+    steps = rates.where("rate > 0").select("_source", "rate", F.explode(F.sequence(F.lit(0), top)).alias("k"))
+    upto = Window.partitionBy("_source").orderBy("k")  # a window of one source's table, as long as its rate asks
+    log_p = k * F.log("rate") - F.col("rate") - F.sum(F.log(F.greatest(k, F.lit(1.0)))).over(upto)
+    steps = steps.withColumn("p", F.exp(log_p)).withColumn("upto", F.sum("p").over(upto))
+    tables = steps.groupBy("_source").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "upto"))), lambda x: x["upto"]).alias("_table"))
+    both = rates.join(tables.withColumnRenamed("_source", "_own"), F.col("_source").eqNullSafe(F.col("_own")), "left").drop("_own")
+    return both.withColumn("_table", F.coalesce("_table", F.array(F.lit(1.0))))
 
-    def step(acc, k):
-        log_p = acc["log_p"] + F.log(rate) - F.log(k.cast("double"))
-        total = acc["sum"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), total.alias("sum"), F.concat(acc["table"], F.array(total)).alias("table"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), top), zero, step)["table"]).otherwise(F.array(F.lit(1.0)))
+def draws(table: Column, u: Column) -> Column:
+    """How many entries of a sorted table are at most u, by halving."""
+    size = F.size(table)
+
+    def half(acc, _):
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        right = (acc["lo"] < acc["hi"]) & (F.get(table, mid) <= u)
+        return F.struct(F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(right | (acc["lo"] >= acc["hi"]), acc["hi"]).otherwise(mid).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(size + F.lit(1))).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), size.alias("hi")), half)["lo"].cast("long")
 
 
 def source_rates(docs: DataFrame, source_col: str, text_col: str, weights: dict[str, float] | None, temperature: float) -> DataFrame:
@@ -68,13 +82,13 @@ def poisson_mix(
     text_col: str = "text",
 ) -> DataFrame:
     """``row`` (all columns), copy (from 1), copies, rate: every document as often as drawn, in shuffled order."""
-    rates = source_rates(docs, source_col, text_col, weights, temperature).withColumn("_table", poisson_table(F.col("rate")))
+    rates = poisson_tables(source_rates(docs, source_col, text_col, weights, temperature))
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    ident = F.coalesce(F.col("row")[id_col].cast("string"), F.lit(""))
+    ident = F.coalesce(F.col("row")[id_col].cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col("row")[text_col], F.lit("")))))
     drawn = (
         row.withColumn("_u", hash_uniform(F.lit(seed), ident))
         .join(rates, F.col("row")[source_col].eqNullSafe(F.col("_source")))
-        .withColumn("copies", F.size(F.filter("_table", lambda p: p <= F.col("_u"))).cast("long"))
+        .withColumn("copies", draws(F.col("_table"), F.col("_u")))
         .where("copies > 0")
         .select("row", "rate", "copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     )
