@@ -347,8 +347,9 @@ def _classed(state: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def near_links(texts: DataFrame, similarity: float, group: int = GROUP, group_runs: int = GROUP_RUNS, leads: int = LEADS) -> DataFrame:
-    """id, cls of every document of ``texts`` (doc_id, text; distinct texts) that has a near duplicate."""
-    mapped = tk.stored(texts.mapInArrow(_map_sketches(similarity), "doc_id long, keys array<long>, labels array<long>"), "sketches")
+    """id, cls of every document of ``texts`` (doc_id, text; distinct texts, rows may repeat) that has a near duplicate."""
+    # rows that repeat are one from here on, where they are small
+    mapped = tk.stored(texts.mapInArrow(_map_sketches(similarity), "doc_id long, keys array<long>, labels array<long>").dropDuplicates(["doc_id"]), "sketches")
     keys = mapped.select("doc_id", F.explode("keys").alias("bucket"))
     labels = mapped.select("doc_id", F.size("labels").alias("n"), F.explode("labels").alias("label"))
     rare = _rarest(labels, [], similarity).where("often > 1").select("doc_id", F.xxhash64("label").alias("bucket"))
@@ -358,7 +359,7 @@ def near_links(texts: DataFrame, similarity: float, group: int = GROUP, group_ru
     tk.discard(mapped)
     # a document in many large buckets is central to its copies: it leads them, so one round links nearly all
     weight = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    runs = tk.stored(texts.join(weight.select("doc_id"), "doc_id").mapInArrow(_map_runs, "doc_id long, size int, runs binary"), "runs")
+    runs = tk.stored(texts.join(weight.select("doc_id"), "doc_id").mapInArrow(_map_runs, "doc_id long, size int, runs binary").dropDuplicates(["doc_id"]), "runs")
     weight = weight.join(runs.select("doc_id", "size"), "doc_id")
     state = tk.stored(members.select("bucket", "doc_id").join(weight, "doc_id"), "round")
     tk.discard(members)
@@ -424,7 +425,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     nth = F.row_number().over(Window.partitionBy("lead").orderBy("h"))
     first = parts.groupBy("h").agg(F.min("lead").alias("lead")).withColumn("nth", nth)
     first = tk.stored(first.select("h", "lead", F.when(F.col("nth") == 1, F.col("lead")).otherwise(-F.shiftrightunsigned(F.xxhash64("lead", "h"), 1) - 1).alias("node")), "nodes")
-    apart = texts.join(first.select("h", F.col("lead").alias("doc_id"), "node"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select(F.col("node").alias("doc_id"), "text")
+    apart = texts.join(first.select("h", F.col("lead").alias("doc_id"), "node"), ["doc_id", "h"]).select(F.col("node").alias("doc_id"), "text")
     found = tk.stored(near_links(apart, similarity, group, leads=leads), "classes")
     classed = first.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
     best = classed.groupBy("cls").agg(F.min(F.struct("lead", "h")).alias("best"))
