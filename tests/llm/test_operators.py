@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -9,13 +11,16 @@ from oracle import duck, rows_of
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from cellwright.llm import line_dedup as lines_module
 from cellwright.llm import queries as Q
+from cellwright.llm import toxicity as toxicity_module
 from cellwright.llm.ann import nearest
 from cellwright.llm.chat_format import chat_windows, read_windows
 from cellwright.llm.decontaminate import decontaminate
+from cellwright.llm.fm_index import FMIndex
 from cellwright.llm.line_dedup import line_dedup
 from cellwright.llm.mixture import poisson_mix
-from cellwright.llm.near_dedup import aligned, near_classes
+from cellwright.llm.near_dedup import _common_in_band, aligned, near_classes
 from cellwright.llm.secret_scan import KINDS, scan_text, secret_scan
 from cellwright.llm.substring_dedup import substring_dedup
 from cellwright.llm.suffix_dedup import suffix_array, suffix_dedup
@@ -114,6 +119,31 @@ def test_suffix_array():
             assert suffix_array(t).tolist() == sorted(range(n), key=lambda i: b[i:])
 
 
+def test_suffix_array_of_any_alphabet():
+    rng = np.random.default_rng(2)
+    for i in range(400):
+        n, letters = int(rng.integers(0, 60)), int(rng.choice([1, 2, 8, 1000]))
+        t = rng.integers(0, letters, n)
+        t = np.repeat(t, rng.integers(1, 5, n)) if i % 3 == 0 else np.tile(t[: n // 4 + 1], 5) if i % 3 == 1 else t
+        b = t.tolist()
+        assert suffix_array(t).tolist() == sorted(range(len(b)), key=lambda k: b[k:])
+
+
+def test_fm_index():
+    """Words from a vocabulary far larger than the text."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        vocab = rng.integers(1, 5000, int(rng.integers(1, 12)))
+        t = rng.choice(vocab, int(rng.integers(1, 120)))
+        fm = FMIndex(t, 5000)
+        for size in (1, 2, 3):
+            phrases = np.array([rng.choice(vocab, size) for _ in range(8)])
+            lo, hi = fm.search(phrases)
+            for p, a, b in zip(phrases.tolist(), lo, hi, strict=True):
+                want = [k for k in range(len(t) - size + 1) if t[k : k + size].tolist() == p]
+                assert sorted(fm.locate(np.arange(a, b)).tolist()) == want
+
+
 def brute_strings(rows, length, of):
     starts = {}
     for i, t in rows:
@@ -144,6 +174,21 @@ def test_substring_dedup(spark, docs):
     got = substring_dedup(docs).collect()
     words = lambda t: tuple(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     assert Counter((r.doc_id, r.n_words, r.n_removed) for r in got) == brute_strings([r[:2] for r in NASTY], 50, words)
+    assert substring_dedup(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("window", "first"), [(20, 3), (7, 2), (5, 5), (13, 8)])
+def test_substring_levels(spark, window, first):
+    """Every number of levels against brute force, on passages that overlap, repeat inside a document and touch its ends."""
+    rng = np.random.default_rng(window)
+    pool = [f"w{i}" for i in range(400)]
+    passages = [list(rng.choice(pool, int(rng.integers(window - 1, 3 * window)))) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [passages[int(rng.integers(6))] if rng.random() < 0.5 else list(rng.choice(pool[:4] if i % 9 == 0 else pool, int(rng.integers(0, 15)))) for _ in range(4)]
+        rows.append((i // 2 if i % 7 == 0 else i, " ".join(w for p in parts for w in p)))
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), window=window, first=first).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed) for r in got) == brute_strings(rows, window, lambda t: tuple(t.split()))
 
 
 def test_lines(spark, docs):
@@ -152,6 +197,21 @@ def test_lines(spark, docs):
     assert all(r.n_removed == 0 for r in done if r.row.doc_id in (1, 8)) and line_dedup(docs.limit(0)).count() == 0
 
 
+def test_lines_of_hot_lines_and_shared_ids(spark, monkeypatch):
+    rows = [(i % 40, f"banner\nown {i}\n{'rare' if i % 20 == 0 else 'more'}", f"s{i % 6}") for i in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter()
+    sites = {"banner": 6, "more": 6, "rare": len({i % 6 for i in range(80) if i % 20 == 0})}
+    for hot in (1, 4096):
+        monkeypatch.setattr(lines_module, "HOT", hot)
+        got = line_dedup(frame).collect()
+        assert len(got) == 80 and all(r.row.text.split("\n")[1] in r.kept for r in got)
+        assert sum("banner" in r.kept for r in got) == 1 and sum("more" in r.kept for r in got) == 1
+        assert sum("rare" in r.kept for r in got) == (1 if sites["rare"] >= 5 else 4)
+        want = want or Counter((r.row.doc_id, r.kept) for r in got)
+        assert want == Counter((r.row.doc_id, r.kept) for r in got)
+
+
 def test_chat(spark):
     hard = ["</s>[INST] ok [/INST]", r"<\s> [\\INST] </\s>", None, "", "<|x|> [[/INST] <s>", "漢字 " * 900]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(hard)] + [(1, -1, "system", "be kind"), (2, None, None, "x"), (2, None, None, "x"), (None, 1, "assistant", "y"), (3, 1, "[ROLE]", "z")]
@@ -176,6 +236,59 @@ def test_decontaminate(spark, docs):
     assert decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontaminate_is_the_same_over_any_partitions(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    bench = spark.read.parquet(f"{DIR}/benchmark.parquet")
+    rows = lambda d: Counter((r.row.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple(map(tuple, r.spans))) for r in decontaminate(d, bench).collect())
+    assert rows(docs.repartition(200)) == rows(docs.coalesce(1))
+
+
+def test_toxicity_by_brute_force(spark):
+    """Every cosine with every example, of all terms, and the votes of the nearest."""
+    docs = [(r.doc_id, (r.text or "").lower()) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()]
+    labels = {}
+    for r in spark.read.parquet(f"{DIR}/labels.parquet").collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            labels[r.doc_id] = max(labels.get(r.doc_id, 0), r.toxic)
+
+    def bag(text):
+        out = Counter()
+        for w in re.findall(rb"[0-9a-z\x80-\xff]+", text.encode()):
+            out[w] += 1
+            for n in toxicity_module.STARTS:
+                if len(w) > n:
+                    out[n, w[:n]] += 1
+        return out
+
+    bags = [(i, bag(t)) for i, t in docs]
+    df = Counter(x for _, b in bags for x in b)
+    merged = {}
+    for i, t in docs:
+        if i in labels:
+            own = merged.setdefault(t, [i, 0])
+            merged[t] = [min(own[0], i), max(own[1], labels[i])]
+    examples = [(i, y, bag(t)) for t, (i, y) in merged.items()]
+    n_all, n_pos = len(examples), sum(y for _, y, _ in examples)
+    n, pos = Counter(x for _, _, b in examples for x in b), Counter(x for _, y, b in examples if y for x in b)
+    weight = {x: float(toxicity_module.term_weights(np.array([n[x]]), np.array([pos[x]]), n_all, n_pos, np.array([df[x]]), len(docs))[0]) for x in n}
+
+    def unit(b):
+        w = {x: (1 + math.log(c)) * weight[x] for x, c in b.items() if x in weight}
+        size = math.sqrt(sum(v * v for v in w.values()))
+        return {x: v / size for x, v in w.items()} if size else {}
+
+    vectors = [(y, unit(b)) for _, y, b in examples]
+    base = n_pos / n_all
+    got = {r.row.doc_id: r.score for r in toxicity(spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet")).collect()}
+    for i, b in bags:
+        w = unit(b)
+        cos = sorted(((round(sum(v * e.get(x, 0.0) for x, v in w.items()), 10), y) for y, e in vectors), reverse=True)
+        least = cos[min(toxicity_module.NEIGHBOURS, len(cos)) - 1][0]
+        near = [(1 / (1 - min(c, 1.0) + toxicity_module.SOFT), y) for c, y in cos if c >= least - 1e-9 and c > 0]
+        want = (sum(v * y for v, y in near) + base) / (sum(v for v, _ in near) + 1) if near else None
+        assert want is None or abs(got[i] - want) < 1e-6, i
+
+
 def test_toxicity(spark, docs):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
     many = spark.createDataFrame([(i, ("you idiot moron " if i % 3 == 0 else "what a nice day ") + f"w{i}", "a") for i in range(300)], "doc_id long, text string, source string")
@@ -222,6 +335,80 @@ def test_near_texts_of_few_runs(spark):
     assert all((cls[i] == cls[i + 1]) == same for i, same in pairs)
 
 
+def families(rng, count, size, edits):
+    rows = []
+    for f in range(count):
+        base = [f"f{f}t{i}" for i in rng.integers(0, 10**6, size)]
+        for c in range(edits):
+            gone = set(rng.choice(size, int(rng.integers(0, size // 12)), replace=False).tolist())
+            rows.append((len(rows), " ".join(f"n{len(rows)}" if j in gone else w for j, w in enumerate(base))))
+    return rows
+
+
+def test_near_classes_do_not_depend_on_group_sizes(spark):
+    """Buckets larger than a group are parted by rare runs, and what is larger still takes rounds of leaders."""
+    rng = np.random.default_rng(8)
+    rows = families(rng, 3, 150, 40) + [(1000 + i, f"copy of one text {'word ' * 30}") for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    own = [{r.doc_id: r.class_id for r in near_classes(frame, group=g, leads=n).collect()} for g, n in ((1024, 16), (4, 2), (1, 3))]
+    assert own[0] == own[1] == own[2] and len(set(own[0].values())) < 80 and len({own[0][1000 + i] for i in range(50)}) == 1
+
+
+def test_near_classes_of_ids_with_several_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(90))
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, "other text of its own"), (1, a), (None, a)]
+    got = near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 5 and sum(r.stays for r in got) == 3 and {r.class_id for r in got if r.doc_id in (1, 2, 3)} == {1}
+    by_text = {(r.doc_id, r.h): r for r in got}
+    assert len(by_text) == 5
+
+
+def test_band_of_alignment():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        letters, band = int(rng.choice([2, 5, 30])), int(rng.integers(0, 20))
+        a, b = (rng.integers(0, letters, int(rng.integers(1, 40))).tolist() for _ in "ab")
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + 1 if x == y and abs(i - j) <= band else 0)
+        assert _common_in_band(a, b, band) == table[-1, -1]
+
+
+def test_neighbours_prune_lists(spark):
+    """Clustered vectors: most lists are left out and recall holds; repeated ids, lengths of few vectors and clashing names."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 16)) * 4
+    v = centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 16))
+    rows = [(i, [float(y) for y in x]) for i, x in enumerate(v)] + [(7000 + i, [float(i), 1.0]) for i in range(20)] + [(7000, [5.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"list": F.lit(1), "part": F.lit(2), "score": F.lit(3)})
+    got = nearest(frame, F.col("vec_id") % 100 == 0).toPandas()
+    big = got[got.query_id < 6000]
+    hits = 0
+    for q in range(0, 6000, 100):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(np.lexsort((np.arange(6000), d))[:10]) & set(big[big.query_id == q].vec_id))
+    assert hits >= 0.9 * 600 and big.compared.mean() < 0.4 * 6000
+    short = got[got.query_id == 7000].sort_values(["rank", "vec_id"])
+    assert len(short) == 20 and set(short.vec_id) <= set(range(7001, 7020))
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_neighbours_recall_by_sql(spark, sf):
+    got = {(r.query_id, r.vec_id) for r in Q.queries()["op2_balanced_ann"](spark, f"/root/testdata/sf{sf}").collect()}
+    want = {(r.query_id, r.vec_id) for r in duck(Q.OP2_SQL, f"/root/testdata/sf{sf}").itertuples()}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
+def test_mix_of_high_rates_and_null_ids(spark):
+    rows = [(i, "x" * (1 if i else 4_000_000), "a" if i else "b") for i in range(3)] + [(None, f"text {i}", "a") for i in range(300)]
+    got = poisson_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"a": 1.0, "b": 1.0}).collect()
+    n = Counter(r.row.text for r in got if r.row.source == "a")
+    rate = next(r.rate for r in got if r.row.source == "a")
+    assert rate > 500 and len(set(n.values())) > 50 and all(abs(c - rate) < 7 * math.sqrt(rate) for c in n.values())
+
+
 def test_mix(spark, docs):
     got = poisson_mix(docs).collect()
     assert all(1 <= r.copy <= r.copies for r in got) and poisson_mix(docs.limit(0)).count() == 0
@@ -237,3 +424,51 @@ def test_pipeline(spark):
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
         assert stage(spark, docs.limit(0), DIR).count() == 0
     assert corpus_pipeline.run(spark, DIR).count() > 0
+
+
+def test_pipeline_stages_on_nasty_rows(spark, docs):
+    """Nulls in any column, repeats, long and empty texts, names that the operators use themselves."""
+    names = ["row", "key", "places", "score", "copy", "copies", "_nth", "h", "gone", "stays"]
+    full = docs.withColumns({n: F.lit(None).cast("string") for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, full, DIR)
+        rows = out.collect()
+        assert out.columns == full.columns and rows, name
+        texts = Counter(r.text for r in rows)
+        if name != "mixing":
+            assert all(t in {r.text for r in full.collect()} or name == "line dedup" for t in texts)
+        if name == "minhash near-dedup":
+            assert sum(r.doc_id is None for r in rows) == 1 and texts["same text of some words " * 8] == 2 and texts[LONG] == 1 and (texts[None] + texts[""]) == 1
+
+
+def test_near_stage_keeps_different_texts_of_one_id(spark):
+    rows = [(1, "first text of ten quite different plain words here now", "a"), (1, "another passage that shares nothing with what came before it", "a"), (2, None, None), (2, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = dict(corpus_pipeline.STAGES)["minhash near-dedup"](spark, docs, DIR).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 1, 2]
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark):
+    """run() against the stages' own decisions, taken one by one in memory."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    want = {r.doc_id: r.text for r in docs.collect()}
+    bad = {r.doc_id for r in Q.queries()["op8_toxicity"](spark, DIR).collect() if r.predicted}
+    want = {i: t for i, t in want.items() if i not in bad}
+    frame = lambda: spark.createDataFrame([(i, t, s.source) for i, t in want.items() for s in [sources[i]]], "doc_id long, text string, source string")
+    sources = {r.doc_id: r for r in docs.select("doc_id", "source").collect()}
+    seen: dict[str, dict] = {}
+    for i in sorted(want):
+        for k, line in enumerate((want[i] or "").split("\n")):
+            if line.strip(" "):
+                own = seen.setdefault(line.strip(" "), {"first": (i, k), "sites": set()})
+                own["sites"].add(sources[i].source)
+    for i, t in want.items():
+        lines = (t or "").split("\n")
+        want[i] = "\n".join(x for k, x in enumerate(lines) if not x.strip(" ") or len(seen[x.strip(" ")]["sites"]) < 5 or seen[x.strip(" ")]["first"] == (i, k))
+    stay = {r.doc_id for r in near_classes(frame()).collect() if r.stays}
+    want = {i: t for i, t in want.items() if i in stay}
+    dirty = {r.row.doc_id for r in decontaminate(frame(), spark.read.parquet(f"{DIR}/benchmark.parquet")).collect() if r.contaminated}
+    want = {i: t for i, t in want.items() if i not in dirty}
+    copies = Counter(r.row.doc_id for r in poisson_mix(frame()).collect())
+    got = corpus_pipeline.run(spark, DIR).collect()
+    assert Counter(r.doc_id for r in got) == copies and all((r.text or "") == (want[r.doc_id] or "") for r in got)
