@@ -7,7 +7,8 @@
 3. Every entry goes to its nearest list, and boundary entries to up to ``REPLICAS`` lists whose distance is within
    ``BOUNDARY`` of the nearest and that lie in another direction (no list taken before is nearer to it than the entry).
    Lists are cut into parts of about ``PART_ROWS`` rows, so no task holds a whole hot list.
-4. A query visits all lists within ``RATIO`` of its nearest centroid's distance and at least ``LEAST_LISTS``; the walk
+4. A query visits all lists within a ratio of its nearest centroid's distance and at least ``LEAST_LISTS``; the ratio is
+   ``1 + spread / sqrt(length)``, as distances draw together in longer vectors; the walk
    through the graph widens until the ratio ends the list, so nothing else cuts it off. In each part its distances are
    exact. Partial results merge by ranking. ``compared`` tells how many entries a query met, copies in several lists included.
 
@@ -15,8 +16,8 @@ Vectors meet vectors of their own length. Each length that holds ``SHARE`` of th
 in parts, searched whole. Only samples, centroids and one count a list reach the driver; all are bounded by parameters.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite numbers take no part, nor do rows with a
-null id; rows with one id and one vector are one row; an id with several vectors asks with each, and its results are ranked
-for each; a table without candidates gives no rows; other columns are ignored.
+null id; rows with one id and one vector are one row; an id with several vectors asks with each, its results are ranked for
+each, and its other rows are candidates; a table without candidates gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from cellwright.llm import textkit as tk
 from cellwright.llm.centroid_graph import CentroidGraph, balanced_centroids
 
 K, SAMPLE, SAMPLE_BYTES, LIST_ROWS, MAX_LISTS = 10, 1 << 17, 64 << 20, 64, 1 << 15
-REPLICAS, BOUNDARY, RATIO, LEAST_LISTS, PART_ROWS, SHARE = 4, 0.1, 1.18, 4, 4096, 1 / 16
+REPLICAS, BOUNDARY, SPREAD, LEAST_LISTS, PART_ROWS, SHARE = 4, 0.1, 1.5, 4, 4096, 1 / 16
 QUERY_BLOCK = 256
 
 
@@ -166,13 +167,13 @@ VISITS = "list int, part int, q_lead long, q_h long, met long, vec array<double>
 
 def _whole(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries of rare lengths: a list a length, in parts, and every part of it for each query."""
-    listed = entries.withColumn("list", -F.size("vec"))
-    by_list = _sizes(listed)
-    asked = listed.where("asks").join(by_list, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    listed = tk.stored(entries.withColumn("list", -F.size("vec")), "lists")
+    by_list = tk.stored(_sizes(listed), "sizes")
+    asked = entries.where("asks").withColumn("list", -F.size("vec")).join(by_list, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return _parted(listed, by_list), asked.select("list", "part", F.col("lead").alias("q_lead"), F.col("h").alias("q_h"), F.col("n").alias("met"), "vec")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, ratio: float = RATIO, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = K, spread: float = SPREAD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score, compared: the nearest rows found for every row that ``is_query`` picks."""
     spark = vectors.sparkSession
     vec = F.col("vec")
@@ -194,7 +195,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, ratio: float = RAT
     common = entries.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).where(F.col("n") >= SHARE * total).collect()
     found = []
     for r in common:
-        found.append(_indexed(entries.where(F.size("vec") == r.dim), r.dim, r.n, ratio))
+        found.append(_indexed(entries.where(F.size("vec") == r.dim), r.dim, r.n, 1 + spread / r.dim**0.5))
     if sum(r.n for r in common) < total:
         found.append(_whole(entries.where(~F.size("vec").isin([r.dim for r in common]))))
     schema = "q_lead long, q_h long, met long, lead long, h long, ids array<long>, score double"
@@ -202,12 +203,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, ratio: float = RAT
     by_query = Window.partitionBy("q_lead", "q_h")
     found = found.withColumn("nth", F.dense_rank().over(by_query.orderBy("score", "lead", "h"))).where(F.col("nth") <= k + 1)
     found = found.groupBy("q_lead", "q_h", "lead", "h").agg(F.first("ids").alias("ids"), F.first("score").alias("score"), F.first("met").alias("compared"))
-    found = found.select("q_lead", "q_h", "score", "compared", F.explode("ids").alias("vec_id"))
-    found = found.withColumn("nth", F.row_number().over(by_query.orderBy("score", "vec_id"))).where(F.col("nth") <= k + 1)
+    found = found.select("q_lead", "q_h", "score", "compared", ((F.col("lead") == F.col("q_lead")) & (F.col("h") == F.col("q_h"))).alias("same"), F.explode("ids").alias("vec_id"))
+    found = found.withColumn("nth", F.row_number().over(by_query.orderBy("score", "vec_id", "same"))).where(F.col("nth") <= k + 1)
     # the queries of a vector take its entry's results, without themselves
     leads = entries.where("asks").select(F.col("lead").alias("q_lead"), F.col("h").alias("q_h"), "h", "vec")
     who = asked.join(leads, ["h", "vec"]).select(F.col("id").alias("query_id"), "q_lead", "q_h")
-    each = who.join(found, ["q_lead", "q_h"]).where("vec_id <> query_id")
+    each = who.join(found, ["q_lead", "q_h"]).where("NOT (same AND vec_id = query_id)")
     rank = F.row_number().over(Window.partitionBy("query_id", "q_lead", "q_h").orderBy("score", "vec_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "compared")
 
