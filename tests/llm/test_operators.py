@@ -340,7 +340,7 @@ def families(rng, count, size, edits):
     for f in range(count):
         base = [f"f{f}t{i}" for i in rng.integers(0, 10**6, size)]
         for c in range(edits):
-            gone = set(rng.choice(size, int(rng.integers(0, size // 12)), replace=False).tolist())
+            gone = set(rng.choice(size, int(rng.integers(0, size // 50)), replace=False).tolist())
             rows.append((len(rows), " ".join(f"n{len(rows)}" if j in gone else w for j, w in enumerate(base))))
     return rows
 
@@ -391,7 +391,7 @@ def test_neighbours_prune_lists(spark):
         hits += len(set(np.lexsort((np.arange(6000), d))[:10]) & set(big[big.query_id == q].vec_id))
     assert hits >= 0.9 * 600 and big.compared.mean() < 0.4 * 6000
     short = got[got.query_id == 7000].sort_values(["rank", "vec_id"])
-    assert len(short) == 20 and set(short.vec_id) <= set(range(7001, 7020))
+    assert len(short) == 20 and set(short.vec_id) <= set(range(7000, 7020)) and not ((short.vec_id == 7000) & (short.score == 0)).any()
 
 
 @pytest.mark.parametrize("sf", ["0.01", "0.1"])
@@ -404,7 +404,7 @@ def test_neighbours_recall_by_sql(spark, sf):
 def test_mix_of_high_rates_and_null_ids(spark):
     rows = [(i, "x" * (1 if i else 4_000_000), "a" if i else "b") for i in range(3)] + [(None, f"text {i}", "a") for i in range(300)]
     got = poisson_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"a": 1.0, "b": 1.0}).collect()
-    n = Counter(r.row.text for r in got if r.row.source == "a")
+    n = Counter(r.row.text for r in got if r.row.doc_id is None)
     rate = next(r.rate for r in got if r.row.source == "a")
     assert rate > 500 and len(set(n.values())) > 50 and all(abs(c - rate) < 7 * math.sqrt(rate) for c in n.values())
 
