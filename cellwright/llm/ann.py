@@ -6,7 +6,8 @@
    into cells of one size; their means are the centroids, and a neighbour graph of them is searched in memory.
 3. Every entry goes to its nearest list, and boundary entries to up to ``REPLICAS`` lists whose distance is within
    ``BOUNDARY`` of the nearest and that lie in another direction (no list taken before is nearer to it than the entry).
-   Lists are cut into parts of about ``PART_ROWS`` rows, so no task holds a whole hot list.
+   Neighbouring lists are packed into shards of about ``PART_ROWS`` rows and longer ones cut, so no task holds a whole hot
+   list and a query gets one partial result a shard.
 4. A query visits all lists within a ratio of its nearest centroid's distance and at least ``LEAST_LISTS``; the ratio is
    ``1 + spread / sqrt(length)``, as distances draw together in longer vectors; the walk
    through the graph widens until the ratio ends the list, so nothing else cuts it off. In each part its distances are
@@ -74,59 +75,76 @@ def _map_lists(shared):
 
 
 def _map_routes(shared, ratio: float):
-    """Each query's lists, cut off by the ratio of distances, with all parts of each."""
+    """Each query's lists, cut off by the ratio of distances, as a row per shard that holds any of them."""
 
     def lists_of(graph, x):
-        beam = 64
-        while True:
-            ids, d = graph.search(x, beam)
+        """Lists within the ratio, and at least LEAST_LISTS: the walk widens for the queries whose lists it does not end yet."""
+        out, live, beam = [None] * len(x), np.arange(len(x)), 64
+        while len(live):
+            ids, d = graph.search(x[live], beam)
             d = np.sqrt(d)
-            if beam >= len(graph.c) or (d[:, -1] > d[:, 0] * ratio).all():
-                return ids, d
-            beam *= 2
+            ended = (d[:, -1] > d[:, 0] * ratio) | (beam >= len(graph.c))
+            for i in np.flatnonzero(ended).tolist():
+                keep = np.isfinite(d[i]) & ((d[i] <= d[i, 0] * ratio) | (np.arange(d.shape[1]) < LEAST_LISTS))
+                out[live[i]] = ids[i][keep]
+            live, beam = live[~ended], beam * 2
+        return out
 
     def run(batches):
-        graph, counts, parts = shared.value
+        graph, counts, first, parts = shared.value
         for batch in batches:
             if not len(batch):
                 continue
+            rows, shards, wanted, met = [], [], [], []
             x = _rows_of(batch, "vec")
             for i in range(0, len(x), 1024):
-                ids, d = lists_of(graph, x[i : i + 1024])
-                keep = np.isfinite(d) & (counts[ids] > 0)
-                keep &= (d <= d[:, :1] * ratio) | (np.cumsum(keep, 1) <= LEAST_LISTS)
-                row, col = np.nonzero(keep)
-                own = ids[row, col]
-                met = np.bincount(row, counts[own], len(ids)).astype(np.int64)
-                n = parts[own]
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                row = np.repeat(row, n)
-                part = batch.slice(i, 1024).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(own, n).astype(np.int32)), pa.array(at.astype(np.int32)), part.column("lead"), part.column("h"), pa.array(met[row]), part.column("vec")],
-                    names=["list", "part", "q_lead", "q_h", "met", "vec"],
-                )
+                for q, lists in enumerate(lists_of(graph, x[i : i + 1024]), i):
+                    n = parts[lists]
+                    shard = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[lists], n)
+                    of = np.repeat(lists, n)
+                    order = np.argsort(shard, kind="stable")
+                    shard, of = shard[order], of[order]
+                    cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
+                    rows += [q] * len(cut)
+                    shards += shard[cut].tolist()
+                    wanted += np.split(of, cut[1:]) if len(cut) else []
+                    met += [int(counts[lists].sum())] * len(cut)
+            part = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shards, pa.int32()), part.column("lead"), part.column("h"), pa.array(met, pa.int64()), pa.array([w.tolist() for w in wanted], pa.list_(pa.int32())), part.column("vec")],
+                names=["shard", "q_lead", "q_h", "met", "wanted", "vec"],
+            )
 
     return run
 
 
-def _search_part(k: int):
-    """Of one part of a list: the nearest k + 1 entries of every query that visits it, by exact distances."""
+def _search_shard(k: int):
+    """Of one shard: the nearest k + 1 entries, by exact distances, in the lists that each query wants of it."""
     names = ["q_lead", "q_h", "met", "lead", "h", "ids", "score"]
     schema = pa.schema([("q_lead", pa.int64()), ("q_h", pa.int64()), ("met", pa.int64()), ("lead", pa.int64()), ("h", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
 
     def run(entries: pa.Table, asked: pa.Table) -> pa.Table:
         out = [schema.empty_table()]
         if len(entries) and len(asked):
+            # copies of one entry in several lists are one
+            key = np.stack([entries.column(c).to_numpy() for c in ("lead", "h")], 1)
+            _, first, of = np.unique(key, axis=0, return_index=True, return_inverse=True)
+            lists, own = np.unique(entries.column("list").to_numpy(), return_inverse=True)
+            member = np.zeros((len(first), len(lists)), np.float32)
+            member[of.ravel(), own] = 1
+            entries = entries.take(pa.array(first))
             x = _rows_of(entries, "vec")
             norm = (x**2).sum(1)
-            m = min(k + 1, len(x))
             for i in range(0, len(asked), QUERY_BLOCK):
                 block = asked.slice(i, QUERY_BLOCK)
                 q = _rows_of(block, "vec")
-                rough = norm[None] + (q**2).sum(1)[:, None] - 2 * q @ x.T
+                wants = np.zeros((len(block), len(lists)), np.float32)
+                for j, w in enumerate(block.column("wanted").to_pylist()):
+                    wants[j, np.searchsorted(lists, np.intersect1d(w, lists))] = 1
+                rough = np.where(wants @ member.T > 0, norm[None] + (q**2).sum(1)[:, None] - 2 * q @ x.T, np.inf)
+                m = min(k + 1, len(x))
                 last = np.partition(rough, m - 1, 1)[:, m - 1 : m]
-                row, col = np.nonzero(rough <= last + 1e-9 * (1 + norm.max()))
+                row, col = np.nonzero(np.isfinite(rough) & (rough <= last + 1e-9 * (1 + norm.max())))
                 score = np.sqrt(((q[row] - x[col]) ** 2).sum(1))
                 a, b = block.take(pa.array(row)), entries.take(pa.array(col))
                 out.append(pa.table([a.column("q_lead"), a.column("q_h"), a.column("met"), b.column("lead"), b.column("h"), b.column("ids"), pa.array(score)], names=names).cast(schema))
@@ -135,18 +153,18 @@ def _search_part(k: int):
     return run
 
 
-def _parted(listed: DataFrame, by_list: DataFrame) -> DataFrame:
-    """Entries of lists with the part each one is in; lists are few (a bounded number of rows), so Spark broadcasts them by size."""
-    dealt = listed.join(by_list.select("list", "parts"), "list").withColumn("part", F.pmod(F.xxhash64("lead", "h"), F.col("parts")).cast("int"))
-    return dealt.select("list", "part", "lead", "h", "ids", "vec")
-
-
-def _sizes(listed: DataFrame) -> DataFrame:
-    return listed.groupBy("list").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int"))
+def _sharded(listed: DataFrame, lists: DataFrame) -> DataFrame:
+    """Entries of lists (list, first, parts) with the shard each one is in; lists are a bounded number of rows."""
+    shard = F.col("first") + F.pmod(F.xxhash64("lead", "h"), F.col("parts")).cast("int")
+    return listed.join(lists, "list").select(shard.alias("shard"), "list", "lead", "h", "ids", "vec")
 
 
 def _indexed(entries: DataFrame, dim: int, n: int, ratio: float) -> tuple[DataFrame, DataFrame]:
-    """Entries of one length by list and part, and the parts that each query visits."""
+    """Entries of one length by shard, and the shards that each query visits.
+
+    Neighbouring lists share a shard of about PART_ROWS entries, so that a query gets one partial result for all of them; a
+    longer list is dealt over several shards.
+    """
     spark = entries.sparkSession
     most = max(64, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
     drawn = entries.orderBy(F.xxhash64("h"), "lead").limit(most).select("vec").toArrow()
@@ -154,23 +172,35 @@ def _indexed(entries: DataFrame, dim: int, n: int, ratio: float) -> tuple[DataFr
     graph = CentroidGraph(balanced_centroids(sample, min(MAX_LISTS, -(-n // LIST_ROWS), max(1, len(sample) // 4))))
     shared = spark.sparkContext.broadcast(graph)
     listed = tk.stored(entries.mapInArrow(_map_lists(shared), "list int, lead long, h long, ids array<long>, vec array<double>"), "lists")
-    by_list = _sizes(listed)
-    counts, parts = np.zeros(len(graph.c), np.int64), np.zeros(len(graph.c), np.int64)
-    for r in by_list.collect():  # a row a list, MAX_LISTS at most
-        counts[r.list], parts[r.list] = r.n, r.parts
-    routes = spark.sparkContext.broadcast((graph, counts, parts))
-    return _parted(listed, by_list), entries.where("asks").mapInArrow(_map_routes(routes, ratio), VISITS)
-
-
-VISITS = "list int, part int, q_lead long, q_h long, met long, vec array<double>"
+    counts = np.zeros(len(graph.c), np.int64)
+    for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row a list, MAX_LISTS at most
+        counts[r.list] = r.n
+    parts, first, at, filled = np.maximum(1, -(-counts // PART_ROWS)), np.zeros(len(counts), np.int64), 0, 0
+    for i in range(len(counts)):
+        if filled and filled + counts[i] > PART_ROWS:
+            at, filled = at + 1, 0
+        first[i] = at
+        if parts[i] > 1:
+            at, filled = at + int(parts[i]), 0
+        else:
+            filled += int(counts[i])
+    lists = spark.createDataFrame(list(zip(range(len(counts)), first.tolist(), parts.tolist(), strict=True)), "list int, first int, parts int")
+    routes = spark.sparkContext.broadcast((graph, counts, first, parts))
+    return _sharded(listed, lists), entries.where("asks").mapInArrow(_map_routes(routes, ratio), VISITS)
+
+
+VISITS = "shard int, q_lead long, q_h long, met long, wanted array<int>, vec array<double>"
 
 
 def _whole(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of rare lengths: a list a length, in parts, and every part of it for each query."""
+    """Entries of rare lengths: a list a length, in shards of its own, and every one of them for each query."""
     listed = tk.stored(entries.withColumn("list", -F.size("vec")), "lists")
-    by_list = tk.stored(_sizes(listed), "sizes")
-    asked = entries.where("asks").withColumn("list", -F.size("vec")).join(by_list, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return _parted(listed, by_list), asked.select("list", "part", F.col("lead").alias("q_lead"), F.col("h").alias("q_h"), F.col("n").alias("met"), "vec")
+    sizes = listed.groupBy("list").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int"))
+    # shards below zero, those of one length in a row
+    lists = tk.stored(sizes.withColumn("first", (-F.sum("parts").over(Window.partitionBy(F.lit(0)).orderBy("list"))).cast("int")), "sizes")
+    asked = entries.where("asks").withColumn("list", -F.size("vec")).join(lists, "list").withColumn("shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)))
+    visits = asked.select("shard", F.col("lead").alias("q_lead"), F.col("h").alias("q_h"), F.col("n").alias("met"), F.array("list").alias("wanted"), "vec")
+    return _sharded(listed, lists.select("list", "first", "parts")), visits
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, spread: float = SPREAD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -199,7 +229,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, spread: float = SP
     if sum(r.n for r in common) < total:
         found.append(_whole(entries.where(~F.size("vec").isin([r.dim for r in common]))))
     schema = "q_lead long, q_h long, met long, lead long, h long, ids array<long>, score double"
-    found = reduce(DataFrame.unionByName, [dealt.groupBy("list", "part").cogroup(visits.groupBy("list", "part")).applyInArrow(_search_part(k), schema) for dealt, visits in found])
+    found = reduce(DataFrame.unionByName, [dealt.groupBy("shard").cogroup(visits.groupBy("shard")).applyInArrow(_search_shard(k), schema) for dealt, visits in found])
     by_query = Window.partitionBy("q_lead", "q_h")
     found = found.withColumn("nth", F.dense_rank().over(by_query.orderBy("score", "lead", "h"))).where(F.col("nth") <= k + 1)
     found = found.groupBy("q_lead", "q_h", "lead", "h").agg(F.first("ids").alias("ids"), F.first("score").alias("score"), F.first("met").alias("compared"))
