@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from cellwright.llm import textkit as tk
 
-EXAMPLES, RELEVANT = 2000, 64.0
-NEIGHBOURS, SOFT, PRIOR, BLOCK, THRESHOLD = 25, 0.05, 1.0, 64, 0.3
+EXAMPLES, RELEVANT = 1500, 64.0
+NEIGHBOURS, SOFT, PRIOR, BLOCK, THRESHOLD = 25, 0.05, 1.0, 256, 0.3
 STARTS = (6,)
 #: Letters and digits of lower-cased ASCII, and every other byte above it.
 WORD = np.zeros(256, bool)
