@@ -21,6 +21,7 @@ a null id is not held out; repeated rows score alike; an empty table gives no ro
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -33,6 +34,8 @@ from cellwright.llm import textkit as tk
 EXAMPLES, RELEVANT = 1500, 64.0
 NEIGHBOURS, SOFT, PRIOR, BLOCK, THRESHOLD = 25, 0.05, 1.0, 256, 0.3
 STARTS = (6,)
+#: Bytes of text whose terms are held at once.
+SLICE_BYTES = 1 << 20
 #: Letters and digits of lower-cased ASCII, and every other byte above it.
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
@@ -59,7 +62,7 @@ def _count_terms(batches):
         buf, offs = tk.text_column(batch, "text")
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
         hs, ys = [], []
-        for i, j in tk.slices(offs):
+        for i, j in tk.slices(offs, SLICE_BYTES):
             for h, doc, _, _ in terms(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
                 order = np.lexsort((doc, h))
                 h, doc = h[order], doc[order]
@@ -111,7 +114,7 @@ def _map_frequencies(shared):
         for batch in batches:
             buf, offs = tk.text_column(batch, "text")
             df[-1] += len(batch)
-            for i, j in tk.slices(offs):
+            for i, j in tk.slices(offs, SLICE_BYTES):
                 df += np.bincount(lexicon.counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[1], minlength=len(df))
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), pa.array(df[term])], names=["term", "df"])
@@ -127,7 +130,7 @@ def _map_vectors(shared):
         for batch in batches:
             buf, offs = tk.text_column(batch, "text")
             ids, counts = [], []
-            for i, j in tk.slices(offs):
+            for i, j in tk.slices(offs, SLICE_BYTES):
                 doc, term, count, _ = lexicon.counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
                 ids += tk.ragged(term.astype("<i4"), cut)
@@ -231,12 +234,12 @@ def _map_scores(lexicon_shared, index_shared):
         for batch in batches:
             buf, offs = tk.text_column(batch, "text")
             scores = []
-            for i, j in tk.slices(offs):
+            for i, j in tk.slices(offs, SLICE_BYTES):
                 part = buf[offs[i] : offs[j]]
                 doc, term, count, span = lexicon.counts(part, offs[i : j + 1] - offs[i])
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
                 for a, b in zip(cut[:-1], cut[1:], strict=True):
-                    key = term[a:b].tobytes() + count[a:b].tobytes()
+                    key = hashlib.blake2b(term[a:b].tobytes() + count[a:b].tobytes(), digest_size=16).digest()
                     if key not in known:
                         if len(known) > 10_000:
                             known.clear()
