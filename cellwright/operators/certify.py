@@ -12,14 +12,29 @@ from pyspark.sql import types as T
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P(X <= k), summed in logarithms."""
+    """P(X <= k), as a regularised incomplete beta function by its continued fraction: no sum over the counts."""
     if k < 0:
         return 0.0
-    if k >= n:
+    if k >= n or p <= 0:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+    if p >= 1:
+        return 0.0
+    a, b, x = n - k, k + 1, 1 - p
+    flip = x > (a + 1) / (a + b + 2)
+    if flip:
+        a, b, x = b, a, 1 - x
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, value, c, d = 1e-300, 1.0, 1.0, 0.0
+    for i in range(10_000):
+        m = i // 2
+        term = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + term * d or tiny)
+        c = 1 + term / c or tiny
+        value *= c * d
+        if abs(1 - c * d) < 1e-14:
+            break
+    out = min(1.0, front * (value - 1))
+    return 1 - out if flip else out
 
 
 def hoeffding_bentkus(loss: float, n: int, alpha: float) -> float:
@@ -77,17 +92,72 @@ def certify(tune: DataFrame, calibration: DataFrame, alpha: float, delta: float)
     return rows.withColumn("certified", F.col("worst") <= delta).drop("worst")
 
 
+def certify_states(tune: DataFrame, calibration: DataFrame, by: list[str], alpha: float, delta: float) -> DataFrame:
+    """``certify`` of several families of settings at once, from states: rows of ``by``, setting and state."""
+    sent, unsafe, useful = F.col("state") != "abstained", F.col("state") == "unsupported", F.col("state") == "supported_useful"
+    order = tune.groupBy(*by, "setting").agg(F.coalesce(F.try_divide(F.count_if(unsafe), F.count_if(sent)), F.lit(0.0)).alias("tune_risk"), F.avg(sent.cast("double")).alias("tune_coverage"))
+    loss = (F.count_if(unsafe) - alpha * F.count_if(sent) + alpha * F.count("*")) / (1 + alpha) / F.count("*")
+    measured = calibration.groupBy(*by, "setting").agg(F.count("*").alias("n"), loss.alias("loss"), F.avg(useful.cast("double")).alias("useful_coverage"), F.coalesce(F.try_divide(F.count_if(unsafe), F.count_if(sent)), F.lit(0.0)).alias("risk"))
+    rows = order.join(measured, [*by, "setting"]).withColumn("p_value", hb_pvalue("loss", "n", F.lit(alpha / (1 + alpha))))
+    # a family's settings are a short list
+    cautious = Window.partitionBy(*by).orderBy("tune_risk", "tune_coverage", "setting")
+    rows = rows.withColumns({"place": F.row_number().over(cautious), "worst": F.max("p_value").over(cautious)})
+    return rows.withColumn("certified", F.col("worst") <= delta).drop("worst")
+
+
+def chosen(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of each family how many settings are certified, and the one with the highest useful coverage, then the lowest risk, then
+    the most cautious; null where none is."""
+    order = F.struct(F.col("useful_coverage"), -F.col("risk"), -F.col("place"))
+    best = F.max_by(F.struct("setting", "useful_coverage", "risk", "p_value"), F.when(F.col("certified"), order))
+    return rows.groupBy(*by).agg(F.count_if("certified").alias("certified"), best.alias("b")).select(*by, "certified", "b.*")
+
+
+def hb_zero_error_budget(alpha: float, delta: float = 0.05) -> int:
+    """Rows without an error that the linear certificate needs: the first n whose p-value is at most delta, by halving."""
+    p = lambda n: hoeffding_bentkus(0.0, n, alpha / (1 + alpha))
+    high = 1
+    while p(high) > delta:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if p(mid) <= delta else (mid, high)
+    return high
+
+
+def cluster_pvalue(rows: DataFrame, by: list[str], cluster: str, alpha: float) -> DataFrame:
+    """The p-value of each setting when every cluster is one draw: the mean of the clusters' mean shifted losses."""
+    loss = (F.count_if(F.col("state") == "unsupported") - alpha * F.count_if(F.col("state") != "abstained") + alpha * F.count("*")) / (1 + alpha) / F.count("*")
+    each = rows.groupBy(*by, cluster).agg(loss.alias("m")).groupBy(*by).agg(F.avg("m").alias("loss"), F.count("*").alias("clusters"))
+    return each.withColumn("p_value", hb_pvalue("loss", "clusters", F.lit(alpha / (1 + alpha))))
+
+
+def paired_bootstrap(rows: DataFrame, cluster: str, a: str, b: str, draws: int, level: float = 0.95) -> DataFrame:
+    """estimate, low, high of the difference of the means of two columns of the same rows when clusters are drawn again, and
+    what it says: above, below, no difference, or untestable with fewer than two clusters."""
+    rows = rows.withColumns({"_d": F.col(a) - F.col(b), "_one": F.lit(1)})
+    out = cluster_bootstrap(rows, cluster, "_d", "_one", draws, level)
+    total = rows.agg(F.avg("_d").alias("estimate"))
+    verdict = F.when(F.col("low").isNull(), "untestable").when(F.col("low") > 0, "above").when(F.col("high") < 0, "below").otherwise("no difference")
+    return out.crossJoin(F.broadcast(total)).select("estimate", "low", "high", "clusters", "draws", verdict.alias("verdict"))  # one row
+
+
 def cluster_bootstrap(rows: DataFrame, cluster: str, hit: str, base: str, draws: int, level: float = 0.95) -> DataFrame:
     """low, high of sum(hit) / sum(base) when clusters are drawn again with replacement.
 
     Sums of a cluster are enough for a ratio. A cluster's multiplicity in a draw is Poisson(1) from a hash of both, so
-    draws are independent of partitions and no cluster list reaches the driver.
+    draws are independent of partitions and no cluster list reaches the driver. With fewer than two clusters both are null;
+    null sums count as zero.
     """
-    sums = rows.groupBy(cluster).agg(F.sum(hit).cast("double").alias("h"), F.sum(base).cast("double").alias("b"))
+    sums = rows.groupBy(cluster).agg(F.coalesce(F.sum(hit), F.lit(0)).cast("double").alias("h"), F.coalesce(F.sum(base), F.lit(0)).cast("double").alias("b"))
+    n = sums.agg(F.count("*").alias("clusters"))
     u = (F.pmod(F.xxhash64(F.col(cluster), F.col("draw")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
     times = sum((u > float(c)).cast("int") for c in cdf)
     drawn = sums.select(cluster, "h", "b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("m", times)
     each = drawn.groupBy("draw").agg(F.sum(F.col("m") * F.col("h")).alias("h"), F.sum(F.col("m") * F.col("b")).alias("b")).select(F.try_divide("h", "b").alias("x")).where("x IS NOT NULL")
     place = lambda q: F.try_element_at("xs", F.least((F.floor(F.size("xs") * q) + 1).cast("int"), F.size("xs")))
-    return each.agg(F.array_sort(F.collect_list("x")).alias("xs")).select(place((1 - level) / 2).alias("low"), place((1 + level) / 2).alias("high"), F.size("xs").alias("draws"))
+    some = each.agg(F.array_sort(F.collect_list("x")).alias("xs")).crossJoin(F.broadcast(n))  # one row
+    enough = F.col("clusters") > 1
+    return some.select(F.when(enough, place((1 - level) / 2)).alias("low"), F.when(enough, place((1 + level) / 2)).alias("high"), F.size("xs").alias("draws"), "clusters")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What becomes of an item, and what is sent.
-STATES = ("supported_useful", "supported_not_useful", "unsupported", "abstained")
+STATES = ("supported_useful", "supported_unhelpful", "unsupported", "abstained")
 SENT = STATES[:3]
 
 

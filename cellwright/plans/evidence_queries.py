@@ -24,8 +24,9 @@ def order_cells(spark: SparkSession, d: str) -> DataFrame:
     cells = sums.select("c_mktsegment", "r_regionkey", "r_name", "period", F.explode(rows).alias("m"))
     col = (F.col("period").cast("int") - 1990) * 10 + F.col("r_regionkey")
     return cells.select(
-        F.col("c_mktsegment").alias("item_id"), F.lit("t1").alias("table_id"), "m.row", col.alias("col"), (F.col("m.row") * 1000 + col).alias("seq"), "m.metric", F.col("r_name").alias("entity"), "period", "m.value"
-    )
+        F.col("c_mktsegment").alias("evidence_id"), F.lit("t1").alias("table_id"), "m.row", col.alias("col"), F.format_string("t1r%dc%d", "m.row", col).alias("id"), (F.col("m.row") * 1000 + col).alias("seq"), F.lit("amount").alias("kind"),
+        "m.metric", F.col("r_name").alias("entity"), "period", F.col("m.value").alias("raw"), "m.value", F.lit(None).cast("string").alias("currency"),
+    )
 
 
 CELLS = """
@@ -43,32 +44,52 @@ WITH sums AS (
 
 
 def evidence_cells(spark, d):
-    return order_cells(spark, d).withColumn("value", F.col("value").cast("double"))
+    c = order_cells(spark, d).withColumnRenamed("evidence_id", "item_id")
+    return c.select("item_id", "table_id", "row", "col", "seq", "metric", "entity", "period", F.col("value").cast("double").alias("value"))
 
 
 def period_changes(spark, d):
     c = evidence.changes(order_cells(spark, d))
-    return c.select("item_id", "metric", "entity", "period", "base_period", "relation", F.coalesce("slot", F.lit("")).alias("slot"), F.round("result", 4).alias("result"))
+    return c.select(F.col("evidence_id").alias("item_id"), "metric", "entity", "period", "base_period", "relation", F.coalesce("slot", F.lit("")).alias("slot"), F.round("value", 4).alias("result"))
 
 
 def entity_differences(spark, d):
-    return evidence.entity_differences(order_cells(spark, d)).select("item_id", "metric", "entity", "other", "period", F.round("result", 2).alias("result"))
+    cells = order_cells(spark, d)
+    other = cells.select("evidence_id", F.col("id").alias("other_id"), F.col("entity").alias("other"))
+    found = evidence.entity_differences(cells).withColumn("other_id", F.col("cells")[1]).join(other, ["evidence_id", "other_id"])
+    return found.select(F.col("evidence_id").alias("item_id"), "metric", "entity", "other", "period", F.round("value", 2).alias("result"))
 
 
 def column_shares(spark, d):
-    return evidence.column_pairs(order_cells(spark, d)).select("item_id", "metric", "of_metric", "entity", "period", "relation", F.round("result", 6).alias("result"))
+    found = evidence.column_pairs(order_cells(spark, d))
+    return found.select(F.col("evidence_id").alias("item_id"), "metric", F.col("other_metric").alias("of_metric"), "entity", "period", "relation", F.round("value", 6).alias("result"))
 
 
 def base_period_lookup(spark, d):
     b = evidence.base_periods(order_cells(spark, d))
-    return b.select("item_id", "metric", "entity", "period", "base_period", F.col("base").cast("double").alias("base"))
+    return b.select(F.col("evidence_id").alias("item_id"), "metric", "entity", "period", "base_period", F.col("base").cast("double").alias("base"))
+
+
+def _wanted(cells):
+    none = F.array().cast("array<struct<table_id:string,row:int>>")
+    wanted = cells.select("evidence_id", "metric", "entity", "period").distinct().select("*", none.alias("prefer"), F.lit(False).alias("rate"), F.lit(None).cast("string").alias("base_period"))
+    return wanted.withColumn("key", F.concat_ws(":", "evidence_id", "metric", "entity", "period"))
 
 
 def target_lookup(spark, d):
-    """Targets by metric and period over all regions: ambiguous unless all regions agree."""
-    cells = order_cells(spark, d).withColumn("entity", F.when(F.col("row") == 1, F.lit("ALL")).otherwise(F.col("entity")))
-    wanted = cells.select("item_id", "metric", "entity", "period").distinct()
-    return evidence.target_cells(cells, wanted).select("item_id", "metric", "entity", "period", F.col("target").cast("double").alias("target"))
+    """The one cell that each metric, region and year means; every third region also asks without naming a region (ambiguous)."""
+    cells = order_cells(spark, d)
+    wanted = _wanted(cells).withColumn("entity", F.when(F.col("entity") < "B", F.lit(None)).otherwise(F.col("entity")))
+    found = evidence.target_cells(cells, wanted, ["key"])
+    return wanted.join(found, "key", "left").select("key", F.col("value").cast("double").alias("target"))
+
+
+def target_changes(spark, d):
+    """The change that each metric, region and year means: from the latest year before, unless 1993 is stated as the base."""
+    cells = order_cells(spark, d)
+    wanted = _wanted(cells).withColumn("base_period", F.when(F.col("period") > "1995", F.lit("1993")))
+    found = evidence.target_pairs(cells, wanted, ["key"])
+    return found.select("key", F.round((F.col("now.value") - F.col("base.value")).cast("double"), 2).alias("change"))
 
 
 def made_claims(cells: DataFrame) -> DataFrame:
@@ -82,7 +103,7 @@ def made_claims(cells: DataFrame) -> DataFrame:
 
 
 def claim_matching(spark, d):
-    cells = order_cells(spark, d)
+    cells = order_cells(spark, d).withColumnRenamed("evidence_id", "item_id")
     candidates = cells.select("item_id", F.col("seq").alias("cand_seq"), "value", F.lit("cell").alias("relation"), F.lit(0).alias("rank"), "metric", "entity", "period")
     m = matching.match_claims(made_claims(cells), candidates, [3, 6])
     return m.select("item_id", "claim_id", F.coalesce(F.array_join("slots", ","), F.lit("")).alias("slots"), F.coalesce("relation", F.lit("")).alias("relation"), F.coalesce("cand_seq", F.lit(-1)).alias("cand_seq"), "verdict")
@@ -99,13 +120,13 @@ def quality_states(spark: SparkSession, d: str) -> DataFrame:
     """Labelled documents as checked items: risk from length and digits, state from labels."""
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     risk = F.round(F.col("n_chars") % 1000 / 1000.0, 3)
-    state = F.when(risk >= 0.8, "abstained").when(F.col("toxic") == 1, "unsupported").when(F.col("quality") == 1, "supported_useful").otherwise("supported_not_useful")
+    state = F.when(risk >= 0.8, "abstained").when(F.col("toxic") == 1, "unsupported").when(F.col("quality") == 1, "supported_useful").otherwise("supported_unhelpful")
     return docs.select("doc_id", "source", "lang", "quality", "toxic", risk.alias("risk"), state.alias("state"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
 
 
 STATES = """
 WITH items AS (
-  SELECT doc_id, source, lang, quality, toxic, risk, CASE WHEN risk >= 0.8 THEN 'abstained' WHEN toxic = 1 THEN 'unsupported' WHEN quality = 1 THEN 'supported_useful' ELSE 'supported_not_useful' END AS state
+  SELECT doc_id, source, lang, quality, toxic, risk, CASE WHEN risk >= 0.8 THEN 'abstained' WHEN toxic = 1 THEN 'unsupported' WHEN quality = 1 THEN 'supported_useful' ELSE 'supported_unhelpful' END AS state
   FROM (SELECT *, round((n_chars % 1000) / 1000.0, 3) AS risk FROM documents JOIN labels USING (doc_id))
 )
 """
@@ -171,12 +192,52 @@ def certified_settings(spark, d):
 
 def risk_interval(spark, d):
     s = quality_states(spark, d).withColumns({"h": F.col("toxic"), "b": F.lit(1)})
-    return certify.cluster_bootstrap(s, "source", "h", "b", 400)
+    return certify.cluster_bootstrap(s, "source", "h", "b", 2000)
 
 
 def wording_flags(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.array_join(T.wording_reasons(F.coalesce("text", F.lit(""))), ",").alias("reasons"))
-    return docs
+    """Sentences of eight kinds, one an order: why code can't vouch for each, and currencies that a report in rupees lacks."""
+    said = [
+        "The profit was not stated.", "It may be due to higher income.", "The growth was driven by loans of $5.", "Profit doubled to Rs. 5.", "Interim profit was 7.", "The margin moved by 3 basis points.",
+        "No figure for the third quarter.", "Sales of ₹5 and €3 in all.",
+    ]
+    o = table(spark, d, "orders").select("o_orderkey", F.get(F.array(*[F.lit(x) for x in said]), (F.col("o_orderkey") % 8).cast("int")).alias("text"))
+    return o.select("o_orderkey", F.array_join(T.wording_reasons(F.col("text")), "; ").alias("reasons"), F.array_join(T.foreign_currencies(F.col("text"), F.array(F.lit("LKR"))), ",").alias("currencies"))
+
+
+def label_readings(spark, d):
+    """Labels written in eight ways from each order's year: the fiscal year, line item, entity and scale that they name."""
+    o = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"))
+    y, k = F.col("y").cast("string"), F.col("o_orderkey") % 8
+    short = F.right(y, F.lit(2))
+    after = F.lpad(((F.col("y") + 1) % 100).cast("string"), 2, "0")
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    label = (
+        F.when(k == 0, said("Group profit FY", y)).when(k == 1, said("Net loans & advances (note 3) ", y, "/", after)).when(k == 2, said("Bank's cost % ", y, "-", after, " Rs. '000"))
+        .when(k == 3, said("Standalone ", y, "/", (F.col("y") - 1).cast("string"), " (in millions)")).when(k == 4, said("As at 31 December ", y, ", US$ mn")).when(k == 5, said("Consolidated FY", short, " (Rs 000)"))
+        .when(k == 6, said("note 12 Deposits in billions")).otherwise(said("Millions of people in ", y, " and ", (F.col("y") + 1).cast("string"), " parent"))
+    )
+    rows = o.select("o_orderkey", label.alias("label"))
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    label = F.col("label")
+    return rows.select("o_orderkey", empty(T.normalise_period(label)).alias("period"), T.normalise_metric(label).alias("metric"), empty(T.entity_of(label)).alias("entity"), T.detect_scale(label).alias("scale"))
+
+
+def read_figures(spark, d):
+    """Figures written in ten ways from each order's total: kind, value, scale and decimals as they are read."""
+    from cellwright.functions.figures import figures
+
+    o = table(spark, d, "orders").select("o_orderkey", F.floor(F.col("o_totalprice")).cast("long").alias("v"))
+    n, k = F.col("v").cast("string"), F.col("o_orderkey") % 10
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    grouped = F.format_number(F.col("v"), 0)
+    text = (
+        F.when(k == 0, said("sold Rs. ", grouped, " million of it")).when(k == 1, said("rose ", n, ".25% since")).when(k == 2, said("moved ", n, " bps")).when(k == 3, said("was ", n, ".5x that")).when(k == 4, said("about ", grouped, " (in thousands) left"))
+        .when(k == 5, said("Rs. '000 ", grouped, " in all")).when(k == 6, said("a loss of (", n, ")% then")).when(k == 7, said("on 31 December 1995 it had ", n, ".123456789 left")).when(k == 8, said("some US$", n, "bn, FY1996"))
+        .otherwise(said("-", n, " lakh"))
+    )
+    rows = o.select("o_orderkey", F.explode(figures(text)).alias("f"))
+    return rows.select("o_orderkey", "f.kind", F.round(F.col("f.value").cast("double"), 4).alias("value"), "f.scale", "f.decimals", F.coalesce("f.currency", F.lit("")).alias("currency"))
 
 
 def named_periods(spark, d):
@@ -217,9 +278,9 @@ def figures_per_document(spark, d):
 
 def queries() -> dict:
     fs = (
-        evidence_cells, period_changes, entity_differences, column_shares, base_period_lookup, target_lookup, claim_matching, sibling_facts, policy_metrics, flip_matrix, rater_agreement, calibration_error,
-        ranking_quality, false_alarm_threshold, issuer_splits, stratified_sample, equal_draw, unlabelled_documents, issuer_means, certified_settings, risk_interval, wording_flags, named_periods, metric_names,
-        event_props, hourly_events, series_carry, figures_per_document,
+        evidence_cells, period_changes, entity_differences, column_shares, base_period_lookup, target_lookup, target_changes, claim_matching, sibling_facts, policy_metrics, flip_matrix, rater_agreement, calibration_error,
+        ranking_quality, false_alarm_threshold, issuer_splits, stratified_sample, equal_draw, unlabelled_documents, issuer_means, certified_settings, risk_interval, wording_flags, label_readings, read_figures,
+        event_props, hourly_events, series_carry, named_periods, metric_names, figures_per_document,
     )
     return {f.__name__: f for f in fs}
 
@@ -232,11 +293,17 @@ SELECT item_id, metric, entity, period, base_period, 'diff' AS relation, '' AS s
 UNION ALL SELECT item_id, metric, entity, period, base_period, 'growth', '', round((x - y) * 100 / abs(y), 4) FROM pairs WHERE y <> 0
 UNION ALL SELECT item_id, metric, entity, period, base_period, 'growth', 'basis', round((x - y) * 100 / abs(x), 4) FROM pairs WHERE x <> 0""",
     "entity_differences": CELLS + "SELECT a.item_id AS item_id, a.metric AS metric, a.entity AS entity, b.entity AS other, a.period AS period, round(CAST(a.value - b.value AS DOUBLE), 2) AS result FROM cells a JOIN cells b USING (item_id, table_id, row, period) WHERE a.entity <> b.entity",
-    "column_shares": CELLS + """, pairs AS (SELECT a.item_id, a.metric, b.metric AS of_metric, a.entity, a.period, CAST(a.value AS DOUBLE) AS x, CAST(b.value AS DOUBLE) AS y FROM cells a JOIN cells b USING (item_id, table_id, col) WHERE a.row <> b.row AND b.value <> 0)
+    "column_shares": CELLS + """, pairs AS (SELECT a.item_id, a.metric, b.metric AS of_metric, a.entity, a.period, CAST(a.value AS DOUBLE) AS x, CAST(b.value AS DOUBLE) AS y FROM cells a JOIN cells b USING (item_id, table_id, col) WHERE (a.row <> b.row OR a.entity <> b.entity) AND b.value <> 0)
 SELECT item_id, metric, of_metric, entity, period, 'share' AS relation, round(x * 100 / y, 6) AS result FROM pairs WHERE abs(x) <= abs(y)
-UNION ALL SELECT item_id, metric, of_metric, entity, period, 'ratio', round(x / y, 6) FROM pairs""",
+UNION ALL SELECT item_id, metric, of_metric, entity, period, 'ratio', round(x / y, 6) FROM pairs WHERE abs(x) <= abs(y)""",
     "base_period_lookup": CELLS + "SELECT item_id, metric, entity, period, lag(period) OVER w AS base_period, CAST(lag(value) OVER w AS DOUBLE) AS base FROM cells WINDOW w AS (PARTITION BY item_id, row, entity ORDER BY period)",
-    "target_lookup": CELLS + "SELECT item_id, metric, CASE WHEN row = 1 THEN 'ALL' ELSE entity END AS entity, period, CASE WHEN count(DISTINCT value) = 1 THEN CAST(min(value) AS DOUBLE) END AS target FROM cells GROUP BY ALL",
+    "target_lookup": CELLS + """, wanted AS (SELECT DISTINCT item_id, metric, entity, period, CASE WHEN entity < 'B' THEN NULL ELSE entity END AS asked FROM cells),
+found AS (SELECT w.item_id || ':' || w.metric || ':' || w.entity || ':' || w.period AS key, w.asked, c.value FROM wanted w JOIN cells c ON w.item_id = c.item_id AND w.metric = c.metric AND w.period = c.period AND (w.asked IS NULL OR w.asked = c.entity))
+SELECT key, CASE WHEN count(DISTINCT value) = 1 THEN CAST(min(value) AS DOUBLE) END AS target FROM found GROUP BY key""",
+    "target_changes": CELLS + """, pairs AS (
+  SELECT a.item_id || ':' || a.metric || ':' || a.entity || ':' || a.period AS key, a.value AS now, b.value AS base, row_number() OVER (PARTITION BY a.item_id, a.row, a.entity, a.period ORDER BY CASE WHEN a.period > '1995' AND b.period = '1993' THEN 0 ELSE 1 END, b.period DESC) AS nth
+  FROM cells a JOIN cells b ON a.item_id = b.item_id AND a.row = b.row AND a.entity = b.entity AND b.period < a.period)
+SELECT key, round(CAST(now - base AS DOUBLE), 2) AS change FROM pairs WHERE nth = 1""",
     "claim_matching": CELLS + """, claims AS (
   SELECT item_id, entity || ':' || period AS claim_id, metric, entity, CASE WHEN y % 3 = 0 THEN CAST(y + 1 AS VARCHAR) ELSE period END AS period,
     CASE y % 4 WHEN 1 THEN -b WHEN 2 THEN b * 1000 ELSE b END AS v, CASE WHEN y % 4 = 2 THEN 6 ELSE 3 END AS unit
@@ -259,7 +326,7 @@ FROM o a JOIN o b ON (CASE WHEN a.o_orderstatus <> b.o_orderstatus THEN 1 ELSE 0
     "policy_metrics": STATES + """SELECT lang, count(*) AS items, count(*) FILTER (state <> 'abstained') AS emitted, count(*) FILTER (state = 'unsupported') AS unsafe_emitted,
   round(count(*) FILTER (state <> 'abstained') / count(*), 9) AS emission_coverage, round(coalesce(count(*) FILTER (state = 'unsupported') / nullif(count(*) FILTER (state <> 'abstained'), 0), 0), 9) AS residual_risk,
   round(count(*) FILTER (state = 'supported_useful') / count(*), 9) AS useful_coverage FROM items GROUP BY lang""",
-    "flip_matrix": STATES + """SELECT b.before AS before, count(*) FILTER (state = 'supported_useful') AS supported_useful, count(*) FILTER (state = 'supported_not_useful') AS supported_not_useful,
+    "flip_matrix": STATES + """SELECT b.before AS before, count(*) FILTER (state = 'supported_useful') AS supported_useful, count(*) FILTER (state = 'supported_unhelpful') AS supported_unhelpful,
   count(*) FILTER (state = 'unsupported') AS unsupported, count(*) FILTER (state = 'abstained') AS abstained
 FROM (VALUES ('unsafe'), ('useful'), ('useless')) b(before) LEFT JOIN (SELECT state, CASE WHEN toxic = 1 THEN 'unsafe' WHEN quality = 1 THEN 'useful' ELSE 'useless' END AS before FROM items) i USING (before) GROUP BY b.before""",
     "rater_agreement": STATES + """, r AS (SELECT quality AS a, CAST(risk < 0.5 AS INTEGER) AS b FROM items), t AS (SELECT count(*) AS n, avg(CAST(a = b AS INTEGER)) AS o, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS e FROM r)
@@ -278,14 +345,21 @@ SELECT doc_id, lang, state FROM (SELECT i.*, floor(exact) + CASE WHEN nth <= spa
     "equal_draw": STATES + "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS k FROM items) WHERE k <= 5",
     "unlabelled_documents": "SELECT lang, count(*) AS n FROM documents ANTI JOIN labels USING (doc_id) GROUP BY lang",
     "issuer_means": STATES + "SELECT lang, round(avg(m), 9) AS mean_of_means, count(*) AS issuers FROM (SELECT lang, source, avg(toxic) AS m FROM items GROUP BY ALL) GROUP BY lang",
-    "wording_flags": r"""SELECT doc_id, array_to_string(list_filter([
-  CASE WHEN regexp_matches(text, '(?i)\b(not|never|no longer|neither|nor|without)\b') THEN 'negation' END, CASE WHEN regexp_matches(text, '(?i)\b(because|due to|driven by|owing to|as a result)\b') THEN 'explanation' END,
-  CASE WHEN regexp_matches(text, '(?i)\b(twice|doubled|tripled|half|halved|third|quarter)\b') THEN 'number_words' END, CASE WHEN regexp_matches(text, '(?i)\b(percentage|basis) points?\b') THEN 'points' END,
-  CASE WHEN regexp_matches(text, '(?i)\b(last|previous|prior|next) (financial |fiscal )?year\b') THEN 'relative_year' END], lambda x: x IS NOT NULL), ',') AS reasons FROM documents""",
-    "named_periods": r"""WITH f AS (SELECT doc_id, lower(text) AS low, upper(regexp_replace(list_last(regexp_extract_all(text, '(?i)((?:19|20)\d\d\s?/\s?\d\d(?:\d\d)?|FY\s?\d\d\b|(?:19|20)\d\d)')), '\s', '', 'g')) AS p FROM documents)
-SELECT doc_id, coalesce(CASE WHEN contains(p, '/') THEN left(p, 2) || right(p, 2) WHEN starts_with(p, 'FY') THEN '20' || right(p, 2) ELSE p END, '') AS period,
-  CASE WHEN regexp_matches(low, '''000|\bthousands?\b') THEN 3 WHEN regexp_matches(low, '\bmillions?\b|\bmn\b') THEN 6 WHEN regexp_matches(low, '\bbillions?\b|\bbn\b') THEN 9 ELSE 0 END AS scale FROM f""",
-    "metric_names": r"""SELECT trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' & ' || p_type), '\([^)]*\)', ' ', 'g'), '\bnotes?\s*\d+(\.\d+)?\b', ' ', 'g'), '\b(19|20)\d\d\b', ' ', 'g'), '&', ' and ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS metric, count(*) AS n FROM part GROUP BY 1""",
+    "wording_flags": r"""SELECT o_orderkey, array_to_string(list_filter([
+  CASE WHEN k IN (0, 1, 6) THEN 'a negation, hedge or guess' END, CASE WHEN k IN (1, 2) THEN 'an explanation or judgement' END, CASE WHEN k IN (3, 6) THEN 'a figure in words or a fraction' END,
+  CASE WHEN k IN (4, 6) THEN 'a quarter or part of a year' END, CASE WHEN k = 5 THEN 'percentage points' END], lambda x: x IS NOT NULL), '; ') AS reasons, CASE k WHEN 2 THEN 'USD' WHEN 7 THEN 'INR,EUR' ELSE '' END AS currencies
+FROM (SELECT o_orderkey, o_orderkey % 8 AS k FROM orders)""",
+    "metric_names": r"""SELECT trim(regexp_replace(regexp_replace(replace(lower(p_name || ' & ' || p_type), '&', ' and '), '[^a-z0-9%'' ]+', ' ', 'g'), '\s+', ' ', 'g')) AS metric, count(*) AS n FROM part GROUP BY 1""",
+    "label_readings": """WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS k, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders)
+SELECT o_orderkey, CASE k WHEN 6 THEN '' WHEN 1 THEN CAST(2000 + (y + 1) % 100 AS VARCHAR) WHEN 2 THEN CAST(2000 + (y + 1) % 100 AS VARCHAR) WHEN 5 THEN '20' || right(CAST(y AS VARCHAR), 2) WHEN 7 THEN CAST(y + 1 AS VARCHAR) ELSE CAST(y AS VARCHAR) END AS period,
+  CASE k WHEN 0 THEN 'group profit' WHEN 1 THEN 'net loans and advances' WHEN 2 THEN 'bank''s cost % rs ''000' WHEN 3 THEN 'standalone' WHEN 4 THEN 'as at 31 december us mn' WHEN 5 THEN 'consolidated fy' || right(CAST(y AS VARCHAR), 2)
+    WHEN 6 THEN 'deposits in billions' ELSE 'millions of people in and parent' END AS metric,
+  CASE k WHEN 0 THEN 'group' WHEN 2 THEN 'bank' WHEN 3 THEN 'company' WHEN 5 THEN 'group' WHEN 7 THEN 'company' ELSE '' END AS entity,
+  CASE k WHEN 2 THEN 3 WHEN 3 THEN 6 WHEN 4 THEN 6 WHEN 5 THEN 3 WHEN 6 THEN 9 WHEN 7 THEN 6 ELSE 0 END AS scale FROM o""",
+    "read_figures": """WITH o AS (SELECT o_orderkey, o_orderkey % 10 AS k, CAST(floor(o_totalprice) AS DOUBLE) AS v FROM orders)
+SELECT o_orderkey, CASE WHEN k IN (1, 2, 6) THEN 'percent' WHEN k = 3 THEN 'ratio' WHEN k = 7 THEN 'number' ELSE 'amount' END AS kind,
+  round(CASE k WHEN 0 THEN v * 1e6 WHEN 1 THEN v + 0.25 WHEN 2 THEN v / 100 WHEN 3 THEN v + 0.5 WHEN 4 THEN v * 1e3 WHEN 5 THEN v * 1e3 WHEN 6 THEN -v WHEN 7 THEN v + 0.123456789 WHEN 8 THEN v * 1e9 ELSE -v * 1e5 END, 4) AS value,
+  CASE k WHEN 0 THEN 6 WHEN 4 THEN 3 WHEN 5 THEN 3 WHEN 8 THEN 9 WHEN 9 THEN 5 ELSE 0 END AS scale, CASE k WHEN 1 THEN 2 WHEN 3 THEN 1 WHEN 7 THEN 9 ELSE 0 END AS decimals, CASE k WHEN 0 THEN 'LKR' WHEN 5 THEN 'LKR' WHEN 8 THEN 'USD' ELSE '' END AS currency FROM o""",
     "event_props": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, count(DISTINCT k) AS kinds FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
     "hourly_events": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE), 2) AS total FROM events GROUP BY ALL",
     "series_carry": "SELECT o_orderkey, coalesce(last_value(CASE WHEN o_totalprice > 200000 THEN o_orderpriority END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), '') AS section FROM orders",

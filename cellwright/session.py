@@ -1,8 +1,12 @@
-"""The session that the engine is tested with; on a cluster, the submitted configuration holds."""
+"""The session that the engine is tested with (on a cluster, the submitted configuration holds), and tables that cut lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -15,3 +19,18 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
         "spark.ui.showConsoleProgress": "false",
     }
     return SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate()
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the folder that spark.checkpoint.dir names; one of its own only where all executors are in this
+    process."""
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    path = f"{sc.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

@@ -1,14 +1,14 @@
 import pytest
 from oracle import duck, rows_of
 
-from cellwright.plans import evidence_queries, review_queries
+from cellwright.plans import answer_queries, evidence_queries, review_queries
 
 DIR = "/root/testdata/sf0.001"
-SQL = evidence_queries.SQL | review_queries.SQL
+SQL = evidence_queries.SQL | review_queries.SQL | answer_queries.SQL
 
 
 def queries():
-    return evidence_queries.queries() | review_queries.queries()
+    return evidence_queries.queries() | review_queries.queries() | answer_queries.queries()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
