@@ -44,6 +44,8 @@ SHINGLE, SKETCHES, KEPT, SIMILARITY = 5, 24, 6, 0.8
 FEW = 64
 #: Documents and runs of a bucket that one task may settle, and documents that lead in a round where more remain.
 GROUP, GROUP_RUNS, LEADS = 1024, 8 << 20, 16
+#: Bytes of text whose runs are held at once.
+SLICE_BYTES = 1 << 19
 #: Links a partition, and ids a task joins at once, while links become classes.
 LINKS, NODES = 1 << 19, 1 << 20
 _RNG = np.random.default_rng(77)
@@ -104,11 +106,12 @@ def _map_sketches(similarity: float):
         for batch in batches:
             buf, offs = tk.text_column(batch, "text")
             keys, labels = [], []
-            for i, j in tk.slices(offs):
+            for i, j in tk.slices(offs, SLICE_BYTES):
                 for r in shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
                     keys.append(order_sketch(r) if len(r) > FEW else none)
                     labels.append(labelled_runs(r) if len(r) <= most else none)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(keys), _lists(labels)], names=["doc_id", "keys", "labels"])
+            tk.release()
 
     return run
 
@@ -118,7 +121,7 @@ def _map_runs(batches):
     for batch in batches:
         buf, offs = tk.text_column(batch, "text")
         out = []
-        for i, j in tk.slices(offs):
+        for i, j in tk.slices(offs, SLICE_BYTES):
             out += [(r >> np.uint64(32)).astype("<u4").tobytes() for r in shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]
         size = pa.array([len(x) // 4 for x in out], pa.int32())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(out, pa.binary())], names=["doc_id", "size", "runs"])

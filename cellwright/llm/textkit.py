@@ -6,6 +6,7 @@ no state between slices.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -60,6 +61,14 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers are kept for the next stage, and what they hold counts there."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, null as empty, and the n + 1 offsets of its rows."""
     col = batch.column(batch.schema.get_field_index(name))

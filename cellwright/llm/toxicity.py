@@ -35,7 +35,7 @@ EXAMPLES, RELEVANT = 1500, 64.0
 NEIGHBOURS, SOFT, PRIOR, BLOCK, THRESHOLD = 25, 0.05, 1.0, 256, 0.3
 STARTS = (6,)
 #: Bytes of text whose terms are held at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Letters and digits of lower-cased ASCII, and every other byte above it.
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
@@ -117,6 +117,7 @@ def _map_frequencies(shared):
             for i, j in tk.slices(offs, SLICE_BYTES):
                 df += np.bincount(lexicon.counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[1], minlength=len(df))
         term = np.flatnonzero(df)
+        tk.release()
         yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), pa.array(df[term])], names=["term", "df"])
 
     return run
@@ -256,6 +257,7 @@ def _map_scores(lexicon_shared, index_shared):
                 ],
                 names=["row", "score", "neighbours", "evidence"],
             )
+            tk.release()
 
     return run
 
