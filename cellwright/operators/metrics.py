@@ -68,15 +68,16 @@ def order_threshold(scored: DataFrame, by: list[str], score: str, y: str, share:
     upto = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
     clean = clean.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy(*by))})
     threshold = clean.where(F.col("upto") > F.floor(F.col("all") * share)).groupBy(*by).agg(F.min(score).alias("threshold"))
-    return scored.join(F.broadcast(threshold), by).groupBy(*by).agg(
+    return scored.join(threshold, by).groupBy(*by).agg(
         F.first("threshold").alias("threshold"), F.try_divide(F.count_if((F.col(y) == 1) & (F.col(score) > F.col("threshold"))), F.count_if(F.col(y) == 1)).alias("recall")
     )
 
 
-def item_risk(checks: DataFrame, weight: Column) -> DataFrame:
-    """The largest weight of an item's claims, and the fused risk 1 - prod(1 - p); 0.5 without claims."""
+def item_risk(items: DataFrame, checks: DataFrame, weight: Column) -> DataFrame:
+    """Of every item the largest weight of its claims, and the fused risk 1 - prod(1 - p); 0.5 without claims."""
     safe = F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-300))))
-    return checks.groupBy("item_id").agg(F.coalesce(F.max(weight), F.lit(0.5)).alias("risk"), F.coalesce(1 - F.exp(safe), F.lit(0.5)).alias("fused"))
+    by = checks.groupBy("item_id").agg(F.max(weight).alias("risk"), (1 - F.exp(safe)).alias("fused"))
+    return items.select("item_id").join(by, "item_id", "left").fillna(0.5, ["risk", "fused"])
 
 
 def span_scores(gold: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:

@@ -138,7 +138,7 @@ def gate(items: DataFrame, checks: DataFrame, edits: DataFrame, results: DataFra
     same = (F.col("item_id") == F.col("m_item")) & F.col("metric").eqNullSafe(F.col("m_metric")) & F.col("entity").eqNullSafe(F.col("m_entity"))
     open_ = own.where("kind = 'percent' AND direction IS NOT NULL").join(moved, same, "left_semi").join(made.select("item_id", "claim_id"), ["item_id", "claim_id"], "left_anti")
     closure = open_.select("item_id", F.concat(F.lit("closure: "), "claim_id", F.lit(" depends on a changed number but was not recomputed")).alias("failure"))
-    spans = checks.groupBy("item_id").agg(F.flatten(F.collect_list(F.array(F.struct(F.col("figure.start").alias("start"), F.col("figure.end").alias("end")), F.struct(F.col("w_start").cast("int"), F.col("w_end").cast("int"))))).alias("allowed"))
+    spans = checks.groupBy("item_id").agg(F.flatten(F.collect_list(F.array(F.struct(F.col("figure.start").alias("start"), F.col("figure.end").alias("end")), F.struct(F.col("w_start").cast("int").alias("start"), F.col("w_end").cast("int").alias("end"))))).alias("allowed"))
     outside = results.join(spans, "item_id").where(F.exists("replacements", lambda r: ~F.array_contains("allowed", F.struct(r["start"].alias("start"), r["end"].alias("end")))))
     envelope = outside.select("item_id", F.lit("envelope: text outside the edited claims changed").alias("failure"))
     again = items.drop("text").join(results.select("item_id", F.col("new_text").alias("text")), "item_id")

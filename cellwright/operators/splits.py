@@ -43,7 +43,7 @@ def stratified(rows: DataFrame, by: list[str], ident: str, total: int) -> DataFr
     left = F.least(F.lit(total).cast("long"), F.col("all")) - F.sum("base").over(Window.partitionBy(F.lit(1)))
     quota = quota.withColumn("quota", F.col("base") + (F.row_number().over(rest) <= left).cast("long")).select(*by, "quota")
     w = Window.partitionBy(*by).orderBy(F.sha2(F.col(ident).cast("string"), 256), ident)
-    return rows.join(F.broadcast(quota), by).withColumn("_n", F.row_number().over(w)).where("_n <= quota").drop("_n", "quota")
+    return rows.join(quota, by).withColumn("_n", F.row_number().over(w)).where("_n <= quota").drop("_n", "quota")
 
 
 def with_split(rows: DataFrame, splits: DataFrame, key: str, default: str = "train") -> DataFrame:

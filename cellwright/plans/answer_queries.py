@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.operators import certify, checker, claims, evidence, injection, programs, scoring
+from cellwright.operators import certify, checker, evidence, injection, programs, scoring, tables
 from cellwright.plans.evidence_queries import table
 from cellwright.session import stored
 
@@ -184,8 +184,32 @@ def paired_interval(spark, d):
     return certify.paired_bootstrap(rows, "source", "a", "b", 2000).select(F.round("estimate", 9).alias("estimate"), (F.col("low") <= F.col("estimate")).alias("low_ok"), (F.col("high") >= F.col("estimate")).alias("high_ok"), "clusters", "verdict")
 
 
+def _grids(spark: SparkSession, d: str, total: bool) -> DataFrame:
+    """Net sales and the largest order of each statement as a printed grid; with a total, which is off by five in every third nation."""
+    cells = statement_cells(spark, d).where("row < 2")
+    columns = cells.groupBy("evidence_id", "col").agg(F.first("entity").alias("entity"), F.first("period").alias("period"), F.max(F.when(F.col("row") == 0, F.col("raw"))).alias("sales"), F.max(F.when(F.col("row") == 1, F.col("raw"))).alias("largest"))
+    by = columns.groupBy("evidence_id").agg(F.array_sort(F.collect_list(F.struct("col", "entity", "period", "sales", "largest"))).alias("c"))
+    line = lambda first, of: F.concat(F.array(F.lit(first)), F.transform("c", of))
+    whole = lambda v: F.format_number(v, 0)
+    off = F.when(F.regexp_extract("evidence_id", r"(\d+)$", 1).try_cast("int") % 3 == 0, 5).otherwise(0)
+    lines = [line("Rs. '000", lambda c: F.concat_ws(" ", F.initcap(c["entity"]), c["period"])), line("Net sales", lambda c: whole(c["sales"])), line("Largest order", lambda c: whole(c["largest"]))]
+    if total:
+        lines.append(line("Total", lambda c: whole(c["sales"] + c["largest"] + off)))
+    return by.select(F.col("evidence_id").alias("item_id"), F.lit("t1").alias("table_id"), F.lit("LKR").alias("currency"), F.array(*lines).alias("grid"))
+
+
+def grid_statements(spark, d):
+    """Cells as they are read back from printed grids."""
+    c = tables.grid_cells(_grids(spark, d, False))
+    return c.select("item_id", "id", "metric", "entity", "period", "kind", "scale", "currency", F.col("value").cast("double").alias("value"))
+
+
+def checked_totals(spark, d):
+    return tables.total_rows(_grids(spark, d, True)).select("item_id", "row", "adds_up")
+
+
 def queries() -> dict:
-    fs = (extracted_claims, checked_claims, injected_items, target_programs, policy_grid, chosen_settings, paired_interval, replay_outcomes)
+    fs = (grid_statements, checked_totals, extracted_claims, checked_claims, injected_items, target_programs, policy_grid, chosen_settings, paired_interval, replay_outcomes)
     return {f.__name__: f for f in fs}
 
 
@@ -204,6 +228,9 @@ WITH sums AS (
 """
 
 SQL: dict[str, str] = {
+    "grid_statements": STATEMENTS + """, placed AS (SELECT *, row_number() OVER (PARTITION BY evidence_id, row ORDER BY col) AS k FROM series WHERE row < 2)
+SELECT evidence_id AS item_id, 't1r' || (row + 1) || 'c' || k AS id, metric, entity, period, kind, 3 AS scale, 'LKR' AS currency, v AS value FROM placed""",
+    "checked_totals": STATEMENTS + "SELECT DISTINCT evidence_id AS item_id, 3 AS row, CAST(regexp_extract(evidence_id, '[0-9]+$') AS INTEGER) % 3 <> 0 AS adds_up FROM series",
     "extracted_claims": STATEMENTS + """, said AS (
   SELECT a.evidence_id || ':' || a.entity || ':' || a.period AS stem, a.*, 'lookup' AS shape, a.v AS said FROM series a WHERE row = 0
   UNION ALL SELECT a.evidence_id || ':' || a.entity || ':' || a.period, a.*, 'share', CASE WHEN abs(a.v * 100 / b.v) < 1 THEN round(a.v * 100 / b.v, 2) ELSE round(a.v * 100 / b.v, 1) END FROM series a JOIN series b ON a.evidence_id = b.evidence_id AND a.col = b.col AND a.row = 1 AND b.row = 0

@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 
 def checked_stream(items: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "item_id"):
-    """Starts a query that appends each batch's results to a Parquet folder, without ids seen in it before."""
+    """Starts a query that appends each batch's results to a Parquet folder, without ids that an earlier batch has written."""
 
     def append(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        done = transform(batch.dropDuplicates([key]))
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            before = spark.read.schema(done.schema.add("batch", "long")).parquet(path).where(F.col("batch") < number)
+            done = done.join(before.select(key), key, "left_anti")
         # a batch that is run again overwrites its own folder, so nothing doubles
-        transform(batch.dropDuplicates([key])).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        done.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return items.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from cellwright.sources import documents, records
+from cellwright.sources import datasets, documents, records
 from cellwright.streaming.items import checked_stream
 
 
@@ -42,3 +42,19 @@ def test_stream(spark, tmp_path):
     items = spark.readStream.schema("item_id string, n int").json(src)
     checked_stream(items, lambda d: d, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_stream_writes_an_id_once(spark, tmp_path):
+    items = spark.readStream.schema("item_id string, n int").json(str(tmp_path / "in"))
+    for k, ids in enumerate((("a", "b"), ("b", "c"))):
+        spark.createDataFrame([(i, k) for i in ids], "item_id string, n int").write.mode("append").json(str(tmp_path / "in"))
+        checked_stream(items, lambda d: d, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert sorted((r.item_id, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 0), ("b", 0), ("c", 1)]
+
+
+def test_grids_and_manifest(spark, tmp_path):
+    (tmp_path / "t1.csv").write_bytes("\ufeffa,b\n1\n".encode())
+    (r,) = datasets.read_grids(spark, str(tmp_path)).collect()
+    assert (r.table_id, r.grid) == ("t1", [["a", "b"], ["1"]])
+    listed = spark.createDataFrame([("t1.csv", 8, "x"), ("t2.csv", 1, "y")], "name string, bytes long, sha256 string")
+    assert {r.name: r.state for r in datasets.drifted(spark, str(tmp_path), listed).collect()} == {"t1.csv": "changed", "t2.csv": "missing"}
