@@ -5,13 +5,16 @@ from __future__ import annotations
 from cellwright.llm.ann import op2_balanced_ann
 from cellwright.llm.chat_format import OP5_SQL, op5_chat_format
 from cellwright.llm.decontaminate import op6_decontaminate
+from cellwright.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from cellwright.llm.line_dedup import OP4_SQL, op4_line_dedup
 from cellwright.llm.mixture import OP10_SQL, op10_poisson_mix
 from cellwright.llm.near_dedup import op9_near_dedup
+from cellwright.llm.packing import op11_packing
 from cellwright.llm.secret_scan import op1_secret_scan
 from cellwright.llm.substring_dedup import op7_substring_dedup
 from cellwright.llm.suffix_dedup import op3_suffix_dedup
 from cellwright.llm.toxicity import op8_toxicity
+from cellwright.llm.whitening import op13_whitening
 
 OP2_SQL = """
 WITH good AS (
@@ -70,7 +73,7 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 
 
 def queries() -> dict:
-    ops = (op1_secret_scan, op2_balanced_ann, op3_suffix_dedup, op4_line_dedup, op5_chat_format, op6_decontaminate, op7_substring_dedup, op8_toxicity, op9_near_dedup, op10_poisson_mix)
+    ops = (op1_secret_scan, op2_balanced_ann, op3_suffix_dedup, op4_line_dedup, op5_chat_format, op6_decontaminate, op7_substring_dedup, op8_toxicity, op9_near_dedup, op10_poisson_mix, op11_packing, op12_hard_negatives, op13_whitening)
     return {f.__name__: f for f in ops}
 
 
@@ -82,4 +85,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontaminate": OP6_SQL,
         "op7_substring_dedup": OP7_SQL,
         "op10_poisson_mix": OP10_SQL,
+        "op12_hard_negatives": OP12_SQL,
     }
