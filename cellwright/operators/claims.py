@@ -18,8 +18,8 @@ UP_DOWN = [
     ("increasing", "decreasing"), ("grew", "declined"), ("growth", "decline"), ("grow", "decline"), ("grows", "declines"), ("growing", "declining"), ("up", "down"), ("higher", "lower"), ("gained", "lost"),
     ("improved", "deteriorated"), ("climbed", "dropped"), ("jumped", "dropped"), ("expanded", "contracted"), ("advanced", "retreated"), ("larger", "smaller"),
 ]
-# Further words of movement downwards; each turns to "rose".
-DOWN_ONLY = ("drop", "drops", "shrank")
+# Words of movement downwards that turn to "rose" where no pair has them.
+DOWN_ONLY = ("dropped", "drop", "drops", "shrank", "contracted", "lost", "retreated", "deteriorated")
 # Words of movement that may follow a figure.
 AFTER_FIGURE = ("increase", "decrease", "higher", "lower", "growth", "decline", "rise", "fall")
 # Other names of line items.
@@ -39,7 +39,7 @@ ALIASES = {
 # Words that open no short name of a line item.
 STOP_WORDS = ("and", "or", "of", "in", "on", "at", "to", "for", "from", "the", "a", "an", "with", "by")
 # Fixed patterns: where sentences end, and how texts speak of periods, changes, levels and owners.
-BREAK = r"(?:(?<=[.!?;])\s+(?=[A-Z(])|\n+)"
+BREAK = r"(?<=[.!?;])\s+(?=[A-Z(])|\n+"
 PERIOD_AFTER = (
     r"(?i)^\s*(?:(?:was\s+|were\s+)?(?:reported|recorded|recognised|recognized|posted)\s+)?"
     r"(?:in|for|during|at|as at|as of|at the end of|by the end of)\s+(?:the\s+)?"
@@ -49,7 +49,7 @@ PERIOD_AFTER = (
 )
 PREVIOUS_YEAR = r"(?i)\b(?:previous|prior|preceding|last)\s+(?:financial\s+|fiscal\s+)?year\b"
 PREVIOUS_AFTER = r"(?i)^\s*(?:(?:reported|recorded)\s+)?(?:in|for|during)\s+the\s+(?:previous|prior|preceding|last)\s+(?:financial\s+|fiscal\s+)?(?:year|period)\b"
-ASIDE = r"^(?:\s*\([^()]*\)|\s*\))"
+ASIDE = r"^\s*\([^()]*\)|^\s*\)"
 HOLDERS = r"(?i)\b(?:owners|(?:equity\s+)?holders|shareholders|stockholders)\s+of\s+the\s+(?:company|parent|bank)\b"
 CHANGE_BEFORE = r"(?i)\b(?:by|changes? of|difference of|increase of|decrease of|growth of|decline of|rise of|fall of)\s*$"
 LEVEL_BEFORE = r"(?i)\b(?:from|to|at|reached|totalled|totaled)\s*$"
@@ -61,7 +61,7 @@ def direction_words() -> dict[str, tuple[str, str]]:
     out: dict[str, tuple[str, str]] = {}
     for up, down in UP_DOWN:
         out[up], out[down] = ("up", down), ("down", up)
-    return out | {w: ("down", "rose") for w in DOWN_ONLY}
+    return {w: ("down", "rose") for w in DOWN_ONLY} | out
 
 
 def _word_map(part: int) -> Column:
@@ -138,9 +138,9 @@ def extract_claims(answers: DataFrame) -> DataFrame:
     claims = answers.withColumn("figures", figures("text")).select("*", F.posexplode("figures").alias("nth", "figure"))
     text, nth, start, end = F.col("text"), F.col("nth"), F.col("figure.start"), F.col("figure.end")
     before_it, after_it = F.get("figures", nth - 1)["end"], F.get("figures", nth + 1)["start"]
-    s_start = F.length(F.regexp_extract(F.substr(text, F.lit(1), start + 1), rf"(?s)^.*{BREAK}", 0))
+    s_start = F.length(F.regexp_extract(F.substr(text, F.lit(1), start + 1), rf"(?s)^.*(?:{BREAK})", 0))
     ahead = F.when(start > 0, 1).otherwise(0)
-    s_end = start - ahead + F.length(F.regexp_extract(F.substr(text, start + 1 - ahead), rf"(?s)^.{{1}}?.*?(?={BREAK}|\z)", 0))
+    s_end = start - ahead + F.length(F.regexp_extract(F.substr(text, start + 1 - ahead), rf"(?s)^.{{1}}?.*?(?=(?:{BREAK})|\z)", 0))
     claims = claims.withColumns({"s_start": F.least(s_start, start), "s_end": F.greatest(s_end, end), "c_start": F.greatest(F.least(s_start, start), F.coalesce(before_it, F.lit(0)))})
     claims = claims.withColumns(
         {
