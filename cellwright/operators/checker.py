@@ -14,6 +14,7 @@ from cellwright.functions.arithmetic import SLACK
 from cellwright.functions.figures import half_unit
 from cellwright.operators import claims as C
 from cellwright.operators import evidence as E
+from cellwright.session import stored
 
 # Powers of ten that a scale error may be off by, in order; and the risk of each verdict.
 SHIFTS = (3, -3, 6, -6, 9, -9)
@@ -118,7 +119,8 @@ def expected_values(claims: DataFrame, cells: DataFrame, prefer: DataFrame) -> D
 
 def check(claims: DataFrame, cells: DataFrame, candidates: DataFrame) -> DataFrame:
     """Every claim with verdict, slots, cells, relation, expected, fix and note."""
-    best = best_matches(matched(claims, candidates))
+    claims = stored(claims, "claims")
+    best = stored(best_matches(matched(claims, candidates)), "matches")
     # rows that an answer's supported figures come from, by what they are about
     context = claims.select(*KEYS, "metric")
     good = best.where("size(slots) = 0 AND rows IS NOT NULL AND NOT (relation = 'passage')").join(context, KEYS).select("item_id", "metric", F.explode("rows").alias("r"))

@@ -38,9 +38,9 @@ def statement_cells(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def made_examples(spark: SparkSession, d: str) -> DataFrame:
+def made_examples(statements: DataFrame) -> DataFrame:
     """A question a cell of each shape: look-ups of net sales, growth of net sales, changes of orders handled, shares of the largest order."""
-    cells = statement_cells(spark, d).withColumn("c", injection.cell_struct())
+    cells = statements.withColumn("c", injection.cell_struct())
     key = ["evidence_id", "entity", "period"]
     pick = lambda row, name: cells.where(F.col("row") == row).select(*key, F.col("c").alias(name))
     before = lambda row: cells.where(F.col("row") == row).select("evidence_id", "entity", (F.col("period").cast("int") + 1).cast("string").alias("period"), F.col("c").alias("b"))
@@ -51,19 +51,24 @@ def made_examples(spark: SparkSession, d: str) -> DataFrame:
     ]
     rows = reduce(DataFrame.unionByName, [p.select(*key, "a", "b", "shape") for p in parts])
     asked = F.concat(F.lit("What was the "), "entity", F.lit("'s "), "a.metric", F.lit(" in "), "period", F.lit("?"))
-    return injection.shapes(rows.select(F.concat_ws(":", "evidence_id", "entity", "period", "shape").alias("question_id"), "evidence_id", "shape", "a", "b", asked.alias("question"), F.col("shape").alias("question_type")), statement_cells(spark, d))
+    return injection.shapes(rows.select(F.concat_ws(":", "evidence_id", "entity", "period", "shape").alias("question_id"), "evidence_id", "shape", "a", "b", asked.alias("question"), F.col("shape").alias("question_type")), statements)
 
 
 def made_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Items with planted errors, their examples, and the statements' cells."""
-    cells, examples = statement_cells(spark, d), made_examples(spark, d)
+    cells = stored(statement_cells(spark, d), "cells")
+    examples = stored(made_examples(cells), "examples")
     items = injection.inject(examples, cells).join(examples.select("question_id", "question", "question_type"), "question_id")
     return items.withColumn("asked_period", F.lit(None).cast("string")), examples, cells
 
 
-def _without_removed(items: DataFrame) -> DataFrame:
-    """Items whose evidence is whole: a removed operand needs evidence of its own."""
-    return items.where("error <> 'missing_operand'")
+def own_evidence(items: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items and cells, where an item with removed cells has evidence of its own, without them."""
+    fewer = items.where("size(removed_cells) > 0").select("item_id", "evidence_id", "removed_cells")
+    copies = cells.join(fewer.select("item_id", "evidence_id"), "evidence_id").drop("evidence_id").withColumnRenamed("item_id", "evidence_id")
+    gone = fewer.select(F.col("item_id").alias("evidence_id"), F.explode("removed_cells").alias("id"))
+    own = F.when(F.size("removed_cells") > 0, F.col("item_id")).otherwise(F.col("evidence_id"))
+    return items.withColumn("evidence_id", own), cells.unionByName(evidence.without(copies, gone))
 
 
 def injected_items(spark, d):
@@ -121,8 +126,9 @@ def structured_claims(cells: DataFrame) -> DataFrame:
 def replayed(spark: SparkSession, d: str) -> DataFrame:
     """Every action on every item: what the policy does, and where sending and repairing lead."""
     items, examples, cells = made_items(spark, d)
+    items, cells = own_evidence(stored(items, "items"), cells)
     cells = stored(cells, "cells")
-    items, pool = stored(_without_removed(items), "items"), stored(evidence.candidates(cells), "candidates")
+    pool = stored(evidence.candidates(cells), "candidates")
 
     def recheck(again: DataFrame) -> tuple[DataFrame, DataFrame]:
         checks = stored(checker.check(checker.claims_of(again, cells), cells, pool), "checks")
