@@ -1,8 +1,8 @@
 """Packing of tokenised documents into sequences of a fixed length: first-fit decreasing in randomised groups.
 
-1. Texts become token ids, ``end_id`` after each. Words between ASCII white space are encoded once and kept (``KNOWN`` words a
-   worker, then the store starts anew); this holds for vocabularies that drop white space, else ``apart=False`` encodes
-   whole texts. A document is cut into parts of ``capacity`` ids, the last one shorter, so a row is bounded however long
+1. Texts become token ids, ``end_id`` after each. Parts of words are encoded once and kept (the last ``KNOWN`` to twice as many
+   a worker); this holds for vocabularies like the one named, which drop white space and cut at digits and between letters
+   and signs; for others ``apart=False`` encodes whole texts. A document is cut into parts of ``capacity`` ids, the last one shorter, so a row is bounded however long
    its text is.
 2. Parts are dealt by a hash of their own number into groups of about ``GROUP`` parts. In a group, parts go, longest
    first, into the first sequence with room for them, which a tournament tree over the free room finds in a logarithm of steps.
@@ -18,6 +18,8 @@ empty table gives no rows; only the columns named are carried, as a struct, so n
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 
 from cellwright.llm import textkit as tk
 
-CAPACITY, SLACK, GROUP, KNOWN, SEED = 4096, 16, 8192, 1 << 18, 11
+CAPACITY, SLACK, GROUP, KNOWN, SEED = 4096, 16, 8192, 300_000, 11
 #: The vocabulary and the id that ends a document.
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
+#: Where words are parted: around digits, and between a letter and an ASCII sign.
+DIGIT, EDGE = r"([0-9])", r"([A-Za-zÀ-ÖØ-öø-ɏ])([\x21-\x40\x5b-\x60\x7b-\x7e])"
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +104,12 @@ def _place_group(capacity: int, slack: int):
 
 
 class _Encoder:
-    """Token ids of texts; words seen before are not encoded again."""
+    """Token ids of texts; parts of words seen lately are not encoded again.
+
+    Words between ASCII white space are parted further where no token of such a vocabulary can reach across: between a
+    letter of the Latin alphabets and ASCII that is no letter, and around ASCII digits. Words that hold one of the
+    vocabulary's added tokens, in either case, stay whole and as they are.
+    """
 
     def __init__(self, definition: str, apart: bool):
         import os
@@ -108,30 +117,52 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.apart, self.known = Tokenizer.from_str(definition), apart, {}
+        self.tokenizer, self.apart, self.recent, self.older = Tokenizer.from_str(definition), apart, {}, {}
+        self.added = "|".join(re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()) or "[^\\s\\S]"
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _known(self, words: list[str]) -> list[bytes]:
+        if len(self.recent) > KNOWN:
+            self.recent, self.older = {}, self.recent
+        recent, older = self.recent, self.older
+        missing = [w for w in words if w not in recent]
+        recent.update((w, older[w]) for w in missing if w in older)
+        new = [w for w in missing if w not in older]
+        recent.update(zip(new, self._fresh(new), strict=True))
+        return [recent[w] for w in words]
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """Each text's first word, each word's number, and of each number the parts: their ids, first part and part's number."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        unique = coded.dictionary
+        lower = pc.ascii_lower(unique)
+        parted = pc.replace_substring_regex(pc.replace_substring_regex(lower, DIGIT, r" \1 "), EDGE, r"\1 \2")
+        parted = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(lower, self.added), unique, parted))
+        parts = parted.flatten().dictionary_encode()
+        first = split.offsets.to_numpy().astype(np.int64)
+        inner = parted.offsets.to_numpy().astype(np.int64)
+        return first - first[0], coded.indices.to_numpy(), self._known(parts.dictionary.to_pylist()), inner - inner[0], parts.indices.to_numpy()
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 offsets of the texts."""
-        if self.apart:
-            split = pc.ascii_split_whitespace(texts)
-            coded = split.flatten().dictionary_encode()
-            unique, at, first = coded.dictionary.to_pylist(), coded.indices.to_numpy(), split.offsets.to_numpy() - split.offsets[0].as_py()
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            new = [w for w in unique if w not in self.known]
-            self.known.update(zip(new, self._fresh(new), strict=True))
-            pool = [self.known[w] for w in unique]
-        else:
+        if not self.apart:
             pool = self._fresh(texts.to_pylist())
-            at, first = np.arange(len(texts)), np.arange(len(texts) + 1)
-        size = np.array([len(x) // 4 for x in pool], np.int64)
-        flat, start = np.frombuffer(b"".join(pool), np.uint32), np.cumsum(size) - size
-        n = size[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        return flat[np.arange(ends[-1]) + np.repeat(start[at] - ends[:-1], n)], ends[first]
+            return np.frombuffer(b"".join(pool), np.uint32), np.cumsum([0, *[len(x) // 4 for x in pool]])
+        first, word, pool, inner, part = self._words(texts)
+        # ids of all unique words one after another, then those of the texts
+        flat, bounds = _gathered(np.frombuffer(b"".join(pool), np.uint32), np.cumsum([0, *[len(x) // 4 for x in pool]]), part)
+        ids, ends = _gathered(flat, bounds[inner], word)
+        return ids, ends[first]
+
+
+def _gathered(flat: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` that ``rows`` name, one after another, and their bounds."""
+    n = np.diff(bounds)[rows]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.arange(ends[-1]) + np.repeat(bounds[rows] - ends[:-1], n)], ends
 
 
 def _map_parts(shared, capacity: int, end_id: int, apart: bool):

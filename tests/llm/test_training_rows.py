@@ -71,7 +71,7 @@ def test_packing(spark):
 
 def test_packing_of_odd_rows(spark):
     long = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
-    texts = {1: None, 2: "", 3: long, 4: "a<|endoftext|>b <|startoftext|>", 5: "it'she's 12.5% x y Σ ΑΣ é 漢字", 6: " \n\t ", None: "no id", 7: "́a ́"}
+    texts = {1: None, 2: "", 3: long, 4: "a<|endoftext|>b1 <|startoftext|> <|ENDOFTEXT|>,x", 5: "it'she's 12.5% x y Σ ΑΣ é 漢字", 6: " \n\t ", None: "no id", 7: "́a ́"}
     frame = spark.createDataFrame([(i, t, "k", 1) for i, t in texts.items()], "doc_id long, text string, row string, start int")
     assert checked(packed_sequences(frame, WORDS).collect(), texts, 4096) == 0
     assert checked(packed_sequences(frame, WORDS, apart=False).collect(), texts, 4096) == 0
