@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwright.functions.arithmetic import SLACK
-from cellwright.functions.figures import half_unit
-from cellwright.operators.claims import extract_claims
+from cellwright.operators import natural as N
 from cellwright.operators.metrics import policy_metrics
 
 # Slots of checks, types of questions, and what an action leaves an item in that is safe.
@@ -21,24 +19,14 @@ RISK_BELOW = (0.25, 0.75, 1.01)
 CONFIDENCE = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 
 
-def score_texts(texts: DataFrame, gold: DataFrame) -> DataFrame:
+def score_texts(texts: DataFrame, gold: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
     """item_id, state, wrong (figures that no gold value covers) of texts (item_id, question_id, text; null: nothing was sent).
 
-    ``gold``: question_id, role (answer, operand, intermediate), kind, value. Labelled kinds must agree; a bare number may be
-    printed in thousands, millions or billions; a change counts with the sign that its word gives it.
+    ``gold``: question_id, role (answer, operand, intermediate), kind, value, cell. Labelled kinds must agree; a bare number may be
+    printed in thousands, millions or billions; a change counts with the sign that its word gives it. Natural answers come with
+    the ``contexts`` of their questions, for the readings of ``natural``.
     """
-    claims = extract_claims(texts.where("text IS NOT NULL").select("item_id", "question_id", "text"))
-    kind, v = F.col("figure.kind"), F.col("figure.value").cast("double")
-    signed = F.when(F.col("is_change") & F.col("direction").isNotNull() & (v >= 0) & (F.col("direction") == "down"), -v).otherwise(v)
-    claims = claims.select("item_id", "question_id", "nth", kind.alias("c_kind"), F.col("figure.text").alias("shown"), signed.alias("v"), half_unit(F.col("figure")).alias("half"))
-    powers = F.when(F.col("c_kind") == "number", F.array(*[F.lit(float(10**p)) for p in (0, 3, 6, 9)])).otherwise(F.array(F.lit(1.0)))
-    values = gold.select("question_id", "role", "kind", F.col("value").cast("double").alias("value"))
-    fits = ((F.col("c_kind") == "number") | ((F.col("c_kind") == "percent") == (F.col("kind") == "percent"))) & F.exists(powers, lambda p: F.abs(F.col("v") * p - F.col("value")) <= F.col("half") + SLACK)
-    hits = claims.join(values, "question_id", "left").groupBy("item_id", "nth", "shown").agg(F.coalesce(F.bool_or(fits), F.lit(False)).alias("hit"), F.coalesce(F.bool_or(fits & (F.col("role") == "answer")), F.lit(False)).alias("answer"))
-    by_item = hits.groupBy("item_id").agg(F.bool_and("hit").alias("all"), F.bool_or("answer").alias("any"), F.array_sort(F.collect_list(F.when(~F.col("hit"), F.struct("nth", "shown")))).alias("wrong"))
-    rows = texts.select("item_id", F.col("text").isNull().alias("silent")).join(by_item, "item_id", "left")
-    state = F.when(F.col("silent"), "abstained").when(F.col("all").isNull(), "supported_unhelpful").when(~F.col("all"), "unsupported").when(F.col("any"), "supported_useful").otherwise("supported_unhelpful")
-    return rows.select("item_id", state.alias("state"), F.coalesce(F.transform("wrong", lambda w: w["shown"]), F.array().cast("array<string>")).alias("wrong"))
+    return N.states_of(texts, N.claim_hits(N.natural_claims(texts, contexts), gold))
 
 
 def features(checks: DataFrame, verdicts: DataFrame, questions: DataFrame) -> DataFrame:

@@ -1,14 +1,15 @@
 import pytest
 from oracle import duck, rows_of
 
-from cellwright.plans import answer_queries, evidence_queries, review_queries
+from cellwright.plans import answer_queries, evidence_queries, natural_queries, review_queries
 
 DIR = "/root/testdata/sf0.001"
-SQL = evidence_queries.SQL | review_queries.SQL | answer_queries.SQL
+PLANS = (evidence_queries, review_queries, answer_queries, natural_queries)
+SQL = {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
 
 
 def queries():
-    return evidence_queries.queries() | review_queries.queries() | answer_queries.queries()
+    return {name: f for plan in PLANS for name, f in plan.queries().items()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
