@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,21 +142,75 @@ def paired_bootstrap(rows: DataFrame, cluster: str, a: str, b: str, draws: int,
     return out.crossJoin(F.broadcast(total)).select("estimate", "low", "high", "clusters", "draws", verdict.alias("verdict"))  # one row
 
 
-def cluster_bootstrap(rows: DataFrame, cluster: str, hit: str, base: str, draws: int, level: float = 0.95) -> DataFrame:
-    """low, high of sum(hit) / sum(base) when clusters are drawn again with replacement.
+def drawn_times(cluster: Column, draw: Column) -> Column:
+    """How often a cluster comes in a draw: Poisson with mean one, from a digest of both, the same on any platform."""
+    u = (F.conv(F.substring(F.sha2(F.concat_ws("|", F.coalesce(cluster.cast("string"), F.lit("")), draw.cast("string")), 256), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    return sum((u > c).cast("int") for c in POISSON_STEPS)
 
-    Sums of a cluster are enough for a ratio. A cluster's multiplicity in a draw is Poisson(1) from a hash of both, so
-    draws are independent of partitions and no cluster list reaches the driver. With fewer than two clusters both are null;
-    null sums count as zero.
-    """
-    sums = rows.groupBy(cluster).agg(F.coalesce(F.sum(hit), F.lit(0)).cast("double").alias("h"), F.coalesce(F.sum(base), F.lit(0)).cast("double").alias("b"))
-    n = sums.agg(F.count("*").alias("clusters"))
-    u = (F.pmod(F.xxhash64(F.col(cluster), F.col("draw")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
-    times = sum((u > float(c)).cast("int") for c in cdf)
-    drawn = sums.select(cluster, "h", "b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("m", times)
-    each = drawn.groupBy("draw").agg(F.sum(F.col("m") * F.col("h")).alias("h"), F.sum(F.col("m") * F.col("b")).alias("b")).select(F.try_divide("h", "b").alias("x")).where("x IS NOT NULL")
+
+#: The chances that a Poisson number of mean one is at most 0, 1, 2 and so on.
+POISSON_STEPS = [round(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)), 12) for k in range(12)]
+
+
+def _interval(each: DataFrame, clusters: DataFrame, by: list[str], level: float) -> DataFrame:
+    """``by``, low, high, draws, clusters of a statistic x a draw: its percentiles; null with fewer than two clusters."""
     place = lambda q: F.try_element_at("xs", F.least((F.floor(F.size("xs") * q) + 1).cast("int"), F.size("xs")))
-    some = each.agg(F.array_sort(F.collect_list("x")).alias("xs")).crossJoin(F.broadcast(n))  # one row
+    some = each.where("x IS NOT NULL").groupBy(*by).agg(F.array_sort(F.collect_list("x")).alias("xs"))  # as many as draws
+    some = clusters.join(some, by, "left") if by else clusters.join(some, F.lit(True), "left")
+    some = some.withColumn("xs", F.coalesce("xs", F.array().cast("array<double>")))
     enough = F.col("clusters") > 1
-    return some.select(F.when(enough, place((1 - level) / 2)).alias("low"), F.when(enough, place((1 + level) / 2)).alias("high"), F.size("xs").alias("draws"), "clusters")
+    return some.select(*by, F.when(enough, place((1 - level) / 2)).alias("low"), F.when(enough, place((1 + level) / 2)).alias("high"), F.size("xs").alias("draws"), "clusters")
+
+
+def _draws(rows: DataFrame, cluster: str, draws: int) -> DataFrame:
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    return drawn.withColumn("m", drawn_times(F.col(cluster), F.col("draw"))).where("m > 0")
+
+
+def cluster_bootstrap(rows: DataFrame, cluster: str, hit: str, base: str, draws: int, level: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
+    """low, high of sum(hit) / sum(base), of each group of ``by``, when clusters are drawn again with replacement.
+
+    Sums of a cluster are enough for a ratio. Multiplicities come from ``drawn_times``, so draws are independent of partitions
+    and no cluster list reaches the driver. With fewer than two clusters both are null; null sums count as zero; draws whose
+    base is zero are left out.
+    """
+    sums = rows.groupBy(*by, cluster).agg(F.coalesce(F.sum(hit), F.lit(0)).cast("double").alias("h"), F.coalesce(F.sum(base), F.lit(0)).cast("double").alias("b"))
+    each = _draws(sums, cluster, draws).groupBy(*by, "draw").agg(F.sum(F.col("m") * F.col("h")).alias("h"), F.sum(F.col("m") * F.col("b")).alias("b")).select(*by, F.try_divide("h", "b").alias("x"))
+    return _interval(each, sums.groupBy(*by).agg(F.count("*").alias("clusters")), list(by), level)
+
+
+def rank_bootstrap(rows: DataFrame, cluster: str, score: str, y: str, draws: int, level: float = 0.95) -> DataFrame:
+    """estimate, low, high of the AUROC of a score when clusters are drawn again: sums a cluster can't give a rank statistic.
+
+    Rows become counts per cluster and score first; a draw weighs these by its multiplicities, and its AUROC is the
+    weighted one, ties counting half. Draws with one class are left out.
+    """
+    counts = rows.groupBy(cluster, score).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+    n = lambda c: F.sum(F.col("m") * F.col(c)).alias(c)
+    at = _draws(counts, cluster, draws).groupBy("draw", score).agg(n("pos"), n("neg"))
+    whole = counts.groupBy(score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).withColumn("draw", F.lit(-1))
+    at = at.unionByName(whole)
+    under = F.coalesce(F.sum("neg").over(Window.partitionBy("draw").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = at.withColumn("won", F.col("pos") * (under + F.col("neg") / 2))
+    each = at.groupBy("draw").agg(F.try_divide(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg")).alias("x"))
+    out = _interval(each.where("draw >= 0"), counts.agg(F.count_distinct(cluster).alias("clusters")), [], level)
+    return out.join(each.where("draw < 0").select(F.col("x").alias("estimate")), F.lit(True), "left").select("estimate", "low", "high", "draws", "clusters")
+
+
+def cluster_upper(rows: DataFrame, cluster: str, by: tuple[str, ...] = (), state: str = "state", draws: int = 2000) -> DataFrame:
+    """The one-sided 95% upper bound of residual risk when clusters are drawn again: the upper end of a 90% interval."""
+    flags = rows.select(*by, cluster, (F.col(state) == "unsupported").cast("int").alias("_u"), (F.col(state) != "abstained").cast("int").alias("_s"))
+    return cluster_bootstrap(flags, cluster, "_u", "_s", draws, 0.9, by).select(*by, F.col("high").alias("upper"), "draws", "clusters")
+
+
+def group_risk(rows: DataFrame, cluster: str, groups: Column, state: str = "state", draws: int = 2000) -> DataFrame:
+    """Residual risk of every group with its interval; ``groups`` is an array, so groups may overlap."""
+    flags = rows.select(F.explode(groups).alias("grp"), cluster, (F.col(state) == "unsupported").cast("int").alias("_u"), (F.col(state) != "abstained").cast("int").alias("_s"))
+    total = flags.groupBy("grp").agg(F.count("*").alias("items"), F.sum("_s").alias("sent"), F.try_divide(F.sum("_u").cast("double"), F.sum("_s").cast("double")).alias("estimate"))
+    return cluster_bootstrap(flags, cluster, "_u", "_s", draws, by=("grp",)).join(total, "grp").select("grp", "items", "sent", "estimate", "low", "high", "clusters")
+
+
+def decided_direction(low: Column, high: Column, above: bool) -> Column:
+    """confirmed when an interval excludes zero on the stated side, no difference, or untestable without an interval."""
+    side = low > 0 if above else high < 0
+    return F.when(low.isNull() | high.isNull(), "untestable").when(side, "confirmed").otherwise("no difference")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright.operators import certify, checker, evidence, injection, programs, scoring, tables
-from cellwright.plans.evidence_queries import table
+from cellwright.plans.evidence_queries import hb_sql, table
 from cellwright.session import stored
 
 SEGMENTS = {"AUTOMOBILE": ("group", 1), "BUILDING": ("bank", 2), "FURNITURE": ("company", 3)}
@@ -183,13 +183,6 @@ def chosen_settings(spark, d):
     return c.select("family", F.coalesce("setting", F.lit("")).alias("setting"), "certified", F.round(F.coalesce("useful_coverage", F.lit(-1.0)), 9).alias("useful_coverage"))
 
 
-def paired_interval(spark, d):
-    """Useful coverage of sending all against sending none, by drawing sources again."""
-    tune, _ = certificates(spark, d)
-    rows = tune.select("source", (F.col("send") == "supported_useful").cast("int").alias("a"), F.lit(0).alias("b"))
-    return certify.paired_bootstrap(rows, "source", "a", "b", 2000).select(F.round("estimate", 9).alias("estimate"), (F.col("low") <= F.col("estimate")).alias("low_ok"), (F.col("high") >= F.col("estimate")).alias("high_ok"), "clusters", "verdict")
-
-
 def _grids(spark: SparkSession, d: str, total: bool) -> DataFrame:
     """Net sales and the largest order of each statement as a printed grid; with a total, which is off by five in every third nation."""
     cells = statement_cells(spark, d).where("row < 2")
@@ -215,7 +208,7 @@ def checked_totals(spark, d):
 
 
 def queries() -> dict:
-    fs = (grid_statements, checked_totals, extracted_claims, checked_claims, injected_items, target_programs, policy_grid, chosen_settings, paired_interval, replay_outcomes)
+    fs = (grid_statements, checked_totals, extracted_claims, checked_claims, injected_items, target_programs, policy_grid, chosen_settings, replay_outcomes)
     return {f.__name__: f for f in fs}
 
 
@@ -233,6 +226,21 @@ WITH sums AS (
 )
 """
 
+GRID = """
+WITH items AS (
+  SELECT doc_id, source, CAST('0x' || sha256(CAST(doc_id AS VARCHAR))[64] AS INTEGER) % 2 AS half, round((n_chars % 1000) / 1000.0, 3) AS risk, length(coalesce(text, '')) AS n, CASE WHEN toxic = 1 THEN 'unsupported' WHEN quality = 1 THEN 'supported_useful' ELSE 'supported_unhelpful' END AS send,
+    CASE doc_id % 3 WHEN 0 THEN 'supported_useful' WHEN 1 THEN 'abstained' ELSE 'unsupported' END AS repair FROM documents JOIN labels USING (doc_id)
+), acts AS (
+  SELECT i.*, 'outcome_aware' AS family, 'send<' || s || ',fix>' || f AS setting, CASE WHEN risk / 4 < CAST(s AS DOUBLE) THEN 'send' WHEN (doc_id % 100) / 100 > CAST(f AS DOUBLE) THEN 'repair' ELSE 'abstain' END AS act
+  FROM items i, (VALUES ('0.005'), ('0.01'), ('0.02'), ('0.05'), ('0.1'), ('0.2'), ('0.3'), ('0.5')) a(s), (VALUES ('0.5'), ('0.6'), ('0.7'), ('0.8'), ('0.9'), ('0.95'), ('0.99')) b(f)
+  UNION ALL SELECT i.*, 'verified_only', 'risk<' || t, CASE WHEN risk < CAST(t AS DOUBLE) THEN 'send' ELSE 'abstain' END FROM items i, (VALUES ('0.25'), ('0.75'), ('1.01')) r(t)
+  UNION ALL SELECT i.*, 'threshold_v0', 'risk<' || t, CASE WHEN risk < CAST(t AS DOUBLE) AND n > 200 THEN 'send' WHEN doc_id % 5 = 0 THEN 'repair' ELSE 'abstain' END FROM items i, (VALUES ('0.25'), ('0.75'), ('1.01')) r(t)
+  UNION ALL SELECT i.*, 'four_state', 'conf>=' || c, CASE WHEN greatest(1 - risk, risk / 2) < CAST(c AS DOUBLE) THEN 'abstain' WHEN 1 - risk >= risk / 2 THEN 'send' ELSE 'repair' END FROM items i, (VALUES ('0.5'), ('0.6'), ('0.7'), ('0.8'), ('0.9'), ('0.95')) k(c)
+  UNION ALL SELECT i.*, 'fixed', a, a FROM items i, (VALUES ('send'), ('repair'), ('abstain')) f(a)
+  UNION ALL SELECT i.*, 'oracle', 'oracle', CASE WHEN send = 'supported_useful' THEN 'send' WHEN repair = 'supported_useful' THEN 'repair' WHEN send <> 'unsupported' THEN 'send' ELSE 'abstain' END FROM items i
+), states AS (SELECT *, CASE act WHEN 'send' THEN send WHEN 'repair' THEN repair ELSE 'abstained' END AS state FROM acts)
+"""
+
 SQL: dict[str, str] = {
     "grid_statements": STATEMENTS + """, placed AS (SELECT *, row_number() OVER (PARTITION BY evidence_id, row ORDER BY col) AS k FROM series WHERE row < 2)
 SELECT evidence_id AS item_id, 't1r' || (row + 1) || 'c' || k AS id, metric, entity, period, kind, 3 AS scale, 'LKR' AS currency, v AS value FROM placed""",
@@ -286,17 +294,15 @@ SELECT w.item_id AS item_id, w.claim_id AS claim_id, CASE WHEN b.item_id IS NOT
   CASE WHEN b.item_id IS NOT NULL THEN b.relation WHEN one_v IS NOT NULL THEN 'cell' WHEN rate IS NOT NULL THEN 'growth' ELSE '' END AS relation, round(coalesce(one_v, rate), 3) AS expected,
   CASE WHEN (b.item_id IS NULL OR len(b.slots) > 0) AND coalesce(one_v, rate) IS NOT NULL THEN coalesce(one_id, 'growth(' || now_id || ', ' || base_id || ')') ELSE '' END AS fix
 FROM wanted w LEFT JOIN chosen b ON w.item_id = b.item_id AND w.claim_id = b.claim_id WHERE w.nth = 1""",
-    "policy_grid": """WITH items AS (
-  SELECT doc_id, source, round((n_chars % 1000) / 1000.0, 3) AS risk, length(coalesce(text, '')) AS n, CASE WHEN toxic = 1 THEN 'unsupported' WHEN quality = 1 THEN 'supported_useful' ELSE 'supported_unhelpful' END AS send,
-    CASE doc_id % 3 WHEN 0 THEN 'supported_useful' WHEN 1 THEN 'abstained' ELSE 'unsupported' END AS repair FROM documents JOIN labels USING (doc_id) WHERE CAST('0x' || sha256(CAST(doc_id AS VARCHAR))[64] AS INTEGER) % 2 = 0
-), acts AS (
-  SELECT i.*, 'outcome_aware' AS family, 'send<' || s || ',fix>' || f AS setting, CASE WHEN risk / 4 < CAST(s AS DOUBLE) THEN 'send' WHEN (doc_id % 100) / 100 > CAST(f AS DOUBLE) THEN 'repair' ELSE 'abstain' END AS act
-  FROM items i, (VALUES ('0.005'), ('0.01'), ('0.02'), ('0.05'), ('0.1'), ('0.2'), ('0.3'), ('0.5')) a(s), (VALUES ('0.5'), ('0.6'), ('0.7'), ('0.8'), ('0.9'), ('0.95'), ('0.99')) b(f)
-  UNION ALL SELECT i.*, 'verified_only', 'risk<' || t, CASE WHEN risk < CAST(t AS DOUBLE) THEN 'send' ELSE 'abstain' END FROM items i, (VALUES ('0.25'), ('0.75'), ('1.01')) r(t)
-  UNION ALL SELECT i.*, 'threshold_v0', 'risk<' || t, CASE WHEN risk < CAST(t AS DOUBLE) AND n > 200 THEN 'send' WHEN doc_id % 5 = 0 THEN 'repair' ELSE 'abstain' END FROM items i, (VALUES ('0.25'), ('0.75'), ('1.01')) r(t)
-  UNION ALL SELECT i.*, 'four_state', 'conf>=' || c, CASE WHEN greatest(1 - risk, risk / 2) < CAST(c AS DOUBLE) THEN 'abstain' WHEN 1 - risk >= risk / 2 THEN 'send' ELSE 'repair' END FROM items i, (VALUES ('0.5'), ('0.6'), ('0.7'), ('0.8'), ('0.9'), ('0.95')) k(c)
-  UNION ALL SELECT i.*, 'fixed', a, a FROM items i, (VALUES ('send'), ('repair'), ('abstain')) f(a)
-  UNION ALL SELECT i.*, 'oracle', 'oracle', CASE WHEN send = 'supported_useful' THEN 'send' WHEN repair = 'supported_useful' THEN 'repair' WHEN send <> 'unsupported' THEN 'send' ELSE 'abstain' END FROM items i
-), states AS (SELECT *, CASE act WHEN 'send' THEN send WHEN 'repair' THEN repair ELSE 'abstained' END AS state FROM acts)
-SELECT family, setting, count(*) AS items, count(*) FILTER (state <> 'abstained') AS emitted, count(*) FILTER (state = 'unsupported') AS unsafe_emitted, round(count(*) FILTER (state = 'supported_useful') / count(*), 9) AS useful_coverage FROM states GROUP BY family, setting""",
+    "policy_grid": GRID + """SELECT family, setting, count(*) AS items, count(*) FILTER (state <> 'abstained') AS emitted, count(*) FILTER (state = 'unsupported') AS unsafe_emitted, round(count(*) FILTER (state = 'supported_useful') / count(*), 9) AS useful_coverage FROM states WHERE half = 0 GROUP BY family, setting""",
+    "chosen_settings": GRID + f""", ordered AS (
+  SELECT family, setting, row_number() OVER (PARTITION BY family ORDER BY coalesce(unsafe / nullif(sent, 0), 0), sent / n, setting) AS place
+  FROM (SELECT family, setting, count(*) FILTER (state = 'unsupported') AS unsafe, count(*) FILTER (state <> 'abstained') AS sent, count(*) AS n FROM states WHERE half = 0 GROUP BY ALL)
+), measured AS (
+  SELECT family, setting, n, (unsafe - 0.2 * sent + 0.2 * n) / 1.2 / n AS loss, useful, coalesce(unsafe / nullif(sent, 0), 0) AS risk FROM (
+    SELECT family, setting, count(*) FILTER (state = 'unsupported') AS unsafe, count(*) FILTER (state <> 'abstained') AS sent, count(*) AS n, avg((state = 'supported_useful')::INT) AS useful FROM states WHERE half = 1 GROUP BY ALL)
+), tested AS (SELECT m.*, place, {hb_sql('loss', 'n', 0.2 / 1.2)} AS p FROM measured m JOIN ordered USING (family, setting)
+), held AS (SELECT *, max(p) OVER (PARTITION BY family ORDER BY place) <= 0.05 AS certified FROM tested
+), best AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY useful DESC, risk, place) AS k FROM held WHERE certified)
+SELECT h.family AS family, coalesce(any_value(b.setting), '') AS setting, count(*) FILTER (certified) AS certified, round(coalesce(any_value(b.useful), -1.0), 9) AS useful_coverage FROM held h LEFT JOIN (SELECT family, setting, useful FROM best WHERE k = 1) b USING (family) GROUP BY h.family""",
 }

@@ -124,6 +124,14 @@ def quality_states(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "source", "lang", "quality", "toxic", risk.alias("risk"), state.alias("state"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
 
 
+def hb_sql(loss: str, n: str, alpha: float) -> str:
+    """The smaller tail bound of a mean loss as SQL; the binomial tail as a sum of log-gamma terms."""
+    x = f"least(greatest({loss}, 1e-12), 1 - 1e-12)"
+    term = f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({alpha!r}) + ({n} - i) * ln(1 - {alpha!r}))"
+    tail = f"coalesce(list_sum(list_transform(range(0, CAST(ceil({n} * ({loss}) - 1e-9) AS BIGINT) + 1), lambda i: {term})), 0.0)"
+    return f"CASE WHEN {loss} >= {alpha!r} THEN 1.0 ELSE least(1.0, exp(-{n} * ({x} * ln({x} / {alpha!r}) + (1 - {x}) * ln((1 - {x}) / (1 - {alpha!r})))), exp(1.0) * {tail}) END"
+
+
 STATES = """
 WITH items AS (
   SELECT doc_id, source, lang, quality, toxic, risk, CASE WHEN risk >= 0.8 THEN 'abstained' WHEN toxic = 1 THEN 'unsupported' WHEN quality = 1 THEN 'supported_useful' ELSE 'supported_unhelpful' END AS state
@@ -190,11 +198,6 @@ def certified_settings(spark, d):
     return c.select("setting", "place", "n", F.round("loss", 9).alias("loss"), F.round("useful_coverage", 9).alias("useful_coverage"), F.round("p_value", 6).alias("p_value"), "certified")
 
 
-def risk_interval(spark, d):
-    s = quality_states(spark, d).withColumns({"h": F.col("toxic"), "b": F.lit(1)})
-    return certify.cluster_bootstrap(s, "source", "h", "b", 2000)
-
-
 def wording_flags(spark, d):
     """Sentences of eight kinds, one an order: why code can't vouch for each, and currencies that a report in rupees lacks."""
     said = [
@@ -279,13 +282,18 @@ def figures_per_document(spark, d):
 def queries() -> dict:
     fs = (
         evidence_cells, period_changes, entity_differences, column_shares, base_period_lookup, target_lookup, target_changes, claim_matching, sibling_facts, policy_metrics, flip_matrix, rater_agreement, calibration_error,
-        ranking_quality, false_alarm_threshold, issuer_splits, stratified_sample, equal_draw, unlabelled_documents, issuer_means, certified_settings, risk_interval, wording_flags, label_readings, read_figures,
+        ranking_quality, false_alarm_threshold, issuer_splits, stratified_sample, equal_draw, unlabelled_documents, issuer_means, certified_settings, wording_flags, label_readings, read_figures,
         event_props, hourly_events, series_carry, named_periods, metric_names, figures_per_document,
     )
     return {f.__name__: f for f in fs}
 
 
 SQL = {
+    "certified_settings": STATES + f""", decided AS (SELECT i.*, CAST('0x' || sha256(CAST(doc_id AS VARCHAR))[64] AS INTEGER) % 2 AS half, 'risk<0.' || t AS setting, (risk < t / 10.0)::INT AS sent FROM items i, (SELECT unnest(range(1, 10)) AS t)),
+ordered AS (SELECT setting, row_number() OVER (ORDER BY coalesce(sum(sent * toxic) / nullif(sum(sent), 0), 0), avg(sent), setting) AS place FROM decided WHERE half = 0 GROUP BY setting),
+measured AS (SELECT setting, count(*) AS n, avg((sent * toxic - 0.2 * sent + 0.2) / 1.2) AS loss, avg(sent * quality) AS useful FROM decided WHERE half = 1 GROUP BY setting),
+tested AS (SELECT m.*, place, {hb_sql('loss', 'n', 0.2 / 1.2)} AS p FROM measured m JOIN ordered USING (setting))
+SELECT setting, CAST(place AS INTEGER) AS place, n, round(loss, 9) AS loss, round(useful, 9) AS useful_coverage, round(p, 6) AS p_value, max(p) OVER (ORDER BY place) <= 0.05 AS certified FROM tested""",
     "evidence_cells": CELLS + "SELECT * REPLACE (CAST(value AS DOUBLE) AS value) FROM cells",
     "period_changes": CELLS + """, pairs AS (
   SELECT a.*, b.period AS base_period, CAST(a.value AS DOUBLE) AS x, CAST(b.value AS DOUBLE) AS y FROM cells a JOIN cells b USING (item_id, table_id, row, entity) WHERE b.period < a.period)
