@@ -135,45 +135,72 @@ def _after_run(t: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(at[::-1])[::-1]
 
 
-def _ordered_type(t: np.ndarray, own: np.ndarray, after: np.ndarray, base: np.ndarray, sign: int, blocks: int) -> np.ndarray:
+def _grouped(t: np.ndarray, own: np.ndarray, after: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
+    """``own`` by name, length of the run of equal names and the name that follows, in scan order; and each one's group of equals."""
+    n, names = len(t), int(t.max()) + 2
+    nxt = after[own]
+    run, name = nxt - own, np.where(nxt < n, t[np.minimum(nxt, n - 1)], -1) + 1
+    first, follows = (t[own], name) if sign > 0 else (names - t[own], names - name)
+    if (names + 1) ** 2 * (int(run.max()) + 1) < 1 << 62:
+        key = (first * (run.max() + 1) + run) * (names + 1) + follows
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        fresh = key[1:] != key[:-1]
+    else:
+        order = np.lexsort((follows, run, first))
+        fresh = np.any([x[order][1:] != x[order][:-1] for x in (first, run, follows)], axis=0)
+    return own[order], np.concatenate([[0], np.cumsum(fresh)])
+
+
+def _ordered_type(t: np.ndarray, own: np.ndarray, after: np.ndarray, base: np.ndarray, sign: int) -> np.ndarray:
     """The suffixes ``own`` of one type in order, induced from what follows their runs of equal names.
 
-    Names are passed in blocks, upwards (sign 1, larger suffixes) or downwards (-1, smaller ones). What follows a run has
-    its place in ``base`` already, or lies in the same block; then the block is ordered again until nothing moves. Within
-    a name, a longer run comes later among larger suffixes and sooner among smaller ones.
+    Names are passed upwards (sign 1, larger suffixes) or downwards (-1, smaller ones); within a name, a longer run comes later
+    among larger suffixes and sooner among smaller ones. Only suffixes with equals in all of that need the place of what
+    follows them, which is in ``base`` already or comes earlier in the same pass; where such places move, their groups, and no
+    others, are ordered again.
     """
-    n, order = len(t), []
-    own = own[np.argsort(sign * t[own], kind="stable")]
-    cut = np.unique(np.searchsorted(sign * t[own], (sign * t[own])[np.linspace(0, len(own) - 1, blocks + 1).astype(int)[1:-1]])) if len(own) else np.zeros(0, int)
-    done = 0
-    for rows in np.split(own, cut):
-        if not len(rows):
-            continue
-        nxt = after[rows]
-        run, name = nxt - rows, t[np.minimum(nxt, n - 1)]
-        before = np.full(len(rows), -1)
-        while True:
-            # what follows: its name, its type's side (others precede in scan order) and its place within that
-            key = np.where(nxt < n, base[np.minimum(nxt, n - 1)], -1)
-            perm = np.lexsort((key, sign * np.where(nxt < n, name, -1), run, sign * t[rows]))
-            if (perm == before).all():
-                break
-            before = perm
-            base[rows[perm]] = done + np.arange(len(rows))
-        done += len(rows)
-        order.append(rows[perm])
-    return np.concatenate(order) if order else own
-
-
-def induce_names(t: np.ndarray, small: np.ndarray, left: np.ndarray, blocks: int = 64) -> np.ndarray:
-    """``induce`` for texts of any numbers: the same two passes, a block of names at a time."""
+    if not len(own):
+        return own
+    rows, group = _grouped(t, own, after, sign)
+    base[rows] = np.arange(len(rows))
+    size = np.bincount(group)
+    tied = np.flatnonzero(size[group] > 1)
+    mine, of, follow = rows[tied], group[tied], after[rows[tied]]
+    size[size == 1] = 0
+    first = np.cumsum(size) - size
+    # who waits for a place that may move: their numbers in ``mine``, one stretch a place
+    moving = np.zeros(len(t) + 1, bool)
+    moving[mine] = True
+    waits = np.flatnonzero(moving[follow])
+    waits = waits[np.argsort(follow[waits], kind="stable")]
+    wait_from = np.concatenate([[0], np.cumsum(np.bincount(follow[waits], minlength=len(t) + 1))])
+    groups = np.flatnonzero(size)
+    while len(groups):
+        at = _stretches(first[groups], size[groups])
+        by = at[np.argsort(of[at] * (4 * len(t)) + base[follow[at]], kind="stable")]
+        moved = mine[by][base[mine[by]] != tied[at]]
+        base[mine[by]] = tied[at]
+        groups = np.unique(of[waits[_stretches(wait_from[moved], wait_from[moved + 1] - wait_from[moved])]])
+    rows[base[rows]] = rows.copy()
+    return rows
+
+
+def _stretches(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of each."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
+def induce_names(t: np.ndarray, small: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """``induce`` for texts of any numbers: the same two passes, over all names at once."""
     n = len(t)
     after = _after_run(t)
-    base = np.full(n, -1, np.int64)
+    base = np.full(n + 1, -1, np.int64)  # the end comes before all
     base[left] = n + np.arange(len(left))  # within one name, smaller suffixes follow all larger ones
-    large = _ordered_type(t, np.flatnonzero(~small), after, base, 1, blocks)
+    large = _ordered_type(t, np.flatnonzero(~small), after, base, 1)
     base[large] = n + n - np.arange(len(large))  # downwards, larger suffixes come after all smaller ones of their name
-    down = _ordered_type(t, np.flatnonzero(small), after, base, -1, blocks)
+    down = _ordered_type(t, np.flatnonzero(small), after, base, -1)
     rows = np.concatenate([large, down[::-1]])
     return rows[np.argsort(t[rows], kind="stable")]
 

@@ -129,6 +129,11 @@ def test_suffix_array_of_any_alphabet():
         assert suffix_array(t).tolist() == sorted(range(len(b)), key=lambda k: b[k:])
 
 
+def test_suffix_array_of_falling_names():
+    falling = np.tile(np.arange(300)[::-1], 6)
+    assert suffix_array(falling).tolist() == sorted(range(len(falling)), key=lambda j: falling[j:].tolist())
+
+
 def test_fm_index():
     """Words from a vocabulary far larger than the text."""
     rng = np.random.default_rng(6)
