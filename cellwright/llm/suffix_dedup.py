@@ -143,7 +143,7 @@ def _grouped(t: np.ndarray, own: np.ndarray, after: np.ndarray, sign: int) -> tu
     first, follows = (t[own], name) if sign > 0 else (names - t[own], names - name)
     if (names + 1) ** 2 * (int(run.max()) + 1) < 1 << 62:
         key = (first * (run.max() + 1) + run) * (names + 1) + follows
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         fresh = key[1:] != key[:-1]
     else:
@@ -157,8 +157,8 @@ def _ordered_type(t: np.ndarray, own: np.ndarray, after: np.ndarray, base: np.nd
 
     Names are passed upwards (sign 1, larger suffixes) or downwards (-1, smaller ones); within a name, a longer run comes later
     among larger suffixes and sooner among smaller ones. Only suffixes with equals in all of that need the place of what
-    follows them, which is in ``base`` already or comes earlier in the same pass; where such places move, their groups, and no
-    others, are ordered again.
+    follows them, which is in ``base`` already or comes earlier in the same pass; a group is ordered once, when all that it
+    waits for has its place.
     """
     if not len(own):
         return own
@@ -173,15 +173,18 @@ def _ordered_type(t: np.ndarray, own: np.ndarray, after: np.ndarray, base: np.nd
     moving = np.zeros(len(t) + 1, bool)
     moving[mine] = True
     waits = np.flatnonzero(moving[follow])
-    waits = waits[np.argsort(follow[waits], kind="stable")]
+    waits = waits[np.argsort(follow[waits])]
     wait_from = np.concatenate([[0], np.cumsum(np.bincount(follow[waits], minlength=len(t) + 1))])
-    groups = np.flatnonzero(size)
-    while len(groups):
-        at = _stretches(first[groups], size[groups])
-        by = at[np.argsort(of[at] * (4 * len(t)) + base[follow[at]], kind="stable")]
-        moved = mine[by][base[mine[by]] != tied[at]]
+    left = np.bincount(of[waits], minlength=len(size))
+    ready = np.flatnonzero((size > 0) & (left == 0))
+    while len(ready):
+        at = _stretches(first[ready], size[ready])
+        by = at[np.argsort(of[at] * (4 * len(t)) + base[follow[at]])]
         base[mine[by]] = tied[at]
-        groups = np.unique(of[waits[_stretches(wait_from[moved], wait_from[moved + 1] - wait_from[moved])]])
+        placed = wait_from[mine[at]]
+        freed = of[waits[_stretches(placed, wait_from[mine[at] + 1] - placed)]]
+        np.subtract.at(left, freed, 1)
+        ready = np.unique(freed[left[freed] == 0])
     rows[base[rows]] = rows.copy()
     return rows
 
@@ -205,8 +208,8 @@ def induce_names(t: np.ndarray, small: np.ndarray, left: np.ndarray) -> np.ndarr
     return rows[np.argsort(t[rows], kind="stable")]
 
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """The suffixes of a text of bytes or of other whole numbers in order, by induced sorting.
+def suffix_array(t: np.ndarray, dense: bool = False) -> np.ndarray:
+    """The suffixes of a text of bytes or of other whole numbers (``dense``: all from 0 to the largest) in order, by induced sorting.
 
     Leftmost-smaller substrings are induced from any order of their starts and named; unless all names differ, the text of
     names is sorted by this function again. One more induction from their order gives the array.
@@ -216,7 +219,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     n = len(t)
     if n < 2:
         return np.arange(n)
-    if not bytewise:
+    if not bytewise and not dense:
         t = np.unique(t, return_inverse=True)[1].astype(np.int64)
     small = smaller_types(t)
     is_left = np.zeros(n, bool)
@@ -238,7 +241,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
             same[same] = _same_names(t, a[same], b[same], la[same])
         name = np.empty(len(left), np.int64)
         name[i] = np.concatenate([[0], np.cumsum(~same)])
-        left = by if name.max() == len(left) - 1 else left[suffix_array(name)]
+        left = by if name.max() == len(left) - 1 else left[suffix_array(name, True)]
     return by_type(t, small, left)
 
 
