@@ -10,7 +10,9 @@
    list and a query gets one partial result a shard.
 4. A query visits all lists within a ratio of its nearest centroid's distance and at least ``LEAST_LISTS``; the ratio is
    ``1 + spread / sqrt(length)``, as distances draw together in longer vectors; the walk
-   through the graph widens until the ratio ends the list, so nothing else cuts it off. In each part its distances are
+   through the graph widens until the ratio ends the list, so nothing else cuts it off; and until the lists hold
+   ``REPLICAS * (k + 1)`` rows, so ``k + 1`` different ones, where there are as many. Queries are dealt in blocks of about
+   ``QUERIES``, so a task holds one shard and one block. In each part its distances are
    exact. Partial results merge by ranking. ``compared`` tells how many entries a query met, copies in several lists included.
 
 Vectors meet vectors of their own length. Each length that holds ``SHARE`` of the rows has an index; others have one list,
@@ -35,7 +37,7 @@ from cellwright.llm.centroid_graph import CentroidGraph, balanced_centroids
 
 K, SAMPLE, SAMPLE_BYTES, LIST_ROWS, MAX_LISTS = 10, 1 << 17, 64 << 20, 64, 1 << 15
 REPLICAS, BOUNDARY, SPREAD, LEAST_LISTS, PART_ROWS, SHARE = 4, 0.1, 1.5, 4, 4096, 1 / 16
-QUERY_BLOCK = 256
+QUERY_BLOCK, QUERIES = 256, 1 << 14
 
 
 def _rows_of(batch, name: str) -> np.ndarray:
@@ -74,18 +76,23 @@ def _map_lists(shared):
     return run
 
 
-def _map_routes(shared, ratio: float):
-    """Each query's lists, cut off by the ratio of distances, as a row per shard that holds any of them."""
+def _map_routes(shared, ratio: float, need: int):
+    """Each query's lists, cut off by the ratio of distances, as a row per shard that holds any of them.
 
-    def lists_of(graph, x):
+    However few the lists within the ratio hold, a query meets ``need`` rows of lists, or all.
+    """
+
+    def lists_of(graph, counts, x):
         """Lists within the ratio, and at least LEAST_LISTS: the walk widens for the queries whose lists it does not end yet."""
         out, live, beam = [None] * len(x), np.arange(len(x)), 64
         while len(live):
             ids, d = graph.search(x[live], beam)
             d = np.sqrt(d)
-            ended = (d[:, -1] > d[:, 0] * ratio) | (beam >= len(graph.c))
+            held = np.where(np.isfinite(d), counts[np.where(np.isfinite(d), ids, 0)], 0)
+            before = np.cumsum(held, 1) - held
+            ended = ((d[:, -1] > d[:, 0] * ratio) & (before[:, -1] >= need)) | (beam >= len(graph.c))
             for i in np.flatnonzero(ended).tolist():
-                keep = np.isfinite(d[i]) & ((d[i] <= d[i, 0] * ratio) | (np.arange(d.shape[1]) < LEAST_LISTS))
+                keep = np.isfinite(d[i]) & ((d[i] <= d[i, 0] * ratio) | (np.arange(d.shape[1]) < LEAST_LISTS) | (before[i] < need))
                 out[live[i]] = ids[i][keep]
             live, beam = live[~ended], beam * 2
         return out
@@ -98,7 +105,7 @@ def _map_routes(shared, ratio: float):
             rows, shards, wanted, met = [], [], [], []
             x = _rows_of(batch, "vec")
             for i in range(0, len(x), 1024):
-                for q, lists in enumerate(lists_of(graph, x[i : i + 1024]), i):
+                for q, lists in enumerate(lists_of(graph, counts, x[i : i + 1024]), i):
                     n = parts[lists]
                     shard = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[lists], n)
                     of = np.repeat(lists, n)
@@ -159,7 +166,7 @@ def _sharded(listed: DataFrame, lists: DataFrame) -> DataFrame:
     return listed.join(lists, "list").select(shard.alias("shard"), "list", "lead", "h", "ids", "vec")
 
 
-def _indexed(entries: DataFrame, dim: int, n: int, ratio: float) -> tuple[DataFrame, DataFrame]:
+def _indexed(entries: DataFrame, dim: int, n: int, ratio: float, need: int) -> tuple[DataFrame, DataFrame]:
     """Entries of one length by shard, and the shards that each query visits.
 
     Neighbouring lists share a shard of about PART_ROWS entries, so that a query gets one partial result for all of them; a
@@ -186,7 +193,7 @@ def _indexed(entries: DataFrame, dim: int, n: int, ratio: float) -> tuple[DataFr
             filled += int(counts[i])
     lists = spark.createDataFrame(list(zip(range(len(counts)), first.tolist(), parts.tolist(), strict=True)), "list int, first int, parts int")
     routes = spark.sparkContext.broadcast((graph, counts, first, parts))
-    return _sharded(listed, lists), entries.where("asks").mapInArrow(_map_routes(routes, ratio), VISITS)
+    return _sharded(listed, lists), entries.where("asks").mapInArrow(_map_routes(routes, ratio, need), VISITS)
 
 
 VISITS = "shard int, q_lead long, q_h long, met long, wanted array<int>, vec array<double>"
@@ -225,11 +232,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, spread: float = SP
     common = entries.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).where(F.col("n") >= SHARE * total).collect()
     found = []
     for r in common:
-        found.append(_indexed(entries.where(F.size("vec") == r.dim), r.dim, r.n, 1 + spread / r.dim**0.5))
+        found.append(_indexed(entries.where(F.size("vec") == r.dim), r.dim, r.n, 1 + spread / r.dim**0.5, REPLICAS * (k + 1)))
     if sum(r.n for r in common) < total:
         found.append(_whole(entries.where(~F.size("vec").isin([r.dim for r in common]))))
     schema = "q_lead long, q_h long, met long, lead long, h long, ids array<long>, score double"
-    found = reduce(DataFrame.unionByName, [dealt.groupBy("shard").cogroup(visits.groupBy("shard")).applyInArrow(_search_shard(k), schema) for dealt, visits in found])
+    # a task holds a shard and one block of the queries that visit it
+    blocks = max(1, -(-entries.where("asks").count() // QUERIES))
+    block = F.pmod(F.xxhash64("q_lead", "q_h"), F.lit(blocks)).cast("int").alias("block")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    met = [(dealt.select("*", every).groupBy("shard", "block"), visits.select("*", block).groupBy("shard", "block")) for dealt, visits in found]
+    found = reduce(DataFrame.unionByName, [dealt.cogroup(visits).applyInArrow(_search_shard(k), schema) for dealt, visits in met])
     by_query = Window.partitionBy("q_lead", "q_h")
     found = found.withColumn("nth", F.dense_rank().over(by_query.orderBy("score", "lead", "h"))).where(F.col("nth") <= k + 1)
     found = found.groupBy("q_lead", "q_h", "lead", "h").agg(F.first("ids").alias("ids"), F.first("score").alias("score"), F.first("met").alias("compared"))

@@ -83,7 +83,11 @@ def _is_der(data: bytes) -> bool:
 
 def _is_blob(data: bytes) -> bool:
     if data.startswith(CONTAINER):
-        return len(data) > len(CONTAINER) + 8
+        # names, options and keys fill it exactly, and the first public key is one
+        if _size(data, lambda: data) != len(data):
+            return False
+        key = _fields(data, len(CONTAINER), 3) + 4
+        return _is_blob(data[key + 4 : _fields(data, key, 1)])
     fields, i = [], 0
     while i + 4 <= len(data):
         (size,) = struct.unpack(">I", data[i : i + 4])
