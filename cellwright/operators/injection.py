@@ -109,10 +109,10 @@ def inject(examples: DataFrame, cells: DataFrame, errors: tuple[str, ...] = ERRO
     """Items of examples (``shapes``): item_id, error, text, expected_action, changed_cells, removed_cells, correct_text, roles
     (what each figure stands for: A and B the cells, D their difference, G growth, S share).
 
-    Which of two wordings an example gets, and how far a slip is off, come from hashes of its id.
+    Which of two wordings an example gets, and how far a slip is off, come from digests of its id.
     """
     a, b, shape = F.col("a"), F.col("b"), F.col("shape")
-    h = lambda k: F.pmod(F.xxhash64(F.lit(k), "question_id"), F.lit(1 << 20))
+    h = lambda k: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(k), "question_id"), 256), 1, 5), 16, 10).cast("long")
     rows = wrong_cells(examples, cells).withColumn("first", h("wording") % 2 == 0)
     missing = F.coalesce(F.col("wrong_period"), F.col("wrong_metric"))
     places = (h("places") % 2 + 1).cast("int")

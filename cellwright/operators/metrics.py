@@ -80,8 +80,21 @@ def item_risk(items: DataFrame, checks: DataFrame, weight: Column) -> DataFrame:
     return items.select("item_id").join(by, "item_id", "left").fillna(0.5, ["risk", "fused"])
 
 
+def covered(spans: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``by`` and the number of characters that spans (start, end) cover, those under several spans once.
+
+    In order of their starts, a span adds what lies beyond the furthest end so far.
+    """
+    before = F.max("end").over(Window.partitionBy(*by, *keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    adds = F.greatest(F.col("end") - F.greatest("start", F.coalesce(before, F.col("start"))), F.lit(0))
+    return spans.where("`end` > start").withColumn("_adds", adds).groupBy(*by).agg(F.sum("_adds").alias("chars"))
+
+
 def span_scores(gold: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """Character precision, recall and F1 over spans (start, end): characters are rows only within one span."""
-    chars = lambda d, name: d.where("`end` > start").select(*keys, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("at")).distinct().withColumn(name, F.lit(1))
-    both = chars(gold, "g").join(chars(found, "f"), [*keys, "at"], "full").agg(F.count("g").alias("gold"), F.count("f").alias("found"), F.count_if(F.col("g").isNotNull() & F.col("f").isNotNull()).alias("hit"))
+    """Character precision, recall and F1 over spans (start, end); what both cover is what each covers less what either does."""
+    columns = [*keys, "start", "end"]
+    side = lambda d, name: d.select(F.lit(name).alias("side"), *columns)
+    sets = side(gold, "gold").unionByName(side(found, "found")).unionByName(side(gold.select(*columns).unionByName(found.select(*columns)), "either"))
+    n = lambda name: F.coalesce(F.max(F.when(F.col("side") == name, F.col("chars"))), F.lit(0))
+    both = covered(sets, keys, ["side"]).agg(n("gold").alias("gold"), n("found").alias("found"), (n("gold") + n("found") - n("either")).alias("hit"))
     return both.select("gold", "found", "hit", F.try_divide("hit", "found").alias("precision"), F.try_divide("hit", "gold").alias("recall"), F.try_divide(2 * F.col("hit"), F.col("gold") + F.col("found")).alias("f1"))

@@ -72,20 +72,23 @@ def own_evidence(items: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def injected_items(spark, d):
+    """Every planted error: the wrong text, the right one, what ought to be done and which cells are behind it."""
     items, _, _ = made_items(spark, d)
-    return items.groupBy("shape", "error", "expected_action").agg(F.count("*").alias("n"))
+    joined = lambda c: F.array_join(c, ",")
+    return items.select("item_id", "error", "text", F.coalesce("correct_text", F.lit("")).alias("correct_text"), "expected_action", joined("changed_cells").alias("changed"), joined("removed_cells").alias("removed"))
 
 
 def target_programs(spark, d):
+    """The edits that mend each planted error, and no other figure."""
     items, _, _ = made_items(spark, d)
-    edits = injection.target_edits(items).join(items.select("item_id", "shape", "error"), "item_id")
-    return edits.groupBy("shape", "error", "op").agg(F.count("*").alias("n"))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return injection.target_edits(items).select("item_id", "claim_id", "op", text("cell"), text("expr"), text("reason"))
 
 
 def extracted_claims(spark, d):
     """What is read from the right answers: kind, value, direction, change or level, and context of every figure."""
     items, _, cells = made_items(spark, d)
-    c = checker.claims_of(items.where("error = 'none' AND shape IN ('lookup', 'share')"), cells)
+    c = checker.claims_of(items.where("error = 'none'"), cells)
     return c.select("item_id", "claim_id", F.col("figure.kind").alias("kind"), F.round(F.col("figure.value").cast("double"), 4).alias("value"), F.coalesce("direction", F.lit("")).alias("direction"), "is_change", "metric", "entity", "period")
 
 
@@ -226,6 +229,90 @@ WITH sums AS (
 )
 """
 
+def _signed_sql(value: str, body: str) -> str:
+    return f"CASE WHEN {value} < 0 THEN '-' ELSE '' END || {body}"
+
+
+def _format_sql(x: str, places: str) -> str:
+    return f"CASE {places} " + " ".join(f"WHEN {p} THEN format('{{:,.{p}f}}', CAST(round({x}, {p}) AS DOUBLE))" for p in range(5)) + " END"
+
+
+def _amount_places(value: str, scale: str) -> str:
+    """Decimals of an amount: three digits at least, with up to two decimals for it; up to four until a digit shows."""
+    x = f"(abs({value}) / pow(10, {scale}))"
+    digits = f"CASE WHEN {x} >= 1 THEN floor(log10({x})) + 1 ELSE 0 END"
+    return f"CAST(CASE WHEN {x} = 0 THEN 0 ELSE greatest(0, least(3 - ({digits}), 2), least(4, -floor(log10(2 * {x})))) END AS INTEGER)"
+
+
+def _percent_places(value: str, places: str) -> str:
+    return f"CAST(greatest({places}, CASE WHEN {value} = 0 THEN 0 ELSE least(4, -floor(log10(2 * abs({value})))) END) AS INTEGER)"
+
+
+def amount_sql(value: str, scale: str) -> str:
+    """An amount of rupees in a scale."""
+    return _signed_sql(value, f"'Rs. ' || {_format_sql(f'(abs({value}) / pow(10, {scale}))', _amount_places(value, scale))} || CASE {scale} WHEN 3 THEN ' thousand' WHEN 6 THEN ' million' ELSE '' END")
+
+
+def percent_sql(value: str, places: str) -> str:
+    return _signed_sql(value, f"{_format_sql(f'CAST(abs({value}) AS DECIMAL(38,10))', _percent_places(value, places))} || '%'")
+
+
+def _rounded_sql(x: str, places: str) -> str:
+    return f"CASE {places} " + " ".join(f"WHEN {p} THEN CAST(round(CAST({x} AS DECIMAL(38,10)), {p}) AS DOUBLE)" for p in range(5)) + " END"
+
+
+def _digest_sql(k: str) -> str:
+    return f"CAST('0x' || sha256('{k}|' || ex.qid)[1:5] AS INTEGER)"
+
+
+RATE_PLACES, SHARE_PLACES = "coalesce(places, CASE WHEN abs(rate) < 1 THEN 2 ELSE 1 END)", "coalesce(places, CASE WHEN abs(portion) < 1 THEN 2 ELSE 1 END)"
+INJECTED = STATEMENTS + f""", named AS (SELECT *, CASE row WHEN 0 THEN 'Net sales' WHEN 1 THEN 'Largest order' WHEN 2 THEN 'Orders handled' ELSE 'Urgent share' END AS label FROM series
+), plain AS (
+  SELECT 'lookup' AS shape, a AS a, NULL::ROW(evidence_id VARCHAR, entity VARCHAR, y INTEGER, col INTEGER, row INTEGER, metric VARCHAR, kind VARCHAR, scale INTEGER, raw DOUBLE, v DOUBLE, id VARCHAR, seq INTEGER, period VARCHAR, label VARCHAR) AS b FROM named a WHERE row = 0
+  UNION ALL SELECT CASE a.row WHEN 0 THEN 'growth' ELSE 'difference' END, a, b FROM named a JOIN named b ON a.evidence_id = b.evidence_id AND a.entity = b.entity AND a.row = b.row AND b.y = a.y - 1 WHERE a.row IN (0, 2)
+  UNION ALL SELECT 'share', a, b FROM named a JOIN named b ON a.evidence_id = b.evidence_id AND a.col = b.col AND a.row = 1 AND b.row = 0
+), ex AS (SELECT *, a.evidence_id || ':' || a.entity || ':' || a.period || ':' || shape AS qid FROM plain
+), other AS (
+  SELECT qid, o.id AS id, o.v AS v, o.seq AS seq, CASE WHEN o.metric = a.metric AND o.entity = a.entity AND o.period <> a.period THEN 'period' WHEN o.entity = a.entity AND o.period = a.period AND o.col = a.col AND o.metric <> a.metric THEN 'metric'
+    WHEN o.metric = a.metric AND o.period = a.period AND o.entity <> a.entity THEN 'entity' END AS part
+  FROM ex JOIN named o ON o.evidence_id = a.evidence_id AND o.kind = a.kind WHERE o.id <> a.id AND o.id IS DISTINCT FROM b.id AND o.v <> a.v
+), wrong AS (SELECT qid, part, arg_min(id, seq) AS id, arg_min(v, seq) AS v FROM other WHERE part IS NOT NULL GROUP BY ALL
+), chosen AS (
+  SELECT ex.*, p.id AS pid, p.v AS pv, m.id AS mid, m.v AS mv, e.id AS eid, e.v AS ev, {_digest_sql('wording')} % 2 = 0 AS first, {_digest_sql('places')} % 2 + 1 AS pl,
+    CAST([1, 1, 2, 3, 5, 10, 30][{_digest_sql('slip')} % 7 + 1] * CASE {_digest_sql('places')} % 2 + 1 WHEN 1 THEN 0.1::DOUBLE ELSE 0.01::DOUBLE END * CASE {_digest_sql('side')} % 2 WHEN 0 THEN 1 ELSE -1 END AS DOUBLE) AS slip0,
+    CASE WHEN shape = 'growth' THEN abs((a.v - b.v) * 100 / abs(b.v)) ELSE a.v * 100 / b.v END AS truth
+  FROM ex LEFT JOIN wrong p ON p.qid = ex.qid AND p.part = 'period' LEFT JOIN wrong m ON m.qid = ex.qid AND m.part = 'metric' LEFT JOIN wrong e ON e.qid = ex.qid AND e.part = 'entity'
+), planted AS (
+  SELECT *, CASE WHEN truth + slip0 <= 0 THEN -slip0 ELSE slip0 END AS slip FROM chosen, (VALUES ('none'), ('period'), ('metric'), ('entity'), ('scale'), ('sign'), ('basis'), ('missing_operand'), ('arithmetic')) t(error)
+  WHERE CASE error WHEN 'scale' THEN shape = 'lookup' WHEN 'sign' THEN shape IN ('growth', 'difference') WHEN 'basis' THEN shape = 'growth' WHEN 'arithmetic' THEN shape IN ('growth', 'share') ELSE true END
+), parts AS (
+  SELECT *, true AS wrong, CASE error WHEN 'period' THEN pv WHEN 'metric' THEN mv WHEN 'entity' THEN ev WHEN 'missing_operand' THEN coalesce(pv, mv) WHEN 'scale' THEN a.v * 1000 ELSE a.v END AS x, a.scale + CASE error WHEN 'scale' THEN 3 ELSE 0 END AS sc,
+    error = 'sign' AS flip, error = 'basis' AS basis, CASE error WHEN 'arithmetic' THEN slip ELSE 0 END AS sl, CASE error WHEN 'arithmetic' THEN pl END AS places FROM planted
+  UNION ALL SELECT *, false, a.v, a.scale, false, false, 0, CASE error WHEN 'arithmetic' THEN pl END FROM planted
+), worked AS (SELECT *, x - b.v AS delta, CASE WHEN basis THEN (x - b.v) * 100 / nullif(abs(x), 0) ELSE (x - b.v) * 100 / nullif(abs(b.v), 0) END AS rate, x * 100 / nullif(b.v, 0) AS portion FROM parts
+), signs AS (SELECT *, (CASE WHEN shape = 'growth' THEN rate >= 0 ELSE delta >= 0 END) <> flip AS up, CASE WHEN first AND NOT flip THEN delta ELSE abs(delta) END AS sized FROM worked
+), shown AS (
+  SELECT *, {amount_sql('x', 'sc')} AS sa, {amount_sql('b.v', 'b.scale')} AS sb, {amount_sql('sized', 'a.scale')} AS sd, {percent_sql('(abs(rate) + sl)', RATE_PLACES)} AS sg,
+    {percent_sql('(portion + sl)', SHARE_PLACES)} AS ss FROM signs
+), spans AS (SELECT *, ' from ' || sb || ' in ' || b.period || ' to ' || sa || ' in ' || a.period AS span FROM shown
+), said AS (
+  SELECT *, CASE shape
+    WHEN 'lookup' THEN CASE WHEN first THEN a.label || ' was ' || sa || ' in ' || a.period || '.' ELSE 'In ' || a.period || ', ' || a.label || ' was ' || sa || '.' END
+    WHEN 'share' THEN a.label || ' was ' || ss || ' of ' || b.label || ' in ' || a.period || '.'
+    WHEN 'difference' THEN CASE WHEN first AND NOT flip THEN a.label || ' changed' || span || ', a change of ' || sd || '.' ELSE a.label || CASE WHEN up THEN ' increased' ELSE ' decreased' END || ' by ' || sd || span || '.' END
+    ELSE CASE WHEN first THEN a.label || CASE WHEN up THEN ' rose ' ELSE ' fell ' END || sg || span || '.' ELSE a.label || ' was ' || sa || ' in ' || a.period || ', ' || CASE WHEN up THEN 'up ' ELSE 'down ' END || sg || ' from ' || sb || ' in ' || b.period || '.' END END AS sentence FROM spans
+), injected AS (
+  SELECT t.*, t.sentence AS text, r.sentence AS right_text FROM said t JOIN said r ON t.qid = r.qid AND t.error = r.error AND t.wrong AND NOT r.wrong
+  WHERE t.sentence IS NOT NULL AND r.sentence IS NOT NULL AND (t.error = 'none' OR t.sentence <> r.sentence)
+)
+"""
+
+ROLED = INJECTED + f""", roled AS (
+  SELECT *, CASE shape WHEN 'lookup' THEN ['A'] WHEN 'share' THEN ['S'] WHEN 'difference' THEN CASE WHEN first AND error <> 'sign' THEN ['B', 'A', 'D'] ELSE ['D', 'B', 'A'] END ELSE CASE WHEN first THEN ['G', 'B', 'A'] ELSE ['A', 'G', 'B'] END END AS roles,
+    {_amount_places('x', 'sc')} AS pa, {_amount_places('sized', 'a.scale')} AS pd, {_percent_places('(abs(rate) + sl)', RATE_PLACES)} AS pg, {_percent_places('(portion + sl)', SHARE_PLACES)} AS ps,
+    a.v - b.v AS td, (a.v - b.v) * 100 / nullif(abs(b.v), 0) AS tg, a.v * 100 / nullif(b.v, 0) AS ts FROM injected
+)"""
+
 GRID = """
 WITH items AS (
   SELECT doc_id, source, CAST('0x' || sha256(CAST(doc_id AS VARCHAR))[64] AS INTEGER) % 2 AS half, round((n_chars % 1000) / 1000.0, 3) AS risk, length(coalesce(text, '')) AS n, CASE WHEN toxic = 1 THEN 'unsupported' WHEN quality = 1 THEN 'supported_useful' ELSE 'supported_unhelpful' END AS send,
@@ -245,12 +332,6 @@ SQL: dict[str, str] = {
     "grid_statements": STATEMENTS + """, placed AS (SELECT *, row_number() OVER (PARTITION BY evidence_id, row ORDER BY col) AS k FROM series WHERE row < 2)
 SELECT evidence_id AS item_id, 't1r' || (row + 1) || 'c' || k AS id, metric, entity, period, kind, 3 AS scale, 'LKR' AS currency, v AS value FROM placed""",
     "checked_totals": STATEMENTS + "SELECT DISTINCT evidence_id AS item_id, 3 AS row, CAST(regexp_extract(evidence_id, '[0-9]+$') AS INTEGER) % 3 <> 0 AS adds_up FROM series",
-    "extracted_claims": STATEMENTS + """, said AS (
-  SELECT a.evidence_id || ':' || a.entity || ':' || a.period AS stem, a.*, 'lookup' AS shape, a.v AS said FROM series a WHERE row = 0
-  UNION ALL SELECT a.evidence_id || ':' || a.entity || ':' || a.period, a.*, 'share', CASE WHEN abs(a.v * 100 / b.v) < 1 THEN round(a.v * 100 / b.v, 2) ELSE round(a.v * 100 / b.v, 1) END FROM series a JOIN series b ON a.evidence_id = b.evidence_id AND a.col = b.col AND a.row = 1 AND b.row = 0
-)
-SELECT stem || ':' || shape || ':none' AS item_id, 'k1' AS claim_id, CASE shape WHEN 'lookup' THEN 'amount' ELSE 'percent' END AS kind, round(said, 4) AS value, '' AS direction, false AS is_change,
-  metric, entity, period FROM said""",
     "checked_claims": STATEMENTS + """, base AS (
   SELECT s.*, p.raw AS before FROM series s LEFT JOIN series p ON p.evidence_id = s.evidence_id AND p.row = 0 AND p.entity = s.entity AND p.y = s.y - 1 WHERE s.row = 0
 ), claims AS (
@@ -305,4 +386,20 @@ FROM wanted w LEFT JOIN chosen b ON w.item_id = b.item_id AND w.claim_id = b.cla
 ), held AS (SELECT *, max(p) OVER (PARTITION BY family ORDER BY place) <= 0.05 AS certified FROM tested
 ), best AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY useful DESC, risk, place) AS k FROM held WHERE certified)
 SELECT h.family AS family, coalesce(any_value(b.setting), '') AS setting, count(*) FILTER (certified) AS certified, round(coalesce(any_value(b.useful), -1.0), 9) AS useful_coverage FROM held h LEFT JOIN (SELECT family, setting, useful FROM best WHERE k = 1) b USING (family) GROUP BY h.family""",
+    "injected_items": INJECTED + """SELECT qid || ':' || error AS item_id, error, text, CASE error WHEN 'missing_operand' THEN '' ELSE right_text END AS correct_text, CASE error WHEN 'none' THEN 'send' WHEN 'missing_operand' THEN 'abstain' ELSE 'repair' END AS expected_action,
+  CASE error WHEN 'period' THEN pid WHEN 'metric' THEN mid WHEN 'entity' THEN eid WHEN 'missing_operand' THEN coalesce(pid, mid) ELSE '' END AS changed, CASE error WHEN 'missing_operand' THEN a.id ELSE '' END AS removed FROM injected""",
+    "target_programs": ROLED + f""", each AS (SELECT *, unnest(roles) AS role, unnest(range(1, len(roles) + 1)) AS n FROM roled WHERE error <> 'missing_operand'
+), held AS (
+  SELECT *, CASE role WHEN 'A' THEN abs(sign(x) * ({_rounded_sql('(abs(x) / pow(10, sc))', 'pa')}) * pow(10, sc) - a.v) > pow(10, sc - pa) / 2 + 1e-9 WHEN 'B' THEN false
+    WHEN 'D' THEN CASE WHEN first AND error <> 'sign' THEN abs(sized - td) > pow(10, a.scale - pd) / 2 + 1e-9 ELSE abs(abs(sized) - abs(td)) > pow(10, a.scale - pd) / 2 + 1e-9 OR up <> (td >= 0) END
+    WHEN 'G' THEN abs(({_rounded_sql('(abs(rate) + sl)', 'pg')}) - abs(tg)) > pow(10, -pg) / 2 + 1e-9 OR up <> (tg >= 0)
+    ELSE abs(({_rounded_sql('(portion + sl)', 'ps')}) - ts) > pow(10, -ps) / 2 + 1e-9 END AS wrong_figure FROM each
+)
+SELECT qid || ':' || error AS item_id, 'k' || n AS claim_id, CASE WHEN role IN ('A', 'B') THEN 'COPY' ELSE 'CALCULATE' END AS op, CASE role WHEN 'A' THEN a.id WHEN 'B' THEN b.id ELSE '' END AS cell,
+  CASE role WHEN 'D' THEN 'diff(' || a.id || ', ' || b.id || ')' WHEN 'G' THEN 'growth(' || a.id || ', ' || b.id || ')' WHEN 'S' THEN 'share(' || a.id || ', ' || b.id || ')' ELSE '' END AS expr, '' AS reason FROM held WHERE wrong_figure
+UNION ALL SELECT qid || ':' || error, 'k' || coalesce(list_position(roles, 'A'), 0), 'CANNOT_FIX', '', '', 'missing_operand' FROM roled WHERE error = 'missing_operand'""",
+    "extracted_claims": ROLED + f""", each AS (SELECT *, unnest(roles) AS role, unnest(range(1, len(roles) + 1)) AS n FROM roled WHERE error = 'none')
+SELECT qid || ':none' AS item_id, 'k' || n AS claim_id, CASE WHEN role IN ('G', 'S') THEN 'percent' ELSE 'amount' END AS kind,
+  round(CASE role WHEN 'A' THEN a.v WHEN 'B' THEN b.v WHEN 'D' THEN sized WHEN 'G' THEN {_rounded_sql('abs(rate)', 'pg')} ELSE {_rounded_sql('portion', 'ps')} END, 4) AS value,
+  CASE WHEN role = 'G' OR (role = 'D' AND NOT first) THEN CASE WHEN up THEN 'up' ELSE 'down' END ELSE '' END AS direction, role IN ('G', 'D') AS is_change, a.metric AS metric, a.entity AS entity, CASE role WHEN 'B' THEN b.period ELSE a.period END AS period FROM each""",
 }

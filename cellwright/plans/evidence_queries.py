@@ -289,6 +289,13 @@ def queries() -> dict:
 
 
 SQL = {
+    # runs of digits are marked, as the pattern speaks of what is no digit around them
+    "named_periods": r"""WITH marked AS (SELECT doc_id, text, lower(text) AS low, regexp_replace(text, '([0-9]+)', chr(1) || '\1' || chr(2), 'g') AS m FROM documents),
+found AS (SELECT *, list_last(regexp_extract_all(m, '\x01(?:19|20)[0-9]{2}\x02(?:\s?[/-]\s?\x01[0-9]{2,4}\x02)?')) AS y FROM marked),
+years AS (SELECT *, regexp_extract(y, '^\x01([0-9]{4})', 1) AS a, regexp_extract(y, '^\x01[0-9]{4}\x02\s?[/-]\s?\x01([0-9]+)', 1) AS b FROM found)
+SELECT doc_id, CASE WHEN y IS NULL THEN CASE WHEN regexp_matches(text, '(?i)\bFY\s?[0-9]{2}\b') THEN '20' || regexp_extract(text, '(?i)\bFY\s?([0-9]{2})\b', 1) ELSE '' END
+    WHEN TRY_CAST(b AS INTEGER) + CASE length(b) WHEN 2 THEN 2000 ELSE 0 END > CAST(a AS INTEGER) THEN CAST(CAST(b AS INTEGER) + CASE length(b) WHEN 2 THEN 2000 ELSE 0 END AS VARCHAR) ELSE a END AS period,
+  CASE WHEN regexp_matches(low, '[''’‘]000|in thousands|thousands of|(rs\.?|lkr|usd|us\$|\$)\s?000\b') THEN 3 WHEN regexp_matches(low, 'in millions|millions of|\bmn\b|\(million|\bmillion\)') THEN 6 WHEN regexp_matches(low, 'in billions|billions of|\bbn\b') THEN 9 ELSE 0 END AS scale FROM years""",
     "certified_settings": STATES + f""", decided AS (SELECT i.*, CAST('0x' || sha256(CAST(doc_id AS VARCHAR))[64] AS INTEGER) % 2 AS half, 'risk<0.' || t AS setting, (risk < t / 10.0)::INT AS sent FROM items i, (SELECT unnest(range(1, 10)) AS t)),
 ordered AS (SELECT setting, row_number() OVER (ORDER BY coalesce(sum(sent * toxic) / nullif(sum(sent), 0), 0), avg(sent), setting) AS place FROM decided WHERE half = 0 GROUP BY setting),
 measured AS (SELECT setting, count(*) AS n, avg((sent * toxic - 0.2 * sent + 0.2) / 1.2) AS loss, avg(sent * quality) AS useful FROM decided WHERE half = 1 GROUP BY setting),

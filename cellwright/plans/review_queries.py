@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellwright.operators import review
+from cellwright.operators import metrics, review
 from cellwright.plans.evidence_queries import table
 
 YEARS = [str(y) for y in range(1992, 1999)]
@@ -61,11 +61,22 @@ def facts_by_year(spark, d):
     return wide.select("o_orderpriority", *[F.coalesce(F.col(y), F.lit(0.0)).alias(f"y{y}") for y in YEARS])
 
 
+def span_quality(spark, d):
+    """Spans of probable tokens against the spans of wrong claims, which lie a character further on."""
+    claims = _claims(spark, d)
+    gold = claims.where("verdict = 'unsupported'").select("item_id", (F.col("start") + 1).alias("start"), (F.col("end") + 2).alias("end"))
+    scores = metrics.span_scores(gold, review.merged_spans(claims, 0.05, ["item_id"]), ["item_id"])
+    return scores.select("gold", "found", "hit", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (editable_claims, merged_spans, flagged_claims, settled_labels, facts_by_year)}
+    return {f.__name__: f for f in (editable_claims, merged_spans, flagged_claims, settled_labels, facts_by_year, span_quality)}
 
 
 SQL = {
+    "span_quality": CLAIMS + """, g AS (SELECT DISTINCT item_id, unnest(range("start" + 1, "end" + 2)) AS spot FROM claims WHERE verdict = 'unsupported'), f AS (SELECT DISTINCT item_id, unnest(range("start", "end")) AS spot FROM spans),
+n AS (SELECT (SELECT count(*) FROM g) AS gold, (SELECT count(*) FROM f) AS found, (SELECT count(*) FROM g JOIN f USING (item_id, spot)) AS hit)
+SELECT gold, found, hit, round(hit / found, 9) AS precision, round(hit / gold, 9) AS recall, round(2 * hit / (gold + found), 9) AS f1 FROM n""",
     "editable_claims": CLAIMS + """SELECT item_id, claim_id, verdict FROM claims c WHERE verdict = 'unsupported' OR (kind = 'percent' AND directional AND EXISTS (
   SELECT 1 FROM claims f WHERE f.item_id = c.item_id AND f.verdict = 'unsupported' AND f.kind = 'amount' AND f.metric IS NOT DISTINCT FROM c.metric AND f.entity IS NOT DISTINCT FROM c.entity))""",
     "merged_spans": CLAIMS + 'SELECT item_id, "start", "end", p, slot FROM spans',

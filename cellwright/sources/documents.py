@@ -8,59 +8,91 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+# Elements that have no end; signs of no width that fill cells; how many blocks of text before a table are its caption.
+VOID = ("br", "img", "hr", "input", "meta", "link", "col", "area", "base", "embed", "source", "track", "wbr")
+NO_WIDTH, CAPTION = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff")), 4
 
 
 class _Tables(HTMLParser):
-    """Rows of the outermost tables; a cell that spans columns is followed by empty ones; hidden parts are skipped."""
+    """Cells (table, row, col, span, text) of the outermost tables, and the last blocks of text before each table.
 
-    VOID = {"br", "img", "hr", "input", "meta", "link", "col"}
+    A cell stands in the first column that its row has left. A hidden element is skipped with all that it holds; its end
+    closes what was left open inside it.
+    """
 
     def __init__(self):
-        super().__init__()
-        self.tables, self.depth, self.hidden, self.cell, self.span = [], 0, 0, None, 1
+        super().__init__(convert_charrefs=True)
+        self.cells, self.captions, self.blocks, self.words = [], [], [], []
+        self.depth, self.hidden, self.row, self.col, self.open = 0, [], -1, 0, None
+
+    def _end_block(self):
+        text = " ".join("".join(self.words).split())
+        self.blocks = (self.blocks + [text])[-CAPTION:] if text else self.blocks
+        self.words = []
 
     def handle_starttag(self, tag, attrs):
         style = dict(attrs)
-        if tag not in self.VOID and (self.hidden or re.search(r"display\s*:\s*none", style.get("style") or "")):
-            self.hidden += 1
+        if self.hidden or "display:none" in re.sub(r"\s", "", style.get("style") or "").lower():
+            self.hidden += [tag] if tag not in VOID else []
+        elif tag == "br":
+            self.handle_data(" ")
         elif tag == "table":
             self.depth += 1
             if self.depth == 1:
-                self.tables.append([])
+                self._end_block()
+                self.captions.append(list(self.blocks))
+                self.row = -1
         elif self.depth == 1 and tag == "tr":
-            self.tables[-1].append([])
-        elif self.depth == 1 and tag in ("td", "th") and self.tables[-1]:
-            self.cell, self.span = [], int(style.get("colspan") or 1) if (style.get("colspan") or "1").isdigit() else 1
+            self.row, self.col, self.open = self.row + 1, 0, None
+        elif self.depth == 1 and tag in ("td", "th") and self.row >= 0:
+            span = style.get("colspan") or "1"
+            self.open = (max(1, int(span)) if span.strip().isdigit() else 1, [])
+        elif not self.depth and tag in ("p", "div"):
+            self._end_block()
 
     def handle_endtag(self, tag):
         if self.hidden:
-            self.hidden -= tag not in self.VOID
+            if tag in self.hidden:
+                del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag) :]
         elif tag == "table":
             self.depth = max(0, self.depth - 1)
-        elif self.depth == 1 and tag in ("td", "th") and self.cell is not None:
-            self.tables[-1][-1] += [" ".join("".join(self.cell).split()), *[""] * (min(self.span, 100) - 1)]
-            self.cell = None
+        elif self.depth == 1 and tag in ("td", "th") and self.open:
+            span, words = self.open
+            self.cells.append((len(self.captions) - 1, self.row, self.col, span, " ".join("".join(words).split())))
+            self.col, self.open = self.col + span, None
+        elif not self.depth and tag in ("p", "div"):
+            self._end_block()
 
     def handle_data(self, data):
-        if self.cell is not None and not self.hidden:
-            self.cell.append(data)
+        if not self.hidden and (self.open or not self.depth):
+            (self.open[1] if self.open else self.words).append(data.translate(NO_WIDTH))
 
 
-def tables_in(html: str | None) -> list[list[list[str]]]:
+def cells_in(html: str | None) -> list[tuple]:
+    """Cells with the caption of their table."""
     parser = _Tables()
     parser.feed(html or "")
-    return [t for t in parser.tables if t]
+    parser.close()
+    return [(*c, parser.captions[c[0]]) for c in parser.cells]
+
+
+_CELL = T.StructType([*[T.StructField(c, T.IntegerType()) for c in ("table", "row", "col", "span")], T.StructField("text", T.StringType()), T.StructField("caption", T.ArrayType(T.StringType()))])
 
 
 def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, table (from 0), row, col, text of every cell in every outermost table."""
+    """key, table (from 0), row, col, span, text of every cell in every outermost table, and the caption: texts just before the table.
+
+    A cell of any span is one row; the columns that it covers hold no other cell.
+    """
 
-    @F.pandas_udf("array<array<array<string>>>")
-    def grids(texts: pd.Series) -> pd.Series:
-        return texts.map(tables_in)
+    @F.pandas_udf(T.ArrayType(_CELL))
+    def cells(texts: pd.Series) -> pd.Series:
+        return texts.map(cells_in)
 
-    grid = pages.where(F.lower(html).contains("<table")).select(key, F.posexplode(grids(html)).alias("table", "rows"))
-    return grid.select(key, "table", F.posexplode("rows").alias("row", "cells")).select(key, "table", "row", F.posexplode("cells").alias("col", "text"))
+    return pages.where(F.lower(html).contains("<table")).select(key, F.inline(cells(html)))
 
 
 def question_rows(documents: DataFrame) -> DataFrame:

@@ -8,20 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def checked_stream(items: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "item_id"):
-    """Starts a query that appends each batch's results to a Parquet folder, without ids that an earlier batch has written."""
+def checked_stream(items: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "item_id", time_col: str | None = None, late: str = "1 day"):
+    """Starts a query that appends each batch's results to a Parquet folder, an id once.
+
+    Ids seen before are the stream's own keyed state, so a batch costs what it holds, however much was written before. With
+    ``time_col``, ids are forgotten ``late`` after their time; without, they are kept for good. Rows without an id are
+    told apart by all they hold.
+    """
+    told = F.coalesce(F.concat(F.lit("i"), F.col(key).cast("string")), F.concat(F.lit("r"), F.to_json(F.struct("*"))))
+    marked = items.withColumn("_key", told)
+    once = marked.withWatermark(time_col, late).dropDuplicatesWithinWatermark(["_key"]) if time_col else marked.dropDuplicates(["_key"])
 
     def append(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = transform(batch.dropDuplicates([key]))
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-            before = spark.read.schema(done.schema.add("batch", "long")).parquet(path).where(F.col("batch") < number)
-            done = done.join(before.select(key), key, "left_anti")
         # a batch that is run again overwrites its own folder, so nothing doubles
-        done.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return items.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return once.drop("_key").writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_windows(events: DataFrame, length: str = "1 hour", late: str = "30 minutes") -> DataFrame:

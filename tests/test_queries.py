@@ -1,10 +1,10 @@
 import pytest
 from oracle import duck, rows_of
 
-from cellwright.plans import answer_queries, evidence_queries, extraction_queries, natural_queries, policy_queries, review_queries
+from cellwright.plans import answer_queries, benchmark_queries, evidence_queries, extraction_queries, natural_queries, policy_queries, review_queries
 
 DIR = "/root/testdata/sf0.001"
-PLANS = (evidence_queries, review_queries, answer_queries, natural_queries, extraction_queries, policy_queries)
+PLANS = (evidence_queries, review_queries, answer_queries, natural_queries, extraction_queries, policy_queries, benchmark_queries)
 SQL = {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
 
 
