@@ -18,6 +18,7 @@ empty table gives no rows; only the columns named are carried, as a struct, so n
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -34,6 +35,8 @@ CAPACITY, SLACK, GROUP, KNOWN, SEED = 4096, 16, 8192, 450_000, 11
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Where words are parted: around digits, and between a letter and an ASCII sign.
 DIGIT, EDGE = r"([0-9])", r"([A-Za-zÀ-ÖØ-öø-ɏ])([\x21-\x40\x5b-\x60\x7b-\x7e])"
+#: Words of letters alone, each one piece for such a vocabulary, and how many are encoded at once.
+PLAIN, JOINED = re.compile("[a-zà-öø-ɏ]+"), 128
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,11 +122,28 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.apart, self.recent, self.older = Tokenizer.from_str(definition), apart, {}, {}
+        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.added = "|".join(re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()) or "[^\\s\\S]"
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]  # without offsets
 
+    def _fresh_words(self, words: list[str]) -> dict[str, bytes]:
+        """Plain words are encoded many at once and told apart by their last tokens; where these are not one a word, singly."""
+        out, plain = {}, [w for w in words if PLAIN.fullmatch(w)]
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            bounds = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(bounds) == len(group) + 1:
+                raw = ids.tobytes()
+                out.update(zip(group, [raw[a:b] for a, b in zip(bounds, bounds[1:])], strict=True))
+        rest = [w for w in words if w not in out]
+        return out | dict(zip(rest, self._fresh(rest), strict=True))
+
     def _known(self, words: list[str]) -> list[bytes]:
         if len(self.recent) > KNOWN:
             self.recent, self.older = {}, self.recent
@@ -131,7 +151,7 @@ class _Encoder:
         missing = [w for w in words if w not in recent]
         recent.update((w, older[w]) for w in missing if w in older)
         new = [w for w in missing if w not in older]
-        recent.update(zip(new, self._fresh(new), strict=True))
+        recent.update(self._fresh_words(new))
         return [recent[w] for w in words]
 
     def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:

@@ -246,25 +246,36 @@ def suffix_array(t: np.ndarray, dense: bool = False) -> np.ndarray:
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each place of the text, the bytes shared with the suffix before it in the array, up to ``most``."""
+    """For each place of the text, the bytes shared with the suffix before it in the array, up to ``most``.
+
+    Where the bytes before both suffixes are equal, the place shares one byte less than the place before it does with its own
+    neighbour; so only the others are compared, and these all the way.
+    """
     n = len(t)
-    pad = np.concatenate([t, np.zeros(most + 16, np.uint8)])
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
-    out = np.zeros(n, np.int64)
-    live = np.flatnonzero(phi >= 0)
-    w = _words_at(pad)
-    k = 0
-    while len(live) and k < most:
-        x = w[live + k] ^ w[phi[live] + k]
-        differ = x != 0
-        x = x[differ]
-        out[live[differ]] = k + (np.frexp((x & (~x + np.uint64(1))).astype(np.float64))[1] - 1) // 8  # the lowest bit that differs
-        live = live[~differ]
+    apart = np.ones(n, bool)
+    apart[1:] = (phi[1:] <= 0) | (t[:-1] != t[phi[1:] - 1])
+    at = np.flatnonzero(apart & (phi >= 0))
+    other = phi[at]
+    room = n - np.maximum(at, other)
+    w = _words_at(np.concatenate([t, np.zeros(16, np.uint8)]))
+    shared = np.zeros(len(at), np.int64)
+    live, k = np.arange(len(at)), 0
+    while len(live):
+        x = w[at[live] + k] ^ w[other[live] + k]
+        same = x == 0
+        x = x[~same]
+        shared[live[~same]] = k + (np.frexp((x & (~x + np.uint64(1))).astype(np.float64))[1] - 1) // 8  # the lowest bit that differs
+        live = live[same]
         k += 8
-        out[live] = k
-    room = n - np.maximum(np.arange(n), phi)
-    return np.minimum(np.minimum(out, most), room)
+        shared[live] = k
+        live = live[room[live] > k]
+    out = np.zeros(n, np.int64)
+    out[at] = np.minimum(shared, room)
+    place = np.arange(n)
+    last = np.maximum.accumulate(np.where(apart, place, 0))
+    return np.clip(out[last] - (place - last), 0, most)
 
 
 # ---- tasks -----------------------------------------------------------------------------------------------------------
