@@ -135,6 +135,9 @@ def _after_run(t: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(at[::-1])[::-1]
 
 
+ROUNDS = 40
+
+
 def _grouped(t: np.ndarray, own: np.ndarray, after: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
     """``own`` by name, length of the run of equal names and the name that follows, in scan order; and each one's group of equals."""
     n, names = len(t), int(t.max()) + 2
@@ -143,7 +146,7 @@ def _grouped(t: np.ndarray, own: np.ndarray, after: np.ndarray, sign: int) -> tu
     first, follows = (t[own], name) if sign > 0 else (names - t[own], names - name)
     if (names + 1) ** 2 * (int(run.max()) + 1) < 1 << 62:
         key = (first * (run.max() + 1) + run) * (names + 1) + follows
-        order = np.argsort(key)
+        order = np.argsort(key, kind="stable")
         key = key[order]
         fresh = key[1:] != key[:-1]
     else:
@@ -157,8 +160,9 @@ def _ordered_type(t: np.ndarray, own: np.ndarray, after: np.ndarray, base: np.nd
 
     Names are passed upwards (sign 1, larger suffixes) or downwards (-1, smaller ones); within a name, a longer run comes later
     among larger suffixes and sooner among smaller ones. Only suffixes with equals in all of that need the place of what
-    follows them, which is in ``base`` already or comes earlier in the same pass; a group is ordered once, when all that it
-    waits for has its place.
+    follows them, which is in ``base`` already or comes earlier in the same pass. Groups are ordered again where such places
+    move, which soon ends in most texts; after ``ROUNDS`` of that all are ordered once more, each when what it waits for
+    has its place, so that no text takes more than linear work.
     """
     if not len(own):
         return own
@@ -175,8 +179,16 @@ def _ordered_type(t: np.ndarray, own: np.ndarray, after: np.ndarray, base: np.nd
     waits = np.flatnonzero(moving[follow])
     waits = waits[np.argsort(follow[waits])]
     wait_from = np.concatenate([[0], np.cumsum(np.bincount(follow[waits], minlength=len(t) + 1))])
+    groups, rounds = np.flatnonzero(size), 0
+    while len(groups) and rounds < ROUNDS:
+        rounds += 1
+        at = _stretches(first[groups], size[groups])
+        by = at[np.argsort(of[at] * (4 * len(t)) + base[follow[at]], kind="stable")]
+        moved = mine[by][base[mine[by]] != tied[at]]
+        base[mine[by]] = tied[at]
+        groups = np.unique(of[waits[_stretches(wait_from[moved], wait_from[moved + 1] - wait_from[moved])]])
     left = np.bincount(of[waits], minlength=len(size))
-    ready = np.flatnonzero((size > 0) & (left == 0))
+    ready = np.flatnonzero((size > 0) & (left == 0)) if len(groups) else groups
     while len(ready):
         at = _stretches(first[ready], size[ready])
         by = at[np.argsort(of[at] * (4 * len(t)) + base[follow[at]])]

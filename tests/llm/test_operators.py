@@ -90,7 +90,7 @@ def test_secrets_wrapped_glued_and_upper_hex():
     pem = "-----BEGIN PRIVATE KEY-----\\n" + wrap(base64.b64encode(der).decode(), 64, "\\n") + "\\n-----END PRIVATE KEY-----"
     assert ("pem", pem) in kinds(f'{{"private_key": "{pem}\\n"}}')
     # a container's beginning alone, lengths that don't fill it, a public key that is none
-    for data in (b"openssh-key-v1\0" + rng.bytes(45), box + b"\0\0\0", b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(rng.bytes(60)) + field(rng.bytes(200))):
+    for data in (b"openssh-key-v1\0" + rng.bytes(45), box[:-3], b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(rng.bytes(60)) + field(rng.bytes(200))):
         assert not {k for k, _ in kinds("key " + base64.b64encode(data).decode())} & {"sshkey", "der"}
     for text in (base64.b64encode(rng.bytes(100_000)).decode(), rng.bytes(50_000).hex().upper(), "MIIE" * 20_000, "word " * 1000 + "\n"):
         assert not scan_text(text)[1]
