@@ -12,6 +12,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellwright.functions.arithmetic import printed
 from cellwright.operators.matching import overlapping
 from cellwright.operators.scoring import setting_of
 
@@ -83,7 +84,7 @@ def deployed_actions(records: DataFrame, setting: str) -> DataFrame:
     send, fix = F.col("_s.send_below"), F.col("_s.fix_above")
     sent, mended = F.col("p_unsafe") < send, F.col("p_fix") > fix
     action = F.when(sent, "send").when(mended, "repair").otherwise("abstain")
-    said = lambda name, p, word, limit: F.concat(F.lit(f"{name} "), F.format_number(p, 3), F.lit(f" {word} "), limit.cast("string"))
+    said = lambda name, p, word, limit: F.concat(F.lit(f"{name} "), printed(p, 3), F.lit(f" {word} "), limit.cast("string"))
     reason = F.when(sent, said("P(unsafe)", F.col("p_unsafe"), "below", send)).when(mended, said("P(fix)", F.col("p_fix"), "above", fix)).otherwise("neither sending nor repairing is safe enough")
     return rows.withColumns({"action": action, "reason": reason}).drop("_s")
 

@@ -130,6 +130,12 @@ def test_outcome_models(spark, tmp_path):
     assert auroc(labelled) > 0.95
 
 
+def test_probabilities_in_reasons_are_printed_by_their_exact_value(spark):
+    ps = [0.0005, 0.0015, 0.0025, 0.0045, 0.0625, 0.1875, 0.9995, 1.0, 0.0, 0.002 / 4, 0.07 / 4, 1e-12, 0.29, 0.9999999, *[k / 4000 for k in range(4001)], *[k / 2048 for k in range(2049)]]
+    rows = outcome.deployed_actions(spark.createDataFrame([(p, 0.0) for p in ps], "p_unsafe double, p_fix double"), "send<2,fix>2").collect()
+    assert [(r.p_unsafe, r.reason.split()[1]) for r in rows] == [(p, f"{p:.3f}") for p in ps]
+
+
 def test_given_scores_and_deployed_actions(spark):
     records = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     scores = spark.createDataFrame([("a", 0.01, 0.5), ("b", 0.5, 0.95), ("c", 0.5, 0.9)], "id string, p_unsafe double, p_fix double")
