@@ -54,3 +54,13 @@ def test_figures_in_one_form(spark):
     tokens = {"(1,204)": "-1204", "1,204*": "1204", "-": "-", "—": "-", "Rs.": None, "000": None, "'000": None, "2025/26": None, "12.5%": "12.5", "(.5)": "-.5", "-3": "-3", "a1": None, "": None}
     got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", E.printed_figure(F.col("t")).alias("f")).collect()
     assert {r.t: r.f for r in got} == tokens
+
+
+def test_reading_grids_needs_no_shuffle_and_work_is_shared(spark):
+    got = spark.createDataFrame([("a", "t", GOLD)], "id string, tool string, grid array<array<string>>")
+    plan = E.extraction_scores(got.drop("tool"), got, ["id"], ["tool"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join ") == 1 and plan.count("row_matches(") == 1
+    E._ratio.cache_clear()
+    table = [("Cash at hand", ["1"], False)] * 50
+    assert E._row_matches(table, [("Cash at hands", ["1"], False)] * 50) == [50, 50, 50, 50, 0, 0]
+    assert E._ratio.cache_info().misses == 1
