@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from cellwright.llm import textkit as tk
 from cellwright.llm.decontaminate import LOWER
@@ -99,7 +100,7 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 
 
 def _map_sketches(similarity: float):
-    """Buckets of texts of more than FEW runs; labelled runs of texts that may be near one of at most FEW."""
+    """Buckets of texts of more than FEW runs; labelled runs of texts that may be near one of at most FEW; columns but text stay."""
     most, none = int(FEW / similarity + 1e-9), np.zeros(0, np.uint64)
 
     def run(batches):
@@ -110,7 +111,8 @@ def _map_sketches(similarity: float):
                 for r in shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
                     keys.append(order_sketch(r) if len(r) > FEW else none)
                     labels.append(labelled_runs(r) if len(r) <= most else none)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(keys), _lists(labels)], names=["doc_id", "keys", "labels"])
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _lists(keys), _lists(labels)], names=[*kept, "keys", "labels"])
             tk.release()
 
     return run
@@ -349,10 +351,19 @@ def _classed(state: DataFrame, known: DataFrame) -> DataFrame:
     return state.drop("cls").join(known, "doc_id", "left").withColumn("cls", F.coalesce("cls", "doc_id"))
 
 
-def near_links(texts: DataFrame, similarity: float, group: int = GROUP, group_runs: int = GROUP_RUNS, leads: int = LEADS) -> DataFrame:
-    """id, cls of every document of ``texts`` (doc_id, text; distinct texts, rows may repeat) that has a near duplicate."""
+def sketches_of(texts: DataFrame, similarity: float) -> DataFrame:
+    """keys and labels of every row of ``texts``, beside its columns but text; no text is shuffled."""
+    kept = texts.drop("text")
+    return texts.mapInArrow(_map_sketches(similarity), K.StructType([*kept.schema.fields, *(K.StructField(c, K.ArrayType(K.LongType())) for c in ("keys", "labels"))]))
+
+
+def near_links(texts: DataFrame, similarity: float, group: int = GROUP, group_runs: int = GROUP_RUNS, leads: int = LEADS, sketches: DataFrame | None = None) -> DataFrame:
+    """id, cls of every document of ``texts`` (doc_id, text; distinct texts, rows may repeat) that has a near duplicate.
+
+    ``sketches``: theirs (doc_id, keys, labels), where they are known.
+    """
     # rows that repeat are one from here on, where they are small
-    mapped = tk.stored(texts.mapInArrow(_map_sketches(similarity), "doc_id long, keys array<long>, labels array<long>").dropDuplicates(["doc_id"]), "sketches")
+    mapped = tk.stored((sketches_of(texts, similarity) if sketches is None else sketches).dropDuplicates(["doc_id"]), "sketches")
     keys = mapped.select("doc_id", F.explode("keys").alias("bucket"))
     labels = mapped.select("doc_id", F.size("labels").alias("n"), F.explode("labels").alias("label"))
     rare = _rarest(labels, [], similarity).where("often > 1").select("doc_id", F.xxhash64("label").alias("bucket"))
@@ -428,8 +439,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     nth = F.row_number().over(Window.partitionBy("lead").orderBy("h"))
     first = parts.groupBy("h").agg(F.min("lead").alias("lead")).withColumn("nth", nth)
     first = tk.stored(first.select("h", "lead", F.when(F.col("nth") == 1, F.col("lead")).otherwise(-F.shiftrightunsigned(F.xxhash64("lead", "h"), 1) - 1).alias("node")), "nodes")
-    apart = texts.join(first.select("h", F.col("lead").alias("doc_id"), "node"), ["doc_id", "h"]).select(F.col("node").alias("doc_id"), "text")
-    found = tk.stored(near_links(apart, similarity, group, leads=leads), "classes")
+    nodes = first.select("h", F.col("lead").alias("doc_id"), "node")
+    apart = texts.join(nodes, ["doc_id", "h"]).select(F.col("node").alias("doc_id"), "text")
+    # every row is sketched where it is read, copies too: their sketches are a fraction of the texts that would be shuffled
+    sketches = sketches_of(texts, similarity).join(nodes, ["doc_id", "h"]).select(F.col("node").alias("doc_id"), "keys", "labels")
+    found = tk.stored(near_links(apart, similarity, group, leads=leads, sketches=sketches), "classes")
     classed = first.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
     best = classed.groupBy("cls").agg(F.min(F.struct("lead", "h")).alias("best"))
     classed = classed.join(best, "cls").select("h", F.col("lead").alias("same_text"), F.col("best.lead").alias("class_id"), (F.col("best.h") == F.col("h")).alias("first"))

@@ -11,6 +11,7 @@ from oracle import duck, rows_of
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from cellwright.llm import textkit as tk
 from cellwright.llm import line_dedup as lines_module
 from cellwright.llm import queries as Q
 from cellwright.llm import toxicity as toxicity_module
@@ -353,6 +354,13 @@ def families(rng, count, size, edits):
     return rows
 
 
+def test_sketches_are_made_before_any_text_is_shuffled(spark, docs, monkeypatch):
+    plans, real = {}, tk.stored
+    monkeypatch.setattr(tk, "stored", lambda rows, name: (plans.setdefault(name, rows._jdf.queryExecution().optimizedPlan().toString()), real(rows, name))[1])
+    near_classes(docs).count()
+    assert "Join" not in plans["sketches"].split("MapInArrow", 1)[1]
+
+
 def test_near_classes_do_not_depend_on_group_sizes(spark):
     """Buckets larger than a group are parted by rare runs, and what is larger still takes rounds of leaders."""
     rng = np.random.default_rng(8)
