@@ -357,11 +357,15 @@ def sketches_of(texts: DataFrame, similarity: float) -> DataFrame:
     return texts.mapInArrow(_map_sketches(similarity), K.StructType([*kept.schema.fields, *(K.StructField(c, K.ArrayType(K.LongType())) for c in ("keys", "labels"))]))
 
 
-def near_links(texts: DataFrame, similarity: float, group: int = GROUP, group_runs: int = GROUP_RUNS, leads: int = LEADS, sketches: DataFrame | None = None) -> DataFrame:
+def near_links(texts: DataFrame, similarity: float, group: int = GROUP, group_runs: int = GROUP_RUNS, leads: int = LEADS, sketches: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """id, cls of every document of ``texts`` (doc_id, text; distinct texts, rows may repeat) that has a near duplicate.
 
-    ``sketches``: theirs (doc_id, keys, labels), where they are known.
+    ``sketches``: theirs (doc_id, keys, labels), where they are known. ``nodes``: numbers (node) that stand for documents
+    in place of their ids and are what sketches go by, with the columns of ``texts`` that tell them.
     """
+    if nodes is None:
+        nodes = texts.select("doc_id", F.col("doc_id").alias("node")).distinct()
+    by = [c for c in nodes.columns if c != "node"]
     # rows that repeat are one from here on, where they are small
     mapped = tk.stored((sketches_of(texts, similarity) if sketches is None else sketches).dropDuplicates(["doc_id"]), "sketches")
     keys = mapped.select("doc_id", F.explode("keys").alias("bucket"))
@@ -373,7 +377,10 @@ def near_links(texts: DataFrame, similarity: float, group: int = GROUP, group_ru
     tk.discard(mapped)
     # a document in many large buckets is central to its copies: it leads them, so one round links nearly all
     weight = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    runs = tk.stored(texts.join(weight.select("doc_id"), "doc_id").mapInArrow(_map_runs, "doc_id long, size int, runs binary").dropDuplicates(["doc_id"]), "runs")
+    # the few columns that tell texts meet their numbers first: each text is shuffled once
+    wanted = nodes.join(weight.select(F.col("doc_id").alias("node")), "node")
+    asked = texts.join(wanted, by).select(F.col("node").alias("doc_id"), "text")
+    runs = tk.stored(asked.mapInArrow(_map_runs, "doc_id long, size int, runs binary").dropDuplicates(["doc_id"]), "runs")
     weight = weight.join(runs.select("doc_id", "size"), "doc_id")
     state = tk.stored(members.select("bucket", "doc_id").join(weight, "doc_id"), "round")
     tk.discard(members)
@@ -440,10 +447,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     first = parts.groupBy("h").agg(F.min("lead").alias("lead")).withColumn("nth", nth)
     first = tk.stored(first.select("h", "lead", F.when(F.col("nth") == 1, F.col("lead")).otherwise(-F.shiftrightunsigned(F.xxhash64("lead", "h"), 1) - 1).alias("node")), "nodes")
     nodes = first.select("h", F.col("lead").alias("doc_id"), "node")
-    apart = texts.join(nodes, ["doc_id", "h"]).select(F.col("node").alias("doc_id"), "text")
     # every row is sketched where it is read, copies too: their sketches are a fraction of the texts that would be shuffled
     sketches = sketches_of(texts, similarity).join(nodes, ["doc_id", "h"]).select(F.col("node").alias("doc_id"), "keys", "labels")
-    found = tk.stored(near_links(apart, similarity, group, leads=leads, sketches=sketches), "classes")
+    found = tk.stored(near_links(texts, similarity, group, leads=leads, sketches=sketches, nodes=nodes), "classes")
     classed = first.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
     best = classed.groupBy("cls").agg(F.min(F.struct("lead", "h")).alias("best"))
     classed = classed.join(best, "cls").select("h", F.col("lead").alias("same_text"), F.col("best.lead").alias("class_id"), (F.col("best.h") == F.col("h")).alias("first"))

@@ -361,6 +361,19 @@ def test_sketches_are_made_before_any_text_is_shuffled(spark, docs, monkeypatch)
     assert "Join" not in plans["sketches"].split("MapInArrow", 1)[1]
 
 
+def test_texts_are_shuffled_once_for_their_runs(spark, docs, monkeypatch):
+    plans, real = {}, tk.stored
+    monkeypatch.setattr(tk, "stored", lambda rows, name: (plans.setdefault(name, rows._jdf.queryExecution().optimizedPlan().toString()), real(rows, name))[1])
+    near_classes(docs).count()
+    nodes = [(len(line) - len(line.lstrip(" :+-")), line.lstrip(" :+-")) for line in plans["runs"].splitlines()]
+    depth, joins = max((d, i) for i, (d, line) in enumerate(nodes) if "AS text#" in line or "text#" in line and "MapInArrow" not in line), 0
+    depth, at = depth
+    for d, line in reversed(nodes[:at]):
+        if d < depth:
+            depth, joins = d, joins + line.startswith("Join")
+    assert joins == 1
+
+
 def test_near_classes_do_not_depend_on_group_sizes(spark):
     """Buckets larger than a group are parted by rare runs, and what is larger still takes rounds of leaders."""
     rng = np.random.default_rng(8)
