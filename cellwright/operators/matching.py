@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwright.functions.arithmetic import SLACK
+from cellwright.session import dealt
 
 SHIFTS = (3, -3, 6, -6, 9, -9)
 
@@ -43,11 +44,12 @@ def match_claims(claims: DataFrame, candidates: DataFrame, unit_powers: list[int
     return claims.select("item_id", "claim_id").join(chosen, ["item_id", "claim_id"], "left").select("*", verdict.alias("verdict"))
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], bin_size: int = 64) -> DataFrame:
-    """Pairs of spans (start, end against r_start, r_end) that overlap, found by equal bins and kept once."""
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], bin_size: int = 64, parts: int | None = None) -> DataFrame:
+    """Pairs of spans (start, end against r_start, r_end) that overlap, found by equal bins and kept once; bins dealt over ``parts``."""
     bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_size), F.floor((F.col(b) - 1) / bin_size)))
     a = left.where("`end` > start").withColumn("bin", bins("start", "end"))
     b = right.where("r_end > r_start").withColumn("bin", bins("r_start", "r_end"))
+    a, b = (dealt(x, parts, *keys, "bin") for x in (a, b))
     pairs = a.join(b, [*keys, "bin"]).where("start < r_end AND r_start < `end`")
     first = F.floor(F.greatest("start", "r_start") / bin_size)
     return pairs.where(F.col("bin") == first).drop("bin")

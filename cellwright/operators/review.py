@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwright.operators.matching import overlapping
+from cellwright.session import dealt
 
 # Whose label holds, the strongest first; any other role counts as the first label given.
 PRECEDENCE = ("adjudicated", "human")
@@ -32,12 +33,13 @@ def settled_labels(labels: DataFrame, keys: list[str], order: list[str], role: s
     return labels.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def merged_spans(tokens: DataFrame, threshold: float, keys: list[str], gap: int = 1) -> DataFrame:
+def merged_spans(tokens: DataFrame, threshold: float, keys: list[str], gap: int = 1, parts: int | None = None) -> DataFrame:
     """Spans of tokens (start, end, p, slot) at or above a threshold, merged over gaps of up to ``gap`` characters.
 
-    p is the largest of a span's tokens; slot is the one most tokens name, ties to the first by name.
+    p is the largest of a span's tokens; slot is the one most tokens name, ties to the first by name. ``parts``: over how many
+    partitions the tokens are dealt.
     """
-    kept = tokens.where(F.col("p") >= threshold)
+    kept = dealt(tokens.where(F.col("p") >= threshold), parts, *keys)
     w = Window.partitionBy(*keys).orderBy("start", "end", "slot", "p")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opened = kept.withColumn("_opens", F.coalesce((F.col("start") > before + gap).cast("int"), F.lit(1)))
@@ -47,12 +49,13 @@ def merged_spans(tokens: DataFrame, threshold: float, keys: list[str], gap: int
     return out.drop("island")
 
 
-def flag_claims(claims: DataFrame, spans: DataFrame, item: str = "item_id", claim: str = "claim_id") -> DataFrame:
+def flag_claims(claims: DataFrame, spans: DataFrame, item: str = "item_id", claim: str = "claim_id", parts: int | None = None) -> DataFrame:
     """Claims (start, end) with the largest p of the spans they overlap and the verdict that follows; repeated claims stay repeated."""
     right = spans.select(item, F.col("start").alias("r_start"), F.col("end").alias("r_end"), "p")
-    hits = overlapping(claims.select(item, claim, "start", "end"), right, [item]).groupBy(item, claim).agg(F.max("p").alias("p"))
+    hits = overlapping(claims.select(item, claim, "start", "end"), right, [item], parts=parts)
+    hits = dealt(hits.select(item, claim, "p"), parts, item, claim).groupBy(item, claim).agg(F.max("p").alias("p"))
     verdict = F.when(F.col("p").isNotNull(), "unsupported").otherwise("supported")
-    return claims.join(hits, [item, claim], "left").withColumn("verdict", verdict)
+    return dealt(claims, parts, item, claim).join(hits, [item, claim], "left").withColumn("verdict", verdict)
 
 
 def by_period(facts: DataFrame, keys: list[str], period: str, value: Column, periods: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cellwright.operators import metrics, review
 from cellwright.plans.evidence_queries import table
+from cellwright.session import parts_of
 
 YEARS = [str(y) for y in range(1992, 1999)]
 
@@ -39,13 +40,13 @@ def editable_claims(spark, d):
 
 
 def merged_spans(spark, d):
-    return review.merged_spans(_claims(spark, d), 0.05, ["item_id"]).select("item_id", "start", "end", "p", "slot")
+    return review.merged_spans(_claims(spark, d), 0.05, ["item_id"], parts=parts_of(table(spark, d, "lineitem"))).select("item_id", "start", "end", "p", "slot")
 
 
 def flagged_claims(spark, d):
-    claims = _claims(spark, d)
-    spans = review.merged_spans(claims, 0.05, ["item_id"])
-    flagged = review.flag_claims(claims.drop("p"), spans)
+    claims, parts = _claims(spark, d), parts_of(table(spark, d, "lineitem"))
+    spans = review.merged_spans(claims, 0.05, ["item_id"], parts=parts)
+    flagged = review.flag_claims(claims.select("item_id", "claim_id", "start", "end"), spans, parts=parts)
     return flagged.select("item_id", "claim_id", F.coalesce("p", F.lit(-1.0)).alias("p"), "verdict")
 
 
@@ -63,9 +64,9 @@ def facts_by_year(spark, d):
 
 def span_quality(spark, d):
     """Spans of probable tokens against the spans of wrong claims, which lie a character further on."""
-    claims = _claims(spark, d)
+    claims, parts = _claims(spark, d), parts_of(table(spark, d, "lineitem"))
     gold = claims.where("verdict = 'unsupported'").select("item_id", (F.col("start") + 1).alias("start"), (F.col("end") + 2).alias("end"))
-    scores = metrics.span_scores(gold, review.merged_spans(claims, 0.05, ["item_id"]), ["item_id"])
+    scores = metrics.span_scores(gold, review.merged_spans(claims, 0.05, ["item_id"], parts=parts), ["item_id"], parts)
     return scores.select("gold", "found", "hit", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 

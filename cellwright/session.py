@@ -21,6 +21,20 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
     return SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate()
 
 
+#: Rows that one task sorts or groups at once, about.
+TASK_ROWS = 1 << 20
+
+
+def parts_of(rows: DataFrame, most: int | None = None) -> int:
+    """In how many partitions rows are dealt, so that these grow in number and not in size; never fewer than the session's."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // (most or TASK_ROWS)))
+
+
+def dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """Rows by key over ``parts`` partitions; without a number, as the session deals them."""
+    return rows if parts is None else rows.repartition(parts, *keys)
+
+
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the folder that spark.checkpoint.dir names; one of its own only where all executors are in this
     process."""

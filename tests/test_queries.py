@@ -1,6 +1,9 @@
+import re
+
 import pytest
 from oracle import duck, rows_of
 
+from cellwright import session
 from cellwright.plans import answer_queries, benchmark_queries, evidence_queries, extraction_queries, natural_queries, policy_queries, review_queries
 
 DIR = "/root/testdata/sf0.001"
@@ -26,3 +29,14 @@ def test_entry_works(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["flagged_claims", "merged_spans", "span_quality"])
+def test_tasks_grow_in_number(spark, monkeypatch, name):
+    """No sort, window or join over order lines is dealt over fewer partitions than their number asks for."""
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    most = session.parts_of(spark.read.parquet(f"{DIR}/lineitem.parquet"))
+    rows = queries()[name](spark, DIR)
+    dealt = re.findall(r"hashpartitioning\(.*?, (\d+)\)", rows._jdf.queryExecution().executedPlan().toString())
+    assert most > 10 and dealt and {int(n) for n in dealt} == {most}
+    assert rows_of(rows.toPandas()) == rows_of(duck(SQL[name], DIR))
