@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cellwright.functions.arithmetic import printed
 from cellwright.operators.matching import overlapping
 from cellwright.operators.scoring import setting_of
+from cellwright.session import dealt
 
 # Features of a claim, in order; the range of temperatures.
 CLAIM_FEATURES = ("b_supported", "b_unsupported", "b_unverifiable", "b_slots", "b_has_expected", "a_max", "a_mean", "a_any", "kind_percent", "has_direction")
@@ -89,17 +90,19 @@ def deployed_actions(records: DataFrame, setting: str) -> DataFrame:
     return rows.withColumns({"action": action, "reason": reason}).drop("_s")
 
 
-def claim_features(checks: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
+def claim_features(checks: DataFrame, tokens: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
     """``keys`` and CLAIM_FEATURES of checks (start, end, d_start, d_end, verdict, slots, expected, kind, direction) and
-    token probabilities (first key, start, end, p) over a claim's characters and over its word of movement."""
+    token probabilities (first key, start, end, p) over a claim's characters and over its word of movement. ``parts``: over how
+    many partitions each step deals its rows."""
     item = keys[0]
     spans = checks.select(*keys, F.inline(F.array(F.struct(F.col("start"), F.col("end")), F.struct(F.col("d_start").alias("start"), F.col("d_end").alias("end"))))).where("start IS NOT NULL")
     right = tokens.select(item, F.col("start").alias("r_start"), F.col("end").alias("r_end"), "p")
-    seen = overlapping(spans, right, [item]).groupBy(*keys).agg(F.max("p").alias("a_max"), F.avg("p").alias("a_mean"), F.bool_or(F.col("p") >= 0.5).cast("double").alias("a_any"))
+    seen = dealt(overlapping(spans, right, [item], parts=parts).select(*keys, "p"), parts, *keys)
+    seen = seen.groupBy(*keys).agg(F.max("p").alias("a_max"), F.avg("p").alias("a_mean"), F.bool_or(F.col("p") >= 0.5).cast("double").alias("a_any"))
     number = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     own = {f"b_{v}": number(F.col("verdict") == v) for v in ("supported", "unsupported", "unverifiable")}
     own |= {"b_slots": F.coalesce(F.size("slots"), F.lit(0)).cast("double"), "b_has_expected": number(F.col("expected").isNotNull()), "kind_percent": number(F.col("kind") == "percent"), "has_direction": number(F.col("direction").isNotNull())}
-    rows = checks.withColumns(own).join(seen, keys, "left").fillna(0.0, ["a_max", "a_mean", "a_any"])
+    rows = dealt(checks.withColumns(own).select(*keys, *[c for c in CLAIM_FEATURES if c in own]), parts, *keys).join(seen, keys, "left").fillna(0.0, ["a_max", "a_mean", "a_any"])
     return rows.select(*keys, *CLAIM_FEATURES)
 
 
@@ -142,8 +145,8 @@ def fit_temperature(rows: DataFrame, p: str = "p", label: str = "label", rounds:
     return (low * high) ** 0.5
 
 
-def item_risk(claims: DataFrame, items: DataFrame, p: str = "p") -> DataFrame:
+def item_risk(claims: DataFrame, items: DataFrame, p: str = "p", parts: int | None = None) -> DataFrame:
     """item_id, risk: that at least one claim is wrong, claims being independent; 0.5 without claims."""
     sure = F.bool_or(F.col(p) >= 1)
-    by = claims.groupBy("item_id").agg(F.when(sure, 1.0).otherwise(1 - F.exp(F.sum(F.log1p(-F.least(F.col(p), F.lit(1 - 1e-15)))))).alias("risk"))
-    return items.select("item_id").join(by, "item_id", "left").fillna(0.5, ["risk"])
+    by = dealt(claims.select("item_id", p), parts, "item_id").groupBy("item_id").agg(F.when(sure, 1.0).otherwise(1 - F.exp(F.sum(F.log1p(-F.least(F.col(p), F.lit(1 - 1e-15)))))).alias("risk"))
+    return dealt(items.select("item_id"), parts, "item_id").join(by, "item_id", "left").fillna(0.5, ["risk"])

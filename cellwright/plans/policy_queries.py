@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellwright.operators import budget, certify, metrics, outcome, splits
 from cellwright.plans.answer_queries import certificates
 from cellwright.plans.evidence_queries import STATES, hb_sql, quality_states, table
-from cellwright.session import stored
+from cellwright.session import parts_of, stored
 
 DRAWS, SIZES, ALPHA, DELTA, LOOSE = 25, [20, 50, 100, 400], 0.2, 0.05, 0.6
 SETTING = "send<0.02,fix>0.9"
@@ -111,15 +111,16 @@ def _checks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def claim_features(spark, d):
-    return outcome.claim_features(*_checks(spark, d), ["item_id", "claim_id"]).withColumn("a_mean", F.round("a_mean", 9))
+    return outcome.claim_features(*_checks(spark, d), ["item_id", "claim_id"], parts_of(table(spark, d, "lineitem"))).withColumn("a_mean", F.round("a_mean", 9))
 
 
 def fused_risk(spark, d):
     """The chance that an order has a wrong claim, from claims' fused probabilities at a temperature."""
-    rows = outcome.claim_features(*_checks(spark, d), ["item_id", "claim_id"])
+    parts = parts_of(table(spark, d, "lineitem"))
+    rows = outcome.claim_features(*_checks(spark, d), ["item_id", "claim_id"], parts)
     p = outcome.tempered(outcome.logistic(list(outcome.CLAIM_FEATURES), WEIGHTS, INTERCEPT), 1.5)
     items = table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"))
-    return outcome.item_risk(rows.withColumn("p", p), items).select("item_id", F.round("risk", 9).alias("risk"))
+    return outcome.item_risk(rows.withColumn("p", p), items, parts=parts).select("item_id", F.round("risk", 9).alias("risk"))
 
 
 def calibrated_risk(spark, d):

@@ -31,7 +31,7 @@ def test_entry_works(spark):
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["flagged_claims", "merged_spans", "span_quality"])
+@pytest.mark.parametrize("name", ["claim_features", "flagged_claims", "fused_risk", "merged_spans", "span_quality"])
 def test_tasks_grow_in_number(spark, monkeypatch, name):
     """No sort, window or join over order lines is dealt over fewer partitions than their number asks for."""
     monkeypatch.setattr(session, "TASK_ROWS", 500)
