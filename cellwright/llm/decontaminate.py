@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from cellwright.llm import textkit as tk
 from cellwright.llm.fm_index import FMIndex
@@ -28,7 +29,7 @@ WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 BREAK, FIRST = 1, 2
-STATE = "n_words long, hits binary, items array<string>"
+STATE, DONE = "hits binary", "n_hit long, spans array<struct<start:long,end:long>>"
 
 
 def _prepare(items: list[tuple[str, str]], window: int) -> dict:
@@ -117,13 +118,32 @@ def _union(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.stack(tk.spans_of(np.cumsum(step)[:-1] > 0), 1)
 
 
-def _map_search(shared):
+def _texts_of(batch: pa.RecordBatch, inside: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The texts: a column of their own, or field ``inside`` of the carried rows."""
+    if inside is None:
+        return tk.text_column(batch, "text")
+    return tk.text_column(pa.RecordBatch.from_arrays([batch.column("row").field(inside)], names=["text"]), "text")
+
+
+def _spans(hits: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """How many words the spans of each document cover, and the spans."""
+    bounds = np.cumsum([0, *map(len, hits)])
+    flat = np.concatenate([np.zeros((0, 2), np.int64), *hits])
+    total = np.concatenate([[0], np.cumsum(flat[:, 1] - flat[:, 0])])[bounds]
+    spans = pa.StructArray.from_arrays([pa.array(flat[:, k].copy(), pa.int64()) for k in (0, 1)], names=["start", "end"])
+    return pa.array(np.diff(total), pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), spans)
+
+
+def _map_search(shared, inside: int | None, last: bool):
+    """Adds a block's hits to those of the blocks before it (columns ``hits`` and ``items``, if any); the last block's rows are results."""
+
     def run(batches):
         known = shared.value
         for batch in batches:
-            buf, offs = tk.text_column(batch, "text")
+            buf, offs = _texts_of(batch, inside)
+            later = "hits" in batch.schema.names
+            before_hits, before_items = (batch.column(c).to_pylist() if later else [None] * len(batch) for c in ("hits", "items"))
             hits, lists, counts = [], [], []
-            before_hits, before_items = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
             for i, j in tk.slices(offs):
                 first, begin, stop, items = search_slice(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], known)
                 cut = np.searchsorted(begin, first)
@@ -132,31 +152,22 @@ def _map_search(shared):
                     own = np.stack([begin, stop], 1)[cut[d - i] : cut[d - i + 1]] - first[d - i]
                     if before_hits[d]:
                         own = _union(np.frombuffer(before_hits[d], "<i8").reshape(-1, 2), own, n)
-                    hits.append(own.astype("<i8").tobytes())
+                    hits.append(own)
                     lists.append(sorted({*(before_items[d] or []), *items[d - i]}))
                     counts.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("text"), pa.array(counts, pa.int64()), pa.array(hits, pa.binary()), pa.array(lists, pa.list_(pa.string()))],
-                names=["row", "text", "n_words", "hits", "items"],
-            )
+            kept = {c: batch.column(c) for c in batch.schema.names if c == "row" or c == "text" and not last}
+            found = {"n_words": pa.array(counts, pa.int64()), "items": pa.array(lists, pa.list_(pa.string()))}
+            if last:
+                found["n_hit"], found["spans"] = _spans(hits)
+            else:
+                found["hits"] = pa.array([x.astype("<i8").tobytes() for x in hits], pa.binary())
+            yield pa.RecordBatch.from_pydict(kept | found)
+            del batch, buf, kept, found
+            tk.release()
 
     return run
 
 
-def _finish(batches):
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for batch in batches:
-        n_hit, spans = [], []
-        for x in batch.column("hits").to_pylist():
-            s = np.frombuffer(x or b"", "<i8").reshape(-1, 2)
-            n_hit.append(int((s[:, 1] - s[:, 0]).sum()))
-            spans.append([{"start": a, "end": b} for a, b in s.tolist()])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("n_words"), pa.array(n_hit, pa.int64()), batch.column("items"), pa.array(spans, span)],
-            names=["row", "n_words", "n_hit", "items", "spans"],
-        )
-
-
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -170,14 +181,18 @@ def decontaminate(
     asked = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).where("item IS NOT NULL").distinct()
     size = asked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_bytes))
-    rows = tk.carried(docs, text_col, carry).withColumns({"n_words": F.lit(0).cast("long"), "hits": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
-    schema = tk.carried_schema(rows, f"text string, {STATE}")
+    rows = tk.carried(docs, text_col, carry)
+    # a text that the rows carry goes to Python once, within them; one pass of one worker, however many tasks an executor runs
+    carried = rows.schema["row"].dataType
+    inside = next((i for i, f in enumerate(carried.fields) if f.name == text_col and f.dataType == K.StringType()), None)
+    rows = rows if inside is None else rows.select("row")
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item", "text").collect()
         shared = spark.sparkContext.broadcast(_prepare([(r.item, r.text) for r in block], window))
-        rows = rows.mapInArrow(_map_search(shared), schema)
-    out = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-    done = rows.mapInArrow(_finish, tk.carried_schema(rows, out))
+        last = b == blocks - 1
+        text = "" if inside is not None or last else "text string, "
+        rows = rows.mapInArrow(_map_search(shared, inside, last), tk.carried_schema(rows, f"{text}n_words long, items array<string>, {DONE if last else STATE}"))
+    done = rows.select("row", "n_words", "n_hit", "items", "spans")
     return done.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -127,6 +127,7 @@ def _map_runs(batches):
             out += [(r >> np.uint64(32)).astype("<u4").tobytes() for r in shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]
         size = pa.array([len(x) // 4 for x in out], pa.int32())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(out, pa.binary())], names=["doc_id", "size", "runs"])
+        tk.release()
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:

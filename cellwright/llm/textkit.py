@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 4 << 20
+HASHED_WORDS = 1 << 15
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 #: A fixed random word for each byte value.
@@ -136,9 +137,12 @@ def powers(n: int) -> np.ndarray:
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE_WORD) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes; ``HASHED_WORDS`` at a time, as a byte takes up to 48 of them on the way."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(starts) > HASHED_WORDS:
+        parts = range(0, len(starts), HASHED_WORDS)
+        return np.concatenate([word_hashes(buf, starts[i : i + HASHED_WORDS], ends[i : i + HASHED_WORDS], table) for i in parts])
     length = ends - starts
     total = int(length.sum())
     first = np.cumsum(length) - length

@@ -245,6 +245,22 @@ def test_decontaminate(spark, docs):
     assert decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontaminate_takes_texts_to_python_once(spark, docs):
+    bench = spark.createDataFrame([(1, "same text of some words same text"), (2, "W1X1 w2x2, w3x3")], "item_id long, text string")
+    plan = lambda **how: decontaminate(docs, bench, **how)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan().count("MapInArrow") == 1 and "AS text#" not in plan()
+    own = lambda **how: sorted((r.row.doc_id or -1, r.n_words, r.n_hit, r["items"], r.spans) for r in decontaminate(docs, bench, **how).collect())
+    assert own() == own(carry=["doc_id"]) == own(block_bytes=10) == own(carry=["doc_id"], block_bytes=10)
+
+
+def test_word_hashes_in_parts(monkeypatch):
+    buf, offs = np.frombuffer(b"a bc def a ghij bc", np.uint8), np.array([0, 18])
+    starts, ends, _ = tk.words(buf, offs, np.arange(256) > 32)
+    whole = tk.word_hashes(buf, starts, ends)
+    monkeypatch.setattr(tk, "HASHED_WORDS", 2)
+    assert (tk.word_hashes(buf, starts, ends) == whole).all() and whole[0] == whole[3] and len(set(whole.tolist())) == 4
+
+
 def test_decontaminate_is_the_same_over_any_partitions(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     bench = spark.read.parquet(f"{DIR}/benchmark.parquet")
