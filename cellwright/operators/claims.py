@@ -135,7 +135,11 @@ def _year_before(period: Column) -> Column:
 def extract_claims(answers: DataFrame) -> DataFrame:
     """A row per figure of each answer (item_id, text; other columns carried): ``figure``, nth, claim_id, its sentence and
     clause, direction with its span, is_change and by_difference."""
-    claims = answers.withColumn("figures", figures("text")).select("*", F.posexplode("figures").alias("nth", "figure"))
+    return placed_claims(answers.withColumn("figures", figures("text")).select("*", F.posexplode("figures").alias("nth", "figure")))
+
+
+def placed_claims(claims: DataFrame) -> DataFrame:
+    """What ``extract_claims`` says of figures, of rows with ``figure``, nth and all ``figures`` of their text."""
     text, nth, start, end = F.col("text"), F.col("nth"), F.col("figure.start"), F.col("figure.end")
     before_it, after_it = F.get("figures", nth - 1)["end"], F.get("figures", nth + 1)["start"]
     s_start = F.length(F.regexp_extract(F.substr(text, F.lit(1), start + 1), rf"(?s)^.*(?:{BREAK})", 0))

@@ -3,6 +3,7 @@
 A loss may be a positive figure right after "loss", a change its size with a word of movement, a ratio a percentage, and the
 constants of a worked calculation are no claims. What may be read depends on the question's two cells, so a question's
 context is one row (``question_contexts``), joined to its answers; everything about wording is a Column over spans of the text.
+Gold values of a question are few and meet its answers as one array, so answers are read once and stay where that join puts them.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
 from cellwright.functions.arithmetic import SLACK
-from cellwright.functions.figures import half_unit
-from cellwright.operators.claims import extract_claims
+from cellwright.functions.figures import figures, half_unit
+from cellwright.operators.claims import placed_claims
 
 # Fixed pattern: "loss" that names a loss, not a statement or a pair.
 LOSS = r"(?i)(?<!\bor )(?<!\band )(?<![(/&])\b(?:loss|losses|deficit|deficits)\b(?!-)"
+# Fixed pattern: what every loss is named by, tried first as it is cheap.
+LOSS_WORD = r"(?i)loss|deficit"
 # Fixed pattern: clauses that turn or deny a loss, or speak of a profit.
 NOT_A_LOSS = r"(?i)\b(?:profits?|income|earn\w*|gains?|surplus|turned|turning|swung|swing|avoid\w*|without|no longer|recover\w*|revers\w*|instead)\b"
 # Fixed value: among how many words before the figure "loss" must stand. Fixed pattern: words that are figures.
@@ -87,11 +90,13 @@ def question_contexts(questions: DataFrame, gold: DataFrame, cells: DataFrame) -
     role, kind, value, cell).
 
     change (signed, size, losses; null where the question is none of two periods), earlier, later, entities_differ, loss_line,
-    and gold_cells.
+    gold_cells, changes, program, and ``primary``, the kind of its first answer.
     """
     held = cells.select("evidence_id", F.col("id").alias("cell"), F.struct("id", "metric", "entity", "period", "raw", "value", "scale", F.coalesce("metric", "row_label").alias("named")).alias("c"))
-    used = gold.join(questions.select("question_id", "evidence_id"), "question_id").join(held, ["evidence_id", "cell"])
-    by = used.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("nth", "role", "c"))).alias("u"))
+    used = gold.join(questions.select("question_id", "evidence_id"), "question_id").join(held, ["evidence_id", "cell"], "left")
+    by = used.groupBy("question_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("nth", "role", "c")))).alias("u"), F.min_by("kind", F.when(F.col("role") == "answer", F.col("nth"))).alias("primary")
+    )
     operands = F.transform(F.filter("u", lambda x: x["role"] == "operand"), lambda x: x["c"])
     rows = questions.join(by, "question_id", "left").withColumns({"u": F.coalesce("u", F.filter(F.array(F.lit(None).cast(by.schema["u"].dataType.elementType)), lambda x: x.isNotNull()))})
     rows = rows.withColumns({"o": operands, "changes": is_change_program(F.col("program"))})
@@ -107,42 +112,59 @@ def question_contexts(questions: DataFrame, gold: DataFrame, cells: DataFrame) -
     loss_line = F.exists("u", lambda x: F.coalesce(x["c"]["named"].rlike(LOSS) & (x["c"]["raw"] > 0), F.lit(False)))
     return rows.select(
         "question_id", F.when(F.col("over_time"), change).alias("change"), F.when(F.col("over_time"), F.col("then.period")).alias("earlier"), F.when(F.col("over_time"), F.col("now.period")).alias("later"),
-        F.coalesce(pair & ~a["entity"].eqNullSafe(b["entity"]), F.lit(False)).alias("entities_differ"), loss_line.alias("loss_line"), F.transform("u", lambda x: x["c"]).alias("gold_cells"), "changes",
+        F.coalesce(pair & ~a["entity"].eqNullSafe(b["entity"]), F.lit(False)).alias("entities_differ"), loss_line.alias("loss_line"), F.transform("u", lambda x: x["c"]).alias("gold_cells"), "changes", "program", "primary",
     )
 
 
-def natural_claims(texts: DataFrame, contexts: DataFrame | None) -> DataFrame:
-    """Claims of texts (item_id, question_id, text) with clause and sentence, loss cue and the question's context; constants
-    are left out. Without ``contexts`` the answers are template answers: no reading beyond the printed one."""
-    asked = texts.where("text IS NOT NULL").select("item_id", "question_id", "text")
+def gold_values(gold: DataFrame) -> DataFrame:
+    """question_id and its gold values (role, kind, value, cell) as one array."""
+    return gold.groupBy("question_id").agg(F.collect_list(F.struct("role", "kind", F.col("value").cast("double").alias("value"), "cell")).alias("gold_values"))
+
+
+def read_texts(texts: DataFrame, gold: DataFrame, contexts: DataFrame | None, **more: Column) -> DataFrame:
+    """Texts (item_id, question_id, text; other columns carried) with their question's gold values and context, figures and
+    breaks, and ``more`` columns that Python reads from the text in the same go; rows lie by question, as Python reads before the
+    joins. Without ``contexts`` the answers are template answers: no reading beyond the printed one."""
+    texts = texts.withColumns({"figures": figures("text"), "breaks": breaks("text"), **more})
     if contexts is None:
         none = "struct<signed:string,size:string,losses:boolean>"
-        asked = asked.withColumns({"natural": F.lit(False), "change": F.lit(None).cast(none), "loss_line": F.lit(False)})
+        asked = texts.withColumns({"natural": F.lit(False), "change": F.lit(None).cast(none), "loss_line": F.lit(False)})
     else:
-        asked = asked.join(contexts.withColumn("natural", F.lit(True)), "question_id", "left").withColumns({"natural": F.coalesce("natural", F.lit(False)), "loss_line": F.coalesce("loss_line", F.lit(False))})
-    claims = extract_claims(asked.withColumn("breaks", breaks("text")))
+        asked = texts.join(contexts.withColumn("natural", F.lit(True)), "question_id", "left").withColumns({"natural": F.coalesce("natural", F.lit(False)), "loss_line": F.coalesce("loss_line", F.lit(False))})
+    return asked.join(gold_values(gold), "question_id", "left")
+
+
+def natural_claims(read: DataFrame) -> DataFrame:
+    """Claims of ``read_texts`` with clause and sentence, loss cue, and ``prev``, where the claim before ends (0: none).
+
+    A text without figures keeps one row of none. ``counts`` says whether a row is a claim to a person: constants are none.
+    """
+    before, value = lambda f: cut(F.col("text"), F.lit(0), f["start"]), lambda f: f["value"].cast("double")
+    constant = lambda f: F.coalesce((f["kind"] == "number") & (((value(f) == 100) & before(f).rlike(TIMES)) | ((value(f) == 1) & F.endswith(before(f), F.lit(":")))), F.lit(False))
+    ends = F.transform("figures", lambda f: F.when(~(F.col("natural") & constant(f)), f["end"]))
+    claims = placed_claims(read.withColumn("ends", ends).select("*", F.posexplode_outer("figures").alias("nth", "figure")))
     text, start, end = F.col("text"), F.col("figure.start"), F.col("figure.end")
     claims = claims.withColumns({"n_clause": cut(text, begins_at(F.col("breaks.clause"), start), start), "n_begin": begins_at(F.col("breaks.sentence"), start), "n_end": ends_at(F.col("breaks.sentence"), end, text)})
-    claims = claims.withColumns({"n_sentence": cut(text, F.col("n_begin"), F.col("n_end")), "n_near": near_words(F.col("n_clause"))})
+    claims = claims.withColumn("n_sentence", cut(text, F.col("n_begin"), F.col("n_end")))
     beside = F.substr(text, start, F.lit(1)) == "("
     brackets = F.when(start > 0, beside).otherwise(False) & (F.substr(text, end + 1, F.lit(1)) == ")") & F.col("figure.text").rlike(BARE)
-    cue = F.when(F.col("n_near").rlike(LOSS) & ~F.col("n_clause").rlike(NOT_A_LOSS), "word").when(brackets, "brackets")
-    before = cut(text, F.lit(0), start)
-    value = F.col("figure.value").cast("double")
-    constant = (F.col("figure.kind") == "number") & (((value == 100) & before.rlike(TIMES)) | ((value == 1) & F.endswith(before, F.lit(":"))))
-    return claims.withColumns({"cue": cue, "v": value, "half": half_unit(F.col("figure"))}).where(~(F.col("natural") & F.coalesce(constant, F.lit(False))))
+    cue = F.when(F.col("n_clause").rlike(LOSS_WORD) & near_words(F.col("n_clause")).rlike(LOSS) & ~F.col("n_clause").rlike(NOT_A_LOSS), "word").when(brackets, "brackets")
+    prev = F.coalesce(F.array_max(F.slice("ends", F.lit(1), F.coalesce("nth", F.lit(0)))), F.lit(0))
+    return claims.withColumns({
+        "cue": cue, "v": F.col("figure.value").cast("double"), "half": half_unit(F.col("figure")), "of_loss": F.col("change.losses") & F.col("n_sentence").rlike(LOSS), "prev": prev,
+        "counts": F.get("ends", F.col("nth")).isNotNull(),
+    }).drop("ends")
 
 
-def states_gold(role: Column, gold_kind: Column, gold: Column) -> Column:
-    """Whether a row of ``natural_claims`` states a gold value."""
+def states_gold(role: Column, gold_kind: Column, gold: Column, natural: Column) -> Column:
+    """Whether a row of ``natural_claims``, read as a natural or as a template one, states a gold value."""
     kind, v, direction, change = F.col("figure.kind"), F.col("v"), F.col("direction"), F.col("is_change")
-    natural, context = F.col("natural"), F.col("change")
+    context = F.col("change")
     close = lambda x, target: F.abs(x - target) <= F.col("half") + SLACK
     # a bare number may be printed in the table's unit
-    powers = F.when(kind == "number", F.array(*[F.lit(float(10**p)) for p in (0, 3, 6, 9)])).otherwise(F.array(F.lit(1.0)))
-    in_units = lambda x, target: F.exists(powers, lambda p: close(x * p, target))
+    in_units = lambda x, target: close(x, target) | ((kind == "number") & (close(x * 1e3, target) | close(x * 1e6, target) | close(x * 1e9, target)))
     as_ratio = ~change & direction.isNull() & (v > 0) & (gold > 0) & close(v, gold * 100)
-    of_loss = context["losses"] & F.col("n_sentence").rlike(LOSS)
+    of_loss = F.col("of_loss")
     moved = F.when(of_loss, context["size"]).otherwise(context["signed"])
     judged = of_loss & F.coalesce(F.lower(F.col("direction_word")).isin(*JUDGING), F.lit(False))
     by_size = F.when((v < 0) | judged, F.lit(False)).when(moved.isNotNull(), (direction == moved) & in_units(F.abs(v), F.abs(gold)))
@@ -154,22 +176,21 @@ def states_gold(role: Column, gold_kind: Column, gold: Column) -> Column:
     return F.coalesce(F.when(natural & (kind == "percent") & (gold_kind == "ratio"), as_ratio).when(other_kind, False).otherwise(F.coalesce(F.when(directional, by_size), plain)), F.lit(False))
 
 
-def claim_hits(claims: DataFrame, gold: DataFrame) -> DataFrame:
-    """item_id, nth, shown, and of the gold values that each claim states: hit, answer, computed, cells."""
-    values = gold.select("question_id", F.col("role").alias("g_role"), F.col("kind").alias("g_kind"), F.col("value").cast("double").alias("g_value"), F.col("cell").alias("g_cell"))
-    claims = claims.select("item_id", "question_id", "nth", "figure", "v", "half", "direction", "direction_word", "is_change", "natural", "change", "loss_line", "cue", "n_sentence")
-    pairs = claims.join(values, "question_id", "left").withColumn("states", states_gold(F.col("g_role"), F.col("g_kind"), F.col("g_value")))
-    answer = F.col("states") & (F.col("g_role") == "answer")
-    hits = pairs.groupBy("item_id", "nth").agg(
-        F.first("figure.text").alias("shown"), F.bool_or("states").alias("hit"), F.coalesce(F.bool_or(answer), F.lit(False)).alias("answer"),
-        F.coalesce(F.bool_or(answer & F.col("g_cell").isNull()), F.lit(False)).alias("computed"), F.collect_set(F.when(F.col("states"), F.col("g_cell"))).alias("cells"),
-    )
-    return hits
+def stated_values(natural: Column) -> Column:
+    """The gold values that a row of ``natural_claims`` states."""
+    return F.coalesce(F.filter("gold_values", lambda g: states_gold(g["role"], g["kind"], g["value"], natural)), F.array().cast("array<struct<role:string,kind:string,value:double,cell:string>>"))
+
+
+def is_answer(stated: str) -> Column:
+    return F.exists(stated, lambda g: F.coalesce(g["role"] == "answer", F.lit(False)))
+
+
+def state_by(counts: Column, stated: str) -> Column:
+    """The state of an item by its claims, of which those that count state gold values: an aggregate."""
+    hit, answer = F.bool_and(F.when(counts, F.size(stated) > 0)), F.bool_or(F.when(counts, is_answer(stated)))
+    return F.when(F.bool_or(F.col("text").isNull()), "abstained").when(hit.isNull(), "supported_unhelpful").when(~hit, "unsupported").when(answer, "supported_useful").otherwise("supported_unhelpful")
 
 
-def states_of(texts: DataFrame, hits: DataFrame) -> DataFrame:
-    """item_id, state, wrong (figures that state no gold value)."""
-    by_item = hits.groupBy("item_id").agg(F.bool_and("hit").alias("all"), F.bool_or("answer").alias("any"), F.array_sort(F.collect_list(F.when(~F.col("hit"), F.struct("nth", "shown")))).alias("wrong"))
-    rows = texts.select("item_id", F.col("text").isNull().alias("silent")).join(by_item, "item_id", "left")
-    state = F.when(F.col("silent"), "abstained").when(F.col("all").isNull(), "supported_unhelpful").when(~F.col("all"), "unsupported").when(F.col("any"), "supported_useful").otherwise("supported_unhelpful")
-    return rows.select("item_id", state.alias("state"), F.coalesce(F.transform("wrong", lambda w: w["shown"]), F.array().cast("array<string>")).alias("wrong"))
+def wrong_by(counts: Column, stated: str) -> Column:
+    """The figures of an item that state no gold value: an aggregate."""
+    return F.transform(F.array_sort(F.collect_list(F.when(counts & (F.size(stated) == 0), F.struct("nth", F.col("figure.text").alias("shown"))))), lambda w: w["shown"])

@@ -26,7 +26,17 @@ def score_texts(texts: DataFrame, gold: DataFrame, contexts: DataFrame | None =
     printed in thousands, millions or billions; a change counts with the sign that its word gives it. Natural answers come with
     the ``contexts`` of their questions, for the readings of ``natural``.
     """
-    return N.states_of(texts, N.claim_hits(N.natural_claims(texts, contexts), gold))
+    rows = N.natural_claims(N.read_texts(texts.select("item_id", "question_id", "text"), gold, contexts)).withColumn("stated", N.stated_values(F.col("natural")))
+    # by question too, as the rows lie by question already
+    return rows.groupBy("question_id", "item_id").agg(N.state_by(F.col("counts"), "stated").alias("state"), N.wrong_by(F.col("counts"), "stated").alias("wrong")).drop("question_id")
+
+
+def score_both(texts: DataFrame, gold: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``score_texts`` of natural answers, and ``template_state``, their state as template answers, by one reading of each text."""
+    rows = N.natural_claims(N.read_texts(texts.select("item_id", "question_id", "text"), gold, contexts))
+    rows = rows.withColumns({"stated": N.stated_values(F.col("natural")), "plainly": N.stated_values(F.lit(False))})
+    plain = N.state_by(F.col("figure").isNotNull(), "plainly").alias("template_state")
+    return rows.groupBy("question_id", "item_id").agg(N.state_by(F.col("counts"), "stated").alias("state"), N.wrong_by(F.col("counts"), "stated").alias("wrong"), plain).drop("question_id")
 
 
 def features(checks: DataFrame, verdicts: DataFrame, questions: DataFrame) -> DataFrame:

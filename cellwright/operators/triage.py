@@ -7,9 +7,10 @@ of spans; a word that its claim's cells do not bear out is a reason. Words and c
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
@@ -48,8 +49,8 @@ NOT_YEAR, NOT_ENTITY, NOT_LEVEL = "a year that is not its figure's", "an entity
 NOT_METRIC, NOT_LOSS, NOT_MONEY = "a metric name that is not its figure's", "'loss' beside a figure that is not one", "a currency after a bare figure"
 NOT_UNIT, NOT_MOVED = "a unit the tables do not use", "a direction word the scorer cannot check"
 
+_WORD, _MOVES = re.compile(r"\w+"), re.compile("|".join(sorted(direction_words(), key=len, reverse=True)) + "|" + MOVEMENT, re.IGNORECASE)
 _WORDS = {
-    "direction": re.compile(r"\b(?:" + "|".join(sorted(direction_words(), key=len, reverse=True)) + "|" + MOVEMENT + r")\b", re.IGNORECASE),
     "period": re.compile(PERIOD, re.IGNORECASE),
     "this": re.compile(THIS_YEAR, re.IGNORECASE),
     "last": re.compile(LAST_YEAR, re.IGNORECASE),
@@ -61,10 +62,21 @@ _WORDS = {
 _PLACED = K.StructType([K.StructField("what", K.StringType()), K.StructField("start", K.IntegerType()), K.StructField("end", K.IntegerType()), K.StructField("word", K.StringType())])
 
 
+@lru_cache(maxsize=1 << 14)
+def _moves(word: str) -> bool:
+    """Whether a whole word is one of movement; texts say the same words over and over."""
+    return _MOVES.fullmatch(word) is not None
+
+
+def placed_words(text: str) -> list[tuple[str, int, int, str]]:
+    """The words of movement, period, entity and unit of a text, with their places."""
+    moving = [("direction", m.start(), m.end(), m[0]) for m in _WORD.finditer(text) if _moves(m[0])]
+    return moving + [(what, m.start(), m.end(), m[0]) for what, p in _WORDS.items() for m in p.finditer(text)]
+
+
 @F.pandas_udf(K.ArrayType(_PLACED))
 def wordings(texts: pd.Series) -> pd.Series:
-    """The words of movement, period, entity and unit of texts, with their places."""
-    return texts.map(lambda t: [(what, m.start(), m.end(), m[0]) for what, p in _WORDS.items() for m in p.finditer(t or "")])
+    return texts.map(lambda t: placed_words(t or ""))
 
 
 def _nearest_metric(words: Column, surfaces: Column) -> Column:
@@ -80,44 +92,60 @@ def _nearest_metric(words: Column, surfaces: Column) -> Column:
     return F.get(F.transform(norm, named), F.lit(0))
 
 
-def _read_claims(items: DataFrame, contexts: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Claims with the cells that each one states, and the items' states."""
-    claims = N.natural_claims(items.select("item_id", "question_id", "text"), contexts)
-    hits = N.claim_hits(claims, gold)
-    states = N.states_of(items, hits)
-    claims = claims.join(hits.select("item_id", "nth", "computed", F.col("cells").alias("ids")), ["item_id", "nth"])
+def _flag(c: Column) -> Column:
+    """Whether any row has it: an aggregate."""
+    return F.coalesce(F.bool_or(F.coalesce(c, F.lit(False))), F.lit(False))
+
+
+def _claim_rows(items: DataFrame, contexts: DataFrame, gold: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Claims with the cells that each one states; an item without figures keeps one row of none."""
+    asked = items.join(vocabulary.select("evidence_id", "surfaces"), "evidence_id", "left")
+    claims = N.natural_claims(N.read_texts(asked, gold, contexts, wordings=wordings("text")))
+    claims = claims.withColumn("stated_values", N.stated_values(F.col("natural")))
+    ids = F.transform("stated_values", lambda g: g["cell"])
+    claims = claims.withColumns({"computed": F.exists("stated_values", lambda g: F.coalesce((g["role"] == "answer") & g["cell"].isNull(), F.lit(False))), "ids": ids})
     stated = F.filter("gold_cells", lambda c: F.array_contains("ids", c["id"]))
-    return claims.withColumn("stated", stated).withColumn("backed", F.concat("stated", F.when(F.col("computed"), F.col("gold_cells")).otherwise(F.slice("gold_cells", 1, 0)))), states
+    return claims.withColumn("stated", stated).withColumn("backed", F.concat("stated", F.when(F.col("computed"), F.col("gold_cells")).otherwise(F.slice("gold_cells", 1, 0))))
+
 
+def _claim_flags(claims: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """The claims, and for each reason that single claims give, whether a claim gives it.
 
-def _claim_flags(claims: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """item_id and the reasons that single claims give."""
-    w = Window.partitionBy("item_id").orderBy("nth")
-    start = F.col("figure.start")
-    claims = claims.withColumn("prev", F.coalesce(F.lag("figure.end").over(w), F.lit(0))).join(vocabulary.select("evidence_id", "surfaces"), "evidence_id", "left")
+    Only claims that state a gold value are looked at: an answer with any other is unsupported, and its state is the reason.
+    """
+    hit, start = F.size("stated_values") > 0, F.col("figure.start")
     periods = F.filter(F.transform("stated", lambda c: c["period"]), lambda p: p != "")
-    level = F.lower(F.regexp_extract("n_near", rf"(?is)^.*({FROM_LEVEL}|{TO_LEVEL})", 1))
+    level = F.lower(F.regexp_extract(N.near_words(F.col("n_clause")), rf"(?is)^.*({FROM_LEVEL}|{TO_LEVEL})", 1))
     wanted = F.when(level == "from", F.col("earlier")).when(level == "to", F.col("later"))
-    wrong_level = F.col("later").isNotNull() & wanted.isNotNull() & ~F.col("computed") & (F.size(periods) > 0) & ~F.array_contains(periods, wanted)
+    wrong_level = hit & F.col("later").isNotNull() & ~F.col("computed") & (F.size(periods) > 0) & wanted.isNotNull() & ~F.array_contains(periods, wanted)
     own = N.cut(F.col("text"), F.greatest(start - F.length("n_clause"), F.col("prev")), start)
     metrics = F.array_compact(F.transform("backed", lambda c: c["metric"]))
-    claims = claims.withColumns({"named": _nearest_metric(own, F.col("surfaces")), "metrics": metrics})
-    wrong_metric = (F.col("figure.kind") != "number") & F.col("named").isNotNull() & (F.size("metrics") > 0) & ~F.array_contains("metrics", F.col("named"))
+    claims = claims.withColumn("metrics", F.when(hit & (F.col("figure.kind") != "number"), metrics))
+    claims = claims.withColumn("named", F.when(F.size("metrics") > 0, _nearest_metric(own, F.col("surfaces"))))
+    wrong_metric = F.col("named").isNotNull() & ~F.array_contains("metrics", F.col("named"))
     since = N.cut(F.col("text"), F.greatest(F.instr(F.col("text"), F.col("n_sentence")) - 1, F.col("prev")), start)
-    wrong_loss = F.exists("stated", lambda c: (c["raw"] > 0) & ~c["named"].rlike(N.LOSS)) & since.rlike(N.LOSS)
-    money = (F.col("figure.kind") == "number") & F.substr(F.col("text"), F.col("figure.end") + 1).rlike(CURRENCY_AFTER) & ~F.exists("stated", lambda c: c["scale"] == 0)
-    flag = lambda c: F.coalesce(F.bool_or(F.coalesce(c, F.lit(False))), F.lit(False))
-    return claims.groupBy("item_id").agg(flag(wrong_level).alias(NOT_LEVEL), flag(wrong_metric).alias(NOT_METRIC), flag(wrong_loss).alias(NOT_LOSS), flag(money).alias(NOT_MONEY))
+    wrong_loss = hit & F.exists("stated", lambda c: (c["raw"] > 0) & ~c["named"].rlike(N.LOSS)) & since.rlike(N.LOSS)
+    money = hit & (F.col("figure.kind") == "number") & F.substr(F.col("text"), F.col("figure.end") + 1).rlike(CURRENCY_AFTER) & ~F.exists("stated", lambda c: c["scale"] == 0)
+    return claims, {NOT_LEVEL: wrong_level, NOT_METRIC: wrong_metric, NOT_LOSS: wrong_loss, NOT_MONEY: money}
 
 
-def _word_flags(items: DataFrame, contexts: DataFrame, claims: DataFrame) -> DataFrame:
-    """item_id and the reasons that single words give, each beside the claim that owns it."""
-    kept = lambda c: F.array_distinct(F.filter(F.transform("stated", lambda x: x[c]), lambda p: p != ""))
+def _by_item(claims: DataFrame, kept: list[str]) -> DataFrame:
+    """A row per item: the ``kept`` columns, its state, the reasons that single claims give, and its claims that state
+    gold values, in order."""
+    claims, flags = _claim_flags(claims)
+    some = lambda c: F.array_distinct(F.filter(F.transform("stated", lambda x: x[c]), lambda p: p != ""))
     backed = F.array_distinct(F.filter(F.transform("backed", lambda x: x["period"]), lambda p: p != ""))
-    one = F.struct("nth", F.col("figure.start").alias("start"), F.col("figure.end").alias("end"), F.col("n_sentence").alias("sentence"), "computed", backed.alias("periods"), kept("period").alias("own_periods"), kept("entity").alias("entities"))
-    by = claims.groupBy("item_id").agg(F.array_sort(F.collect_list(one)).alias("claims"))
-    rows = items.join(by, "item_id", "left").join(contexts.select("question_id", "change", "earlier", "later"), "question_id", "left")
-    rows = rows.withColumns({"claims": F.coalesce("claims", F.filter(F.array(F.lit(None).cast(by.schema["claims"].dataType.elementType)), lambda c: c.isNotNull())), "breaks": N.breaks("text"), "w": F.explode(wordings("text"))})
+    one = F.struct("nth", F.col("figure.start").alias("start"), F.col("figure.end").alias("end"), F.col("n_sentence").alias("sentence"), "computed", backed.alias("periods"), some("period").alias("own_periods"), some("entity").alias("entities"))
+    counts = F.col("counts")
+    # by question too, as the rows lie by question already
+    rows = claims.groupBy("question_id", "item_id").agg(
+        F.first(F.struct(*kept)).alias("item"), N.state_by(counts, "stated_values").alias("state"), *[_flag(counts & c).alias(r) for r, c in flags.items()], F.array_sort(F.collect_list(F.when(counts & (F.size("stated_values") > 0), one))).alias("claims")
+    )
+    return rows.select("*", "item.*").drop("item")
+
+
+def _word_flags(rows: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """The words of items (``w``), and for each reason that single words give, whether a word gives it beside the claim that owns it."""
     text, start, end = F.col("text"), F.col("w.start"), F.col("w.end")
     rows = rows.withColumns({"before": N.cut(text, F.lit(0), start), "sentence": N.cut(text, N.begins_at(F.col("breaks.sentence"), start), N.ends_at(F.col("breaks.sentence"), end, text))})
     rows = rows.withColumns({"clause": N.cut(text, N.begins_at(F.col("breaks.clause"), start), start), "mine": F.filter("claims", lambda c: c["sentence"] == F.col("sentence"))})
@@ -148,8 +176,7 @@ def _word_flags(items: DataFrame, contexts: DataFrame, claims: DataFrame) -> Dat
     of_loss = F.col("change.losses") & F.col("sentence").rlike(N.LOSS)
     moved = F.when(of_loss, F.col("change.size")).otherwise(F.col("change.signed"))
     unchecked = (what == "direction") & (F.col("change").isNull() | (of_loss & unit.rlike(JUDGES)) | goes.isNull() | ~goes.eqNullSafe(moved))
-    flag = lambda c: F.coalesce(F.bool_or(F.coalesce(c, F.lit(False))), F.lit(False))
-    return rows.groupBy("item_id").agg(flag(wrong_year).alias(NOT_YEAR), flag(wrong_entity).alias(NOT_ENTITY), flag(wrong_unit).alias(NOT_UNIT), flag(unchecked).alias(NOT_MOVED))
+    return rows, {NOT_YEAR: wrong_year, NOT_ENTITY: wrong_entity, NOT_UNIT: wrong_unit, NOT_MOVED: unchecked}
 
 
 def triage_reasons(items: DataFrame, questions: DataFrame, gold: DataFrame, cells: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -160,23 +187,24 @@ def triage_reasons(items: DataFrame, questions: DataFrame, gold: DataFrame, cell
     Null texts are empty answers; types that only a person can label have that reason alone.
     """
     contexts = N.question_contexts(questions, gold, cells)
-    items = items.withColumn("text", F.coalesce("text", F.lit("")))
-    claims, states = _read_claims(items, contexts, gold)
-    claims = claims.join(items.select("item_id", "evidence_id"), "item_id")
-    flags = _claim_flags(claims, vocabulary).join(_word_flags(items, contexts, claims), "item_id", "full")
-    primary = gold.where("role = 'answer'").groupBy("question_id").agg(F.min_by("kind", "nth").alias("primary"))
-    points = questions.join(primary, "question_id", "left").join(contexts.select("question_id", "changes", "entities_differ"), "question_id", "left")
-    points = points.select("question_id", "entities_differ", (F.coalesce((F.col("primary") == "percent") & F.col("changes") & ~F.startswith("program", F.lit("growth(")), F.lit(False))).alias("points_fit"))
-    rows = items.join(states.select("item_id", "state"), "item_id").join(points, "question_id", "left").join(flags, "item_id", "left")
+    own = ["text", "question", "question_type", "thinking_leak", "scales", "currencies"]
+    items = items.select("item_id", "question_id", "evidence_id", *own).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = _by_item(_claim_rows(items, contexts, gold, vocabulary), [*own, "breaks", "wordings", "change", "earlier", "later", "changes", "program", "primary", "entities_differ"])
+    useful, by_person = F.col("state") == "supported_useful", F.col("question_type").isin(*BY_PERSON)
+    # words matter where nothing else sends the answer to a person
+    words = F.when(useful & ~F.coalesce(by_person, F.lit(False)), F.col("wordings"))
+    rows, flags = _word_flags(rows.withColumn("w", F.explode_outer(words)))
+    each = [NOT_LEVEL, NOT_METRIC, NOT_LOSS, NOT_MONEY]
+    shown = F.first(F.struct(*[c for c in own if c not in ("question", "scales")], "state", "entities_differ", "changes", "program", "primary", *[F.col(f"`{r}`") for r in each])).alias("item")
+    rows = rows.groupBy("question_id", "item_id").agg(shown, *[_flag(c).alias(r) for r, c in flags.items()]).select("*", "item.*")
+    points_fit = F.coalesce((F.col("primary") == "percent") & F.col("changes") & ~F.startswith("program", F.lit("growth(")), F.lit(False))
     text = F.col("text")
     when = lambda c, reason: F.when(F.coalesce(c, F.lit(False)), F.lit(reason))
     *wording, points_said = T.WORDING.items()
-    useful = F.col("state") == "supported_useful"
     reasons = [
         when(F.col("thinking_leak"), "thinking leak"), *[when(F.col("state") == s, r) for s, r in STATE_REASONS.items()], when(F.col("entities_differ"), "a difference between two entities"), *[when(text.rlike(p), r) for r, p in wording],
-        when(text.rlike(points_said[1]) & ~F.coalesce("points_fit", F.lit(False)), points_said[0]), when(F.size(T.foreign_currencies(text, F.col("currencies"))) > 0, "a currency the report does not use"),
+        when(text.rlike(points_said[1]) & ~points_fit, points_said[0]), when(F.size(T.foreign_currencies(text, F.col("currencies"))) > 0, "a currency the report does not use"),
         *[when(useful & F.col(f"`{r}`"), r) for r in (NOT_MOVED, NOT_YEAR, NOT_ENTITY, NOT_LEVEL, NOT_METRIC, NOT_LOSS, NOT_MONEY, NOT_UNIT)],
     ]
-    by_person = F.col("question_type").isin(*BY_PERSON)
     found = F.when(by_person, F.array(F.concat("question_type", F.lit(" question")))).when(F.trim(text) == "", F.array(F.lit("empty answer"))).otherwise(F.array_compact(F.array(*reasons)))
     return rows.select("item_id", "state", found.alias("reasons"))

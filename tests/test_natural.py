@@ -82,3 +82,20 @@ def test_reasons(spark, world):
     leaked = triage.triage_reasons(items.limit(1).selectExpr("* except (thinking_leak)", "true AS thinking_leak"), questions, gold, cells, C.vocabularies(cells)).collect()
     assert leaked[0].reasons == ["thinking leak"]
     assert triage.triage_reasons(items.where("false"), questions, gold, cells, C.vocabularies(cells)).count() == 0
+
+
+def _python_steps(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def test_triage_reads_each_text_once(spark, world):
+    cells, questions, gold = world
+    items = spark.createDataFrame([("1", "sales", "e1", "Net sales rose by 40,000.", "", "difference", False, [3], ["LKR"])], "item_id string, question_id string, evidence_id string, text string, question string, question_type string, thinking_leak boolean, scales array<int>, currencies array<string>")
+    assert _python_steps(triage.triage_reasons(items, questions, gold, cells, C.vocabularies(cells))) == 1
+
+
+def test_words_of_movement_are_whole_words():
+    text = "It NARROWED, narrow_er and ups; up-to 2023, the group's shrunken 3 millions (eased)."
+    assert [(what, word) for what, start, end, word in triage.placed_words(text) if text[start:end] == word] == [
+        ("direction", "NARROWED"), ("direction", "narrow_er"), ("direction", "up"), ("direction", "shrunken"), ("direction", "eased"), ("period", "2023"), ("entity", "group"), ("unit", "millions"),
+    ]
