@@ -61,9 +61,8 @@ def world(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
 def scored_texts(spark, d):
     """States of all answers, read as natural ones and as template ones."""
     cells, questions, gold, items = world(spark, d)
-    read = scoring.score_texts(items, gold, natural.question_contexts(questions, gold, cells))
-    plain = scoring.score_texts(items, gold).select("item_id", F.col("state").alias("template_state"))
-    return read.join(plain, "item_id").select("item_id", "state", "template_state", F.array_join("wrong", "; ").alias("wrong"))
+    read = scoring.score_both(items, gold, natural.question_contexts(questions, gold, cells))
+    return read.select("item_id", "state", "template_state", F.array_join("wrong", "; ").alias("wrong"))
 
 
 def triage_reasons(spark, d):

@@ -99,3 +99,12 @@ def test_words_of_movement_are_whole_words():
     assert [(what, word) for what, start, end, word in triage.placed_words(text) if text[start:end] == word] == [
         ("direction", "NARROWED"), ("direction", "narrow_er"), ("direction", "up"), ("direction", "shrunken"), ("direction", "eased"), ("period", "2023"), ("entity", "group"), ("unit", "millions"),
     ]
+
+
+def test_both_scores_come_from_one_reading(spark, world):
+    cells, questions, gold = world
+    texts = spark.createDataFrame([(str(i), q, t) for i, (q, t, _, _) in enumerate(SCORED)], "item_id string, question_id string, text string")
+    both = scoring.score_both(texts, gold, N.question_contexts(questions, gold, cells))
+    assert _python_steps(both) == 1
+    got = {r.item_id: (r.state, r.template_state) for r in both.collect()}
+    assert [got[str(i)] for i in range(len(SCORED))] == [(natural, plain) for _, _, natural, plain in SCORED]
