@@ -9,14 +9,15 @@ Gold values of a question are few and meet its answers as one array, so answers
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
 from cellwright.functions.arithmetic import SLACK
-from cellwright.functions.figures import figures, half_unit
+from cellwright.functions.figures import arrow_lists, figures, half_unit
 from cellwright.operators.claims import placed_claims
 
 # Fixed pattern: "loss" that names a loss, not a statement or a pair.
@@ -42,20 +43,20 @@ CHANGE_PROGRAM = r"^\(*\s*(?:(?:growth|diff)\(\s*[A-Za-z_]\w*\s*,\s*[A-Za-z_]\w*
 NUMBER = r"^\d"
 
 
-_PLACES = K.ArrayType(K.StructType([K.StructField(c, K.IntegerType()) for c in ("at", "ahead")]))
+_PLACE = K.StructType([K.StructField(c, K.IntegerType()) for c in ("at", "ahead")])
 
 
-@F.pandas_udf(K.StructType([K.StructField(c, _PLACES) for c in ("clause", "sentence")]))
-def breaks(texts: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(K.StructType([K.StructField(c, K.ArrayType(_PLACE)) for c in ("clause", "sentence")]))
+def breaks(texts: pa.Array) -> pa.Array:
     """Where the clauses and sentences of texts break: the place behind the mark, and how many signs of white space it needs after it."""
     short = re.compile(SHORT_FORM)
 
-    def of(text: str | None, pattern: re.Pattern) -> list[tuple[int, int]]:
+    def of(text: str | None, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
         found = pattern.finditer(text or "")
-        return [(m.end(), int(m[0] not in ";:\n")) for m in found if m[0] != "." or not short.search(text, max(0, m.start() - 12), m.start())]
+        return ((m.end(), int(m[0] not in ";:\n")) for m in found if m[0] != "." or not short.search(text, max(0, m.start() - 12), m.start()))
 
     each = {"clause": re.compile(CLAUSE_BREAK), "sentence": re.compile(SENTENCE_BREAK)}
-    return pd.DataFrame({name: texts.map(lambda t, p=p: of(t, p)) for name, p in each.items()})
+    return pa.StructArray.from_arrays([arrow_lists((of(t.as_py(), p) for t in texts), _PLACE) for p in each.values()], names=list(each))
 
 
 def cut(text: Column, start: Column, end: Column) -> Column:

@@ -9,12 +9,13 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
 from cellwright.functions import text as T
+from cellwright.functions.figures import arrow_lists
 from cellwright.operators import natural as N
 from cellwright.operators.claims import direction_words
 
@@ -74,9 +75,9 @@ def placed_words(text: str) -> list[tuple[str, int, int, str]]:
     return moving + [(what, m.start(), m.end(), m[0]) for what, p in _WORDS.items() for m in p.finditer(text)]
 
 
-@F.pandas_udf(K.ArrayType(_PLACED))
-def wordings(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: placed_words(t or ""))
+@F.arrow_udf(K.ArrayType(_PLACED))
+def wordings(texts: pa.Array) -> pa.Array:
+    return arrow_lists((placed_words(t.as_py() or "") for t in texts), _PLACED)
 
 
 def _nearest_metric(words: Column, surfaces: Column) -> Column:

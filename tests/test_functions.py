@@ -1,11 +1,13 @@
+import tracemalloc
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cellwright.functions import expressions as X
 from cellwright.functions import text as T
-from cellwright.functions.figures import cell_figure_in, figures_in, is_figure, rendered
+from cellwright.functions.figures import cell_figure_in, figures, figures_in, is_figure, rendered
 from cellwright.operators import certify as C
 from cellwright.operators import matching, metrics
 from cellwright.operators.tables import grid_cells
@@ -106,3 +108,15 @@ def test_overlaps(spark):
     a = spark.createDataFrame([("i", 0, 10), ("i", 100, 300), ("i", 5, 5)], "k string, start int, `end` int")
     b = spark.createDataFrame([("i", 9, 120), ("i", 10, 100)], "k string, r_start int, r_end int")
     assert sorted((r.start, r.r_start) for r in matching.overlapping(a, b, ["k"]).collect()) == [(0, 9), (100, 9)]
+
+
+def test_python_holds_few_of_a_long_texts_figures_at_once():
+    texts = ["1,234 " * 12_000, None, "", "Rs. 5 mn (3)%; and -4.25 x. Loss of 1."]
+    tracemalloc.start()
+    try:
+        got = figures.func(pa.array(texts))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.to_pylist() == [figures_in(t) for t in texts]
+    assert most < 5e6  # all 12,000 at once take 9.9
