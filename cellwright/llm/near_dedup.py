@@ -10,9 +10,10 @@
    first ``n - similarity * n + 1``. This is exact: no pair of which one text has at most ``FEW`` runs is missed.
 3. In each bucket every document is aligned with the one that has most company (the sum of its buckets' sizes), which
    settles large groups of copies. Buckets that still span several known classes are settled by one task each where they
-   hold at most ``group`` documents and ``group_runs`` runs. Larger ones are parted by their rarest labelled runs, so no
-   pair is lost. What is larger even then takes rounds in which documents outside the largest class lead, until every two
-   documents of a bucket are in one class or were aligned. The group size moves work, never results.
+   hold at most ``group`` documents and ``group_runs`` runs. Documents of larger ones meet where they share one of their
+   rarest labelled runs, early enough in either for the similarity, so no pair is lost; of each two classes a few pairs
+   are aligned first, the others unless these have joined them. So every two documents of a bucket are in one class, were
+   aligned, or have too few runs in common. The group size moves work, never results.
 4. An alignment keeps the order of runs and looks within the band that the similarity allows: matched runs over all runs
    of either text (an ordered Jaccard similarity) must reach ``SIMILARITY``. It compares runs by 32 bits of their hashes.
    Links are joined to classes once at the end.
@@ -32,6 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
@@ -43,8 +45,10 @@ from cellwright.llm.passages import SPACE
 SHINGLE, SKETCHES, KEPT, SIMILARITY = 5, 24, 6, 0.8
 #: Texts of at most so many runs have exact candidates.
 FEW = 64
-#: Documents and runs of a bucket that one task may settle, and documents that lead in a round where more remain.
+#: Documents and runs of a bucket that one task may settle, and pairs of two classes that are aligned first where it holds more.
 GROUP, GROUP_RUNS, LEADS = 1024, 8 << 20, 16
+#: Sizes of documents of one band differ by no more than this factor.
+BAND = 1 + 1 / 32
 #: Bytes of text whose runs are held at once.
 SLICE_BYTES = 1 << 19
 #: Links a partition, and ids a task joins at once, while links become classes.
@@ -297,27 +301,55 @@ def _settle_group(similarity: float):
 
 
 def _map_labels(batches):
-    """Labelled runs of each document of a bucket, as they are told apart."""
+    """Labelled runs of each document, as they are told apart; other columns stay."""
     for batch in batches:
-        values = [labelled_runs(np.frombuffer(x, "<u4").astype(np.uint64)).view(np.int64) for x in batch.column("runs").to_pylist()]
-        names = ["bucket", "doc_id", "cls", "size"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), _lists(values)], names=[*names, "labels"])
+        offs = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("runs")).to_numpy(), dtype=np.int64)])
+        kept = [c for c in batch.schema.names if c != "runs"]
+        for i, j in tk.slices(offs, SLICE_BYTES):
+            part = batch.slice(i, j - i)
+            values = [labelled_runs(np.frombuffer(x, "<u4").astype(np.uint64)) for x in part.column("runs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), _lists(values)], names=[*kept, "labels"])
+        tk.release()
 
 
-def _rarest(rows: DataFrame, group: list[str], similarity: float) -> DataFrame:
-    """Of each document's ``n`` labels, those first in the order of rarity within ``group``, of which near texts share one."""
-    common = rows.groupBy(*group, "label").agg(F.count("*").alias("often"))
-    rare = Window.partitionBy(*group, "doc_id").orderBy("often", "label")
-    ranked = rows.join(common, [*group, "label"]).withColumn("nth", F.row_number().over(rare))
+def _rarest(rows: DataFrame, similarity: float, *also: Column) -> DataFrame:
+    """Of each document's ``n`` labels, those first in the order of rarity, of which near texts share one; ``also``: more about a label."""
+    common = rows.groupBy("label").agg(F.count("*").alias("often"), *also)
+    rare = Window.partitionBy("doc_id").orderBy("often", "label")
+    ranked = rows.join(common, "label").withColumn("nth", F.row_number().over(rare))
     return ranked.where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
 
 
-def _parted(large: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
-    """Large buckets, parted by the rarest runs of each document: bucket, doc_id, cls, size."""
-    columns = "bucket long, doc_id long, cls long, size int"
-    labels = large.join(runs.select("doc_id", "runs"), "doc_id").select("bucket", "doc_id", "cls", "size", "runs").mapInArrow(_map_labels, f"{columns}, labels array<long>")
-    rows = tk.stored(labels.select("bucket", "doc_id", "cls", "size", F.size("labels").alias("n"), F.explode("labels").alias("label")), "labels")
-    return _rarest(rows, ["bucket"], similarity).select(F.xxhash64("bucket", "label").alias("bucket"), "doc_id", "cls", "size").distinct()
+def _need(n: Column, m: Column, similarity: float) -> Column:
+    """How many runs near texts of n and m runs have in common."""
+    return F.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9)
+
+
+def _candidates(labels: DataFrame, similarity: float) -> DataFrame:
+    """a, b, x, y, shared: every two documents (a has no fewer labels) of two classes (x < y) that may be near.
+
+    ``labels``: doc_id, cls, n, label. All labels are put in one order, rare ones first. Of two near documents the first
+    label that both have leaves room in either for all those that they need, so it is among few of a document's labels:
+    the fewer, the nearer their sizes. Documents look for that label among those of one band of sizes at a time. Where a
+    label's rows are of one class but for a few, only these few meet the others: a label that all copies of a text have
+    makes no pairs of copies.
+    """
+    n, m = F.col("n"), F.col("m")
+    own = _rarest(labels, similarity, F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
+    own = tk.stored(own.select("label", "doc_id", "cls", "n", "nth"), "prefixes")
+    most = own.groupBy("label", "cls").agg(F.count("*").alias("often")).groupBy("label").agg(F.max(F.struct("often", "cls")).alias("most"), F.count("*").alias("classes"))
+    own = own.join(most.where("classes > 1"), "label").withColumn("out", F.col("cls") != F.col("most.cls"))
+    band, least = (lambda size: F.floor(F.log(size) / float(np.log(BAND)))), F.ceil(n * similarity - 1e-9)
+    small = own.where(F.col("nth") <= n - _need(n, n, similarity) + 1).select("label", band(n).alias("band"), F.col("doc_id").alias("b"), F.col("cls").alias("cls_b"), n.alias("m"), F.col("nth").alias("j"), "out")
+    large = own.withColumn("band", F.explode(F.sequence(band(least), band(n))))
+    large = large.where(F.col("nth") <= n - _need(n, F.greatest(least, F.floor(F.pow(F.lit(BAND), "band"))), similarity) + 1)
+    large = large.select("label", "band", F.col("doc_id").alias("a"), F.col("cls").alias("cls_a"), "n", F.col("nth").alias("i"), "out")
+    need = _need(n, m, similarity)
+    fits = (F.col("cls_a") != F.col("cls_b")) & ((n > m) | (n == m) & (F.col("a") > F.col("b"))) & (F.col("i") <= n - need + 1) & (F.col("j") <= m - need + 1)
+    some = large.drop("out").join(small.where("out").drop("out"), ["label", "band"]).where(fits)
+    rest = large.where("out").drop("out").join(small.where("NOT out").drop("out"), ["label", "band"]).where(fits)
+    x, y = F.least("cls_a", "cls_b").alias("x"), F.greatest("cls_a", "cls_b").alias("y")
+    return some.unionByName(rest).groupBy("a", "b", x, y).agg(F.count("*").alias("shared"))
 
 
 def _open(state: DataFrame, group: int, group_runs: int) -> tuple[DataFrame, DataFrame]:
@@ -371,7 +403,7 @@ def near_links(texts: DataFrame, similarity: float, group: int = GROUP, group_ru
     mapped = tk.stored((sketches_of(texts, similarity) if sketches is None else sketches).dropDuplicates(["doc_id"]), "sketches")
     keys = mapped.select("doc_id", F.explode("keys").alias("bucket"))
     labels = mapped.select("doc_id", F.size("labels").alias("n"), F.explode("labels").alias("label"))
-    rare = _rarest(labels, [], similarity).where("often > 1").select("doc_id", F.xxhash64("label").alias("bucket"))
+    rare = _rarest(labels, similarity).where("often > 1").select("doc_id", F.xxhash64("label").alias("bucket"))
     rows = keys.unionByName(rare)
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = tk.stored(rows.join(shared, "bucket"), "members")
@@ -391,41 +423,34 @@ def near_links(texts: DataFrame, similarity: float, group: int = GROUP, group_ru
     small, large = _open(_classed(state, _followed(found)), group, group_runs)
     links = [found, _settled(small, runs, similarity)]
     if not large.isEmpty():
-        small, large = _open(_parted(large, runs, similarity), group, group_runs)
-        links.append(_settled(small, runs, similarity))
-        links += _outsider_rounds(large.withColumn("led", F.lit(False)), runs, similarity, reduce(DataFrame.unionByName, links), leads)
+        links += _settled_large(large, runs, similarity, reduce(DataFrame.unionByName, links), leads)
     return classes_of(reduce(DataFrame.unionByName, links))
 
 
-def _outsider_rounds(state: DataFrame, runs: DataFrame, similarity: float, links: DataFrame, leads: int) -> list[DataFrame]:
-    """In each round up to ``leads`` documents outside a bucket's largest class are aligned with all other classes.
+def _settled_large(large: DataFrame, runs: DataFrame, similarity: float, links: DataFrame, leads: int) -> list[DataFrame]:
+    """Links of buckets that no task may hold: of each two classes ``leads`` pairs are aligned, and all others unless that makes them one.
 
-    A bucket is settled when every document outside its largest class has led; pairs are ``leads`` a document and round.
-    Classes of all links so far are found once; later rounds join only new links to them.
+    A document counts once, however many such buckets it is in, and a pair only if it shares one.
     """
-    out: list[DataFrame] = []
-    if state.isEmpty():
-        return out
-    state = _classed(state, tk.stored(classes_of(links).withColumnRenamed("id", "doc_id"), "classes"))
-    while True:
-        sizes = state.groupBy("bucket", "cls").agg(F.count("*").alias("n"))
-        most = sizes.groupBy("bucket").agg(F.max(F.struct("n", "cls")).alias("most"), F.count("*").alias("classes")).where("classes > 1")
-        state = tk.stored(state.join(most.select("bucket", F.col("most.cls").alias("main")), "bucket"), "round")
-        nth = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
-        first = state.where(~F.col("led") & (F.col("cls") != F.col("main"))).withColumn("nth", nth).where(F.col("nth") <= leads)
-        first = tk.stored(first.select("bucket", F.col("doc_id").alias("a"), F.col("cls").alias("a_cls")), "leads")
-        if first.isEmpty():
-            return out
-        pairs = state.join(first, "bucket").where("cls <> a_cls AND doc_id <> a AND (NOT led OR cls = main)")
-        found = _pairs_found(pairs.select("a", F.col("doc_id").alias("b")), runs, similarity)
-        out.append(found)
-        gone = first.select("bucket", F.col("a").alias("doc_id"), F.lit(True).alias("now"))
-        state = state.join(gone, ["bucket", "doc_id"], "left").select("bucket", "doc_id", "cls", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
-        if not found.isEmpty():
-            cls = state.select("doc_id", "cls").distinct()
-            between = found.join(cls.select(F.col("doc_id").alias("a"), F.col("cls").alias("x")), "a").join(cls.select(F.col("doc_id").alias("b"), F.col("cls").alias("y")), "b")
-            merged = tk.stored(classes_of(between.select(F.col("x").alias("a"), F.col("y").alias("b"))), "classes")
-            state = state.join(merged.select(F.col("id").alias("cls"), F.col("cls").alias("new")), "cls", "left").select("bucket", "doc_id", F.coalesce("new", "cls").alias("cls"), "led")
+    known = tk.stored(classes_of(links).withColumnRenamed("id", "doc_id"), "classes")
+    docs = tk.stored(_classed(large, known).groupBy("doc_id", "cls").agg(F.collect_set("bucket").alias("buckets")), "wide")
+    labels = docs.select("doc_id", "cls").join(runs.select("doc_id", "runs"), "doc_id").mapInArrow(_map_labels, "doc_id long, cls long, labels array<long>")
+    labels = tk.stored(labels.select("doc_id", "cls", F.size("labels").alias("n"), F.explode("labels").alias("label")), "labels")
+    pairs = _candidates(labels, similarity)
+    for c in "ab":
+        pairs = pairs.join(docs.select(F.col("doc_id").alias(c), F.col("buckets").alias(f"buckets_{c}")), c)
+    pairs = tk.stored(pairs.where(F.arrays_overlap("buckets_a", "buckets_b")).select("a", "b", "x", "y", "shared"), "pairs")
+    tk.discard(labels)
+    some = F.pmod(F.xxhash64("a", "b"), F.lit(leads)).alias("some")
+    first = pairs.groupBy("x", "y", some).agg(F.max(F.struct("shared", "a", "b")).alias("top")).select("top.a", "top.b")
+    first = tk.stored(first, "leads")
+    found = _pairs_found(first, runs, similarity)
+    between = found.join(pairs, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    merged = tk.stored(classes_of(between), "classes")
+    rest = pairs.join(first, ["a", "b"], "left_anti")
+    for c in "xy":
+        rest = rest.join(merged.select(F.col("id").alias(c), F.col("cls").alias(f"new_{c}")), c, "left").withColumn(c, F.coalesce(f"new_{c}", c))
+    return [found, _pairs_found(rest.where("x <> y").select("a", "b"), runs, similarity)]
 
 
 def text_hash(text: Column) -> Column:

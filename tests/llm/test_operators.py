@@ -21,7 +21,7 @@ from cellwright.llm.decontaminate import decontaminate
 from cellwright.llm.fm_index import FMIndex
 from cellwright.llm.line_dedup import line_dedup
 from cellwright.llm.mixture import poisson_mix
-from cellwright.llm.near_dedup import _common_in_band, aligned, near_classes
+from cellwright.llm.near_dedup import _candidates, _common_in_band, aligned, near_classes
 from cellwright.llm.secret_scan import KINDS, scan_text, secret_scan
 from cellwright.llm.substring_dedup import substring_dedup
 from cellwright.llm.suffix_dedup import suffix_array, suffix_dedup
@@ -399,6 +399,36 @@ def test_near_classes_do_not_depend_on_group_sizes(spark):
     assert own[0] == own[1] == own[2] and len(set(own[0].values())) < 80 and len({own[0][1000 + i] for i in range(50)}) == 1
 
 
+def test_many_texts_apart_in_one_bucket_take_no_rounds(spark, monkeypatch):
+    """Copies too far from each other stay apart after as many steps as there are for few of them."""
+    rng, rows = np.random.default_rng(11), []
+    base = [f"t{i}" for i in range(300)]
+    for i in range(70):
+        gone = set(rng.choice(300, 1 if i < 20 else 9, replace=False).tolist())
+        rows.append((i, " ".join(f"n{i}" if j in gone else w for j, w in enumerate(base))))
+    frame, real, seen = spark.createDataFrame(rows, "doc_id long, text string"), tk.stored, []
+    whole = {r.doc_id: r.class_id for r in near_classes(frame).collect()}
+    monkeypatch.setattr(tk, "stored", lambda rows, name: (seen.append(name), real(rows, name))[1])
+    assert {r.doc_id: r.class_id for r in near_classes(frame, group=4, leads=1).collect()} == whole
+    assert len(set(whole.values())) > 30 and seen.count("found") <= 4
+
+
+def test_candidates_have_all_near_pairs(spark):
+    """By brute force over texts of 1 to 160 labels: no pair with enough labels in common is missed, none is of one class."""
+    rng, sets = np.random.default_rng(12), []
+    for f in range(40):
+        base = rng.integers(0, 10**6, int(rng.integers(1, 160)))
+        for c in range(12):
+            own = [x for x in base.tolist() if rng.random() > c / 60] + rng.integers(0, 10**6, int(rng.integers(0, 2 + len(base) // 8))).tolist()
+            sets.append((len(sets), f * 20 + c % 5, set(own)))
+    rows = [(i, cls, len(own), x) for i, cls, own in sets for x in own]
+    got = {(r.a, r.b) for r in _candidates(spark.createDataFrame(rows, "doc_id long, cls long, n int, label long"), 0.8).collect()}
+    near = lambda a, b: a and b and len(a & b) >= math.ceil(0.8 / 1.8 * (len(a) + len(b)) - 1e-9)
+    pairs = [(i, j, x, y) for i, x, a in sets for j, y, b in sets if i < j and near(a, b)]
+    assert len([1 for *_, x, y in pairs if x != y]) > 300
+    assert all(((i, j) in got or (j, i) in got) == (x != y) for i, j, x, y in pairs) and len(got) < 0.1 * len(sets) ** 2
+
+
 def test_near_classes_of_ids_with_several_texts(spark):
     a, b = " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(90))
     rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, "other text of its own"), (1, a), (None, a)]
